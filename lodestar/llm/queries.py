@@ -7,10 +7,30 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import decontam, mixing, simhash_dedup
+from lodestar.llm import decontam, fingerprint, lm_score, mixing, simhash_dedup, toxicity
 from lodestar.llm.common import table
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return lm_score.score_texts(docs, lm_score.held_out_fold(docs))
+
+
+def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The search takes the rows whose id is divisible by 100; others have a null ``matches``."""
+    rows = fingerprint.fingerprint_with_edits(table(spark, sf_dir, "documents"))
+    found = fingerprint.search(rows.where("doc_id % 100 = 0"), rows)
+    asked = F.when(F.col("doc_id") % 100 == 0, F.lit(True))
+    rows = rows.join(found.withColumns({"asked": F.lit(True)}), (rows["high"] == found["high"]) & (rows["low"] == found["low"]) & asked.eqNullSafe(F.col("asked")), "left").drop(found["high"], found["low"])
+    like = lambda other: (1 - fingerprint.apart(rows["high"], rows["low"], F.col(f"{other}_high"), F.col(f"{other}_low")) / F.lit(float(fingerprint.BITS))).cast("double")
+    return rows.select(
+        "doc_id", "n_chars", "edited_sha256",
+        fingerprint.as_text(F.col("high"), F.col("low")).alias("fingerprint"),
+        fingerprint.as_text(F.col("edited_high"), F.col("edited_low")).alias("edited_fingerprint"),
+        like("edited").alias("near_edited"), like("next").alias("near_next"), "matches",
+    )
+
+
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -20,13 +40,20 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_lm_score": op2_lm_score,
+    "op3_fingerprint": op3_fingerprint,
     "op5_simhash_dedup": op5_simhash_dedup,
     "op6_source_mix": op6_source_mix,
+    "op7_toxicity": op7_toxicity,
     "op8_decontaminate": op8_decontaminate,
 }
 
