@@ -37,7 +37,9 @@ MAX_TRAIN = 4000
 #: Features kept at most, by their likelihood ratio.
 MAX_FEATURES = 600
 #: Lengths of the beginnings and endings of words that may vote.
-SHORT, LONG = 3, 6
+SHORT, LONG = 3, 8
+#: How often a human label is taken to be right.
+HUMAN = 0.98
 _EDGE = re.compile(r"^\W+|\W+$")
 _FLUSH = 200_000
 
@@ -94,8 +96,13 @@ def training_sample(docs: DataFrame, labels: DataFrame, max_train: int) -> tuple
     return cut(found.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text")), "toxic-sample"), sums[1] / max(1, sums[0])
 
 
-def pick_features(sample: DataFrame, pos: int, neg: int, max_features: int, least: int = 4) -> list[str]:
-    """The features whose presence tells the classes apart best, by likelihood ratio."""
+def pick_features(sample: DataFrame, pos: int, neg: int, max_features: int) -> list[str]:
+    """The features that toxic documents surely have three times as often (by two standard errors), best first by likelihood ratio.
+
+    A feature that holds another one, or is held by it, and occurs as often tells nothing new
+    and is passed over.
+    """
+    least = max(3, pos // 50)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out() -> pa.RecordBatch:
@@ -112,21 +119,30 @@ def pick_features(sample: DataFrame, pos: int, neg: int, max_features: int, leas
         if seen:
             yield out()
 
-    sums = sample.select("toxic", "text").mapInArrow(count, "feature string, neg bigint, pos bigint").groupBy("feature").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos")).where(F.col("neg") + F.col("pos") >= least)
+    sums = sample.select("toxic", "text").mapInArrow(count, "feature string, neg bigint, pos bigint").groupBy("feature").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos")).where(F.col("pos") >= least)
     a, b = (F.col("pos") + 0.5) / (pos + 1.0), (F.col("neg") + 0.5) / (neg + 1.0)
     both = (F.col("pos") + F.col("neg") + 1.0) / (pos + neg + 2.0)
     gain = F.lit(0.0)
     for n, p in ((pos, a), (neg, b)):
         gain = gain + n * (p * F.log(p / both) + (1 - p) * F.log((1 - p) / (1 - both)))
-    telling = sums.where(F.abs(F.log(a / b)) > 1.0).withColumn("gain", gain)
-    return [r[0] for r in telling.orderBy(F.desc("gain"), "feature").limit(max_features).collect()]
+    spread = F.sqrt(1 / (F.col("pos") + 0.5) + 1 / (F.col("neg") + 0.5))
+    telling = sums.where(F.log(a / b) - 2 * spread > F.log(F.lit(3.0))).withColumn("gain", gain)
+    picked: dict[tuple[int, int], list[str]] = {}
+    best = telling.orderBy(F.desc("gain"), F.length("feature"), F.desc("feature")).limit(8 * max_features).collect()
+    out: list[str] = []
+    for feature, n, p in ((r["feature"], r["neg"], r["pos"]) for r in best):
+        same = picked.setdefault((n, p), [])
+        if len(out) < max_features and not any(feature[1:] in s or s in feature[1:] for s in same):
+            same.append(feature[1:])
+            out.append(feature)
+    return out
 
 
 def label_model(votes: np.ndarray, marks: np.ndarray, weight: np.ndarray, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
     """Posterior of class 1 for each document, and each voter's share of a voice.
 
     ``votes`` is documents x voters of 0 and 1; ``marks`` the human label, which is one more
-    voter and starts the rounds.
+    voter, with a voice of its own and the accuracy ``HUMAN``, and starts the rounds.
     """
     full = np.column_stack([votes, marks]).astype(np.float64)
     post = np.clip(marks.astype(np.float64), 0.02, 0.98)
@@ -135,20 +151,22 @@ def label_model(votes: np.ndarray, marks: np.ndarray, weight: np.ndarray, rounds
         w1, w0 = weight * post, weight * (1 - post)
         p1 = (w1 @ full + 0.5) / (w1.sum() + 1)
         p0 = (w0 @ full + 0.5) / (w0.sum() + 1)
+        p1[-1], p0[-1] = HUMAN, 1 - HUMAN
         rest = full - post[:, None] * p1 - (1 - post)[:, None] * p0
         cov = (rest * weight[:, None]).T @ rest
         sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
         tied = np.abs(cov / sd[:, None] / sd[None, :])
-        tied[tied < 0.1] = 0
+        tied[tied < 0.2] = 0
         np.fill_diagonal(tied, 1)
         voice = 1 / tied.sum(axis=1)
+        voice[-1] = 1
         prior = np.clip((weight * post).sum() / weight.sum(), 1e-4, 1 - 1e-4)
         logit = np.log(prior / (1 - prior)) + full @ (voice * np.log(p1 / p0)) + (1 - full) @ (voice * np.log((1 - p1) / (1 - p0)))
         post = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
     return post, voice
 
 
-def fit_linear(x: np.ndarray, target: np.ndarray, weight: np.ndarray, ridge: float = 0.5, rounds: int = 25) -> tuple[np.ndarray, float]:
+def fit_linear(x: np.ndarray, target: np.ndarray, weight: np.ndarray, ridge: float = 0.1, rounds: int = 25) -> tuple[np.ndarray, float]:
     """Logistic regression on soft labels by Newton's steps."""
     full = np.column_stack([x, np.ones(len(x))]).astype(np.float64)
     beta = np.zeros(full.shape[1])
@@ -187,8 +205,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_feat
         x[i, r["hits"]] = 1
     share = min(max(share, 1e-3), 1 - 1e-3)
     weight = np.where(marks == 1, share * len(rows) / pos, (1 - share) * len(rows) / max(1, neg))
-    voters = x[marks == 1].mean(axis=0) > (x[marks == 0].mean(axis=0) if neg else 0)
-    post, _ = label_model(x[:, voters], marks, weight)
+    post, _ = label_model(x, marks, weight)
     model.weights, model.intercept = fit_linear(x, post, weight)
     return model
 
