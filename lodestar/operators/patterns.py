@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.functions.windows import BY_TIME, SO_FAR, diff, pct_change, quantile_bins, ratio, roll, streak
+from lodestar.functions.windows import by_time, so_far, diff, pct_change, quantile_bins, ratio, roll, streak
 
 
 def with_returns(bars: DataFrame) -> DataFrame:
@@ -42,7 +42,7 @@ def month_seasonality(daily: DataFrame) -> DataFrame:
 
 def session_gaps(daily: DataFrame, least: float = 0.01) -> DataFrame:
     """Open against the close before: direction, size and whether the same bar fills it."""
-    before = F.lag("close").over(BY_TIME)
+    before = F.lag("close").over(by_time())
     rows = daily.withColumn("prev", before).where("prev is not null").withColumn("gap", ratio(F.col("open"), F.col("prev")) - 1)
     filled = F.when(F.col("gap") > 0, F.col("low") <= F.col("prev")).otherwise(F.col("high") >= F.col("prev"))
     return rows.where(F.abs("gap") >= least).select("symbol", "ts", "gap", F.when(F.col("gap") > 0, "up").otherwise("down").alias("direction"), filled.alias("filled"), F.weekday("ts").alias("dow"))
@@ -56,9 +56,9 @@ def gap_summary(daily: DataFrame, least: float = 0.01) -> DataFrame:
 
 
 def gap_quintiles(daily: DataFrame) -> DataFrame:
-    after = F.lead("close").over(BY_TIME)
+    after = F.lead("close").over(by_time())
     rows = daily.withColumn("next_ret", ratio(after, F.col("close")) - 1)
-    rows = rows.withColumn("size", F.abs(ratio(F.col("open"), F.lag("close").over(BY_TIME)) - 1)).where("size is not null")
+    rows = rows.withColumn("size", F.abs(ratio(F.col("open"), F.lag("close").over(by_time())) - 1)).where("size is not null")
     return quantile_bins(rows, "size", 5, "bin").groupBy("symbol", "bin").agg(F.count("*").alias("n"), F.avg("next_ret").alias("next_mean"), F.avg("size").alias("mean_gap"))
 
 
@@ -66,7 +66,7 @@ def autocorrelation(daily: DataFrame, lags: int = 10, absolute: bool = False) ->
     """Correlation of the return with itself 1..lags bars before: the lags as columns of one window, one aggregate."""
     rows = with_returns(daily).withColumn("x", F.abs("ret") if absolute else F.col("ret"))
     for k in range(1, lags + 1):
-        rows = rows.withColumn(f"x{k}", F.lag("x", k).over(BY_TIME))
+        rows = rows.withColumn(f"x{k}", F.lag("x", k).over(by_time()))
     wide = rows.groupBy("symbol").agg(*(F.corr("x", f"x{k}").alias(f"r{k}") for k in range(1, lags + 1)))
     return wide.select("symbol", F.explode(F.array(*(F.struct(F.lit(k).alias("lag"), F.col(f"r{k}").alias("r")) for k in range(1, lags + 1)))).alias("e")).select("symbol", "e.lag", "e.r")
 
@@ -77,7 +77,7 @@ def ljung_box(daily: DataFrame, lags: int = 5) -> DataFrame:
     mean = Window.partitionBy("symbol")
     rows = rows.withColumn("e", F.col("ret") - F.avg("ret").over(mean))
     for k in range(1, lags + 1):
-        rows = rows.withColumn(f"e{k}", F.lag("e", k).over(BY_TIME))
+        rows = rows.withColumn(f"e{k}", F.lag("e", k).over(by_time()))
     sums = rows.groupBy("symbol").agg(F.count("*").alias("n"), F.sum(F.col("e") * F.col("e")).alias("ss"), F.sum((F.col("e") - F.col("e1")) ** 2).alias("dd"), *(F.sum(F.col("e") * F.col(f"e{k}")).alias(f"s{k}") for k in range(1, lags + 1)))
     q = sum((ratio(F.col(f"s{k}"), F.col("ss")) ** 2 / (F.col("n") - k) for k in range(1, lags + 1)), F.lit(0.0))
     return sums.select("symbol", "n", (F.col("n") * (F.col("n") + 2) * q).alias("q"), ratio(F.col("dd"), F.col("ss")).alias("durbin_watson"))
@@ -86,7 +86,7 @@ def ljung_box(daily: DataFrame, lags: int = 5) -> DataFrame:
 def momentum_rules(daily: DataFrame, lookbacks: tuple[int, ...] = (1, 2, 3, 5, 10)) -> DataFrame:
     """Long after N bars that rose in sum: trades, win rate, Sharpe ratio and profit factor."""
     rows = with_returns(daily)
-    sums = {n: F.when(F.count("ret").over(BY_TIME.rowsBetween(-n, -1)) == n, F.sum("ret").over(BY_TIME.rowsBetween(-n, -1))) for n in lookbacks}
+    sums = {n: F.when(F.count("ret").over(by_time().rowsBetween(-n, -1)) == n, F.sum("ret").over(by_time().rowsBetween(-n, -1))) for n in lookbacks}
     each = F.explode(F.array(*(F.struct(F.lit(n).alias("lookback"), F.col(f"m{n}").alias("m")) for n in lookbacks)))
     rows = rows.withColumns({f"m{n}": c for n, c in sums.items()}).select("symbol", "ts", "ret", each.alias("e")).where("e.m > 0 and ret is not null")
     gain, loss = (F.sum(F.when(F.col("ret") > 0, F.col("ret")).otherwise(0.0)), F.sum(F.when(F.col("ret") < 0, -F.col("ret")).otherwise(0.0)))
@@ -100,7 +100,7 @@ def best_rule(daily: DataFrame) -> DataFrame:
 
 def atr_regimes(daily: DataFrame, n: int = 14) -> DataFrame:
     """Next-bar statistics in the low, middle and high third (33 % and 67 % quantiles) of the mean range."""
-    rows = with_returns(daily).withColumn("atr", roll("range", F.avg, n)).withColumn("next_ret", F.lead("ret").over(BY_TIME)).where("atr is not null")
+    rows = with_returns(daily).withColumn("atr", roll("range", F.avg, n)).withColumn("next_ret", F.lead("ret").over(by_time())).where("atr is not null")
     edges = rows.groupBy("symbol").agg(F.percentile("atr", [0.33, 0.67]).alias("edges"))
     regime = F.when(F.col("atr") <= F.col("edges")[0], "low").when(F.col("atr") <= F.col("edges")[1], "mid").otherwise("high")
     return rows.join(edges, "symbol").groupBy("symbol", regime.alias("regime")).agg(*stats("next_ret"), F.avg("atr").alias("avg_atr"))
@@ -108,7 +108,7 @@ def atr_regimes(daily: DataFrame, n: int = 14) -> DataFrame:
 
 def narrow_range(daily: DataFrame, sizes: tuple[int, ...] = (4, 7)) -> DataFrame:
     """Bars whose range is the least of the last n: forward returns by direction of the bar."""
-    rows = with_returns(daily).withColumn("fwd", ratio(F.lead("close").over(BY_TIME), F.col("close")) - 1)
+    rows = with_returns(daily).withColumn("fwd", ratio(F.lead("close").over(by_time()), F.col("close")) - 1)
     each = F.explode(F.array(*(F.struct(F.lit(n).alias("n"), F.col(f"nr{n}").alias("on")) for n in sizes)))
     rows = rows.withColumns({f"nr{n}": F.col("range") == roll("range", F.min, n) for n in sizes}).select("symbol", "fwd", F.when(F.col("close") >= F.col("open"), "up").otherwise("down").alias("direction"), each.alias("e"))
     return rows.where("e.on and fwd is not null").groupBy("symbol", F.col("e.n").alias("size"), "direction").agg(*stats("fwd"))
@@ -117,14 +117,14 @@ def narrow_range(daily: DataFrame, sizes: tuple[int, ...] = (4, 7)) -> DataFrame
 def range_expansion(daily: DataFrame, n: int = 7, ahead: int = 5) -> DataFrame:
     """Mean range 1..ahead bars after the narrowest of n bars, against the overall mean."""
     rows = with_returns(daily).withColumn("nr", F.col("range") == roll("range", F.min, n))
-    rows = rows.withColumns({f"f{k}": F.lead("range", k).over(BY_TIME) for k in range(1, ahead + 1)})
+    rows = rows.withColumns({f"f{k}": F.lead("range", k).over(by_time()) for k in range(1, ahead + 1)})
     wide = rows.groupBy("symbol").agg(F.avg("range").alias("base"), *(F.avg(F.when(F.col("nr"), F.col(f"f{k}"))).alias(f"a{k}") for k in range(1, ahead + 1)))
     return wide.select("symbol", F.explode(F.array(*(F.struct(F.lit(k).alias("ahead"), ratio(F.col(f"a{k}"), F.col("base")).alias("expansion")) for k in range(1, ahead + 1)))).alias("e")).select("symbol", "e.ahead", "e.expansion")
 
 
 def hurst(daily: DataFrame, sizes: tuple[int, ...] = (10, 14, 20, 28, 40, 57, 80, 113, 160, 226, 320)) -> DataFrame:
     """Rescaled-range slope: R/S of non-overlapping pieces of several sizes, then a log-log regression."""
-    rows = with_returns(daily).where("ret is not null").withColumn("i", F.row_number().over(BY_TIME) - 1)
+    rows = with_returns(daily).where("ret is not null").withColumn("i", F.row_number().over(by_time()) - 1)
     each = rows.select("symbol", "i", "ret", F.explode(F.array(*map(F.lit, sizes))).alias("size")).withColumn("piece", F.floor(F.col("i") / F.col("size")))
     piece = Window.partitionBy("symbol", "size", "piece")
     each = each.withColumn("full", F.count("*").over(piece) == F.col("size")).where("full").withColumn("d", F.col("ret") - F.avg("ret").over(piece))
@@ -135,14 +135,14 @@ def hurst(daily: DataFrame, sizes: tuple[int, ...] = (10, 14, 20, 28, 40, 57, 80
 
 def variance_ratio(daily: DataFrame, lags: tuple[int, ...] = (2, 4, 8, 16)) -> DataFrame:
     """Variance of overlapping q-bar log returns over q times the variance of one."""
-    rows = daily.withColumn("r", F.ln(ratio(F.col("close"), F.lag("close").over(BY_TIME)))).where("r is not null")
+    rows = daily.withColumn("r", F.ln(ratio(F.col("close"), F.lag("close").over(by_time())))).where("r is not null")
     rows = rows.withColumns({f"s{q}": roll("r", F.sum, q) for q in lags})
     wide = rows.groupBy("symbol").agg(F.var_samp("r").alias("v"), *(F.var_samp(f"s{q}").alias(f"v{q}") for q in lags))
     return wide.select("symbol", F.explode(F.array(*(F.struct(F.lit(q).alias("q"), ratio(F.col(f"v{q}"), q * F.col("v")).alias("vr")) for q in lags))).alias("e")).select("symbol", "e.q", "e.vr", F.when(F.col("e.vr") > 1.05, "trending").when(F.col("e.vr") < 0.95, "reverting").otherwise("random").alias("label"))
 
 
 def overnight_split(daily: DataFrame) -> DataFrame:
-    rows = daily.withColumn("prev", F.lag("close").over(BY_TIME)).where("prev is not null")
+    rows = daily.withColumn("prev", F.lag("close").over(by_time())).where("prev is not null")
     rows = rows.withColumns({"overnight": ratio(F.col("open"), F.col("prev")) - 1, "intraday": ratio(F.col("close"), F.col("open")) - 1})
     return rows.groupBy("symbol", F.weekday("ts").alias("dow")).agg(F.count("*").alias("n"), F.avg("overnight").alias("overnight"), F.avg("intraday").alias("intraday"))
 
@@ -164,13 +164,13 @@ def opening_rates(ticks: DataFrame, minutes: int = 60) -> DataFrame:
 
 
 def volume_quintiles(daily: DataFrame, least: int = 20) -> DataFrame:
-    rows = with_returns(daily).withColumn("fwd", F.lead("ret").over(BY_TIME)).where("fwd is not null")
+    rows = with_returns(daily).withColumn("fwd", F.lead("ret").over(by_time())).where("fwd is not null")
     return quantile_bins(rows, "volume", 5, "bin").groupBy("symbol", "bin").agg(*stats("fwd")).where(F.col("n") >= least)
 
 
 def vol_quartiles(daily: DataFrame, n: int = 21) -> DataFrame:
     rows = with_returns(daily)
-    rows = rows.withColumns({"vol": roll("ret", F.stddev_samp, n), "fwd": F.lead("ret").over(BY_TIME)}).where("vol is not null and fwd is not null")
+    rows = rows.withColumns({"vol": roll("ret", F.stddev_samp, n), "fwd": F.lead("ret").over(by_time())}).where("vol is not null and fwd is not null")
     return quantile_bins(rows, "vol", 4, "bin").groupBy("symbol", "bin").agg(*stats("fwd"))
 
 
@@ -179,7 +179,7 @@ def event_days(daily: DataFrame) -> DataFrame:
     rows = with_returns(daily)
     first = F.date_trunc("month", "ts").cast("date")
     expiry = F.to_date("ts") == F.date_add(F.next_day(F.date_sub(first, 1), "FRI"), 14)
-    quarter_end = F.coalesce(F.month(F.lead("ts").over(BY_TIME)) != F.month("ts"), F.lit(True)) & (F.month("ts") % 3 == 0)
+    quarter_end = F.coalesce(F.month(F.lead("ts").over(by_time())) != F.month("ts"), F.lit(True)) & (F.month("ts") % 3 == 0)
     year = Window.partitionBy("symbol", F.year("ts")).orderBy("ts")
     january = (F.month("ts") == 1) & (F.row_number().over(year) <= 5)
     flags = {"expiry": expiry, "quarter_end": quarter_end, "january": january}
@@ -191,7 +191,7 @@ def event_days(daily: DataFrame) -> DataFrame:
 def runs_test(daily: DataFrame) -> DataFrame:
     """Wald-Wolfowitz runs of the return's sign: runs, expected runs and z."""
     rows = with_returns(daily).where("ret <> 0").withColumn("up", F.col("ret") > 0)
-    rows = rows.withColumn("fresh", F.coalesce(F.col("up") != F.lag("up").over(BY_TIME), F.lit(True)))
+    rows = rows.withColumn("fresh", F.coalesce(F.col("up") != F.lag("up").over(by_time()), F.lit(True)))
     sums = rows.groupBy("symbol").agg(F.sum(F.col("fresh").cast("int")).alias("runs"), F.sum(F.col("up").cast("double")).alias("a"), F.sum((~F.col("up")).cast("double")).alias("b"))
     n, p = F.col("a") + F.col("b"), 2 * F.col("a") * F.col("b")
     expected = ratio(p, n) + 1
@@ -200,14 +200,14 @@ def runs_test(daily: DataFrame) -> DataFrame:
 
 def range_zones(daily: DataFrame, n: int = 14) -> DataFrame:
     rows = with_returns(daily)
-    rows = rows.withColumns({"rel": ratio(F.col("range"), roll("range", F.avg, n)), "fwd": F.lead("ret").over(BY_TIME)}).where("rel is not null and fwd is not null")
+    rows = rows.withColumns({"rel": ratio(F.col("range"), roll("range", F.avg, n)), "fwd": F.lead("ret").over(by_time())}).where("rel is not null and fwd is not null")
     zone = F.when(F.col("rel") <= 0.7, "narrow").when(F.col("rel") <= 1.3, "normal").otherwise("wide")
     return rows.groupBy("symbol", zone.alias("zone")).agg(*stats("fwd"))
 
 
 def streak_stats(daily: DataFrame, longest: int = 4) -> DataFrame:
     """Next-bar statistics after at least k bars up, or down, in a row."""
-    rows = with_returns(daily).withColumn("fwd", F.lead("ret").over(BY_TIME))
+    rows = with_returns(daily).withColumn("fwd", F.lead("ret").over(by_time()))
     rows = streak(streak(rows, F.col("ret") > 0, "up"), F.col("ret") < 0, "down").where("fwd is not null")
     each = F.explode(F.array(*(F.struct(F.lit(d).alias("direction"), F.lit(k).alias("k"), (F.col(d) >= k).alias("on")) for d in ("up", "down") for k in range(1, longest + 1))))
     return rows.select("symbol", "fwd", each.alias("e")).where("e.on").groupBy("symbol", F.col("e.direction").alias("direction"), F.col("e.k").alias("k")).agg(*stats("fwd"))
@@ -217,7 +217,7 @@ def vwap_deviation(ticks: DataFrame, ahead: int = 30) -> DataFrame:
     """Mean of the next returns by quintile of the distance from the day's volume-weighted price."""
     day = Window.partitionBy("symbol", F.date_trunc("day", "ts")).orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
     rows = ticks.withColumn("ret", pct_change("price")).withColumn("vwap", ratio(F.sum(F.col("price") * F.col("volume")).over(day), F.sum("volume").over(day)))
-    next_n = BY_TIME.rowsBetween(1, ahead)
+    next_n = by_time().rowsBetween(1, ahead)
     rows = rows.withColumns({"dev": ratio(F.col("price"), F.col("vwap")) - 1, "fwd": F.when(F.count("ret").over(next_n) == ahead, F.sum("ret").over(next_n))}).where("dev is not null and fwd is not null")
     return quantile_bins(rows, "dev", 5, "bin").groupBy("symbol", "bin").agg(F.count("*").alias("n"), F.avg("fwd").alias("fwd_mean"), F.avg("dev").alias("dev_mean"))
 
@@ -233,20 +233,20 @@ def hourly_reversal(ticks: DataFrame, least: int = 30) -> DataFrame:
 
 def drawdowns(bars: DataFrame) -> DataFrame:
     """Absolute, relative and log fall from the highest close so far."""
-    top = F.max("close").over(SO_FAR)
+    top = F.max("close").over(so_far())
     return bars.select("symbol", "ts", (top - F.col("close")).alias("dd"), (1 - ratio(F.col("close"), top)).alias("dd_pct"), (F.ln(top) - F.ln("close")).alias("dd_log"))
 
 
 def arch_lm(daily: DataFrame, lags: int = 1) -> DataFrame:
     """Engle's test with one lag: n times the squared correlation of squared returns with the ones before."""
     rows = with_returns(daily).where("ret is not null").withColumn("sq", F.col("ret") ** 2)
-    rows = rows.withColumn("before", F.lag("sq", lags).over(BY_TIME)).where("before is not null")
+    rows = rows.withColumn("before", F.lag("sq", lags).over(by_time())).where("before is not null")
     return rows.groupBy("symbol").agg((F.count("*") * F.corr("sq", "before") ** 2).alias("lm"), F.corr("sq", "before").alias("r"))
 
 
 def unit_root(daily: DataFrame) -> DataFrame:
     """Dickey-Fuller statistic without lagged differences from sums of products, and the 5 % verdict."""
-    rows = daily.withColumn("x", F.lag("close").over(BY_TIME)).withColumn("d", diff("close")).where("x is not null")
+    rows = daily.withColumn("x", F.lag("close").over(by_time())).withColumn("d", diff("close")).where("x is not null")
     a = rows.groupBy("symbol").agg(F.count("*").alias("n"), F.regr_slope("d", "x").alias("b"), F.regr_sxx("d", "x").alias("sxx"), F.regr_syy("d", "x").alias("syy"))
     rest = (F.col("syy") - F.col("b") * F.col("b") * F.col("sxx")) / (F.col("n") - 2)
     return a.select("symbol", "n", (F.col("b") / F.sqrt(rest / F.col("sxx"))).alias("t")).withColumn("stationary", F.col("t") < -2.86)

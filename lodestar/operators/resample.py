@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.functions.windows import BY_TIME, ratio
+from lodestar.functions.windows import by_time, ratio
 
 #: The time frames and their seconds.
 FRAMES = {"5m": 300, "15m": 900, "30m": 1800, "1h": 3600, "4h": 14400, "D": 86400}
@@ -68,5 +68,5 @@ def spread(bars: DataFrame, a: str, b: str, kind: str = "diff") -> DataFrame:
 
 
 def returns(bars: DataFrame) -> DataFrame:
-    before = F.lag("close").over(BY_TIME)
+    before = F.lag("close").over(by_time())
     return bars.withColumns({"ret": ratio(F.col("close"), before) - 1, "log_ret": F.ln(ratio(F.col("close"), before))})

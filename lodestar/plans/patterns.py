@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestar.operators import patterns as p
-from lodestar.plans.common import rounded
+from lodestar.plans.common import rounded, settle
 from lodestar.sources.bridge import BARS_SQL, TICKS_SQL, bars, ticks
 
 
@@ -52,7 +52,7 @@ QUERIES = {
     "runs_test": _daily(p.runs_test),
     "streaks": _daily(p.streak_stats),
     "vwap_deviation": _ticks(p.vwap_deviation),
-    "drawdown": lambda s, d: p.drawdowns(bars(s, d)).withColumn("dd_log", F.round("dd_log", 6)),
+    "drawdown": lambda s, d: p.drawdowns(bars(s, d)).withColumn("dd_log", settle(F.col("dd_log"))),
 }
 
 _RET = f"""WITH {BARS_SQL},
