@@ -41,7 +41,7 @@ def fingerprints(texts: DataFrame, *key: str) -> DataFrame:
     pairs = texts.select(*key, word_array(ascii_lower(F.col("text"))).alias("words"))
     pairs = pairs.select(*key, F.inline_outer(F.arrays_zip("words", F.slice("words", F.lit(2), F.greatest(F.size("words"), F.lit(1))).alias("following"))))
     pairs = pairs.toDF(*key, "word", "following")
-    weight = F.coalesce(F.least(F.octet_length("word") + F.coalesce(F.octet_length("following"), F.lit(0)), F.lit(16)), F.lit(0)).cast("bigint")
+    weight = F.when(F.col("word").isNull(), 0).otherwise(F.least(F.octet_length("word") + F.coalesce(F.octet_length("following"), F.lit(0)), F.lit(16))).cast("bigint")
     votes = pairs.select(*key, weight.alias("w"), F.xxhash64("word", "following").alias("h0"), F.xxhash64("following", F.lit(7), "word").alias("h1"))
     lane = lambda h, j: F.sum(F.shiftrightunsigned(h, j).bitwiseAND(F.lit(0x100000001)) * F.col("w"))
     sums = votes.groupBy(*key).agg(F.sum("w").alias("w"), *(lane(F.col(f"h{k}"), j).alias(f"s{k}_{j}") for k in (0, 1) for j in range(_LANES)))
