@@ -7,7 +7,7 @@ corpus paragraphs and mixed-up notices as ``unknown``; a held-out part of them c
 probabilities by one temperature.  A prediction is confirmed by the family's template whose
 word pairs the paragraph holds best, if it holds ``CONFIRM`` of them.
 
-Every n-gram of the model holds a word that is rare in the corpus sample, so a paragraph
+Every n-gram of the model holds a word that at most a tenth of the other corpus paragraphs has, so a paragraph
 without such a word has the intercept's probabilities, which are ``unknown``, and is passed
 over at once; no text is cut.
 
@@ -65,6 +65,7 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "all-rights-reserved": ("All rights reserved.", "Copyright (c) 2020 The Authors. All rights reserved."),
 }
 UNKNOWN = "unknown"
+_EDGES = ".,;:!?()[]<>\"'*#%$&"
 _TOKEN = re.compile(r"[^\W_]+(?:[-.][^\W_]+)*")
 
 
@@ -139,10 +140,9 @@ class Model:
             if not bare:
                 continue
             n += 1
-            if self.rare.isdisjoint(bare) and self.rare.isdisjoint(w.strip(".,;:!?()[]<>\"'*#%$&") for w in bare):
-                words = None
-                if not any("-" in w or "." in w or "/" in w for w in bare):
-                    continue
+            plain = {w.strip(_EDGES) for w in bare}
+            if self.rare.isdisjoint(plain) and all(w.isalnum() for w in plain):
+                continue  # what has punctuation inside is split first
             words = tokens(line)
             if self.rare.isdisjoint(words):
                 continue
@@ -159,8 +159,6 @@ def fit(docs: DataFrame, max_negatives: int = MAX_NEGATIVES, variants: int = VAR
     lines = docs.select(F.xxhash64("text").alias("draw"), F.posexplode(F.split(F.lower("text"), "\n")).alias("at", "line")).where(f"length(trim(line)) > 0 and length(line) <= {MAX_CHARS}")
     corpus = sorted(r[0] for r in lines.orderBy(F.xxhash64("draw", "at"), "line").limit(max_negatives).select("line").collect())
     notice_words = {w for texts in TEMPLATES.values() for t in texts for w in tokens(t.lower())}
-    heard = Counter(w for p in corpus for w in set(tokens(p)))
-    rare = frozenset(w for w in notice_words if heard[w] <= max(2, len(corpus) // 100) and (len(w) > 2 or w in ("cc", "by")))
     whole = [set(zip(t, t[1:], strict=False)) for texts in TEMPLATES.values() for t in (tokens(x.lower()) for x in texts)]
 
     def is_notice(p: str) -> bool:
@@ -168,7 +166,10 @@ def fit(docs: DataFrame, max_negatives: int = MAX_NEGATIVES, variants: int = VAR
         inner = set(zip(words, words[1:], strict=False))
         return any(len(w & inner) >= CONFIRM * len(w) for w in whole)
 
-    rows, families = notices([p for p in corpus if not is_notice(p)], variants)
+    corpus = [p for p in corpus if not is_notice(p)]
+    heard = Counter(w for p in corpus for w in set(tokens(p)))
+    rare = frozenset(w for w in notice_words if heard[w] <= max(2, len(corpus) // 10) and (len(w) > 2 or w in ("cc", "by")))
+    rows, families = notices(corpus, variants)
     seen = Counter(g for words, family in zip(rows, families, strict=True) if family != UNKNOWN for g in grams(words) if not rare.isdisjoint(g.split(" ")) and all(w in notice_words for w in g.split(" ")))
     slots = {g: i for i, g in enumerate(sorted(g for g, n in seen.items() if n >= 5))}
     order = [UNKNOWN, *TEMPLATES]
