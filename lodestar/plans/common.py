@@ -24,4 +24,4 @@ def rounded(df: DataFrame, digits: int = DIGITS, coarse: tuple[str, ...] = ()) -
 
 def settled_sql(sql: str) -> str:
     """``round(x, 2)``, ``round(x, 4)`` and ``round(x, 6)`` in ``sql`` with the same boundaries."""
-    return re.sub(r", ([246])\)(?! OVER)", lambda m: f" + {_SHIFT / 10 ** (int(m[1]) + 2)!r}::DOUBLE, {m[1]})", sql)
+    return re.sub(r", ([246])\)(?= AS )", lambda m: f" + {_SHIFT / 10 ** (int(m[1]) + 2)!r}::DOUBLE, {m[1]})", sql)
