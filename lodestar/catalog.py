@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.plans import indicators, patterns, quality
+from lodestar.plans import indicators, patterns, quality, strategies
 from lodestar.plans.common import settled_sql
 
-_MODULES = (patterns, indicators, quality)
+_MODULES = (patterns, indicators, quality, strategies)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {k: settled_sql(v) for m in _MODULES for k, v in m.ORACLE_SQL.items()}
