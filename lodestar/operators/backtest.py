@@ -196,3 +196,23 @@ def ar_regime(bars: DataFrame, window: int = 60) -> DataFrame:
     df = df.withColumn("t", ratio(c("phi"), F.sqrt(F.greatest(F.lit(0.0), (1 - c("phi") * c("phi")) / window))))
     return df.select("symbol", "ts", "phi", "t", F.when(c("t") > 1.96, "trend").when(c("t") < -1.96, "reversion").when(c("t").isNotNull(), "neutral").alias("regime"))
 
+
+def round_trips(fills: DataFrame) -> DataFrame:
+    """First-in-first-out matches of signed fills ``symbol, ts, quantity, price``: one row for each matched lot.
+
+    Each fill closes up to the position before it and opens with the rest.  Within an episode (from
+    flat to flat) opened and closed quantities are laid end to end; where two intervals overlap, that
+    much of the opening lot is closed there.  The join is on symbol and episode.
+    """
+    before = F.coalesce(F.sum("quantity").over(by_time().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    df = fills.withColumn("_p", F.round(before, 9))
+    df = df.withColumn("_c", F.when(c("_p") * c("quantity") < 0, F.least(F.abs("_p"), F.abs("quantity"))).otherwise(0.0))
+    df = df.withColumn("_o", F.round(F.abs("quantity") - c("_c"), 9)).withColumn("_new", ((c("_o") > 0) & ((c("_p") == 0) | (c("_c") > 0))).cast("int"))
+    df = df.withColumn("_e", F.sum("_new").over(so_far()))
+    opens = df.where("_o > 0").select("symbol", c("_e").alias("episode"), c("ts").alias("opened"), c("price").alias("entry"), F.when(c("quantity") > 0, "long").otherwise("short").alias("side"), c("_o").alias("q"))
+    closes = df.where("_c > 0").select("symbol", (c("_e") - c("_new")).alias("episode"), c("ts").alias("closed"), c("price").alias("exit"), c("_c").alias("q"))
+    for_open, for_close = (Window.partitionBy("symbol", "episode").orderBy(x).rowsBetween(Window.unboundedPreceding, 0) for x in ("opened", "closed"))
+    opens = opens.withColumn("o_end", F.sum("q").over(for_open)).withColumn("o_begin", c("o_end") - c("q")).drop("q")
+    closes = closes.withColumn("c_end", F.sum("q").over(for_close)).withColumn("c_begin", c("c_end") - c("q")).drop("q")
+    met = opens.join(closes, ["symbol", "episode"]).withColumn("quantity", F.round(F.least("o_end", "c_end") - F.greatest("o_begin", "c_begin"), 9)).where("quantity > 0")
+    return met.select("symbol", "side", "opened", "closed", "entry", "exit", "quantity", (c("quantity") * F.when(c("side") == "long", c("exit") - c("entry")).otherwise(c("entry") - c("exit"))).alias("pnl"))

@@ -454,12 +454,70 @@ def kama(df: DataFrame, length: int = 10, fast: int = 2, slow: int = 30) -> Data
     return linear_scan(df, {"_k": (c("_a"), c("_b"))}).withColumn(f"KAMA_{length}", F.when(c("_i") >= length, c("_k"))).drop("_i", "_d", "_sc", "_a", "_b", "_k")
 
 
+def ttm_trend(df: DataFrame, length: int = 6) -> DataFrame:
+    mean = roll((c("high") + c("low")) / 2, F.avg, length)
+    return df.withColumn(f"TTM_TRND_{length}", F.when(c("close") > mean, 1).when(mean.isNotNull(), -1))
+
+
+def kst(df: DataFrame, rates: tuple[int, ...] = (10, 15, 20, 30), means: tuple[int, ...] = (10, 10, 10, 15), signal: int = 9) -> DataFrame:
+    """Weighted sum of smoothed rates of change."""
+    total = None
+    for k, (r, m) in enumerate(zip(rates, means, strict=True)):
+        df = df.withColumn(f"_r{k}", 100 * ratio(diff("close", r), lag("close", r))).withColumn(f"_s{k}", roll(f"_r{k}", F.avg, m))
+        total = (k + 1) * c(f"_s{k}") if total is None else total + (k + 1) * c(f"_s{k}")
+    df = df.withColumn("KST", total)
+    return df.withColumn("KSTs", roll("KST", F.avg, signal)).drop(*(f"_{x}{k}" for k in range(len(rates)) for x in "rs"))
+
+
+def rvgi(df: DataFrame, length: int = 14) -> DataFrame:
+    """Relative vigor: symmetric means of body and range, summed."""
+    four = [1.0, 2.0, 2.0, 1.0]
+    df = df.withColumns({"_b": kernel(c("close") - c("open"), four), "_g": kernel(c("high") - c("low"), four)})
+    df = df.withColumn(f"RVGI_{length}", ratio(roll("_b", F.sum, length), roll("_g", F.sum, length)))
+    return df.withColumn(f"RVGIs_{length}", kernel(f"RVGI_{length}", four)).drop("_b", "_g")
+
+
+def cmo(df: DataFrame, length: int = 14) -> DataFrame:
+    df = df.withColumn("_d", diff("close")).withColumns({"_u": F.greatest(F.lit(0.0), c("_d")), "_n": F.greatest(F.lit(0.0), -c("_d"))})
+    df = df.withColumns({x: F.when(c("_d").isNotNull(), c(x)) for x in ("_u", "_n")})
+    up, down = roll("_u", F.sum, length), roll("_n", F.sum, length)
+    return df.withColumn(f"CMO_{length}", 100 * ratio(up - down, up + down)).drop("_d", "_u", "_n")
+
+
+def chop(df: DataFrame, length: int = 14) -> DataFrame:
+    df = true_range(df, "_tr")
+    span = roll("high", F.max, length) - roll("low", F.min, length)
+    share = ratio(roll("_tr", F.sum, length), span)
+    return df.withColumn(f"CHOP_{length}", F.when(share > 0, 100 * F.log10(share) / math.log10(length))).drop("_tr")
+
+
+def price_volume_ewm(df: DataFrame) -> DataFrame:
+    """Elder's force (13), the Chaikin oscillator (3, 10) and the percentage volume oscillator (12, 26)."""
+    share = (2 * c("close") - c("high") - c("low")) / _nonzero(c("high") - c("low"))
+    df = df.withColumns({"_f": diff("close") * c("volume"), "_v": share * c("volume")}).withColumn("_ad", F.sum("_v").over(so_far()))
+    specs = [("EFI_13", "_f", 2 / 14, 13, "sma"), ("_a3", "_ad", 2 / 4, 3, "sma"), ("_a10", "_ad", 2 / 11, 10, "sma"), ("_v12", "volume", 2 / 13, 12, "sma"), ("_v26", "volume", 2 / 27, 26, "sma")]
+    df = ewm(df, specs)
+    return df.withColumns({"ADOSC_3_10": c("_a3") - c("_a10"), "PVO_12_26": 100 * ratio(c("_v12") - c("_v26"), c("_v26"))}).drop("_f", "_v", "_ad", "_a3", "_a10", "_v12", "_v26")
+
+
+def trix(df: DataFrame, length: int = 18) -> DataFrame:
+    df = ema(ema(ema(df, length, name="_e1"), length, "_e1", "_e2"), length, "_e2", "_e3")
+    return df.withColumn(f"TRIX_{length}", 100 * (ratio(c("_e3"), lag("_e3")) - 1)).drop("_e1", "_e2", "_e3")
+
+
+def mass_index(df: DataFrame, fast: int = 9, slow: int = 25) -> DataFrame:
+    df = ema(df.withColumn("_g", c("high") - c("low")), fast, "_g", "_e1")
+    df = ema(df, fast, "_e1", "_e2").withColumn("_q", ratio(c("_e1"), c("_e2")))
+    return df.withColumn(f"MASSI_{fast}_{slow}", roll("_q", F.sum, slow)).drop("_g", "_e1", "_e2", "_q")
+
+
 INDICATORS: dict[str, Callable[..., DataFrame]] = {
     f.__name__: f
     for f in (
         price_mixes, sma, midpoint, midprice, trima, vwma, rolling_median, rolling_quantile, variance, stdev, zscore, skew, kurtosis, mad, entropy, qstick, wma, hma, fwma, pwma,
         sinwma, swma, alma, linreg, coppock, momentum, bias, change, willr, stoch, donchian, vhf, aroon, bop, psl, ultimate, awesome, apo, efficiency, cci, true_range, bbands,
         accbands, vortex, ulcer, volume_lines, cmf, mfi, flags, ichimoku, pivots, ema, rma, dema, tema, macd, rsi, atr, adx, keltner, heikin_ashi, supertrend, psar, kama,
+        ttm_trend, kst, rvgi, cmo, chop, price_volume_ewm, trix, mass_index,
     )
 }
 
@@ -467,7 +525,7 @@ INDICATORS: dict[str, Callable[..., DataFrame]] = {
 def indicators(bars: DataFrame, specs: list[tuple[str, dict] | str]) -> DataFrame:
     """Bars with all the indicators of a study; window ones first, so that they share one sort."""
     plain = [(s, {}) if isinstance(s, str) else s for s in specs]
-    late = {"ema", "rma", "dema", "tema", "macd", "rsi", "atr", "adx", "keltner", "heikin_ashi", "supertrend", "psar", "kama", "pivots"}
+    late = {"ema", "rma", "dema", "tema", "macd", "rsi", "atr", "adx", "keltner", "heikin_ashi", "supertrend", "psar", "kama", "pivots", "price_volume_ewm", "trix", "mass_index"}
     for name, options in sorted(plain, key=lambda s: s[0] in late):
         bars = INDICATORS[name](bars, **options)
     return bars

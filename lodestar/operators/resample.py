@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from lodestar.functions.scan import scan_state
 from lodestar.functions.windows import by_time, ratio
 
 #: The time frames and their seconds.
@@ -70,3 +72,27 @@ def spread(bars: DataFrame, a: str, b: str, kind: str = "diff") -> DataFrame:
 def returns(bars: DataFrame) -> DataFrame:
     before = F.lag("close").over(by_time())
     return bars.withColumns({"ret": ratio(F.col("close"), before) - 1, "log_ret": F.ln(ratio(F.col("close"), before))})
+
+
+def renko(bars: DataFrame, brick: float) -> DataFrame:
+    """Bricks of a fixed size: ``symbol, ts, k, open, close``; a bar gives as many as whole bricks fit into its move.
+
+    The last brick's close is carried; a null close gives none, the first close is the base.
+    """
+    if brick <= 0:
+        raise ValueError("a brick must be larger than 0")
+
+    def step(base: float | None, row: tuple) -> tuple[float | None, tuple]:
+        (close,) = row
+        if close is None or close != close:
+            return base, (base, 0)
+        if base is None:
+            return close, (close, 0)
+        n = int(abs(close - base) / brick)
+        n = n if close > base else -n
+        return base + n * brick, (base, n)
+
+    made = T.StructType([T.StructField("base", T.DoubleType()), T.StructField("n", T.LongType())])
+    moves = scan_state(bars.select("symbol", "ts", "close"), lambda: None, step, ["close"], made).where("n <> 0")
+    bricks = moves.select("symbol", "ts", "base", F.signum("n").alias("s"), F.explode(F.sequence(F.lit(1).cast("bigint"), F.abs("n"))).alias("k"))
+    return bricks.select("symbol", "ts", "k", (F.col("base") + F.col("s") * (F.col("k") - 1) * brick).alias("open"), (F.col("base") + F.col("s") * F.col("k") * brick).alias("close"))

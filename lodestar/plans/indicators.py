@@ -36,6 +36,10 @@ QUERIES = {
     "ta_heikin_ashi": _study("heikin_ashi"),
     "ta_kama": _study("kama"),
     "ta_supertrend": _study("supertrend"),
+    "ta_cycles": _study("ttm_trend", "kst", "rvgi", "cmo", "chop"),
+    "ta_volume_ewm": _study("price_volume_ewm", digits=2),
+    "ta_trix": _study("trix"),
+    "ta_mass_index": _study("mass_index"),
     "ta_psar": _study("psar"),
 }
 
@@ -252,6 +256,26 @@ r AS (
   FROM (SELECT n.symbol, n.i, n.mid - 3 * n.atr AS lo, n.mid + 3 * n.atr AS up, r.lo AS plo, r.up AS pup, CASE WHEN n.close > r.up THEN 1 WHEN n.close < r.lo THEN -1 ELSE r.side END AS side
         FROM r JOIN n ON n.symbol = r.symbol AND n.i = r.i + 1))
 SELECT n.symbol, n.ts, {_r("CASE WHEN side > 0 THEN lo ELSE up END", "SUPERT_7")}, side::BIGINT AS "SUPERTd_7" FROM n LEFT JOIN r ON r.symbol = n.symbol AND r.i = n.i""",
+    "ta_cycles": f"""{_FIRST}, t AS (
+  SELECT *, {", ".join(f"100 * (close - {_lag('close', n)}) / {_lag('close', n)} AS r{k}" for k, n in enumerate((10, 15, 20, 30)))}, {_kernel("(close - open)", [1.0, 2.0, 2.0, 1.0])} AS vb, {_kernel("(high - low)", [1.0, 2.0, 2.0, 1.0])} AS vr,
+         CASE WHEN lag(close) OVER w IS NOT NULL THEN greatest(0.0::DOUBLE, close - lag(close) OVER w) END AS up, CASE WHEN lag(close) OVER w IS NOT NULL THEN greatest(0.0::DOUBLE, lag(close) OVER w - close) END AS dn, {_TRUE} AS tr FROM bars {_W}),
+t2 AS (SELECT *, {" + ".join(f"{k + 1} * {_roll('avg', f'r{k}', n)}" for k, n in enumerate((10, 10, 10, 15)))} AS kst, {_roll("sum", "vb", 14)} / nullif({_roll("sum", "vr", 14)}, 0) AS rv, {_roll("sum", "tr", 14)} / nullif({_roll("max", "high", 14)} - {_roll("min", "low", 14)}, 0) AS ch FROM t) """
+    + _select(
+        [
+            f'CASE WHEN close > {_roll("avg", "((high + low) / 2)", 6)} THEN 1 WHEN {_roll("avg", "((high + low) / 2)", 6)} IS NOT NULL THEN -1 END AS "TTM_TRND_6"', _r("kst", "KST"), _r(_roll("avg", "kst", 9), "KSTs"), _r("rv", "RVGI_14"), _r(_kernel("rv", [1.0, 2.0, 2.0, 1.0]), "RVGIs_14"),
+            _r(f"100 * ({_roll('sum', 'up', 14)} - {_roll('sum', 'dn', 14)}) / nullif({_roll('sum', 'up', 14)} + {_roll('sum', 'dn', 14)}, 0)", "CMO_14"), _r(f"CASE WHEN ch > 0 THEN 100 * log10(ch) / {math.log10(14)!r}::DOUBLE END", "CHOP_14"),
+        ],
+        "t2",
+    ),
+    "ta_volume_ewm": _recursive(
+        f"{_REC}, t0 AS (SELECT *, (close - lag(close) OVER w) * volume AS f, {_SHARE} * volume AS av FROM bars {_W}), t AS (SELECT *, {_DAY1.format(x='av')} AS ad FROM t0)",
+        "t", [("efi", "f", 2 / 14, 13, "sma"), ("a3", "ad", 2 / 4, 3, "sma"), ("a10", "ad", 2 / 11, 10, "sma"), ("v12", "volume", 2 / 13, 12, "sma"), ("v26", "volume", 2 / 27, 26, "sma")], "d",
+    )
+    + f" SELECT symbol, ts, {_r('efi', 'EFI_13', 2)}, {_r('a3 - a10', 'ADOSC_3_10', 2)}, {_r('100 * (v12 - v26) / v26', 'PVO_12_26', 2)} FROM d",
+    "ta_trix": _recursive(_recursive(_recursive(_REC, "bars", [("e1", "close", 2 / 19, 18, "sma")], "a"), "a", [("e2", "e1", 2 / 19, 18, "sma")], "b"), "b", [("e3", "e2", 2 / 19, 18, "sma")], "d")
+    + f" SELECT symbol, ts, {_r('100 * (e3 / nullif(lag(e3) OVER w, 0) - 1)', 'TRIX_18')} FROM d {_W}",
+    "ta_mass_index": _recursive(_recursive(f"{_REC}, g AS (SELECT *, high - low AS g FROM bars)", "g", [("e1", "g", 0.2, 9, "sma")], "a"), "a", [("e2", "e1", 0.2, 9, "sma")], "b")
+    + f", d AS (SELECT *, e1 / nullif(e2, 0) AS q FROM b) SELECT symbol, ts, {_r(_roll('sum', 'q', 25), 'MASSI_9_25')} FROM d",
     "ta_psar": f"""{_REC}, n AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS i FROM bars),
 r AS (
   SELECT symbol, i, 1 AS side, low AS stop, high AS best, 0.02::DOUBLE AS speed, high AS h1, low AS l1, low AS shown, 1 AS shown_side FROM n WHERE i = 1

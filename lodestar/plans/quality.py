@@ -62,6 +62,7 @@ QUERIES = {
     "tick_bars": lambda s, d: resample.tick_bars(ticks(s, d), _FRAMES),
     "resample_derived": lambda s, d: rounded(resample.derive(resample.resample(resample.tick_bars(ticks(s, d), {"5m": 300}).drop("frame"), {"1h": 3600, "4h": 14400}))),
     "asof_join": lambda s, d: resample.asof(ticks(s, d).select("symbol", "ts", "seq", "price"), resample.tick_bars(ticks(s, d), {"4h": 14400}), ["open", "close"]),
+    "renko": lambda s, d: rounded(resample.renko(bars(s, d), 500.0), 4),
     "spread_instrument": lambda s, d: resample.spread(bars(s, d), "S00", "S01"),
 }
 
@@ -152,6 +153,11 @@ SELECT symbol, frame, ts, round(open, 6) AS open, round(high, 6) AS high, round(
 FROM g WINDOW w AS (PARTITION BY symbol, frame ORDER BY ts)""",
     "asof_join": f"""WITH {_TICKBARS}, c AS (SELECT symbol, ts, open, close FROM fb WHERE frame = '4h')
 SELECT t.symbol, t.ts, t.seq, t.price, c.open AS asof_open, c.close AS asof_close FROM ticks t ASOF LEFT JOIN c ON c.symbol = t.symbol AND c.ts <= t.ts""",
+    "renko": f"""WITH RECURSIVE {BARS_SQL}, n AS MATERIALIZED (SELECT symbol, ts, close, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS i FROM bars),
+r AS (SELECT symbol, i, close AS before, 0::BIGINT AS m, close AS base FROM n WHERE i = 1
+  UNION ALL SELECT symbol, i, base, m, base + m * 500.0::DOUBLE FROM (SELECT n.symbol, n.i, r.base, (sign(n.close - r.base) * floor(abs(n.close - r.base) / 500.0::DOUBLE))::BIGINT AS m FROM r JOIN n ON n.symbol = r.symbol AND n.i = r.i + 1)),
+b AS (SELECT n.symbol, n.ts, before, sign(m) AS s, unnest(generate_series(1, abs(m))) AS k FROM r JOIN n ON n.symbol = r.symbol AND n.i = r.i WHERE m <> 0)
+SELECT symbol, ts, k, round(before + s * (k - 1) * 500.0::DOUBLE, 4) AS open, round(before + s * k * 500.0::DOUBLE, 4) AS close FROM b""",
     "spread_instrument": f"""WITH {BARS_SQL}, j AS (SELECT a.ts, a.open - b.open AS o, a.close - b.close AS c FROM bars a JOIN bars b ON a.ts = b.ts AND a.symbol = 'S00' AND b.symbol = 'S01')
 SELECT 'S00-S01' AS symbol, ts, o AS open, greatest(o, c) AS high, least(o, c) AS low, c AS close, 0.0::DOUBLE AS volume FROM j""",
 }

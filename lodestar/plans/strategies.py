@@ -50,6 +50,7 @@ QUERIES = {
     "backtest_trades": lambda s, d: rounded(b.trades(_run(s, d))),
     "backtest_trade_metrics": lambda s, d: rounded(b.trade_metrics(_run(s, d))),
     "backtest_transactions": lambda s, d: rounded(b.transactions(b.run(b.size(st.turtle(bars(s, d))))), 4),
+    "backtest_round_trips": lambda s, d: rounded(b.round_trips(b.transactions(b.run(b.size(st.turtle(bars(s, d))))).select("symbol", "ts", "quantity", "price")), 4),
     "backtest_stop_loss": lambda s, d: b.stop_loss(st.turtle(bars(s, d), exit_mode="hold")).select(*_KEEP),
     "backtest_latest": lambda s, d: rounded(b.latest_signals(st.turtle(bars(s, d)))),
     "backtest_monthly": lambda s, d: rounded(b.monthly_table(_net(s, d))),
@@ -191,6 +192,12 @@ SELECT round(first(v), 6) AS var_95, round(avg(CASE WHEN x <= v THEN x END), 6)
     "backtest_trade_metrics": f"{_TRADES} SELECT symbol, count(*) AS trades, round(avg((ret > 0)::INTEGER::DOUBLE), 6) AS win_rate, round(sum(CASE WHEN ret > 0 THEN ret ELSE 0 END) / nullif(sum(CASE WHEN ret < 0 THEN -ret ELSE 0 END), 0), 6) AS profit_factor, round(avg(ret), 6) AS avg_ret, round(avg(bars), 6) AS avg_bars FROM tr GROUP BY symbol",
     "backtest_transactions": f"""{_FIRST}, {_turtle(20, 10)}, p AS (SELECT *, coalesce(lag(signal::DOUBLE) OVER w, 0.0::DOUBLE) AS position FROM sig {_W}), q AS (SELECT *, position - coalesce(lag(position) OVER w, 0.0::DOUBLE) AS quantity FROM p {_W})
 SELECT symbol, ts, CASE WHEN quantity > 0 THEN 'BUY' ELSE 'SELL' END AS action, round(quantity, 4) AS quantity, round(close, 4) AS price, round(quantity * close, 4) AS value FROM q WHERE quantity <> 0""",
+    "backtest_round_trips": f"""{_FIRST}, {_turtle(20, 10)}, p AS (SELECT *, coalesce(lag(signal::DOUBLE) OVER w, 0.0::DOUBLE) AS position FROM sig {_W}), q AS (SELECT *, position - coalesce(lag(position) OVER w, 0.0::DOUBLE) AS quantity, coalesce(lag(position) OVER w, 0.0::DOUBLE) AS prev FROM p {_W}),
+f AS (SELECT symbol, ts, close AS price, quantity, prev, CASE WHEN prev * quantity < 0 THEN least(abs(prev), abs(quantity)) ELSE 0.0::DOUBLE END AS cq FROM q WHERE quantity <> 0),
+lots AS (SELECT symbol, ts AS opened, price AS entry, CASE WHEN quantity > 0 THEN 'long' ELSE 'short' END AS side FROM f WHERE abs(quantity) > cq),
+outs AS (SELECT symbol, ts AS closed, price AS exit FROM f WHERE cq > 0)
+SELECT l.symbol, side, opened, o.closed, round(entry, 4) AS entry, round(exit, 4) AS exit, round(1.0::DOUBLE, 4) AS quantity, round(CASE WHEN side = 'long' THEN exit - entry ELSE entry - exit END, 4) AS pnl
+FROM lots l JOIN outs o ON o.symbol = l.symbol AND o.closed > l.opened QUALIFY row_number() OVER (PARTITION BY l.symbol, l.opened ORDER BY o.closed) = 1""",
     "backtest_stop_loss": f"""{_FIRST}, {_turtle(20, 10, "hold")}, n AS (SELECT symbol, ts, high, low, close, signal, coalesce(signal <> lag(signal) OVER w, true)::INTEGER AS new_ FROM sig {_W}), m AS (SELECT *, sum(new_) {_CUM.format(by="symbol")} AS run_ FROM n),
 h AS (SELECT *, CASE WHEN row_number() OVER v > 1 AND ((signal > 0 AND low <= first_value(close) OVER v * (1 - 0.05::DOUBLE)) OR (signal < 0 AND high >= first_value(close) OVER v * (1 + 0.05::DOUBLE))) THEN 1 ELSE 0 END AS hit FROM m WINDOW v AS (PARTITION BY symbol, run_ ORDER BY ts))
 SELECT symbol, ts, (CASE WHEN max(hit) {_CUM.format(by="symbol, run_")} = 1 THEN 0 ELSE signal END)::INTEGER AS signal FROM h""",

@@ -152,3 +152,17 @@ def test_tables_and_dates_of_pages(spark):
     assert sorted((r.w, r.pts) for r in pages.fill_with_mean(rows, ["w", "pts"]).collect()) == [(1.0, 7.0), (2.0, 7.0)]
     assert {(r.page_id, str(r.newest), r.fresh) for r in pages.freshness(df, "2024-06-30").collect()} == {(1, "2024-03-01", True), (2, "None", False)}
     assert pages.html_text("<p>a <b>b</b></p><script>x</script>c") == "a b\nc"
+
+
+def test_round_trips_match_first_in_first_out(spark):
+    fills = [("A", 0, 10.0, 1.0), ("A", 1, -4.0, 2.0), ("B", 1, 1.0, 5.0), ("A", 2, -10.0, 3.0), ("B", 2, -1.0, 6.0), ("A", 3, 4.0, 1.0)]
+    df = spark.createDataFrame([(s, DAY + dt.timedelta(days=d), q, p) for s, d, q, p in fills], "symbol string, ts timestamp, quantity double, price double")
+    got = sorted((r.symbol, r.side, r.opened.day, r.closed.day, r.quantity, r.pnl) for r in backtest.round_trips(df).collect())
+    assert got == [("A", "long", 1, 2, 4.0, 4.0), ("A", "long", 1, 3, 6.0, 12.0), ("A", "short", 3, 4, 4.0, 8.0), ("B", "long", 2, 3, 1.0, 1.0)]
+
+
+def test_renko_bricks(spark):
+    df = spark.createDataFrame([("A", DAY + dt.timedelta(days=i), v) for i, v in enumerate([10.0, 13.4, None, 11.1, 11.9])], "symbol string, ts timestamp, close double")
+    assert [(r.ts.day, r.open, r.close) for r in resample.renko(df, 1.0).orderBy("ts", "k").collect()] == [(2, 10.0, 11.0), (2, 11.0, 12.0), (2, 12.0, 13.0), (4, 13.0, 12.0)]
+    with pytest.raises(ValueError, match="larger than 0"):
+        resample.renko(df, 0.0)
