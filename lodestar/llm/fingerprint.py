@@ -84,7 +84,7 @@ def with_next(docs: DataFrame, parts: int) -> DataFrame:
     spots = F.array_compact(F.array(F.struct(part.alias("part"), F.lit(False).alias("guest")), F.when(before[F.col("at")].isNotNull(), F.struct(before[F.col("at")].alias("part"), F.lit(True).alias("guest")))))
     dealt = rows.select("at", "doc_id", "text", F.explode(spots).alias("spot")).select("at", "doc_id", "text", "spot.part", "spot.guest")
     dealt = dealt.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "part")
-    order = Window.partitionBy("part").orderBy("guest", "at", "text")
+    order = Window.partitionBy("part").orderBy("guest", "at", "doc_id", "text")  # all columns dealt are used, so plans that need fewer reuse the exchange
     seen = dealt.select("part", "guest", "doc_id", "text", F.row_number().over(order).alias("place"), F.lead("text").over(order).alias("next_text"), F.lead("guest").over(order).alias("next_guest")).where("not guest")
     return seen.select(
         "doc_id", "text", "next_text", "part", "place",
