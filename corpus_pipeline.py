@@ -12,7 +12,6 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lodestar.llm import decontam, mixing, simhash_dedup, toxicity
 from lodestar.llm.common import shared_dir, table
@@ -31,8 +30,7 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    taken = mixing.mix(docs).where("taken > 0").withColumnRenamed("doc_id", "mix_id")
-    return docs.join(taken, docs["doc_id"].eqNullSafe(F.col("mix_id"))).drop("mix_id")
+    return mixing.mixed(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -196,4 +196,5 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     from lodestar.llm.common import cut
 
     bad = cut(contaminated(docs, benchmark, **options).select("doc_id").distinct(), "leaks")
-    return docs.join(bad.withColumnRenamed("doc_id", "leak_id"), docs["doc_id"] == F.col("leak_id"), "left_anti")
+    bad = bad.withColumnRenamed("doc_id", "leak_id")
+    return docs.join(bad, docs["doc_id"] == bad["leak_id"], "left_anti")

@@ -76,3 +76,19 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max_epochs: flo
     before = F.col("ahead") + F.coalesce(F.sum("size").over(inside), F.lit(0))
     once_more = F.greatest(F.lit(0), F.least(F.col("size"), F.col("words") - before))
     return rows.select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + once_more).cast("bigint").alias("taken"))
+
+
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` that the mix takes, with ``size, source_size, target, taken``.
+
+    Columns of ``docs`` with one of those names give way.  Rows of one id are told apart by
+    their size, on both sides of the join.
+    """
+    docs = docs.drop("size", "source_size", "target", "taken")
+    order = Window.partitionBy("mix_id")
+    found = mix(docs, **options).withColumnRenamed("doc_id", "mix_id")
+    found = found.withColumn("mix_turn", F.row_number().over(order.orderBy("size", "source_size", "taken")))
+    own = Window.partitionBy("doc_id").orderBy(word_count(F.col("text")), F.xxhash64("text"))
+    rows = docs.select("*", F.row_number().over(own).alias("turn of this id"))
+    out = rows.join(found, rows["doc_id"].eqNullSafe(found["mix_id"]) & (rows["turn of this id"] == found["mix_turn"]))
+    return out.where(found["taken"] > 0).select(*(docs[f"`{c}`"] for c in docs.columns), *(found[c] for c in ("size", "source_size", "target", "taken")))

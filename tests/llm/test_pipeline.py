@@ -54,3 +54,38 @@ def test_run_equals_stages(spark, stages):
 def test_queries_are_registered():
     assert {q.split("_")[0] for q in QUERIES} == {f"op{n}" for n in range(1, 11)}
     assert set(ORACLE_SQL) <= set(QUERIES)
+
+
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, size string, taken int, leak_id int, kept_id int, mix_id int, fp string, root string"
+
+
+def odd_documents(spark):
+    texts = {0: "a b c d e f", 1: None, 2: "", 3: "long " * 20000, 4: "a b c d e f", 5: "x y"}
+    rows = [(i, t, None if i == 2 else "en", None if i == 1 else f"s{i % 2}", None, "clash", 1, 2, 3, 4, "x", "y") for i, t in texts.items()]
+    return spark.createDataFrame([*rows, rows[5], (5, "other text", *rows[5][2:]), (None, None, *rows[1][2:]), (None, "no id", *rows[5][2:])], SCHEMA)
+
+
+def test_stages_take_odd_rows(spark, tmp_path):
+    docs = odd_documents(spark)
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, SF)
+        if k < 3:
+            assert out.columns == docs.columns
+        out.write.parquet(str(tmp_path / str(k)))
+        docs = spark.read.parquet(str(tmp_path / str(k)))
+    assert docs.columns == [c for c in odd_documents(spark).columns if c not in ("size", "taken")] + ["size", "source_size", "target", "taken"]
+
+
+def test_mixing_does_not_multiply_repeated_rows(spark):
+    docs = odd_documents(spark)
+    out = corpus_pipeline.mix_sources(spark, docs, SF).collect()
+    want = [r for r in docs.collect() if (r.text or "").split()]
+    assert len(out) <= len(want) and all(r.size == len(r.text.split()) and 0 < r.taken <= 3 * r.size for r in out)
+
+
+def test_stages_take_empty_tables(spark, tmp_path):
+    docs = odd_documents(spark).limit(0)
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, SF).write.parquet(str(tmp_path / str(k)))
+        docs = spark.read.parquet(str(tmp_path / str(k)))
+    assert docs.count() == 0
