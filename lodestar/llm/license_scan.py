@@ -156,7 +156,9 @@ class Model:
 
 def fit(docs: DataFrame, max_negatives: int = MAX_NEGATIVES, variants: int = VARIANTS, rounds: int = 300) -> Model:
     """Fit and calibrate; of the corpus at most ``max_negatives`` paragraphs reach the driver."""
-    lines = docs.select(F.xxhash64("text").alias("draw"), F.posexplode(F.split(F.lower("text"), "\n")).alias("at", "line")).where(f"length(trim(line)) > 0 and length(line) <= {MAX_CHARS}")
+    # lines of about max_negatives documents, chosen by hash, so that what tasks send doesn't grow with the corpus
+    some = docs.select("text", F.xxhash64("text").alias("draw")).where(F.pmod("draw", F.lit(1 << 30)) <= int((1 << 30) * min(1.0, max_negatives / max(1, docs.count()))))
+    lines = some.select("draw", F.posexplode(F.split(F.lower("text"), "\n")).alias("at", "line")).where(f"length(trim(line)) > 0 and length(line) <= {MAX_CHARS}")
     corpus = sorted(r[0] for r in lines.orderBy(F.xxhash64("draw", "at"), "line").limit(max_negatives).select("line").collect())
     notice_words = {w for texts in TEMPLATES.values() for t in texts for w in tokens(t.lower())}
     whole = [set(zip(t, t[1:], strict=False)) for texts in TEMPLATES.values() for t in (tokens(x.lower()) for x in texts)]
