@@ -74,7 +74,8 @@ def corpus_sizes(docs: DataFrame) -> tuple[int, int, int]:
             words = np.append(words, [0] * last)
             if last:
                 sums[:, -1] = every, training
-            return pa.RecordBatch.from_arrays([pa.array(words), pa.array(sums[0]), pa.array(sums[1])], ["word", "tokens", "training"])
+            is_word = np.arange(len(words)) < len(words) - last
+            return pa.RecordBatch.from_arrays([pa.array(words), pa.array(is_word), pa.array(sums[0]), pa.array(sums[1])], ["word", "is_word", "tokens", "training"])
 
         for batch in batches:
             for train, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
@@ -92,8 +93,8 @@ def corpus_sizes(docs: DataFrame) -> tuple[int, int, int]:
                         n = sum(map(len, kept))
         yield out(True)
 
-    found = docs.select("train", "text").mapInArrow(run, "word bigint, tokens bigint, training bigint")
-    words = found.groupBy("word").agg(F.sum("tokens").alias("tokens"), F.sum("training").alias("training"), F.max(F.col("tokens") == 0).alias("is_word"))
+    found = docs.select("train", "text").mapInArrow(run, "word bigint, is_word boolean, tokens bigint, training bigint")
+    words = found.groupBy("word").agg(F.sum("tokens").alias("tokens"), F.sum("training").alias("training"), F.max("is_word").alias("is_word"))
     row = words.agg(F.sum("tokens"), F.sum("training"), F.sum(F.col("is_word").cast("int"))).first()
     return row[0] or 0, row[1] or 0, row[2] or 0
 

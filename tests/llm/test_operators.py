@@ -252,6 +252,11 @@ def test_state_weights_sum_to_one():
     assert total == pytest.approx(1) and counts.sum() == 16
 
 
+def test_corpus_sizes_with_empty_partitions(spark):
+    docs = spark.createDataFrame([(True, "a b a"), (True, "b"), (False, "c")], "train boolean, text string").repartition(9)
+    assert lm_score.corpus_sizes(docs) == (8, 6, 3)
+
+
 # --- fingerprints
 
 
