@@ -1,6 +1,8 @@
 """Licence scans by a trained paragraph classifier with template confirmation.
 
-A paragraph is a line that is not blank.  A multinomial logistic regression over sparse word
+A paragraph is a run of lines between blank ones.  Each of its lines is judged by itself, and
+also each window of neighbouring lines that a template may be wrapped over; of the findings of
+one family in a paragraph the best is given, from more than one line only if confirmed.  A multinomial logistic regression over sparse word
 n-grams (one to three words) gives each paragraph a licence family or ``unknown``.  It is fitted
 on notices made from the templates below (words dropped, cut, put into corpus text) and on
 corpus paragraphs and mixed-up notices as ``unknown``; a held-out part of them calibrates the
@@ -109,6 +111,7 @@ class Model:
     def __init__(self, slots: dict[str, int], weights: np.ndarray, intercept: np.ndarray, temperature: float) -> None:
         self.slots, self.weights, self.intercept, self.temperature = slots, weights, intercept, temperature
         self.families = [UNKNOWN, *TEMPLATES]
+        self.longest = max(len(tokens(t.lower())) for texts in TEMPLATES.values() for t in texts)
         self.pairs = {f: [(t, self._pairs(tokens(t.lower()))) for t in texts] for f, texts in TEMPLATES.items()}
 
     @staticmethod
@@ -135,23 +138,57 @@ class Model:
     def scan(self, text: str | None) -> tuple[int, list[tuple[int, str, float, str, float, bool]]]:
         """The number of paragraphs, and what is found in which."""
         found, n = [], 0
+        lines: list[str] = []
+        told: list[bool] = []  # whether the line has a telling word
+
+        def close() -> None:
+            found.extend(self.judge(lines, told, n - 1))
+            lines.clear()
+            told.clear()
+
         for line in (text or "").lower().split("\n"):
             bare = line.split()
             if not bare:
+                close()
                 continue
-            n += 1
+            if not lines:
+                n += 1
+            lines.append(line)
             plain = {w.strip(_EDGES) for w in bare}
-            if self.rare.isdisjoint(plain) and all(w.isalnum() for w in plain):
-                continue  # what has punctuation inside is split first
-            words = tokens(line)
-            if self.rare.isdisjoint(words):
-                continue
+            # what has punctuation inside is split first
+            told.append(not (self.rare.isdisjoint(plain) and all(w.isalnum() for w in plain)) and not self.rare.isdisjoint(tokens(line)))
+        close()
+        return n, found
+
+    def windows(self, lines: list[str], told: list[bool]) -> Iterator[tuple[list[str], bool]]:
+        """Words of each line and window with a telling word, and whether it is a window: of all lines that a template from any place in its first line can reach."""
+        split: dict[int, list[str]] = {}
+        after = [len(lines)] * (len(lines) + 1)  # the next telling line
+        for i in range(len(lines) - 1, -1, -1):
+            after[i] = i if told[i] else after[i + 1]
+        for i in range(len(lines)):
+            words, more, j = [], 0, i
+            while after[i] < len(lines) and j < len(lines) and more < self.longest:
+                if j not in split:
+                    split[j] = tokens(lines[j])
+                words = words + split[j]
+                more += len(split[j]) if j > i else 0
+                if after[i] <= j:
+                    yield words, j > i
+                j += 1
+
+    def judge(self, lines: list[str], told: list[bool], paragraph: int) -> list[tuple[int, str, float, str, float, bool]]:
+        best: dict[str, tuple[int, str, float, str, float, bool]] = {}
+        for words, wrapped in self.windows(lines, told) if any(told) else ():
             p = self.probabilities(words)
             k = int(p.argmax())
             if k:
-                template, share = self.confirm(self.families[k], words)
-                found.append((n - 1, self.families[k], float(p[k]), template, share, share >= CONFIRM))
-        return n, found
+                family = self.families[k]
+                template, share = self.confirm(family, words)
+                one = (paragraph, family, float(p[k]), template, share, share >= CONFIRM)
+                if (one[5] or not wrapped) and (family not in best or (one[5], share, one[2]) > (best[family][5], best[family][4], best[family][2])):
+                    best[family] = one
+        return list(best.values())
 
 
 def fit(docs: DataFrame, max_negatives: int = MAX_NEGATIVES, variants: int = VARIANTS, rounds: int = 300) -> Model:

@@ -356,6 +356,22 @@ def test_licences_are_found_and_confirmed(spark):
     assert (got[200].n_paragraphs, got[201].n_paragraphs, got[202].family) == (0, 0, "mit")
 
 
+def test_wrapped_licences_are_found(spark):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files, to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge"
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:"
+    gpl = "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License"
+    apache = "you may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\thttp://www.apache.org/licenses/LICENSE-2.0"
+    rows = []
+    for i in range(80):
+        notice = (mit, bsd, gpl, apache)[i % 4]
+        rows.append((i, words(i, 60) + "\n\n" + (words(i + 500, 9) + "\n" if i % 3 else "") + notice + "\n" + words(i + 900, 12) + "\n\n" + words(i + 300, 40), "s"))
+    rows.append((100, gpl.replace("#", "*") + "\nLicensed under CC BY 4.0.", "s"))
+    got = {r.doc_id: r for r in license_scan.scan(docs_of(spark, rows)).collect()}
+    assert [got[i].family for i in range(80)] == [("mit", "bsd", "gpl", "apache-2.0")[i % 4] for i in range(80)]
+    assert all(got[i].n_paragraphs == 3 and {f.paragraph for f in got[i].findings} == {1} for i in range(80))
+    assert {f.family for f in got[100].findings if f.confirmed} == {"gpl", "cc-by"}
+
+
 def test_licence_model_without_corpus(spark):
     model = license_scan.fit(docs_of(spark, []))
     assert model.scan("Nothing here.\nLicensed under the MIT license.")[1][0][1] == "mit"
