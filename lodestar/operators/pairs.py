@@ -10,12 +10,13 @@ from lodestar.functions.windows import by_time, ffill, ratio
 c = F.col
 
 
-def grid_returns(bars: DataFrame, last: int = 1000) -> DataFrame:
-    """Close and log return of every symbol at each of the last times of the universe, filled forward: ``symbol, ts, i, close, ret``."""
-    times = bars.select("ts").distinct().orderBy(F.desc("ts")).limit(last).withColumn("k", F.lit(1))
-    times = times.withColumn("i", F.row_number().over(Window.partitionBy("k").orderBy("ts"))).drop("k")  # at most ``last`` rows
+def grid_returns(bars: DataFrame, last: int | None = 1000) -> DataFrame:
+    """Close and log return of every symbol at each of the last times (None: all) of the universe, filled forward: ``symbol, ts, i, close, ret``."""
+    times = bars.select("ts").distinct()
+    times = (times if last is None else times.orderBy(F.desc("ts")).limit(last)).withColumn("k", F.lit(1))
+    times = times.withColumn("i", F.row_number().over(Window.partitionBy("k").orderBy("ts"))).drop("k")  # one row a time
     symbols = bars.select("symbol").distinct()
-    full = symbols.join(F.broadcast(times)).join(bars.select("symbol", "ts", "close"), ["symbol", "ts"], "left")
+    full = symbols.join(times if last is None else F.broadcast(times)).join(bars.select("symbol", "ts", "close"), ["symbol", "ts"], "left")
     full = full.withColumn("close", ffill("close"))
     return full.withColumn("ret", F.ln(ratio(c("close"), F.lag("close").over(by_time())))).where("ret is not null").select("symbol", "ts", "i", "close", "ret")
 

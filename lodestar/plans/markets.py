@@ -16,6 +16,10 @@ def _rows(s, d):
     return pr.grid_returns(bars(s, d), 500)
 
 
+def _all_rows(s, d):
+    return pr.grid_returns(bars(s, d), None)
+
+
 def odds_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as nested JSON events: game by order, book by supplier, market by line, team by part."""
     t = table(spark, sf_dir, "lineitem")
@@ -41,6 +45,11 @@ QUERIES = {
     "pair_lags": lambda s, d: rounded(pr.best_lags(_rows(s, d), pr.correlations(_rows(s, d)), 5)),
     "pair_spreads": lambda s, d: rounded(pr.spreads(r := _rows(s, d), pr.correlations(r))),
     "pair_clusters": lambda s, d: pr.clusters(pr.correlations(r := _rows(s, d)), r.select("symbol").distinct(), 0.05),
+    # over all times, and lags as far as the reference's: too slow as SQL
+    "pair_correlations_whole": lambda s, d: rounded(pr.correlations(_all_rows(s, d))),
+    "pair_lags_whole": lambda s, d: rounded(pr.best_lags(r := _all_rows(s, d), pr.correlations(r), 20)),
+    "pair_spreads_whole": lambda s, d: rounded(pr.spreads(r := _all_rows(s, d), pr.correlations(r))),
+    "pair_clusters_whole": lambda s, d: pr.clusters(pr.correlations(r := _all_rows(s, d)), r.select("symbol").distinct(), 0.05),
     "factor_quantiles": lambda s, d: rounded(pr.factor_quantiles(bars(s, d))),
     "odds_flat": lambda s, d: rounded(_odds(s, d)),
     "odds_by_book": lambda s, d: rounded(o.by_book(_odds(s, d), [f"book{k}" for k in range(6)])),

@@ -57,6 +57,7 @@ QUERIES = {
     "grid_search": lambda s, d: rounded(b.grid_search(bars(s, d), "turtle", _POINTS)),
     "walk_forward": lambda s, d: rounded(b.walk_forward(bars(s, d), "turtle", _POINTS)),
     "monte_carlo": lambda s, d: rounded(b.monte_carlo(_net(s, d))),
+    "monte_carlo_whole": lambda s, d: rounded(b.monte_carlo(_net(s, d), 1000)),
     "weights_inverse_volatility": lambda s, d: rounded(b.inverse_volatility(bars(s, d))),
     "regime_ar": lambda s, d: rounded(b.ar_regime(bars(s, d)), 4),
 }
