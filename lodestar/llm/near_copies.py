@@ -1,0 +1,188 @@
+"""Near copies by exact Jaccard similarity of word shingles, without a pair left out.
+
+A document is the set of hashes of its shingles of ``width`` neighbouring words.  Two sets
+that are ``similarity`` alike share one of their first ``n - ceil(similarity * n) + 1`` members
+in any order common to all sets (prefix filter), so documents meet in buckets by such members,
+the rarer ones first.  Sizes and places in the order rule out most of the other pairs; so does a
+bitmap of members in odd number by bit, as two bitmaps differ in no more bits than the sets do in
+members.  None of these rules out a pair that is alike, and what is left is compared in full.  Each bucket's members are first compared with its least one; the
+second round takes the pairs of members that are not linked by then, so a group of copies costs
+a row a member and not a row a pair.
+
+Defined cases: words are parted at ASCII white space and A-Z are lower-cased; null text counts
+as empty; empty texts are copies of each other and of nothing else; a text of fewer words than
+a shingle is one shingle; documents with equal sets are one node, named by a 64-bit hash.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from lodestar.llm.common import connected, cut
+
+#: Distinct documents that the order of shingles is estimated on, and common shingles kept, at most; any order finds the same pairs.
+SAMPLE, COMMON = 16_000, 1 << 17
+#: Bits of a set's bitmap.
+PARITIES = 1024
+
+
+def shingles(text: bytes | None, width: int = 5) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the shingles."""
+    words = (text or b"").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    width = min(width, len(words))
+    total = len(words) - width + 1
+    out = np.full(total, width, np.uint64)
+    for i in range(width):
+        out = (out ^ h[i : i + total]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    out *= np.uint64(0xBF58476D1CE4E5B9)
+    return np.unique(out ^ (out >> np.uint64(32)))
+
+
+def _lists(sets: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)))
+
+
+def _key(members: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(members.tobytes())
+
+
+def parities(members: np.ndarray) -> np.ndarray:
+    """For each of ``PARITIES`` bits whether an odd number of members falls on it, as longs."""
+    odd = np.bincount((members & np.uint64(PARITIES - 1)).astype(np.int64), minlength=PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+
+
+def common_shingles(docs: DataFrame, width: int) -> np.ndarray:
+    """Shingles of several sampled documents, the most frequent last."""
+    share = min(1.0, SAMPLE / max(1, docs.count()))
+    some = docs.select("text", F.xxhash64("text").alias("draw")).where(F.pmod("draw", F.lit(1 << 30)) <= int((1 << 30) * share)).dropDuplicates(["draw"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0).cast(pa.binary()):
+                yield pa.RecordBatch.from_arrays([pa.array(shingles(text.as_py(), width).view(np.int64))], ["h"])
+
+    met = some.select("text").mapInArrow(run, "h bigint").groupBy("h").count().where("count >= 3")
+    rows = met.orderBy(F.desc("count"), "h").limit(COMMON).collect()
+    return np.array([r[0] for r in reversed(rows)], np.int64).view(np.uint64)
+
+
+def prints(docs: DataFrame, similarity: float, width: int) -> DataFrame:
+    """``doc_id, key, n, odd, prefix`` for every row: the set's name, size and bitmap, and its first members in the common order."""
+    common = common_shingles(docs, width)
+    rank = np.argsort(common)
+    shared = docs.sparkSession.sparkContext.broadcast((common[rank], rank))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, place = shared.value
+        for batch in batches:
+            keys, sizes, odd, firsts = [], [], [], []
+            for text in batch.column(1).cast(pa.binary()):
+                members = shingles(text.as_py(), width)
+                n = len(members)
+                keys.append(_key(members))
+                sizes.append(n)
+                odd.append(parities(members))
+                if n and len(known):
+                    at = np.minimum(np.searchsorted(known, members), len(known) - 1)
+                    members = members[np.argsort(np.where(known[at] == members, place[at], -1), kind="stable")]
+                firsts.append(members[: n - int(np.ceil(similarity * n - 1e-9)) + 1])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), _lists(odd), _lists(firsts)], ["doc_id", "key", "n", "odd", "prefix"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, key bigint, n int, odd array<bigint>, prefix array<bigint>")
+
+
+def shared_members(rows: DataFrame) -> DataFrame:
+    """The rows of ``h, key, n, at`` whose ``h`` more than one row has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_: list[pa.RecordBatch] = []  # rows of the last h seen
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            h = batch.column(0).to_numpy()
+            starts = np.concatenate([[0], np.nonzero(h[1:] != h[:-1])[0] + 1])
+            lengths = np.diff(np.append(starts, len(h)))
+            several = lengths > 1
+            head = lengths[0] if h[0] == last else 0  # rows that belong to what is open
+            if head:
+                open_.append(batch.slice(0, head))
+            if head < len(h):
+                if sum(b.num_rows for b in open_) > 1:
+                    yield from open_
+                several[-1] = False  # may go on in the next batch
+                if head:
+                    several[0] = False
+                yield batch.filter(pa.array(np.repeat(several, lengths)))
+                open_, last = [batch.slice(int(starts[-1]))], h[-1]
+        if sum(b.num_rows for b in open_) > 1:
+            yield from open_
+
+    return rows.repartition("h").sortWithinPartitions("h").mapInArrow(run, rows.schema)
+
+
+def may_reach(similarity: float) -> F.Column:
+    """Whether the sizes and places of ``a`` and ``b`` in their first shared bucket leave the pair a chance."""
+    least = F.ceil((F.col("a.n") + F.col("b.n")) * F.lit(similarity / (1 + similarity)) - 1e-9)
+    return F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at")) >= least
+
+
+def compared(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, similarity: float, width: int) -> DataFrame:
+    """Those of ``pairs(a, b)`` whose sets are ``similarity`` alike."""
+    sides = [nodes.select(F.col("key").alias(x), F.col("n").alias(f"n_{x}"), F.col("odd").alias(f"odd_{x}")) for x in "ab"]
+    differ = F.aggregate(F.zip_with("odd_a", "odd_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    near = pairs.join(sides[0], "a").join(sides[1], "b").where(differ <= (F.col("n_a") + F.col("n_b")) * F.lit((1 - similarity) / (1 + similarity)) + 1e-9)
+    pairs = cut(near.select("a", "b"), "near")
+    wanted = cut(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct(), "wanted")
+    # written first, so that Spark knows whether it can spare the shuffle of the texts
+    ids = cut(nodes.join(wanted, "key", "left_semi").select(F.col("least").alias("wanted_id")).distinct(), "ids")
+    texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi").select("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(t.as_py(), width) for t in batch.column(0).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([pa.array(np.array([_key(s) for s in sets], np.uint64).view(np.int64)), _lists(sets)], ["key", "members"])
+
+    sets = texts.mapInArrow(run, "key bigint, members array<bigint>").join(wanted, "key", "left_semi").groupBy("key").agg(F.first("members").alias("members"))
+    sets = cut(sets, "sets")
+    both = pairs.join(sets.toDF("a", "of_a"), "a").join(sets.toDF("b", "of_b"), "b")
+    met = both.select("a", "b", F.size(F.array_intersect("of_a", "of_b")).alias("met"), (F.size("of_a") + F.size("of_b")).alias("all"))
+    return cut(met.where(F.col("met") >= (F.col("all") - F.col("met")) * F.lit(similarity) - 1e-9).select("a", "b"), "alike")
+
+
+def classes(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
+    """``doc_id, component_id`` for every row; component_id is the least doc_id reachable over links of ``similarity`` or more."""
+    rows = cut(prints(docs, similarity, width), "prints")
+    nodes = cut(rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("odd").alias("odd")), "nodes")
+    once = rows.groupBy("key").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    members = once.select("key", "n", F.posexplode("prefix").alias("at", "h")).select("h", "key", "n", "at")
+    buckets = cut(shared_members(members), "buckets")
+    heads = buckets.groupBy("h").agg(F.min(F.struct("key", "n", "at")).alias("head")).select("h", "head.*")
+    pairs = heads.alias("a").join(buckets.alias("b"), "h").where(F.col("a.key") < F.col("b.key")).where(may_reach(similarity))
+    tried = cut(pairs.select(F.col("a.key").alias("a"), F.col("b.key").alias("b")).distinct(), "pairs")
+    alike = compared(tried, nodes, docs, similarity, width)
+    roots = connected(alike)
+    placed = buckets.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    mixed = placed.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("h")
+    placed = cut(placed.join(mixed, "h", "left_semi"), "placed")
+    pairs = placed.alias("a").join(placed.alias("b"), "h").where((F.col("a.key") < F.col("b.key")) & (F.col("a.root") != F.col("b.root"))).where(may_reach(similarity))
+    pairs = pairs.select(F.col("a.key").alias("a"), F.col("b.key").alias("b")).distinct()
+    more = compared(cut(pairs.join(tried, ["a", "b"], "left_anti"), "pairs"), nodes, docs, similarity, width)
+    roots = connected(alike.union(more))
+    named = nodes.select("key", "least").join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", "least", F.coalesce("root", "key").alias("root"))
+    names = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = cut(named.join(names, "root").select("key", "component_id"), "classes")
+    return rows.select("doc_id", "key").join(named, "key").select("doc_id", "component_id")

@@ -22,6 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestar.llm import near_copies
 from lodestar.llm.common import connected, cut
 
 TILE = 32768
@@ -152,14 +153,16 @@ def near_duplicates(docs: DataFrame, radius: int = 3, width: int = 3, seed: int
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, radius: int = 3) -> DataFrame:
-    """The rows of ``docs`` that stay: of each class the document with the least id, once.
+def keep_one(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
+    """The rows of ``docs`` that stay: of each class of near copies the document with the least id, once.
 
+    Near copies have a Jaccard similarity of ``similarity`` or more on shingles of ``width`` words,
+    which fingerprints at a small radius miss; ``near_copies`` finds them all.
     A row whose id is null can't be named and stays.
     """
     from pyspark.sql import Window
 
-    classes = near_duplicates(docs, radius)
+    classes = near_copies.classes(docs, similarity, width)
     kept = classes.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
     named = docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi")
     turn = "row of this id"

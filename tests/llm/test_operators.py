@@ -117,6 +117,39 @@ def test_keep_one_keeps_each_class_once(spark, sample):
     assert simhash_dedup.keep_one(docs_of(spark, sample).limit(0)).count() == 0
 
 
+def test_keep_one_finds_all_near_copies(spark):
+    draw, rows = random.Random(11), []
+    for g in range(12):
+        base = words(7000 + g, 60 + 20 * g, 5000).split()
+        rows.append((g, " ".join(base), "s"))
+        for k in range(6):  # similarities from about 0.7 to 0.97
+            t = list(base)
+            for at in draw.sample(range(len(t)), 1 + k * len(t) // 160):
+                t[at] = f"q{g}x{k}x{at}"
+            rows.append((100 * (g + 1) + k, " ".join(t), "s"))
+    line = words(1, 40)  # a passage of many documents
+    rows += [(5000 + k, words(k, 30, 5000) + " " + line, "s") for k in range(30)] + [(6000, "a b", "s"), (6001, "A  b", "s"), (6002, "", "s"), (6003, None, "s")]
+
+    def grams(text):
+        w = (text or "").lower().split()
+        return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets = {i: grams(t) for i, t, _ in rows}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    like = {(i, j): len(sets[i] & sets[j]) / max(1, len(sets[i] | sets[j])) for i in sets for j in sets if i < j}
+    linked = [p for p, v in like.items() if v >= 0.8 or sets[p[0]] == sets[p[1]]]
+    assert sum(0.8 <= like[p] < 0.9 for p in linked) > 20 and sum(0.6 < v < 0.8 for v in like.values()) > 20
+    for i, j in linked:
+        root[max(find(i), find(j))] = min(find(i), find(j))
+    assert {r.doc_id for r in simhash_dedup.keep_one(docs_of(spark, rows)).collect()} == {find(i) for i in sets}
+
+
 # --- mixing
 
 
