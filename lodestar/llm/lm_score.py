@@ -1,188 +1,305 @@
-"""Language-model scores from a weighted backoff automaton over word bigrams.
+"""Language-model scores from a weighted backoff automaton over word trigrams.
 
-The states are the empty context, the start of a text and every word of the training
-tokens.  From the state u an arc for each seen successor w carries
+The states are the contexts seen in training: the empty one, the start of a text, every word,
+and every pair of neighbouring words.  A state h has an arc for each seen successor w,
 
-    (1 - f(u)) * c(u w) / c(u) + f(u) * p(w),      p(w) = (c(w) + 1) / (N + V + 1),
+    p(w | h) = (1 - f(h)) * c(h w) / c(h) + f(h) * p(w | h'),      p(w) = (c(w) + 1) / (N + V + 1),
 
-and a failure arc with weight ``f(u) = clip(a - b * log2 c(u), low, high)`` leads to the empty
-context, whose arcs carry p(w), also for unknown words; so every state's weights sum to one.  A text is read once from left to right: each token takes the
-arc out of the state reached, or the failure arc and then the empty context's arc, adds the
-log-probability and moves to the token's own state (the empty context if it is unknown).
+and a failure arc of weight ``f(h) = theta / (c(h) + theta)`` to the state h', h without its first
+word; so every state's weights sum to one, unknown words included.  The ``theta`` of an order is
+found from training counts alone: leaving out each training token in turn, those whose n-gram
+occurs once are met as unseen, and ``theta`` is where the failure weights of all contexts seen
+twice or more add up to their number.  A text is read once from left to right: each token takes
+the arc out of the state reached, or failure arcs down to a state that has one, adds the
+log-probability, and moves to the longest seen context that ends with it.
 
-The model is never in one place.  Documents are dealt into blocks of about
-``block_tokens`` tokens; a block asks for the counts of just its own n-grams, by hash range;
-each range adds up the counts of all blocks and answers each block; then the block builds the
-part of the automaton that its texts can reach and walks them.  N-grams are named by 56-bit
-hashes.
+The model is never in one place.  Documents are dealt into blocks of about ``BLOCK_TOKENS``
+tokens; a block asks for the counts of just its own n-grams, by hash range; each range adds up
+the counts of all blocks and answers each block; then the block builds the part of the automaton
+that its texts can reach and walks them.  The number of ranges follows the n-grams asked for, not
+the blocks.  N-grams are named by hashes 24 bits longer than the number of tokens, at least 40
+bits, so that the chance of a clash is one in 16 million for each at any size.
 
 Defined cases: null text counts as empty and has one token, the end; texts are read whole;
-repeated rows are each counted and scored; with no training row all words are unknown; an
-empty table gives an empty table; other columns are ignored; a null id counts as the text ''.
+repeated rows are each counted and scored, and dealt to different blocks; with no training row
+all words are unknown; an empty table gives an empty table; other columns are ignored; a null id
+counts as the text ''.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import crc_mod
 
-BLOCK_TOKENS = 1_500_000
-#: The weight of a failure arc by the count of its state: a, b, low, high.  Chosen once by the
-#: likelihood of held-out text: about 0.7 after rare words, 0.15 after the most frequent ones.
-FAILURE = (0.75, 0.032, 0.05, 0.7)
-_END, _START = xxhash.xxh64_intdigest(b""), xxhash.xxh64_intdigest(b" ")
-_FLUSH = 1 << 20
-
-
-def _blend(x: np.ndarray) -> np.ndarray:
+BLOCK_TOKENS = 1_000_000
+#: N-grams that a hash range is asked for, about.
+SPAN_KEYS = 3_000_000
+#: Bytes that are hashed at a time, and the longest token hashed by the tables.
+_PIECE, _SHORT = 1 << 22, 64
+_BYTES = np.array([xxhash.xxh64_intdigest(bytes([b]).lower()) for b in range(256)], np.uint64)
+_PLACES = np.array([xxhash.xxh64_intdigest(b"place %d" % k) | 1 for k in range(_SHORT)], np.uint64)
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_END, _START = np.uint64(xxhash.xxh64_intdigest(b"end")), np.uint64(xxhash.xxh64_intdigest(b"start"))
+#: Kinds of n-grams: a word, the end, the start of a text, a pair that can be a context, a pair with the end, a triple.
+WORD, END, START, PAIR, LAST_PAIR, TRIPLE = range(6)
+#: Counts of contexts are told apart up to 15, then by their number of binary digits.
+_EXACT, _CLASSES = 16, 16 + 64
+#: Slots of the sums over all ranges: tokens, kinds, singles of pairs and triples, then contexts and their counts by class for both.
+TOKENS, KINDS, SINGLES, CONTEXTS = 0, 1, 2, 4
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return (x ^ (x >> np.uint64(33))) >> np.uint64(8)
-
-
-def token_hashes(text: bytes | None) -> list[int]:
-    digest = xxhash.xxh64_intdigest
-    return [*map(digest, (text or b"").lower().split()), _END]
-
-
-def planes(values: np.ndarray) -> bytes:
-    """The bytes of uint64 values, all first bytes, then all second ones, ...: zeros meet and compress."""
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
-
-
-def unplanes(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).reshape(-1).view("<u8").astype(np.uint64)
-
-
-def corpus_sizes(docs: DataFrame) -> tuple[int, int, int]:
-    """Tokens of all rows, and of training rows N and their distinct tokens V."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[np.ndarray] = []
-        n = every = training = 0
-
-        def out(last: bool) -> pa.RecordBatch:
-            words = np.unique(np.concatenate([*kept, np.zeros(0, np.uint64)])).view(np.int64)
-            sums = np.zeros((2, len(words) + last), np.int64)
-            words = np.append(words, [0] * last)
-            if last:
-                sums[:, -1] = every, training
-            is_word = np.arange(len(words)) < len(words) - last
-            return pa.RecordBatch.from_arrays([pa.array(words), pa.array(is_word), pa.array(sums[0]), pa.array(sums[1])], ["word", "is_word", "tokens", "training"])
-
-        for batch in batches:
-            for train, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
-                hashes = token_hashes(text.as_py())
-                every += len(hashes)
-                if train:
-                    training += len(hashes)
-                    kept.append(np.unique(np.array(hashes, np.uint64)))
-                    n += len(kept[-1])
-                    if n > _FLUSH:
-                        kept = [np.unique(np.concatenate(kept))]
-                        if len(kept[0]) > _FLUSH // 2:
-                            yield out(False)
-                            kept = []
-                        n = sum(map(len, kept))
-        yield out(True)
-
-    found = docs.select("train", "text").mapInArrow(run, "word bigint, is_word boolean, tokens bigint, training bigint")
-    words = found.groupBy("word").agg(F.sum("tokens").alias("tokens"), F.sum("training").alias("training"), F.max("is_word").alias("is_word"))
-    row = words.agg(F.sum("tokens"), F.sum("training"), F.sum(F.col("is_word").cast("int"))).first()
-    return row[0] or 0, row[1] or 0, row[2] or 0
+    return x ^ (x >> np.uint64(33))
+
+
+def token_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the tokens of ``texts``, the end of each included, in order, and the number of tokens of each."""
+    raw = texts.cast(pa.large_binary()).fill_null(b"")
+    if not len(raw):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    offsets = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
+    data = np.frombuffer(raw.buffers()[2], np.uint8) if raw.buffers()[2] is not None else np.zeros(0, np.uint8)
+    found, owners = [], []
+    lo, top = int(offsets[0]), int(offsets[-1])
+    while lo < top:
+        hi = min(lo + _PIECE, top)
+        if hi < top:  # on to the end of the token there
+            limit = int(offsets[np.searchsorted(offsets, hi)])
+            while hi < limit:
+                gap = np.flatnonzero(_SPACE[data[hi : min(hi + 4096, limit)]])
+                if len(gap):
+                    hi += int(gap[0])
+                    break
+                hi = min(hi + 4096, limit)
+        part = data[lo:hi]
+        inside = ~_SPACE[part]
+        fresh = np.zeros(len(part) + 1, bool)  # where a text begins
+        fresh[offsets[np.searchsorted(offsets, lo) : np.searchsorted(offsets, hi, "right")] - lo] = True
+        fresh[0] = fresh[-1] = True
+        begins = np.flatnonzero(inside & (fresh[:-1] | ~np.concatenate([[False], inside[:-1]])))
+        if len(begins):
+            ends = np.flatnonzero(inside & (fresh[1:] | ~np.concatenate([inside[1:], [False]]))) + 1
+            lengths = ends - begins
+            at = np.cumsum(lengths) - lengths
+            place = np.arange(int(lengths.sum())) - np.repeat(at, lengths)
+            values = _BYTES[part[inside]] * _PLACES[np.minimum(place, _SHORT - 1)]
+            hashes = np.add.reduceat(values, at) + lengths.astype(np.uint64)
+            for k in np.flatnonzero(lengths > _SHORT):
+                hashes[k] = xxhash.xxh64_intdigest(part[begins[k] : ends[k]].tobytes().lower())
+            found.append(_mix(hashes))
+            owners.append(np.searchsorted(offsets, begins + lo, "right") - 1)
+        lo = hi
+    words = np.concatenate([*found, np.zeros(0, np.uint64)])
+    owner = np.concatenate([*owners, np.zeros(0, np.int64)])
+    sizes = np.bincount(owner, minlength=len(raw)) + 1
+    out = np.full(len(words) + len(raw), _END, np.uint64)
+    out[np.arange(len(words)) + owner] = words
+    return out, sizes
+
+
+def packed(values: np.ndarray) -> bytes:
+    """The bytes of uint64 values, all first bytes, then all second ones, ..., compressed."""
+    planes = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+    return pa.compress(planes, "zstd", asbytes=True)
+
+
+def unpacked(data: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, 8 * n, "zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, -1).T).reshape(-1).view("<u8").astype(np.uint64)
 
 
 class Block:
     """The n-grams of a block of texts: ``keys`` in order, and where each token's own are among them."""
 
-    def __init__(self, texts: pa.ChunkedArray) -> None:
-        hashes = [np.array(token_hashes(t.as_py()), np.uint64) for t in texts.cast(pa.binary())]
-        self.sizes = np.array([len(h) for h in hashes], np.int64)
+    def __init__(self, texts: pa.ChunkedArray, bits: int) -> None:
+        self.bits = bits
+        words, self.sizes = token_hashes(pa.concat_arrays(texts.chunks) if texts.num_chunks else pa.array([], pa.string()))
         self.first = np.cumsum(self.sizes) - self.sizes
-        words = np.concatenate([*hashes, np.zeros(0, np.uint64)])
-        context = np.empty_like(words)
-        context[1:] = words[:-1]
-        context[self.first] = _START
-        singles = _blend(words ^ np.uint64(0xA0761D6478BD642F))
-        pairs = _blend(context * np.uint64(0x9E3779B97F4A7C15) + words)
-        self.keys, where = np.unique(np.concatenate([singles, pairs]), return_inverse=True)
-        self.single, self.pair = where[: len(words)], where[len(words) :]
-
-    def counts(self, train: np.ndarray) -> np.ndarray:
+        last = words == _END
+        before = np.roll(words, 1)
+        before[self.first] = _START
+        pair = _mix(before * np.uint64(0x9E3779B97F4A7C15) + words)
+        context = np.roll(pair, 1)
+        self.third = np.ones(len(words), bool)  # tokens that have two before them, the start included
+        self.third[self.first] = False
+        triple = _mix(context * np.uint64(0xD6E8FEB86659FD93) + words)[self.third]
+        self.raw = np.concatenate([
+            self._key(_mix(words ^ np.uint64(0xA0761D6478BD642F)), np.where(last, END, WORD)),
+            self._key(pair, np.where(last, LAST_PAIR, PAIR)),
+            self._key(triple, TRIPLE),
+            self._key(_mix(np.full(len(self.sizes), _START)), START),
+        ])
+
+    def _key(self, x: np.ndarray, kind: np.ndarray | int) -> np.ndarray:
+        return (x >> np.uint64(64 - self.bits)) << np.uint64(3) | np.asarray(kind, np.uint64)
+
+    def asked(self, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct n-grams and their counts in training texts."""
         on = np.repeat(train, self.sizes)
-        return np.bincount(np.concatenate([self.single[on], self.pair[on]]), minlength=len(self.keys)).astype(np.uint64)
-
-    def ranges(self, n: int) -> np.ndarray:
-        """Where each of n equal ranges of the key space begins among the keys."""
-        return np.searchsorted((self.keys >> np.uint64(24)) * np.uint64(n) >> np.uint64(32), np.arange(n + 1, dtype=np.uint64))
-
-    def walk(self, counts: np.ndarray, starts: int, tokens: int, kinds: int, failure: tuple[float, float, float, float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        mine = np.sort(self.raw[np.concatenate([on, on, on[self.third], train])])
+        keys = np.unique(self.raw)
+        at = np.searchsorted(mine, keys)
+        return keys, np.diff(np.append(at, len(mine))).astype(np.uint64)
+
+    def span_of(self, keys: np.ndarray, spans: int) -> np.ndarray:
+        return (keys >> np.uint64(self.bits + 3 - 32)) * np.uint64(spans) >> np.uint64(32)
+
+    def spread(self, counts: np.ndarray) -> tuple[np.ndarray, ...]:
+        """For each token the counts of word, pair and triple, and of the contexts before it of one word and of two."""
+        _, where = np.unique(self.raw, return_inverse=True)
+        n = len(self.third)
+        every = counts[where].astype(np.float64)
+        word, pair = every[:n], every[n : 2 * n]
+        triple = np.zeros(n)
+        triple[self.third] = every[2 * n : 2 * n + int(self.third.sum())]
+        one, two = np.roll(word, 1), np.roll(pair, 1)
+        one[self.first] = every[-1] if n else 0  # the start of a text
+        two[self.first] = 0
+        return word, pair, triple, one, two
+
+
+def concentration(contexts: np.ndarray, events: np.ndarray, singles: int) -> float:
+    """``theta`` where ``c * theta / (c + theta)``, summed over contexts seen twice or more, meets the tokens met as unseen."""
+    unseen = singles - contexts[1]
+    n, total = contexts[2:].astype(np.float64), events[2:].astype(np.float64)
+    if total.sum() <= 0:
+        return 1.0
+    each = total / np.maximum(n, 1)
+    low, high = 1e-3, 1e9
+    for _ in range(100):
+        theta = float(np.sqrt(low * high))
+        if (total * theta / (each + theta)).sum() < unseen:
+            low = theta
+        else:
+            high = theta
+    return theta
+
+
+class Automaton:
+    """Arc and failure weights of the states that the tokens of a block reach."""
+
+    def __init__(self, sums: np.ndarray) -> None:
+        self.tokens, kinds = int(sums[TOKENS]), int(sums[KINDS])
+        self.all = self.tokens + kinds + 1
+        by_class = sums[CONTEXTS:].reshape(2, 2, _CLASSES)
+        self.theta = [concentration(by_class[k, 0], by_class[k, 1], int(sums[SINGLES + k])) for k in (0, 1)]
+
+    def walk(self, block: Block, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Known tokens, base and model log10 probability of each text."""
-        seen = counts.astype(np.float64)
-        root = (seen + 1) / (tokens + kinds + 1)  # arcs of the empty context
-        state = np.empty(len(self.single), np.int64)  # reached before each token; -1: the start of a text
-        state[1:] = self.single[:-1]
-        state[self.first] = -1
-        visits = np.where(state < 0, float(starts), seen[state])  # 0: an unknown word's state is the empty context
-        a, b, low, high = failure
-        fail = np.where(visits > 0, np.clip(a - b * np.log2(np.maximum(visits, 1)), low, high), 1.0)
-        word = root[self.single]
-        arc = (1 - fail) * seen[self.pair] / np.maximum(visits, 1) + fail * word
-        step = np.log10(np.where(seen[self.pair] > 0, arc, fail * word))
-        add = lambda x: np.add.reduceat(x, self.first) if len(x) else np.zeros(0)
-        return add((seen[self.single] > 0).astype(np.int64)), add(np.log10(word)), add(step)
-
-
-def score_texts(docs: DataFrame, held_out: Column, failure: tuple[float, float, float, float] = FAILURE, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+        word, pair, triple, one, two = block.spread(counts)
+        root = (word + 1) / self.all
+        fail_one, fail_two = (theta / (c + theta) for theta, c in zip(self.theta, (one, two), strict=True))
+        arc_one = (1 - fail_one) * pair / np.maximum(one, 1) + fail_one * root
+        arc_two = (1 - fail_two) * triple / np.maximum(two, 1) + fail_two * arc_one
+        # the state each token is met in: the pair before it where seen, else the word, else the empty context
+        depth = np.where(two > 0, 2, np.where(one > 0, 1, 0))
+        step = np.zeros(len(word))
+        for level, has_arc, arc, fail in ((2, triple > 0, arc_two, fail_two), (1, pair > 0, arc_one, fail_one)):
+            here = depth == level
+            take, drop = here & has_arc, here & ~has_arc
+            step[take] += np.log10(arc[take])
+            step[drop] += np.log10(fail[drop])
+            depth[take] = -1  # done
+            depth[drop] = level - 1 if level == 1 else np.where(one[drop] > 0, 1, 0)
+        base = np.log10(root)
+        step[depth == 0] += base[depth == 0]
+        add = lambda x: np.add.reduceat(x, block.first) if len(x) else np.zeros(0)
+        return add((word > 0).astype(np.int64)), add(base), add(step)
+
+
+def span_sums(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The sums of one range by slot, from its distinct n-grams."""
+    kind, some = keys & np.uint64(7), counts > 0
+    out = np.zeros(CONTEXTS + 4 * _CLASSES, np.int64)
+    words = some & (kind <= END)
+    out[TOKENS], out[KINDS] = counts[words].sum(), words.sum()
+    for k, (lower, higher) in enumerate((((WORD, START), (PAIR, LAST_PAIR)), ((PAIR,), (TRIPLE,)))):
+        out[SINGLES + k] = (np.isin(kind, higher) & (counts == 1)).sum()
+        c = counts[some & np.isin(kind, lower)].astype(np.int64)
+        group = np.where(c < _EXACT, c, _EXACT + np.frexp(c.astype(np.float64))[1])
+        at = CONTEXTS + 2 * k * _CLASSES
+        out[at : at + _CLASSES] = np.bincount(group, minlength=_CLASSES)
+        out[at + _CLASSES : at + 2 * _CLASSES] = np.bincount(group, weights=c, minlength=_CLASSES)
+    return out
+
+
+def score_texts(docs: DataFrame, held_out: Column, block_tokens: int = BLOCK_TOKENS, span_keys: int = SPAN_KEYS) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for every row.
 
     The model learns from the rows for which ``held_out`` is false.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "text", (~F.coalesce(held_out, F.lit(False))).alias("train"))
-    every, tokens, kinds = corpus_sizes(rows)
-    starts = rows.where("train").count()
-    n = max(1, -(-every // block_tokens))
-    # the same exchange feeds both passes over the blocks
-    blocks = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n))).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "block")
+    sizes = rows.agg(F.sum(F.octet_length("text")), F.count("*")).first()
+    about = (sizes[0] or 0) // 6 + sizes[1]  # tokens; only the sizes of blocks and ranges and the bits of names hang on it
+    n, spans = max(1, -(-about // block_tokens)), max(1, -(-2 * about // span_keys))
+    bits = min(61, max(40, 24 + int(about).bit_length()))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # dealt by row, so repeated rows spread; the same exchange feeds both passes over the blocks
+    blocks = rows.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n))).repartition(parts, "block")
+    answers = "block bigint, span bigint, n bigint, counts binary, slot int, amount bigint"
 
     def ask(group: pa.Table) -> pa.Table:
-        own = Block(group.column("text"))
-        counts = own.counts(group.column("train").to_numpy())
-        at = own.ranges(n)
-        some = np.flatnonzero(np.diff(at))
-        parts = [(own.keys[at[k] : at[k + 1]], counts[at[k] : at[k + 1]]) for k in some]
-        keys = [planes(np.diff(x, prepend=np.uint64(0))) for x, _ in parts]
+        own = Block(group.column("text"), bits)
+        keys, counts = own.asked(group.column("train").to_numpy())
+        some, at = np.unique(own.span_of(keys, spans), return_index=True)
+        ends = np.append(at[1:], len(keys))
+        packs = [(packed(np.diff(keys[a:b], prepend=np.uint64(0))), packed(counts[a:b])) for a, b in zip(at, ends, strict=True)]
         block = group.column("block")[0].as_py()
-        return pa.table({"block": pa.array([block] * len(some), pa.int64()), "span": pa.array(some), "keys": pa.array(keys, pa.binary()), "counts": pa.array([planes(c) for _, c in parts], pa.binary())})
+        return pa.table({"block": pa.array([block] * len(some), pa.int64()), "span": pa.array(some.astype(np.int64)), "n": pa.array(ends - at), "keys": pa.array([k for k, _ in packs], pa.binary()), "counts": pa.array([c for _, c in packs], pa.binary())})
 
     def total(group: pa.Table) -> pa.Table:
-        keys = [np.cumsum(unplanes(k.as_py()), dtype=np.uint64) for k in group.column("keys")]
-        _, where = np.unique(np.concatenate(keys), return_inverse=True)
-        counts = np.concatenate([unplanes(c.as_py()) for c in group.column("counts")])
-        sums = np.bincount(where, weights=counts).astype(np.uint64)[where]
-        ends = np.cumsum([len(k) for k in keys])
-        return pa.table({"block": group.column("block"), "span": group.column("span"), "counts": pa.array([planes(s) for s in np.split(sums, ends[:-1])], pa.binary())})
+        sizes = group.column("n").to_numpy()
+        keys = [np.cumsum(unpacked(k.as_py(), n), dtype=np.uint64) for k, n in zip(group.column("keys"), sizes, strict=True)]
+        kinds, where = np.unique(np.concatenate(keys), return_inverse=True)
+        counts = np.concatenate([unpacked(c.as_py(), n) for c, n in zip(group.column("counts"), sizes, strict=True)])
+        sums = np.bincount(where, weights=counts).astype(np.uint64)
+        back = [packed(s) for s in np.split(sums[where], np.cumsum(sizes)[:-1])]
+        slots = span_sums(kinds, sums)
+        own, m, k = np.flatnonzero(slots), len(back), int(np.count_nonzero(slots))
+        span = group.column("span")[0].as_py()
+        # a row for each block that asked, and a row for each sum, dealt to a block without texts
+        return pa.table({
+            "block": pa.concat_arrays([group.column("block").combine_chunks(), pa.array([-1 - span] * k, pa.int64())]), "span": pa.array([span] * (m + k), pa.int64()),
+            "n": pa.concat_arrays([pa.array(sizes, pa.int64()), pa.array([0] * k, pa.int64())]), "counts": pa.array([*back, *[b""] * k], pa.binary()),
+            "slot": pa.array([*[-1] * m, *own], pa.int32()), "amount": pa.array([*[0] * m, *slots[own]], pa.int64()),
+        })
 
     def answer(texts: pa.Table, totals: pa.Table) -> pa.Table:
-        own = Block(texts.column("text"))
+        if not texts.num_rows:
+            return pa.table({f.name: pa.array([], f.type) for f in done})
+        own = Block(texts.column("text"), bits)
         totals = totals.sort_by("span")
-        counts = np.concatenate([unplanes(c.as_py()) for c in totals.column("counts")])
-        known, base, score = own.walk(counts, starts, tokens, kinds, failure)
-        count = pa.array(own.sizes)
+        counts = np.concatenate([unpacked(c.as_py(), n.as_py()) for c, n in zip(totals.column("counts"), totals.column("n"), strict=True)])
+        sums = np.zeros(CONTEXTS + 4 * _CLASSES, np.int64)
+        for s in totals.column("sums")[0].as_py():  # told with the first range
+            if s["slot"] >= 0:
+                sums[s["slot"]] = s["amount"]
+        model = Automaton(sums)
+        known, base, score = model.walk(own, counts)
         train = texts.column("train").to_numpy()
-        return pa.table({"doc_id": texts.column("doc_id"), "held_out": pa.array(~train), "n_tokens": count, "n_known": pa.array(known, pa.int64()), "train_tokens": pa.array([tokens] * len(count), pa.int64()), "base_score": pa.array(base), "score": pa.array(score)})
-
-    asked = blocks.groupBy("block").applyInArrow(ask, "block bigint, span bigint, keys binary, counts binary")
-    totals = asked.groupBy("span").applyInArrow(total, "block bigint, span bigint, counts binary")
-    return blocks.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(answer, f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+        columns = [texts.column("doc_id").combine_chunks(), pa.array(~train), pa.array(own.sizes), pa.array(known, pa.int64()), pa.array([model.tokens] * len(train), pa.int64()), pa.array(base), pa.array(score)]
+        return pa.table(dict(zip([f.name for f in done], columns, strict=True)))
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    out = f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+    done = to_arrow_schema(docs.sparkSession.createDataFrame([], out).schema)
+    asked = blocks.groupBy("block").applyInArrow(ask, "block bigint, span bigint, n bigint, keys binary, counts binary")
+    totals = asked.groupBy("span").applyInArrow(total, answers).repartition(parts, "block")
+    # the sums of all ranges, as a subquery of one row; it uses all columns, so that it reads the exchange that the blocks' answers come from
+    sums = totals.groupBy("slot").agg(F.sum("amount").alias("amount"), F.max("block").alias("block"), F.max("span").alias("span"), F.sum("n").alias("n"), F.sum(F.octet_length("counts")).alias("bytes"))
+    sums = sums.agg(F.collect_list(F.struct("slot", "amount", "block", "span", "n", "bytes")).alias("sums"))
+    turn = F.row_number().over(Window.partitionBy("block").orderBy("span"))
+    told = totals.withColumn("turn", turn).withColumn("sums", F.when(F.col("turn") == 1, sums.scalar())).drop("turn")
+    return blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(answer, out)
 
 
 def held_out_fold(docs: DataFrame) -> Column:

@@ -250,44 +250,110 @@ def test_gram_hashes_are_equal_for_equal_grams(q):
 # --- language model
 
 
-def test_score_equals_brute_force(spark, sample):
-    rows = [(i, t) for i, t, _ in sample if i is not None]
-    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows}
+def brute_theta(contexts, singles):
+    """Where the failure weights of contexts seen twice or more add up to the tokens met as unseen; classes of counts as in the operator."""
+    unseen, classes = singles - sum(c == 1 for c in contexts), {}
+    for c in contexts:
+        if c > 1:
+            classes.setdefault(c if c < 16 else -c.bit_length(), []).append(c)
+    if not classes:
+        return 1.0
+    low, high = 1e-3, 1e9
+    for _ in range(100):
+        mid = math.sqrt(low * high)
+        if sum(sum(c) * mid / (sum(c) / len(c) + mid) for c in classes.values()) < unseen:
+            low = mid
+        else:
+            high = mid
+    return mid
+
+
+def brute_scores(rows, held):
     tokens = [[*(t or "").encode().lower().split(), b""] for _, t in rows]
-    train = [t for (i, _), t in zip(rows, tokens, strict=True) if not held[i]]
+    train = [t for t, h in zip(tokens, held, strict=True) if not h]
     one = Counter(w for t in train for w in t)
-    two = Counter(p for t in train for p in zip([b" ", *t], t, strict=False))
+    two = Counter(p for t in train for p in zip([" ", *t], t, strict=False))
+    three = Counter(p for t in train for p in zip([" ", *t], t, t[1:], strict=False))
     n, v = sum(one.values()), len(one)
-    a, b, low, high = lm_score.FAILURE
-    want = []
-    for (i, _), t in zip(rows, tokens, strict=True):
+    ctx = Counter(x for t in train for x in [" ", *t[:-1]])
+    theta2 = brute_theta([c for c in ctx.values()], sum(c == 1 for c in two.values()))
+    theta3 = brute_theta([c for (_, w), c in two.items() if w != b""], sum(c == 1 for c in three.values()))
+    out = []
+    for (i, _), t, h in zip(rows, tokens, held, strict=True):
         base = score = 0.0
-        for before, w in zip([b" ", *t], t, strict=False):
+        for k, w in enumerate(t):
             p = (one[w] + 1) / (n + v + 1)
-            seen = len(train) if before == b" " else one[before]
-            f = min(high, max(low, a - b * math.log2(seen))) if seen else 1.0
             base += math.log10(p)
-            score += math.log10((1 - f) * two[before, w] / max(seen, 1) + f * p)
-        want.append((i, held[i], len(t), sum(one[w] > 0 for w in t), n, round(base, 6), round(score, 6)))
-    docs = docs_of(spark, [r for r in sample if r[0] is not None])
-    got = lm_score.score_texts(docs, lm_score.held_out_fold(docs), block_tokens=900).collect()
-    assert sorted((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in got) == sorted(want)
+            u = t[k - 1] if k else " "
+            f = theta2 / (ctx[u] + theta2)
+            p = (1 - f) * two[u, w] / max(1, ctx[u]) + f * p
+            if k:
+                uu = (t[k - 2] if k > 1 else " ", u)
+                f = theta3 / (two[uu] + theta3)
+                p = (1 - f) * three[(*uu, w)] / max(1, two[uu]) + f * p
+            score += math.log10(p)
+        out.append((i, h, len(t), sum(one[w] > 0 for w in t), n, round(base, 6), round(score, 6)))
+    return out
+
+
+def by_value(rows):
+    return sorted(rows, key=repr)
+
+
+def test_score_equals_brute_force(spark, sample):
+    rows = [*((i, t) for i, t, _ in sample), (None, None), (700, "x" * 100 + " " + "Y" * 70 + " é\u00a0É z"), (701, "x" * 100), (702, "\x0b a\x0ca\x1c")]
+    held = [zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2 for i, _ in rows]
+    want = brute_scores(rows, held)
+    docs = docs_of(spark, [(i, t, "s") for i, t in rows])
+    for parts, tokens in ((1, 10**6), (8, 900), (200, 3000)):  # parts without rows are no words
+        got = lm_score.score_texts(docs.repartition(parts), lm_score.held_out_fold(docs), block_tokens=tokens, span_keys=5000)
+        assert by_value((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in got.collect()) == by_value(want)
     assert lm_score.score_texts(docs.limit(0), F.lit(False)).count() == 0
+    assert {r.n_known for r in lm_score.score_texts(docs, F.lit(True)).collect()} == {0}
+
+
+@pytest.mark.parametrize("piece", [5, 64, 1 << 22])
+def test_token_hashes_do_not_hang_on_pieces(monkeypatch, piece):
+    import pyarrow as pa
+
+    monkeypatch.setattr(lm_score, "_PIECE", piece)
+    texts = [None, "", "a B  c", " ", "long" * 40 + " a", "x\tb\nA ", "é É", "A" * 70, "a" * 70]
+    hashes, sizes = lm_score.token_hashes(pa.array(texts))
+    words = [[w for w in (t or "").encode().lower().split()] + [None] for t in texts]
+    assert sizes.tolist() == [len(w) for w in words]
+    seen = {}
+    for w, h in zip((w for t in words for w in t), hashes.tolist(), strict=True):
+        assert seen.setdefault(w, h) == h
+    assert len(set(seen.values())) == len(seen)
+    part, sizes = lm_score.token_hashes(pa.array(texts).slice(2, 3))
+    assert sizes.tolist() == [4, 1, 3] and part.tolist() == hashes.tolist()[2:10]
 
 
 def test_state_weights_sum_to_one():
-    block = lm_score.Block(__import__("pyarrow").chunked_array([["a b a c", "a b"]]))
-    counts = block.counts(np.array([True, True]))
-    seen = {w: c for w, c in Counter(["a", "b", "a", "c", "", "a", "b", ""]).items()}
-    f = min(0.7, max(0.05, 0.75 - 0.032 * math.log2(3)))
-    after_a = {"b": 2, "c": 1}
-    total = sum((1 - f) * after_a.get(w, 0) / 3 + f * (c + 1) / (8 + 4 + 1) for w, c in seen.items()) + f / 13
-    assert total == pytest.approx(1) and counts.sum() == 16
-
-
-def test_corpus_sizes_with_empty_partitions(spark):
-    docs = spark.createDataFrame([(True, "a b a"), (True, "b"), (False, "c")], "train boolean, text string").repartition(9)
-    assert lm_score.corpus_sizes(docs) == (8, 6, 3)
+    import pyarrow as pa
+
+    text = "a b a c a b d b a c"
+    words = [*text.split(), ""]
+    model = lm_score.Automaton(np.zeros(lm_score.CONTEXTS + 4 * 80, np.int64))
+    model.theta, model.all = [0.7, 1.3], 11 + 5 + 1
+    seen = Counter(words)
+
+    def probability(before, w):
+        block = lm_score.Block(pa.chunked_array([[f"{before} {w}".strip()] if w else [before]]), 50)
+        train = lm_score.Block(pa.chunked_array([[text]]), 50)
+        keys, counts = train.asked(np.array([True]))
+        known = dict(zip(keys.tolist(), counts.tolist(), strict=True))
+        mine, _ = block.asked(np.array([True]))
+        at = len(before.split()) if w else len(before.split())
+        parts = block.spread(np.array([known.get(k, 0) for k in mine.tolist()], np.uint64))
+        word, pair, triple, one, two = (x[at] for x in parts)
+        f1, f2 = 0.7 / (one + 0.7), 1.3 / (two + 1.3)
+        p = (word + 1) / model.all
+        p = (1 - f1) * pair / max(one, 1) + f1 * p
+        return (1 - f2) * triple / max(two, 1) + f2 * p
+
+    for before in ("a b", "b a", "d", "c a", "q q", "q b"):
+        assert sum(probability(before, w) for w in [*seen, "unknown"]) == pytest.approx(1)
 
 
 # --- fingerprints
