@@ -9,10 +9,14 @@ meet the bound are merged where they touch and verified by a banded alignment.
 Texts and items are compared lower-cased, with all white space as a space, position by
 position, so the spans are code points of the text as given.
 
-Defined cases: null or empty text has no match; the whole text is searched whatever its
-length; an item of fewer than q characters can't be found by q-grams and never matches
-(its edit budget shrinks first, down to none); repeated rows match each for itself; equal
-items each match; an empty table gives an empty table; other columns are ignored.
+Items shorter than a q-gram have no room for edits and are found where they occur as they are,
+by the hashes of all passages of their length.
+
+Defined cases: null or empty text has no match, a null or empty item is found nowhere; the whole
+text is searched whatever its length, a text with very many shared q-grams window by window, so
+that memory follows the window and the benchmark (``shared_grams`` then counts within a window); repeated rows match each for itself; equal items
+each match; regions of one item that overlap count as one, the one with the fewest edits; an
+empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,11 +25,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Characters of benchmark text that one pass holds in memory; more are searched in blocks.
 BLOCK_CHARS = 4_000_000
+#: Pairs of q-grams of a text and the items that are counted at a time, about.
+WINDOW_PAIRS = 2_000_000
 _BASE = 0x9E3779B97F4A7C15
 _ONE = 1 << 32  # an edit, above the start position in the alignment's combined value
 
@@ -58,7 +66,7 @@ def gram_hashes(codes: np.ndarray, q: int) -> np.ndarray:
 
 
 def edit_budget(m: int, q: int, rate: float) -> int:
-    """The edits allowed in an item of m characters, so that the lemma still asks for a q-gram; -1: never found."""
+    """The edits allowed in an item of m characters, so that the lemma still asks for a q-gram; -1: too short for q-grams."""
     return min(int(m * rate), (m - q) // q) if m >= q else -1
 
 
@@ -92,8 +100,10 @@ class Index:
     def __init__(self, items: list[tuple[object, str]], q: int, rate: float) -> None:
         self.q, self.ids = q, [k for k, _ in items]
         self.codes = [normal(t) for _, t in items]
+        sizes = np.array([len(c) for c in self.codes], np.int64)
         self.budget = np.array([edit_budget(len(c), q, rate) for c in self.codes], np.int64)
-        self.need = np.array([len(c) - q + 1 - k * q for c, k in zip(self.codes, self.budget, strict=True)], np.int64)
+        self.need = np.where(self.budget >= 0, sizes - q + 1 - self.budget * q, 1 << 60)
+        self.reach = sizes + self.budget + q  # characters of text that an occurrence can take
         hashes = [gram_hashes(c, q) for c in self.codes]
         keys = np.concatenate([*hashes, np.zeros(0, np.uint64)])
         item = np.repeat(np.arange(len(items)), [len(h) for h in hashes])
@@ -105,39 +115,87 @@ class Index:
         self.shift = np.uint64(64 - bits)
         self.gate = np.zeros(1 << bits, bool)
         self.gate[self.keys >> self.shift] = True
-        self.least = int(self.need[self.budget >= 0].min(initial=1 << 60))
+        self.least = int(self.need.min(initial=1 << 60))
+        self.name = [gram_hashes(c, len(c))[0] if len(c) else np.uint64(0) for c in self.codes]
+        self.short: dict[int, dict[int, list[int]]] = {}  # by length and hash
+        for j, c in enumerate(self.codes):
+            if 0 < len(c) < q:
+                self.short.setdefault(len(c), {}).setdefault(int(self.name[j]), []).append(j)
 
     def find(self, text: str) -> list[tuple[int, int, int, int, int]]:
         """``(item, start, end, edits, shared)`` of every verified region."""
-        if not len(self.keys) or len(text) < self.q:
+        if len(text) < self.q and not self.short:
             return []
         codes = normal(text)
-        grams = gram_hashes(codes, self.q)
-        at = np.flatnonzero(self.gate[grams >> self.shift])
-        if len(at) < self.least:
-            return []
-        slot = np.minimum(np.searchsorted(self.keys, grams[at]), len(self.keys) - 1)
-        same = self.keys[slot] == grams[at]
-        at, slot = at[same], slot[same]
-        if len(at) < self.least:
-            return []
+        return self.find_short(codes) + self.find_long(codes)
+
+    def find_short(self, codes: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+        out = []
+        for m, known in self.short.items():
+            grams = gram_hashes(codes, m)
+            for h, items in known.items():
+                free = 0
+                for at in np.flatnonzero(grams == np.uint64(h)).tolist():
+                    if at >= free:
+                        out.extend((j, at, at + m, 0, 0) for j in items if np.array_equal(codes[at : at + m], self.codes[j]))
+                        free = at + m
+        return out
+
+    def postings(self, slot: np.ndarray) -> np.ndarray:
+        """The places in the index of all that the slots hold, slot by slot."""
         count = self.count[slot]
-        posting = np.repeat(self.start[slot] - (np.cumsum(count) - count), count) + np.arange(count.sum())
-        item, diagonal = self.item[posting], np.repeat(at, count) - self.place[posting]
-        busy = np.bincount(item, minlength=len(self.ids)) >= self.need  # less than the bound in all: no band can meet it
-        busy &= self.budget >= 0
+        return np.repeat(self.start[slot] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+
+    def bands(self, at: np.ndarray, slot: np.ndarray, busy: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Items and bands that meet the bound, and their shared q-grams, from q-grams of the text at ``at``."""
+        posting = self.postings(slot)
+        item, diagonal = self.item[posting], np.repeat(at, self.count[slot]) - self.place[posting]
         keep = busy[item]
         item, diagonal = item[keep], diagonal[keep]
-        step = self.budget[item] + 1
-        band = diagonal // step
+        band = diagonal // (self.budget[item] + 1)
         base = int(band.min(initial=0)) - 1
         span = int(band.max(initial=0)) - base + 1
         key = item * span + (band - base)
         key, shared = np.unique(np.concatenate([key, key - 1]), return_counts=True)
         owner, band = key // span, key % span + base
         good = shared >= self.need[owner]
-        owner, band, shared = owner[good], band[good], shared[good]
-        out = []
+        return owner[good], band[good], shared[good]
+
+    def find_long(self, codes: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+        if not len(self.keys) or len(codes) < self.q:
+            return []
+        grams = gram_hashes(codes, self.q)
+        at = np.flatnonzero(self.gate[grams >> self.shift])
+        if len(at) < self.least:
+            return []
+        slot = np.minimum(np.searchsorted(self.keys, grams[at]), len(self.keys) - 1)
+        same = self.keys[slot] == grams[at]
+        at, slot = at[same], slot[same]
+        if len(at) < self.least:
+            return []
+        # an item with fewer of its own q-grams in the text than the bound can't be in it
+        busy = np.bincount(self.item[self.postings(np.unique(slot))], minlength=len(self.ids)) >= self.need
+        if not busy.any():
+            return []
+        reach = int(self.reach[busy].max())
+        before = np.concatenate([[0], np.cumsum(self.count[slot])])
+        found, k = [], 0
+        while k < len(at):  # windows of the text that overlap by what an occurrence can take
+            stop = max(k + 1, int(np.searchsorted(before, before[k] + WINDOW_PAIRS)))
+            last = int(np.searchsorted(at, at[min(stop, len(at)) - 1] + reach, "right"))
+            found.append(self.bands(at[k:last], slot[k:last], busy))
+            k = len(at) if last == len(at) else stop
+        owner, band, shared = (np.concatenate(x) for x in zip(*found, strict=True))
+        if len(found) > 1:
+            order = np.lexsort((-shared, band, owner))
+            owner, band, shared = owner[order], band[order], shared[order]
+            first = np.concatenate([[True], (owner[1:] != owner[:-1]) | (band[1:] != band[:-1])])[: len(owner)]
+            owner, band, shared = owner[first], band[first], shared[first]
+        return self.verified(codes, owner, band, shared)
+
+    def verified(self, codes: np.ndarray, owner: np.ndarray, band: np.ndarray, shared: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+        """Neighbouring bands put together, aligned, and regions of one item that overlap put together."""
+        out: list[tuple[int, int, int, int, int]] = []
         k = 0
         while k < len(owner):
             last = k
@@ -145,16 +203,38 @@ class Index:
                 last += 1
             j, budget = int(owner[k]), int(self.budget[owner[k]])
             low, high = int(band[k]) * (budget + 1), (int(band[last]) + 2) * (budget + 1) - 1
-            found = align(self.codes[j], codes, low, high, budget)
-            if found:
-                edits, start, end = found
-                if out and out[-1][0] == j and start < out[-1][2] and out[-1][1] < end:
-                    out[-1] = min(out[-1], (j, start, end, edits, int(shared[k : last + 1].max())), key=lambda x: x[3])
-                else:
-                    out.append((j, start, end, edits, int(shared[k : last + 1].max())))
+            # whatever these diagonals hold begins inside the whole copy found before, so it counts as one with it
+            if not (out and out[-1][0] == j and out[-1][3] == 0 and high < out[-1][2]):
+                found = self.align(codes, j, low, high, budget)
+                if found:
+                    edits, start, end = found
+                    one = (j, start, end, edits, int(shared[k : last + 1].max()))
+                    if out and out[-1][0] == j and start < out[-1][2] and out[-1][1] < end:
+                        out[-1] = min(out[-1], one, key=lambda x: x[3])
+                    else:
+                        out.append(one)
             k = last + 1
         return out
 
+    def align(self, codes: np.ndarray, j: int, low: int, high: int, budget: int) -> tuple[int, int, int] | None:
+        """The item against the stretch of the text that the diagonals cross."""
+        item = self.codes[j]
+        begin, stop = max(0, low), min(len(codes), high + len(item) + budget)
+        whole = begin + np.flatnonzero(gram_hashes(codes[begin:stop], len(item)) == self.name[j])
+        for at in whole[whole <= high].tolist():  # the first whole copy, if any
+            if np.array_equal(codes[at : at + len(item)], item):
+                return 0, at, at + len(item)
+        found = align(item, codes[begin:stop], low - begin, high - begin, budget)
+        return found and (found[0], found[1] + begin, found[2] + begin)
+
+
+def blocks_of(benchmark: DataFrame, block_chars: int) -> list[Broadcast]:
+    """The items in parts of about ``block_chars`` characters; tasks index a part when they meet it first."""
+    items = benchmark.select("item_id", "text").where("length(text) > 0")
+    n = max(1, -(-(items.agg(F.sum(F.length("text"))).first()[0] or 0) // block_chars))
+    parts = [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) for k in range(n)]
+    return [benchmark.sparkSession.sparkContext.broadcast([(r[0], r[1]) for r in part.collect()]) for part in parts]
+
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = 8, rate: float = 0.08, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """``doc_id, item_id, start, end, edits, shared_grams`` of every region that holds an item.
@@ -162,23 +242,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = 8, rate: float
     The items go to the tasks in blocks of about ``block_chars`` characters: the size is
     counted first, and a larger benchmark takes more passes instead of a larger broadcast.
     """
-    spark = docs.sparkSession
-    items = benchmark.select("item_id", "text").where("length(text) > 0")
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-total // block_chars))
     id_kind, item_kind = (d.schema[c].dataType.simpleString() for d, c in ((docs, "doc_id"), (benchmark, "item_id")))
     schema = f"doc_id {id_kind}, item_id {item_kind}, start int, end int, edits int, shared_grams int"
-    kinds = [docs.schema["doc_id"].dataType, benchmark.schema["item_id"].dataType]
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    doc_type, item_type = map(to_arrow_type, kinds)
+    doc_type, item_type = (to_arrow_type(d.schema[c].dataType) for d, c in ((docs, "doc_id"), (benchmark, "item_id")))
     out = None
-    for block in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        shared = spark.sparkContext.broadcast(Index([(r[0], r[1]) for r in part.collect()], q, rate))
+    for shared in blocks_of(benchmark, block_chars):
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = shared.value
+        def run(batches: Iterator[pa.RecordBatch], shared: Broadcast = shared) -> Iterator[pa.RecordBatch]:
+            index = Index(shared.value, q, rate)
             for batch in batches:
                 rows = [(d.as_py(), index.ids[j], s, e, n, g) for d, t in zip(batch.column(0), batch.column(1), strict=True) for j, s, e, n, g in index.find(t.as_py() or "")]
                 if rows:
@@ -191,10 +262,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = 8, rate: float
     return out
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` in which no item is found; a row whose id is null stays."""
-    from lodestar.llm.common import cut
+def keep_clean(docs: DataFrame, benchmark: DataFrame, q: int = 8, rate: float = 0.08, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows of ``docs`` in which no item is found, row by row whatever their ids, with all their columns."""
+    place = docs.columns.index("text")
+    for shared in blocks_of(benchmark, block_chars):
+
+        def run(batches: Iterator[pa.RecordBatch], shared: Broadcast = shared) -> Iterator[pa.RecordBatch]:
+            index = Index(shared.value, q, rate)
+            for batch in batches:
+                yield batch.filter(pa.array([not index.find(t.as_py() or "") for t in batch.column(place)], pa.bool_()))
 
-    bad = cut(contaminated(docs, benchmark, **options).select("doc_id").distinct(), "leaks")
-    bad = bad.withColumnRenamed("doc_id", "leak_id")
-    return docs.join(bad, docs["doc_id"] == bad["leak_id"], "left_anti")
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
