@@ -113,16 +113,18 @@ rec AS (
          || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || strlen(html)::VARCHAR || chr(13) || chr(10) || chr(13) || chr(10)
          || html || chr(13) || chr(10) || chr(13) || chr(10) AS r
   FROM both_sides),
-dig AS (SELECT side, page_id, strlen(r)::BIGINT AS length, sha256(r) AS digest, row_number() OVER (PARTITION BY side, page_id ORDER BY sha256(r)) AS copy FROM rec),
-met AS (
-  SELECT coalesce(a.page_id, b.page_id) AS page_id, coalesce(a.copy, b.copy)::INTEGER AS copy, coalesce(a.length, b.length) AS length,
-         coalesce(a.digest, '') AS digest_a, coalesce(b.digest, '') AS digest_b
-  FROM (SELECT * FROM dig WHERE side = 'a') a FULL JOIN (SELECT * FROM dig WHERE side = 'b') b ON a.page_id IS NOT DISTINCT FROM b.page_id AND a.copy = b.copy),
-placed AS (SELECT *, ((row_number() OVER (ORDER BY page_id NULLS FIRST, copy) - 1) // 1000)::BIGINT AS file FROM met),
-at_offset AS (SELECT *, coalesce(sum(length) OVER (PARTITION BY file ORDER BY page_id NULLS FIRST, copy ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset" FROM placed)
-SELECT page_id, copy, file, "offset", length, digest_a, digest_b,
-       CASE WHEN digest_b = '' THEN 'missing' WHEN digest_a = '' THEN 'extra' ELSE 'damaged' END AS fault
-FROM at_offset WHERE digest_a <> digest_b""",
+dig AS (SELECT side, page_id, floor(page_id / 1000)::BIGINT AS file, strlen(r)::BIGINT AS length, sha256(r) AS digest FROM rec),
+placed AS (
+  SELECT *, coalesce(sum(length) OVER (PARTITION BY side, file ORDER BY page_id, digest ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off,
+         row_number() OVER (PARTITION BY side, page_id, digest) AS nth
+  FROM dig),
+alone AS (
+  SELECT *, row_number() OVER (PARTITION BY side, page_id ORDER BY digest, nth) AS copy FROM placed p
+  WHERE NOT EXISTS (SELECT 1 FROM placed q WHERE q.side <> p.side AND q.page_id = p.page_id AND q.digest = p.digest AND q.nth = p.nth))
+SELECT coalesce(a.page_id, b.page_id) AS page_id, coalesce(a.copy, b.copy)::INTEGER AS copy, coalesce(a.file, b.file) AS file,
+       a.off AS offset_a, a.length AS length_a, coalesce(a.digest, '') AS digest_a, b.off AS offset_b, b.length AS length_b, coalesce(b.digest, '') AS digest_b,
+       CASE WHEN b.digest IS NULL THEN 'missing' WHEN a.digest IS NULL THEN 'extra' ELSE 'damaged' END AS fault
+FROM (SELECT * FROM alone WHERE side = 'a') a FULL JOIN (SELECT * FROM alone WHERE side = 'b') b ON a.page_id = b.page_id AND a.copy = b.copy""",
     "op9_url_filter": """
 WITH r AS (
   SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
