@@ -35,16 +35,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import crc_mod
+from lodestar.llm.tokens import END_OF_TEXT, mix, token_hashes
 
 BLOCK_TOKENS = 1_000_000
 #: N-grams that a hash range is asked for, about.
 SPAN_KEYS = 3_000_000
-#: Bytes that are hashed at a time, and the longest token hashed by the tables.
-_PIECE, _SHORT = 1 << 22, 64
-_BYTES = np.array([xxhash.xxh64_intdigest(bytes([b]).lower()) for b in range(256)], np.uint64)
-_PLACES = np.array([xxhash.xxh64_intdigest(b"place %d" % k) | 1 for k in range(_SHORT)], np.uint64)
-_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
-_END, _START = np.uint64(xxhash.xxh64_intdigest(b"end")), np.uint64(xxhash.xxh64_intdigest(b"start"))
+_START = np.uint64(xxhash.xxh64_intdigest(b"start"))
 #: Kinds of n-grams: a word, the end, the start of a text, a pair that can be a context, a pair with the end, a triple.
 WORD, END, START, PAIR, LAST_PAIR, TRIPLE = range(6)
 #: Counts of contexts are told apart up to 15, then by their number of binary digits.
@@ -53,57 +49,6 @@ _EXACT, _CLASSES = 16, 16 + 64
 TOKENS, KINDS, SINGLES, CONTEXTS = 0, 1, 2, 4
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
-
-
-def token_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the tokens of ``texts``, the end of each included, in order, and the number of tokens of each."""
-    raw = texts.cast(pa.large_binary()).fill_null(b"")
-    if not len(raw):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    offsets = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
-    data = np.frombuffer(raw.buffers()[2], np.uint8) if raw.buffers()[2] is not None else np.zeros(0, np.uint8)
-    found, owners = [], []
-    lo, top = int(offsets[0]), int(offsets[-1])
-    while lo < top:
-        hi = min(lo + _PIECE, top)
-        if hi < top:  # on to the end of the token there
-            limit = int(offsets[np.searchsorted(offsets, hi)])
-            while hi < limit:
-                gap = np.flatnonzero(_SPACE[data[hi : min(hi + 4096, limit)]])
-                if len(gap):
-                    hi += int(gap[0])
-                    break
-                hi = min(hi + 4096, limit)
-        part = data[lo:hi]
-        inside = ~_SPACE[part]
-        fresh = np.zeros(len(part) + 1, bool)  # where a text begins
-        fresh[offsets[np.searchsorted(offsets, lo) : np.searchsorted(offsets, hi, "right")] - lo] = True
-        fresh[0] = fresh[-1] = True
-        begins = np.flatnonzero(inside & (fresh[:-1] | ~np.concatenate([[False], inside[:-1]])))
-        if len(begins):
-            ends = np.flatnonzero(inside & (fresh[1:] | ~np.concatenate([inside[1:], [False]]))) + 1
-            lengths = ends - begins
-            at = np.cumsum(lengths) - lengths
-            place = np.arange(int(lengths.sum())) - np.repeat(at, lengths)
-            values = _BYTES[part[inside]] * _PLACES[np.minimum(place, _SHORT - 1)]
-            hashes = np.add.reduceat(values, at) + lengths.astype(np.uint64)
-            for k in np.flatnonzero(lengths > _SHORT):
-                hashes[k] = xxhash.xxh64_intdigest(part[begins[k] : ends[k]].tobytes().lower())
-            found.append(_mix(hashes))
-            owners.append(np.searchsorted(offsets, begins + lo, "right") - 1)
-        lo = hi
-    words = np.concatenate([*found, np.zeros(0, np.uint64)])
-    owner = np.concatenate([*owners, np.zeros(0, np.int64)])
-    sizes = np.bincount(owner, minlength=len(raw)) + 1
-    out = np.full(len(words) + len(raw), _END, np.uint64)
-    out[np.arange(len(words)) + owner] = words
-    return out, sizes
-
-
 def packed(values: np.ndarray) -> bytes:
     """The bytes of uint64 values, all first bytes, then all second ones, ..., compressed."""
     planes = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
@@ -122,19 +67,19 @@ class Block:
         self.bits = bits
         words, self.sizes = token_hashes(pa.concat_arrays(texts.chunks) if texts.num_chunks else pa.array([], pa.string()))
         self.first = np.cumsum(self.sizes) - self.sizes
-        last = words == _END
+        last = words == END_OF_TEXT
         before = np.roll(words, 1)
         before[self.first] = _START
-        pair = _mix(before * np.uint64(0x9E3779B97F4A7C15) + words)
+        pair = mix(before * np.uint64(0x9E3779B97F4A7C15) + words)
         context = np.roll(pair, 1)
         self.third = np.ones(len(words), bool)  # tokens that have two before them, the start included
         self.third[self.first] = False
-        triple = _mix(context * np.uint64(0xD6E8FEB86659FD93) + words)[self.third]
+        triple = mix(context * np.uint64(0xD6E8FEB86659FD93) + words)[self.third]
         self.raw = np.concatenate([
-            self._key(_mix(words ^ np.uint64(0xA0761D6478BD642F)), np.where(last, END, WORD)),
+            self._key(mix(words ^ np.uint64(0xA0761D6478BD642F)), np.where(last, END, WORD)),
             self._key(pair, np.where(last, LAST_PAIR, PAIR)),
             self._key(triple, TRIPLE),
-            self._key(_mix(np.full(len(self.sizes), _START)), START),
+            self._key(mix(np.full(len(self.sizes), _START)), START),
         ])
 
     def _key(self, x: np.ndarray, kind: np.ndarray | int) -> np.ndarray:

@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lodestar.llm import chat_format, decontam, fingerprint, license_scan, lm_score, mixing, simhash_dedup, toxicity, url_filter, warc_audit
+from lodestar.llm import chat_format, decontam, fingerprint, license_scan, lm_score, mixing, simhash_dedup, tokens, toxicity, url_filter, warc_audit
 from lodestar.llm.common import connected
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, size bigint, fp string, score double"
@@ -110,44 +110,83 @@ def test_connected_follows_chains(spark):
 
 
 def test_keep_one_keeps_each_class_once(spark, sample):
-    kept = simhash_dedup.keep_one(docs_of(spark, sample))
+    docs = docs_of(spark, [*sample, (None, words(3, 33), "s9"), (None, "no id but a text of its own", "s1"), (None, "no id but a text of its own", "s1"), (None, "no id but a text of its own", "s2")])
+    kept = simhash_dedup.keep_one(docs)
     assert kept.columns == [c.split()[0] for c in DOCS.split(", ")]
-    ids = sorted(r.doc_id for r in kept.collect() if r.doc_id is not None)
+    got = kept.collect()
+    ids = sorted(r.doc_id for r in got if r.doc_id is not None)
     assert len(ids) == len(set(ids)) and set(range(40)) <= set(ids) and 201 not in ids and {300, 303} <= set(ids) and not {301, 302} & set(ids)
-    assert simhash_dedup.keep_one(docs_of(spark, sample).limit(0)).count() == 0
+    assert [r.text for r in got if r.doc_id is None] == ["no id but a text of its own"]  # the other one is a copy of 3
+    assert simhash_dedup.keep_one(docs.limit(0)).count() == 0
 
 
-def test_keep_one_finds_all_near_copies(spark):
+def grams_of(text, n=5):
+    w = (text or "").lower().split()
+    return {" ".join(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
+
+
+def test_wide_fingerprints_equal_brute_force():
+    import pyarrow as pa
+
+    texts = [None, "", "one", "one Two", "a b c d e", words(1, 700, 50), "x " * 3000, words(2, 40), "one"]
+    got = simhash_dedup.wide_fingerprints(pa.array(texts))
+    hashes = {}
+    for t in texts:
+        for g in grams_of(t):
+            hashes.setdefault(g, simhash_dedup.shingles(pa.array([g]), 5)[0][0])
+    assert len(set(hashes.values())) == len(hashes)
+    for t, row in zip(texts, got, strict=True):
+        own = np.array([hashes[g] for g in grams_of(t)], np.uint64)
+        for k in (0, 7, 15):
+            bits = simhash_dedup.mix(own * np.uint64(0xD6E8FEB86659FD93) + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)).tolist()
+            assert int(row[k]) == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in bits) > len(bits))
+
+
+@pytest.mark.parametrize("tile", [7, 65536])
+def test_wide_tiles_lose_no_link(spark, tile):
+    draw = np.random.default_rng(5)
+    base = draw.integers(0, 1 << 63, (12, 16), dtype=np.uint64)
+    rows = [base[k % 12].copy() for k in range(60)]
+    for k, r in enumerate(rows):
+        flips = draw.permutation(1024)[: k * 4]
+        for f in flips:
+            r[f // 64] ^= np.uint64(1 << int(f % 64))
+    rows += [np.zeros(16, np.uint64), np.full(16, (1 << 64) - 1, np.uint64)]
+    radius, gate = simhash_dedup.radius_for(0.8, 1024, 1.5), simhash_dedup.radius_for(0.8, 64, 4.0)
+    df = spark.createDataFrame([(k, bytearray(r.tobytes()), int(np.bitwise_count(r).sum())) for k, r in enumerate(rows)], "name bigint, fp binary, ones int")
+    edges = [(r.a, r.b) for r in simhash_dedup.similar(df, 0.8, tile).collect()]
+    want = {(i, j) for i in range(len(rows)) for j in range(i) if np.bitwise_count(rows[i] ^ rows[j]).sum() <= radius and np.bitwise_count(rows[i][0] ^ rows[j][0]) <= gate}
+
+    def classes(pairs):
+        root = list(range(len(rows)))
+        for i, j in pairs:
+            a, b = root[i], root[j]
+            root = [min(a, b) if x in (a, b) else x for x in root]
+        return root
+
+    assert classes(edges) == classes(want) and len(edges) < 60 * max(1, len(rows) // tile)
+
+
+def test_keep_one_finds_near_copies(spark):
     draw, rows = random.Random(11), []
-    for g in range(12):
+    for g in range(40):
         base = words(7000 + g, 60 + 20 * g, 5000).split()
-        rows.append((g, " ".join(base), "s"))
-        for k in range(6):  # similarities from about 0.7 to 0.97
+        rows.append((10 * g, " ".join(base), "s"))
+        for k in range(1, 4):  # similarities from about 0.5 to 0.97
             t = list(base)
-            for at in draw.sample(range(len(t)), 1 + k * len(t) // 160):
+            for at in draw.sample(range(len(t)), 1 + k * k * len(t) // 90):
                 t[at] = f"q{g}x{k}x{at}"
-            rows.append((100 * (g + 1) + k, " ".join(t), "s"))
+            rows.append((10 * g + k, " ".join(t), "s"))
     line = words(1, 40)  # a passage of many documents
-    rows += [(5000 + k, words(k, 30, 5000) + " " + line, "s") for k in range(30)] + [(6000, "a b", "s"), (6001, "A  b", "s"), (6002, "", "s"), (6003, None, "s")]
-
-    def grams(text):
-        w = (text or "").lower().split()
-        return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
-
-    sets = {i: grams(t) for i, t, _ in rows}
-    root = {i: i for i in sets}
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    like = {(i, j): len(sets[i] & sets[j]) / max(1, len(sets[i] | sets[j])) for i in sets for j in sets if i < j}
-    linked = [p for p, v in like.items() if v >= 0.8 or sets[p[0]] == sets[p[1]]]
-    assert sum(0.8 <= like[p] < 0.9 for p in linked) > 20 and sum(0.6 < v < 0.8 for v in like.values()) > 20
-    for i, j in linked:
-        root[max(find(i), find(j))] = min(find(i), find(j))
-    assert {r.doc_id for r in simhash_dedup.keep_one(docs_of(spark, rows)).collect()} == {find(i) for i in sets}
+    rows += [(5000 + k, words(k, 60, 5000) + " " + line, "s") for k in range(30)] + [(6000, "a b", "s"), (6001, "A  b", "s"), (6002, "", "s"), (6003, None, "s")]
+    sets = {i: grams_of(t) for i, t, _ in rows}
+    like = {(i, j): len(sets[i] & sets[j]) / max(1, len(sets[i] | sets[j])) for i in sets for j in sets if i < j and (i // 10 == j // 10 or i >= 5000)}
+    kept = {r.doc_id for r in simhash_dedup.keep_one(docs_of(spark, rows)).collect()}
+    near = {j for (i, j), v in like.items() if v >= 0.8}
+    assert len(near) > 25 and len(near & kept) <= 0.1 * len(near)
+    assert not {j for (i, j), v in like.items() if v >= 0.87} & kept
+    far = {j for j in sets if j % 10 and j < 5000 and max(v for p, v in like.items() if j in p) < 0.65}
+    assert len(far) > 25 and far <= kept and set(range(5000, 5030)) | {6000, 6002} <= kept and not {6001, 6003} & kept
 
 
 # --- mixing
@@ -372,16 +411,16 @@ def test_score_equals_brute_force(spark, sample):
 def test_token_hashes_do_not_hang_on_pieces(monkeypatch, piece):
     import pyarrow as pa
 
-    monkeypatch.setattr(lm_score, "_PIECE", piece)
+    monkeypatch.setattr(tokens, "_PIECE", piece)
     texts = [None, "", "a B  c", " ", "long" * 40 + " a", "x\tb\nA ", "é É", "A" * 70, "a" * 70]
-    hashes, sizes = lm_score.token_hashes(pa.array(texts))
+    hashes, sizes = tokens.token_hashes(pa.array(texts))
     words = [[w for w in (t or "").encode().lower().split()] + [None] for t in texts]
     assert sizes.tolist() == [len(w) for w in words]
     seen = {}
     for w, h in zip((w for t in words for w in t), hashes.tolist(), strict=True):
         assert seen.setdefault(w, h) == h
     assert len(set(seen.values())) == len(seen)
-    part, sizes = lm_score.token_hashes(pa.array(texts).slice(2, 3))
+    part, sizes = tokens.token_hashes(pa.array(texts).slice(2, 3))
     assert sizes.tolist() == [4, 1, 3] and part.tolist() == hashes.tolist()[2:10]
 
 
@@ -535,22 +574,78 @@ def test_licence_model_without_corpus(spark):
 # --- WARC
 
 
-def test_audit_finds_each_fault(spark):
-    rows = [(i, f"http://a/{i}", "body" * (i % 50)) for i in range(2500)]
-    other = [(i, u, b + "!" if i == 77 else b) for i, u, b in rows if i != 1234] + [(9000, "u", "new")]
-    schema = "page_id bigint, url string, html string"
-    got = {(r.page_id, r.fault, r.file) for r in warc_audit.audit(spark.createDataFrame(rows, schema), spark.createDataFrame(other, schema)).collect()}
-    assert got == {(77, "damaged", 0), (1234, "missing", 1), (9000, "extra", 2)}
-    same = spark.createDataFrame([*rows[:5], (None, None, None), rows[0]], schema)
-    assert warc_audit.audit(same, same).count() == 0 and warc_audit.audit(same.limit(0), same.limit(0)).count() == 0
+PAGES = "page_id bigint, url string, html string, digest string, file int, start int"
+
+
+def pages_of(spark, rows):
+    return spark.createDataFrame([(*r, "clash", 1, 2) for r in rows], PAGES)
 
 
-def test_tree_ends_in_one_root(spark):
-    pages = spark.createDataFrame([(i, "u", "x" * 300) for i in range(3000)], "page_id bigint, url string, html string")
-    levels = warc_audit.tree(warc_audit.leaves(pages, pages))
-    assert levels[-1].count() == 1 and levels[1].count() == 3
-    root = levels[-1].first()
-    assert root.digest_a == root.digest_b and len(root.digest_a) == 64
+def brute_audit(first, second):
+    sides = []
+    for rows in (first, second):
+        files = {}
+        for i, u, b in rows:
+            body = (b or "").encode()
+            text = f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{'' if i is None else i}>\r\nWARC-Target-URI: {u or ''}\r\nContent-Type: text/html\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body + b"\r\n\r\n"
+            files.setdefault(warc_audit.NO_ID if i is None else i // 1000, []).append((i or 0, hashlib.sha256(text).hexdigest(), len(text), i))
+        found = []
+        for f, records in files.items():
+            at = 0
+            for _, digest, n, i in sorted(records, key=lambda r: r[:3]):
+                found.append((i, digest, f, at, n))
+                at += n
+        sides.append(found)
+    out = []
+    for i in {r[0] for s in sides for r in s}:
+        mine = [[r for r in s if r[0] == i] for s in sides]
+        both = Counter(r[1] for r in mine[0]) & Counter(r[1] for r in mine[1])
+        rest = []
+        for s in mine:
+            drop, alone = Counter(both), []
+            for r in sorted(s, key=lambda r: (r[1], r[3])):
+                if drop[r[1]]:
+                    drop[r[1]] -= 1
+                else:
+                    alone.append(r)
+            rest.append(alone)
+        for k in range(max(map(len, rest))):
+            a, b = (s[k] if k < len(s) else None for s in rest)
+            out.append((i, (a or b)[2], a and a[2:], a and a[1] or "", b and b[2:], b and b[1] or "", "missing" if b is None else "extra" if a is None else "damaged"))
+    return out
+
+
+@pytest.mark.parametrize("crowded", [3, 1024])
+def test_audit_equals_brute_force(spark, monkeypatch, crowded):
+    monkeypatch.setattr(warc_audit, "SLICED", crowded)
+    rows = [(i, f"http://a/{i}", "body" * (i % 50)) for i in range(2500)] + [(-70, "n", "x"), (1_000_000_000, None, None), (7, "again", "y")]
+    rows += [(None, "u", f"no id {k % 9}") for k in range(40)] + [(42, "u", "copy")] * 20 + [(8, "long", "z" * 300_000)]
+    other = [(i, u, (b or "") + "!" if i in (77, 8) and u != "again" else b) for i, u, b in rows if i not in (1234, -70)] + [(9000, "u", "new"), (1235, "u", "one more"), (None, "u", "new"), (42, "u", "copy"), (42, "u", "other")]
+    got = warc_audit.audit(pages_of(spark, rows), pages_of(spark, other[::-1])).collect()
+    row = lambda r: (r.page_id, r.file, None if r.digest_a == "" else (r.file, r.offset_a, r.length_a), r.digest_a, None if r.digest_b == "" else (r.file, r.offset_b, r.length_b), r.digest_b, r.fault)
+    want = brute_audit(rows, other)
+    if crowded == 1024:
+        assert Counter(map(row, got)) == Counter(want)
+    else:  # slices lie in another order, so only the offsets differ
+        assert Counter((r.page_id, r.digest_a, r.digest_b, r.fault) for r in got) == Counter((w[0], w[3], w[5], w[6]) for w in want)
+    same = pages_of(spark, [*rows[:5], (None, None, None), rows[0]])
+    assert warc_audit.audit(same, same).count() == 0 and warc_audit.audit(same.limit(0), same.limit(0)).count() == 0
+    assert {r.fault for r in warc_audit.audit(same, same.limit(0)).collect()} == {"missing"} and warc_audit.audit(same.limit(0), same).count() == 7
+
+
+def test_trees_are_their_own_and_equal_branches_are_left_alone(spark):
+    rows = [(i, "u", "x" * 300) for i in range(200_000, 270_000, 20)]
+    pages, other = pages_of(spark, rows), pages_of(spark, [r for r in rows if r[0] != 205_000])
+    none = spark.createDataFrame([], "file bigint, range bigint, crowded boolean")
+    a, b = (warc_audit.tree(warc_audit.sliced(warc_audit.digests(p), none), 3) for p in (pages, other))
+    assert [level.count() for level in a[:4]] == [1, 1, 2, 70] and a[0].first().digest != b[0].first().digest
+    bad, met = None, []
+    for x, y in zip(a, b, strict=True):
+        own = [c for c in x.columns if c not in ("length", "digest")]
+        bad = warc_audit.cut(warc_audit.differing(x, y, own, bad), "bad")
+        met.append(bad.count())
+    assert met == [1] * len(met)  # a lost record changes one branch only, whatever its length
+    assert warc_audit.differing(a[0], a[0], ["root"], None).count() == 0
 
 
 # --- URLs
