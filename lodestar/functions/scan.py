@@ -66,7 +66,7 @@ def ewm(df: DataFrame, specs: list[tuple[str, str, float, int, str]], keys: tupl
     """Exponential means ``(name, column, alpha, n, seed)`` in one pass.
 
     Seed ``sma``: row n holds the mean of the values among the first n rows, nothing stands
-    before it.  Seed ``first``: it starts with the first value and is shown from the n-th on.
+    before it; without any value there it starts with the first one.  Seed ``first``: it starts with the first value and is shown from the n-th on.
     """
     w = Window.partitionBy(*keys).orderBy(order)
     so_far = w.rowsBetween(Window.unboundedPreceding, 0)
@@ -80,7 +80,8 @@ def ewm(df: DataFrame, specs: list[tuple[str, str, float, int, str]], keys: tupl
         i, c, v = F.col("_i"), F.col(f"_c{k}"), F.col(x)
         go, put = F.lit(1.0 - alpha), v * F.lit(alpha)
         if seed == "sma":
-            terms[f"_e{k}"] = (F.when(i <= n, 0.0).otherwise(go), F.when(i < n, 0.0).when(i == n, F.coalesce(F.col(f"_m{k}"), F.lit(0.0))).otherwise(put))
+            late = (i > n) & (c == 1) & v.isNotNull()  # no value among the first n rows: it starts with the first one
+            terms[f"_e{k}"] = (F.when((i <= n) | late, 0.0).otherwise(go), F.when(i < n, 0.0).when(i == n, F.coalesce(F.col(f"_m{k}"), F.lit(0.0))).when(late, v).otherwise(put))
         else:
             terms[f"_e{k}"] = (F.when(c <= 1, 0.0).otherwise(go), F.when(c == 0, 0.0).when((c == 1) & v.isNotNull(), v).otherwise(put))
     out = linear_scan(df, terms, keys, order, chunk)

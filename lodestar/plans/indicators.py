@@ -87,7 +87,7 @@ def _recursive(setup: str, source: str, specs: list[tuple[str, str, float, int,
         a = f"{alpha!r}::DOUBLE"
         if seed == "sma":
             init.append(f"CASE WHEN {n} = 1 THEN m{k} END AS y{k}")
-            step.append(f"CASE WHEN s.i < {n} THEN NULL WHEN s.i = {n} THEN s.m{k} WHEN s.{x} IS NULL THEN rec.y{k} ELSE {a} * s.{x} + (1 - {a}) * rec.y{k} END")
+            step.append(f"CASE WHEN s.i < {n} THEN NULL WHEN s.i = {n} THEN s.m{k} WHEN s.{x} IS NULL THEN rec.y{k} WHEN rec.y{k} IS NULL THEN s.{x} ELSE {a} * s.{x} + (1 - {a}) * rec.y{k} END")
             show.append(f"CASE WHEN s.i >= {n} AND c{k} > 0 THEN y{k} END AS {name}")
         else:
             init.append(f"{x} AS y{k}")
