@@ -398,12 +398,14 @@ def supertrend(df: DataFrame, length: int = 7, multiplier: float = 3.0) -> DataF
         if width != width or width is None:
             return state, (None, None)
         lo, up = mid - multiplier * width, mid + multiplier * width
-        if upper is not None:
-            side = 1 if close > upper else -1 if close < lower else side
-            if side > 0:
-                lo = max(lo, lower)
-            else:
-                up = min(up, upper)
+        if upper is not None and close > upper:
+            side = 1  # a broken band starts anew
+        elif upper is not None and close < lower:
+            side = -1
+        elif upper is not None and side > 0:
+            lo = max(lo, lower)
+        elif upper is not None:
+            up = min(up, upper)
         return (lo, up, side), (lo if side > 0 else up, side)
 
     made = T.StructType([T.StructField(f"SUPERT_{length}", T.DoubleType()), T.StructField(f"SUPERTd_{length}", T.LongType())])

@@ -32,14 +32,37 @@ def not_crawled(found: DataFrame, crawled: DataFrame) -> DataFrame:
     return found.join(crawled.select("link").distinct(), "link", "left_anti")
 
 
-def freshness(pages: DataFrame, as_of: str, months: int = 6) -> DataFrame:
-    """The newest date in the text (three notations) and whether it is at most ``months`` old."""
-    names = "january february march april may june july august september october november december".split()
-    iso = F.transform(F.regexp_extract_all("html", F.lit(r"\b(\d{4}-\d{2}-\d{2})\b"), F.lit(1)), lambda d: F.try_to_date(d, "yyyy-MM-dd"))
-    us = F.transform(F.regexp_extract_all("html", F.lit(r"\b(\d{1,2}/\d{1,2}/\d{4})\b"), F.lit(1)), lambda d: F.try_to_date(d, "M/d/yyyy"))
-    long = F.transform(F.regexp_extract_all("html", F.lit(rf"(?i)\b((?:{'|'.join(names)}) \d{{1,2}}, \d{{4}})\b"), F.lit(1)), lambda d: F.try_to_date(F.initcap(d), "MMMM d, yyyy"))
-    newest = F.array_max(F.array_compact(F.concat(iso, us, long)))
-    return pages.select("page_id", newest.alias("newest")).withColumn("fresh", F.coalesce(c("newest") >= F.add_months(F.to_date(F.lit(as_of)), -months), F.lit(False)))
+#: The notations of dates in texts, the year alone last.
+DATES = (
+    r"\b\d{4}-\d{2}-\d{2}\b",
+    r"\b\d{1,2}/\d{1,2}/\d{4}\b",
+    r"(?i)\b(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]* \d{1,2}, \d{4}\b",
+    r"(?i)\b\d{1,2} (?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]* \d{4}\b",
+    r"\b\d{4}\b",
+)
+
+
+def freshness(pages: DataFrame, as_of: str, days: int = 180, plausible_years: int = 5) -> DataFrame:
+    """The newest plausible date in the text, and whether the page is fresh: no such date, or one at most ``days`` old.
+
+    Dates of the last ``plausible_years`` years and up to the day itself count; a year alone stands for the day of ``as_of`` in it.
+    """
+    text = F.regexp_replace("html", r"<[^>]*>", " ")
+    day = F.to_date(F.lit(as_of))
+    month = lambda d: F.format_string("%02d", F.floor((F.position(F.lower(F.regexp_extract(d, r"([A-Za-z]{3})", 1)), F.lit("janfebmaraprmayjunjulaugsepoctnovdec")) + 2) / 3))
+    part = lambda d, k: F.regexp_extract(d, r"(\d+)\D+(\d+)", k)
+    put = lambda *x: F.try_to_date(F.concat_ws("-", *x), "yyyy-M-d")
+    first, other = part, lambda d, k: F.regexp_extract(d, r"(\d+)/(\d+)/(\d+)", k)
+    read = [
+        lambda d: F.try_to_date(d, "yyyy-MM-dd"),
+        lambda d: F.when(other(d, 1).cast("int") > 12, put(other(d, 3), other(d, 2), other(d, 1))).otherwise(put(other(d, 3), other(d, 1), other(d, 2))),
+        lambda d: put(first(d, 2), month(d), first(d, 1)),
+        lambda d: put(first(d, 2), month(d), first(d, 1)),
+        lambda d: put(d, F.month(day).cast("string"), F.dayofmonth(day).cast("string")),
+    ]
+    found = F.array_compact(F.concat(*(F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(0)), r) for p, r in zip(DATES, read, strict=True))))
+    newest = F.array_max(F.filter(found, lambda d: (d > F.date_sub(day, 365 * plausible_years)) & (d <= day)))
+    return pages.select("page_id", newest.alias("newest")).withColumn("fresh", F.coalesce(c("newest") >= F.date_sub(day, days), F.lit(True)))
 
 
 class _Text(HTMLParser):

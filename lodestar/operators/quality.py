@@ -10,8 +10,8 @@ from lodestar.functions.windows import by_time, last_n, ratio
 
 #: The checks by severity.
 SEVERE = ("invalid_datetime", "missing_ohlc", "non_positive_ohlc", "ohlc_structure_violation", "duplicate_datetime")
-WARNING = ("outlier_return",)
-INFO = ("flat_bar",)
+WARNING = ("outlier_return", "flat_bar")
+INFO: tuple[str, ...] = ()
 
 
 def robust_z(df: DataFrame, col: Column, name: str, window: int = 100, least: int = 30, scale: float = 1.4826) -> DataFrame:
@@ -47,8 +47,10 @@ def masks(checked: DataFrame) -> DataFrame:
 
 def qc_summary(checked: DataFrame) -> DataFrame:
     each = [F.sum(F.col(n).cast("bigint")).alias(n) for n in (*SEVERE, *WARNING, *INFO)]
-    flagged = F.sum((F.col("severe") | F.col("warning")).cast("bigint"))
-    return masks(checked).groupBy("symbol").agg(F.count("*").alias("rows"), flagged.alias("flagged"), (100.0 * flagged / F.count("*")).alias("flagged_pct"), *each)
+    split = {"flagged": F.col("severe") | F.col("warning"), "severe_rows": F.col("severe"), "warning_rows": F.col("warning")}
+    sums = {k: F.sum(v.cast("bigint")) for k, v in split.items()}
+    shares = [x for k, v in sums.items() for x in (v.alias(k), (100.0 * v / F.count("*")).alias(f"{k}_pct"))]
+    return masks(checked).groupBy("symbol").agg(F.count("*").alias("rows"), *shares, *each)
 
 
 def qc_detail(checked: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestar.functions.scan import scan_state
+from lodestar.functions.scan import ewm, scan_state
 from lodestar.functions.windows import by_time, ratio
 
 #: The time frames and their seconds.
@@ -41,10 +41,11 @@ def resample(bars: DataFrame, frames: dict[str, int], keys: tuple[str, ...] = ("
 
 
 def derive(bars: DataFrame, keys: tuple[str, ...] = ("symbol", "frame")) -> DataFrame:
-    """``ret, log_ret, range, body`` of bars."""
+    """``ret, log_ret, range, body, atr14`` of bars; the last is the exponential mean of the range over 14 bars."""
     w = Window.partitionBy(*keys).orderBy("ts")
     before = F.lag("close").over(w)
-    return bars.withColumns({"ret": ratio(F.col("close"), before) - 1, "log_ret": F.ln(ratio(F.col("close"), before)), "range": F.col("high") - F.col("low"), "body": F.col("close") - F.col("open")})
+    bars = bars.withColumns({"ret": ratio(F.col("close"), before) - 1, "log_ret": F.ln(ratio(F.col("close"), before)), "range": F.col("high") - F.col("low"), "body": F.col("close") - F.col("open")})
+    return ewm(bars, [("atr14", "range", 2 / 15, 1, "first")], keys)
 
 
 def asof(left: DataFrame, right: DataFrame, columns: list[str]) -> DataFrame:

@@ -12,8 +12,8 @@ MONTHS = dict(zip("FGHJKMNQUVXZ", range(1, 13), strict=True))
 def classify(df: DataFrame, symbol: str = "symbol") -> DataFrame:
     """``kind`` (spread, outright, unknown), and of outrights ``root, exp_year, exp_month``."""
     s = F.upper(F.col(symbol))
-    outright = s.rlike("^[A-Z0-9]+[FGHJKMNQUVXZ][0-9]{1,2}$")
-    part = lambda k: F.when(outright, F.regexp_extract(s, "^([A-Z0-9]+)([FGHJKMNQUVXZ])([0-9]{1,2})$", k))
+    outright = s.rlike("^[A-Z]+[FGHJKMNQUVXZ][0-9]{1,2}$")
+    part = lambda k: F.when(outright, F.regexp_extract(s, "^([A-Z]+)([FGHJKMNQUVXZ])([0-9]{1,2})$", k))
     year = part(3).cast("int")
     full = F.when(year < 70, year + 2000).otherwise(year + 1900)
     month = F.element_at(F.create_map(*(F.lit(x) for pair in MONTHS.items() for x in pair)), part(2))

@@ -252,8 +252,8 @@ SELECT n.symbol, ts, {_r("k", "KAMA_10")} FROM n LEFT JOIN r ON r.symbol = n.sym
 r AS (
   SELECT symbol, i, mid - 3 * atr AS lo, mid + 3 * atr AS up, 1 AS side FROM n WHERE i = 8
   UNION ALL
-  SELECT symbol, i, CASE WHEN side > 0 THEN greatest(lo, plo) ELSE lo END, CASE WHEN side < 0 THEN least(up, pup) ELSE up END, side
-  FROM (SELECT n.symbol, n.i, n.mid - 3 * n.atr AS lo, n.mid + 3 * n.atr AS up, r.lo AS plo, r.up AS pup, CASE WHEN n.close > r.up THEN 1 WHEN n.close < r.lo THEN -1 ELSE r.side END AS side
+  SELECT symbol, i, CASE WHEN kept AND side > 0 THEN greatest(lo, plo) ELSE lo END, CASE WHEN kept AND side < 0 THEN least(up, pup) ELSE up END, side
+  FROM (SELECT n.symbol, n.i, n.mid - 3 * n.atr AS lo, n.mid + 3 * n.atr AS up, r.lo AS plo, r.up AS pup, CASE WHEN n.close > r.up THEN 1 WHEN n.close < r.lo THEN -1 ELSE r.side END AS side, n.close BETWEEN r.lo AND r.up AS kept
         FROM r JOIN n ON n.symbol = r.symbol AND n.i = r.i + 1))
 SELECT n.symbol, n.ts, {_r("CASE WHEN side > 0 THEN lo ELSE up END", "SUPERT_7")}, side::BIGINT AS "SUPERTd_7" FROM n LEFT JOIN r ON r.symbol = n.symbol AND r.i = n.i""",
     "ta_cycles": f"""{_FIRST}, t AS (

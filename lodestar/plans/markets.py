@@ -94,6 +94,12 @@ l AS (SELECT page_id, pos, CASE WHEN regexp_matches(href, '^https?://') THEN hre
 g AS (SELECT page_id, link, min(pos) AS pos FROM l WHERE link IS NOT NULL GROUP BY 1, 2) SELECT page_id, link, (row_number() OVER (PARTITION BY page_id ORDER BY pos, link))::INTEGER AS rank FROM g QUALIFY rank <= 200""",
     "page_routes": r"""SELECT page_id, regexp_extract(url, '^[a-z]+://(?:www\.)?([^/?#:]+)', 1) AS domain,
 regexp_replace(regexp_replace(lower(regexp_replace(url, '^[a-z]+://', '')), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') || '.html' AS file FROM pages""",
-    "page_freshness": r"""WITH d AS (SELECT page_id, list_transform(regexp_extract_all(html, '\b(\d{4}-\d{2}-\d{2})\b', 1), lambda x: try_strptime(x, '%Y-%m-%d')::DATE) || list_transform(regexp_extract_all(html, '\b(\d{1,2}/\d{1,2}/\d{4})\b', 1), lambda x: try_strptime(x, '%m/%d/%Y')::DATE) AS ds FROM pages)
-SELECT page_id, list_max(ds) AS newest, coalesce(list_max(ds) >= DATE '2024-06-30' - INTERVAL 6 MONTH, false) AS fresh FROM d""",
+    "page_freshness": r"""WITH t AS (SELECT page_id, regexp_replace(html, '<[^>]*>', ' ', 'g') AS t FROM pages),
+d AS (SELECT page_id, list_transform(regexp_extract_all(t, '\b\d{4}-\d{2}-\d{2}\b'), lambda x: try_strptime(x, '%Y-%m-%d')::DATE)
+  || list_transform(regexp_extract_all(t, '\b\d{1,2}/\d{1,2}/\d{4}\b'), lambda x: coalesce(try_strptime(x, '%m/%d/%Y'), try_strptime(x, '%d/%m/%Y'))::DATE)
+  || list_transform(regexp_extract_all(t, '(?i)\b(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]* \d{1,2}, \d{4}\b'), lambda x: try_strptime(regexp_replace(x, '^(...)\S*', '\1'), '%b %d, %Y')::DATE)
+  || list_transform(regexp_extract_all(t, '(?i)\b\d{1,2} (?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]* \d{4}\b'), lambda x: try_strptime(regexp_replace(x, '^(\d+ ...)\S*', '\1'), '%d %b %Y')::DATE)
+  || list_transform(regexp_extract_all(t, '\b\d{4}\b'), lambda x: try_strptime(x || '-06-30', '%Y-%m-%d')::DATE) AS ds FROM t),
+n AS (SELECT page_id, list_max(list_filter(ds, lambda x: x > DATE '2024-06-30' - 1825 AND x <= DATE '2024-06-30')) AS newest FROM d)
+SELECT page_id, newest, coalesce(newest >= DATE '2024-06-30' - 180, true) AS fresh FROM n""",
 }

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestar.operators import patterns as p
 from lodestar.plans.common import rounded, settle
+from lodestar.plans.indicators import _recursive
 from lodestar.sources.bridge import BARS_SQL, TICKS_SQL, bars, ticks
 
 
@@ -43,6 +44,7 @@ QUERIES = {
     "volatility_arch_lm": _daily(p.arch_lm),
     "range_zones": _daily(p.range_zones),
     "stationarity_hurst": _daily(p.hurst),
+    "stationarity_rolling_hurst": _daily(p.rolling_hurst),
     "stationarity_variance_ratio": _daily(p.variance_ratio),
     "stationarity_unit_root": _daily(p.unit_root),
     "overnight_split": _daily(p.overnight_split),
@@ -94,6 +96,31 @@ l AS (SELECT symbol, x, {", ".join(f"lag(x, {k}) OVER w AS x{k}" for k in lags)}
 {" UNION ALL ".join(f"SELECT symbol, {k} AS lag, round(corr(x, x{k}), 6) AS r FROM l GROUP BY symbol" for k in lags)}"""
 
 
+def _orthogonal(k: int) -> str:
+    """CTEs that end in ``fit`` with n, R squared and the last t value of the regression of y on x1 ... xk in ``src``, by making the x orthogonal one after another."""
+    names = [f"x{j}" for j in range(1, k + 1)]
+    sql = [f"o0 AS (SELECT * FROM src WHERE y IS NOT NULL AND {' AND '.join(f'{x} IS NOT NULL' for x in names)})"]
+    for j in range(1, k):
+        part = "OVER (PARTITION BY k)"
+        rest = ", ".join(f"{x} - avg({x}) {part} - coalesce(regr_slope({x}, x{j}) {part}, 0) * (x{j} - avg(x{j}) {part}) AS {x}" for x in names[j:])
+        sql.append(f"o{j} AS (SELECT * EXCLUDE ({', '.join(names[j:])}), {rest} FROM o{j - 1})")
+    r2 = " + ".join(f"corr(y, {x}) ** 2" for x in names)
+    sql.append(f"ft AS (SELECT k, count(*) AS n, {r2} AS r2, regr_slope(y, x{k}) AS b, regr_sxx(y, x{k}) AS sxx, regr_syy(y, x{k}) AS syy FROM o{k - 1} GROUP BY k)")
+    sql.append(f"fit AS (SELECT k, n, r2, b / sqrt(syy * (1 - r2) / (n - {k + 1}) / sxx) AS t FROM ft)")
+    return ",\n".join(sql)
+
+
+def _ranges(source: str, by: str, most: int) -> str:
+    """CTEs that end in ``m`` with the mean rescaled range of each size of pieces of ``source``."""
+    return f"""nn AS (SELECT {by}, count(*) AS n, least({most}, count(*) // 2)::DOUBLE AS top FROM {source} GROUP BY 1),
+sz AS (SELECT DISTINCT {by}, floor(pow(10.0::DOUBLE, 1.0::DOUBLE + k * ((log10(top) - 1.0::DOUBLE) / 19)) + 1e-9)::BIGINT AS s FROM nn, generate_series(0, 19) g(k) WHERE top > 10),
+c AS (SELECT {by}, s, i // s AS piece, i, ret FROM {source} JOIN sz USING ({by})),
+d AS (SELECT *, ret - avg(ret) OVER p AS d, count(*) OVER p AS n FROM c WINDOW p AS (PARTITION BY {by}, s, piece)),
+k AS (SELECT *, sum(d) OVER (PARTITION BY {by}, s, piece ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k FROM d WHERE n = s),
+rs AS (SELECT {by}, s, piece, (max(k) - min(k)) / nullif(stddev_samp(ret), 0) AS rs FROM k GROUP BY 1, 2, 3),
+m AS (SELECT {by}, s, avg(rs) AS rs FROM rs GROUP BY 1, 2)"""
+
+
 def _streak_side(direction: str, test: str) -> str:
     return f"""{direction} AS (
   SELECT symbol, ts, fwd, ({test}) AS on_, sum(CASE WHEN {test} THEN 0 ELSE 1 END) OVER (PARTITION BY symbol ORDER BY ts) AS run FROM f),
@@ -148,13 +175,12 @@ SELECT symbol, n, round(n * (n + 2) * ({" + ".join(f"(s{k} / ss) * (s{k} / ss) /
 h AS (SELECT symbol, hour(ts)::INTEGER AS hour, ret, lag(ret) OVER (PARTITION BY symbol, hour(ts) ORDER BY ts) AS before FROM r WHERE ret IS NOT NULL),
 c AS (SELECT symbol, hour, count(*) AS n, corr(ret, before) AS r FROM h GROUP BY 1, 2 HAVING count(*) >= 30)
 SELECT symbol, hour, n, round(r, 6) AS r, CASE WHEN r > 0.05 THEN 'momentum' WHEN r < -0.05 THEN 'reversion' ELSE 'neutral' END AS label FROM c""",
-    "volatility_regimes": f"""{_RET},
-a AS (
-  SELECT symbol, CASE WHEN count(range) OVER w14 = 14 THEN avg(range) OVER w14 END AS atr, lead(ret) OVER w AS next_ret
-  FROM r WINDOW w AS (PARTITION BY symbol ORDER BY ts), w14 AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 13 PRECEDING AND CURRENT ROW)),
-e AS (SELECT symbol, quantile_cont(atr, 0.33::DOUBLE) AS lo, quantile_cont(atr, 0.67::DOUBLE) AS hi FROM a WHERE atr IS NOT NULL GROUP BY symbol)
-SELECT symbol, CASE WHEN atr <= lo THEN 'low' WHEN atr <= hi THEN 'mid' ELSE 'high' END AS regime, {_stats("next_ret")}, round(avg(atr), 6) AS avg_atr
-FROM a JOIN e USING (symbol) WHERE atr IS NOT NULL GROUP BY 1, 2""",
+    "volatility_regimes": _recursive(_RET.replace("WITH ", "WITH RECURSIVE ", 1), "r", [("atr", "range", 2 / 15, 1, "first")], "ra")
+    + f""", a AS (SELECT *, {", ".join(f"lead(close, {k}) OVER w / nullif(close, 0) - 1 AS f{k}" for k in (1, 2, 3, 5))} FROM ra WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
+e AS (SELECT symbol, quantile_cont(atr, 0.33::DOUBLE) AS lo, quantile_cont(atr, 0.67::DOUBLE) AS hi FROM a GROUP BY symbol)
+SELECT symbol, CASE WHEN atr >= hi THEN 'high' WHEN atr <= lo THEN 'low' ELSE 'mid' END AS regime, {_stats(periods=1)}, round(avg(atr), 6) AS avg_atr,
+       {", ".join(f"round(avg(f{k}), 6) AS mean_fwd_{k}, round(avg(CASE WHEN f{k} > 0 THEN 1.0::DOUBLE WHEN f{k} IS NOT NULL THEN 0.0::DOUBLE END), 6) AS win_fwd_{k}" for k in (1, 2, 3, 5))}
+FROM a JOIN e USING (symbol) GROUP BY 1, 2 HAVING count(ret) >= 10""",
     "volatility_narrow_range": f"""{_RET},
 a AS (
   SELECT symbol, lead(close) OVER w / nullif(close, 0) - 1 AS fwd, CASE WHEN close >= open THEN 'up' ELSE 'down' END AS direction,
@@ -173,9 +199,10 @@ x AS (
   WINDOW w AS (PARTITION BY symbol ORDER BY ts), w21 AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 20 PRECEDING AND CURRENT ROW) QUALIFY vol IS NOT NULL AND fwd IS NOT NULL),
 {_bins("vol", 4)}
 SELECT symbol, bin::INTEGER AS bin, {_stats("fwd")} FROM b GROUP BY 1, 2""",
-    "volatility_arch_lm": f"""{_RET},
-s AS (SELECT symbol, ret * ret AS sq, lag(ret * ret) OVER (PARTITION BY symbol ORDER BY ts) AS before FROM r WHERE ret IS NOT NULL)
-SELECT symbol, round(count(*) * corr(sq, before) * corr(sq, before), 6) AS lm, round(corr(sq, before), 6) AS r FROM s WHERE before IS NOT NULL GROUP BY symbol""",
+    "volatility_arch_lm": f"""{_RET}, q0 AS (SELECT symbol, ts, ret * ret AS y FROM r WHERE ret IS NOT NULL),
+src AS (SELECT symbol AS k, ts, y, {", ".join(f"lag(y, {k}) OVER w AS x{k}" for k in range(1, 6))} FROM q0 WINDOW w AS (PARTITION BY symbol ORDER BY ts)), c1 AS (SELECT k, corr(y, x1) AS r FROM src GROUP BY k),
+{_orthogonal(5)}
+SELECT k AS symbol, n, round(n * r2, 6) AS lm, round(r, 6) AS r, n * r2 > 11.07 AS clustered FROM fit JOIN c1 USING (k)""",
     "range_zones": f"""{_RET},
 a AS (
   SELECT symbol, range / nullif(CASE WHEN count(range) OVER w14 = 14 THEN avg(range) OVER w14 END, 0) AS rel, lead(ret) OVER w AS fwd
@@ -183,12 +210,14 @@ a AS (
 SELECT symbol, CASE WHEN rel <= 0.7 THEN 'narrow' WHEN rel <= 1.3 THEN 'normal' ELSE 'wide' END AS zone, {_stats("fwd")} FROM a WHERE rel IS NOT NULL AND fwd IS NOT NULL GROUP BY 1, 2""",
     "stationarity_hurst": f"""{_RET},
 i AS (SELECT symbol, ret, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS i FROM r WHERE ret IS NOT NULL),
-c AS (SELECT symbol, s, i // s AS piece, i, ret FROM i, (VALUES (10), (14), (20), (28), (40), (57), (80), (113), (160), (226), (320)) v(s)),
-d AS (SELECT *, ret - avg(ret) OVER p AS d, count(*) OVER p AS n FROM c WINDOW p AS (PARTITION BY symbol, s, piece)),
-k AS (SELECT *, sum(d) OVER (PARTITION BY symbol, s, piece ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k FROM d WHERE n = s),
-rs AS (SELECT symbol, s, piece, (max(k) - min(k)) / nullif(stddev_samp(ret), 0) AS rs FROM k GROUP BY 1, 2, 3),
-m AS (SELECT symbol, s, avg(rs) AS rs FROM rs GROUP BY 1, 2)
-SELECT symbol, round(regr_slope(ln(rs), ln(s)), 6) AS hurst, count(*) AS sizes FROM m WHERE rs > 0 GROUP BY symbol""",
+{_ranges("i", "symbol", 500)}
+SELECT symbol, round(regr_slope(log10(rs), log10(s)), 6) AS hurst, count(*) AS sizes FROM m WHERE rs > 0 GROUP BY symbol""",
+    "stationarity_rolling_hurst": f"""{_RET},
+i AS (SELECT symbol, ts, ret, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM r WHERE ret IS NOT NULL WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
+wn AS (SELECT symbol, unnest(generate_series(0, (n - 252) // 21)) AS wd FROM (SELECT DISTINCT symbol, n FROM i WHERE n >= 252)),
+j AS (SELECT symbol || ' ' || wd::VARCHAR AS g, symbol, wd, ts, ret, i - wd * 21 AS i FROM i JOIN wn USING (symbol) WHERE i >= wd * 21 AND i < wd * 21 + 252), en AS (SELECT g, first(symbol) AS symbol, max(ts) AS ts FROM j GROUP BY g),
+{_ranges("j", "g", 126)}
+SELECT symbol, ts, round(h, 6) AS hurst FROM (SELECT g, regr_slope(log10(rs), log10(s)) AS h FROM m WHERE rs > 0 GROUP BY g) JOIN en USING (g)""",
     "stationarity_variance_ratio": f"""{_RET},
 g AS (SELECT symbol, ts, ln(close / nullif(prev, 0)) AS g FROM r WHERE prev IS NOT NULL),
 s AS (
@@ -196,10 +225,11 @@ s AS (
   WINDOW {", ".join(f"w{q} AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN {q - 1} PRECEDING AND CURRENT ROW)" for q in (2, 4, 8, 16))}),
 u AS ({" UNION ALL ".join(f"SELECT symbol, {q} AS q, var_samp(s{q}) / ({q} * var_samp(g)) AS vr FROM s GROUP BY symbol" for q in (2, 4, 8, 16))})
 SELECT symbol, q, round(vr, 6) AS vr, CASE WHEN vr > 1.05 THEN 'trending' WHEN vr < 0.95 THEN 'reverting' ELSE 'random' END AS label FROM u""",
-    "stationarity_unit_root": f"""{_RET},
-a AS (SELECT symbol, count(*) AS n, regr_slope(close - prev, prev) AS b, regr_sxx(close - prev, prev) AS sxx, regr_syy(close - prev, prev) AS syy FROM r WHERE prev IS NOT NULL GROUP BY symbol),
-t AS (SELECT symbol, n, b / sqrt((syy - b * b * sxx) / (n - 2) / sxx) AS t FROM a)
-SELECT symbol, n, round(t, 6) AS t, t < -2.86 AS stationary FROM t""",
+    "stationarity_unit_root": f"""{_RET}, z AS (SELECT symbol || ' level' AS k, symbol, 'level' AS series, ts, close AS x FROM r UNION ALL SELECT symbol || ' return', symbol, 'return', ts, ret FROM r WHERE ret IS NOT NULL),
+z1 AS (SELECT *, x - lag(x) OVER w AS y, lag(x) OVER w AS before FROM z WINDOW w AS (PARTITION BY k ORDER BY ts)),
+src AS (SELECT k, ts, y, {", ".join(f"lag(y, {k}) OVER w AS x{k}" for k in range(1, 5))}, before AS x5 FROM z1 WINDOW w AS (PARTITION BY k ORDER BY ts)),
+{_orthogonal(5)}
+SELECT string_split(k, ' ')[1] AS symbol, string_split(k, ' ')[2] AS series, n, round(t, 6) AS t, t < -2.86 AS stationary FROM fit""",
     "overnight_split": f"""{_RET}
 SELECT symbol, (isodow(ts) - 1)::INTEGER AS dow, count(*) AS n, round(avg(open / nullif(prev, 0) - 1), 6) AS overnight, round(avg(close / nullif(open, 0) - 1), 6) AS intraday FROM r WHERE prev IS NOT NULL GROUP BY 1, 2""",
     "opening_range": f"""WITH {TICKS_SQL},

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestar.operators import quality as q
 from lodestar.operators import resample, roll
 from lodestar.plans.common import rounded
+from lodestar.plans.indicators import _recursive
 from lodestar.sources.bridge import BARS_SQL, TICKS_SQL, TRADES_SQL, bars, table, ticks, trades
 
 
@@ -27,7 +28,7 @@ def contract_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.when(F.col("l_orderkey") % 3 == 0, F.add_months("l_shipdate", 3)).when((F.col("l_orderkey") % 3 == 1) & (F.dayofmonth("l_shipdate") + 31 * ((F.month("l_shipdate") - 1) % 3) > 70), F.add_months("l_shipdate", 3)).otherwise(F.to_date("l_shipdate"))
     month = (F.floor((F.month(d) - 1) / 3) * 3 + 3).cast("int")
     code = F.element_at(F.create_map(*(F.lit(x) for x in (3, "H", 6, "M", 9, "U", 12, "Z"))), month)
-    root = F.concat(F.lit("R"), (F.col("l_suppkey") % 4).cast("string"))
+    root = F.concat(F.lit("R"), F.char(F.col("l_suppkey") % 4 + 65))
     rows = t.select(F.concat(root, code, F.lpad((F.year(d) % 100).cast("string"), 2, "0")).alias("symbol"), F.col("l_shipdate").alias("ts"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), F.col("l_quantity").alias("volume"), F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("seq"))
     return roll.classify(resample.daily(rows)).withColumnRenamed("symbol", "contract").drop("kind")
 
@@ -49,6 +50,7 @@ QUERIES = {
     "qc_counts": lambda s, d: rounded(q.qc_counts(_checked(s, d))),
     "qc_detail": lambda s, d: q.qc_detail(_checked(s, d)),
     "qc_daily": lambda s, d: q.qc_daily(_checked(s, d)),
+    "qc_clean_strict": lambda s, d: q.clean(_checked(s, d), "warning").groupBy("symbol").agg(F.count("*").alias("bars"), F.max("seq").alias("last_seq")),
     "qc_clean": lambda s, d: q.clean(_checked(s, d)).groupBy("symbol").agg(F.count("*").alias("bars"), F.max("seq").alias("last_seq")),
     "merge_report": _merge,
     "profile_orders": lambda s, d: rounded(q.profile(table(s, d, "orders")).select("rows", "column", "missing", "missing_pct", "least", "greatest", "mean", "zeros", "negatives"), 2),
@@ -88,12 +90,13 @@ checked AS (
          ts IS NOT NULL AND count(*) OVER (PARTITION BY symbol, ts) > 1 AS duplicate_datetime, coalesce(z > 8, false) AS outlier_return
   FROM zz)"""
 _SEV = "(invalid_datetime OR missing_ohlc OR non_positive_ohlc OR ohlc_structure_violation OR duplicate_datetime)"
+_WARN = "(outlier_return OR flat_bar)"
 _NAMES = (*q.SEVERE, *q.WARNING, *q.INFO)
 _SEVERITY = {n: s for s, names in (("severe", q.SEVERE), ("warning", q.WARNING), ("info", q.INFO)) for n in names}
 _DETAIL = " UNION ALL ".join(f"SELECT symbol, ts, seq, '{n}' AS issue, '{_SEVERITY[n]}' AS severity FROM checked WHERE {n}" for n in _NAMES)
 _CONTRACTS = """c0 AS (
   SELECT *, CASE WHEN l_orderkey % 3 = 0 OR (l_orderkey % 3 = 1 AND day(l_shipdate) + 31 * ((month(l_shipdate) - 1) % 3) > 70) THEN l_shipdate + INTERVAL 3 MONTH ELSE l_shipdate END AS d FROM lineitem),
-c1 AS (SELECT *, ((month(d) - 1) // 3 * 3 + 3)::INTEGER AS exp_month, year(d)::INTEGER AS exp_year, 'R' || (l_suppkey % 4)::VARCHAR AS root FROM c0),
+c1 AS (SELECT *, ((month(d) - 1) // 3 * 3 + 3)::INTEGER AS exp_month, year(d)::INTEGER AS exp_year, 'R' || chr((65 + l_suppkey % 4)::INTEGER) AS root FROM c0),
 cb AS (
   SELECT root || CASE exp_month WHEN 3 THEN 'H' WHEN 6 THEN 'M' WHEN 9 THEN 'U' ELSE 'Z' END || lpad((exp_year % 100)::VARCHAR, 2, '0') AS contract, root, exp_year, exp_month, l_shipdate AS ts,
          first(l_extendedprice / l_quantity ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS open, max(l_extendedprice / l_quantity) AS high, min(l_extendedprice / l_quantity) AS low,
@@ -115,10 +118,11 @@ tb AS (
 fb AS (SELECT symbol, frame, b AS ts, first(price ORDER BY ts, seq) AS open, max(price) AS high, min(price) AS low, last(price ORDER BY ts, seq) AS close, sum(volume) AS volume FROM tb GROUP BY 1, 2, 3)""".replace("(epoch(ts)::BIGINT // s) * s", "floor(e / s) * s")
 
 ORACLE_SQL = {
-    "qc_summary": f"{_CHECKED} SELECT symbol, count(*) AS rows, sum(({_SEV} OR outlier_return)::INTEGER)::BIGINT AS flagged, round(100.0::DOUBLE * sum(({_SEV} OR outlier_return)::INTEGER) / count(*), 6) AS flagged_pct, {', '.join(f'sum({n}::INTEGER)::BIGINT AS {n}' for n in _NAMES)} FROM checked GROUP BY symbol",
+    "qc_summary": f"{_CHECKED} SELECT symbol, count(*) AS rows, {', '.join(f"sum(({x})::INTEGER)::BIGINT AS {k}, round(100.0::DOUBLE * sum(({x})::INTEGER) / count(*), 6) AS {k}_pct" for k, x in (("flagged", f"{_SEV} OR {_WARN}"), ("severe_rows", _SEV), ("warning_rows", _WARN)))}, {', '.join(f'sum({n}::INTEGER)::BIGINT AS {n}' for n in _NAMES)} FROM checked GROUP BY symbol",
     "qc_counts": f'{_CHECKED}, t AS (SELECT count(*) AS rows, {", ".join(f"sum({n}::INTEGER)::BIGINT AS {n}" for n in _NAMES)} FROM checked) ' + " UNION ALL ".join(f"SELECT rows, '{n}' AS \"check\", {n} AS n, round(100.0::DOUBLE * {n} / rows, 6) AS pct FROM t" for n in _NAMES),
     "qc_detail": f"{_CHECKED} {_DETAIL}",
     "qc_daily": f"{_CHECKED}, det AS ({_DETAIL}) SELECT symbol, issue, severity, date_trunc('day', ts)::TIMESTAMP AS day, count(*) AS n FROM det GROUP BY 1, 2, 3, 4",
+    "qc_clean_strict": f"{_CHECKED} SELECT symbol, count(*) AS bars, max(seq) AS last_seq FROM checked WHERE NOT ({_SEV} OR {_WARN}) GROUP BY symbol",
     "qc_clean": f"{_CHECKED} SELECT symbol, count(*) AS bars, max(seq) AS last_seq FROM checked WHERE NOT {_SEV} GROUP BY symbol",
     "merge_report": f"""{_DIRTY}, raw AS (SELECT * FROM dirty WHERE ts IS NOT NULL AND open IS NOT NULL), {_robust("raw", "open", "zz", "1.1")},
 kept AS (SELECT * FROM zz WHERE coalesce(z <= 8, true)), one AS (SELECT * FROM kept QUALIFY row_number() OVER (PARTITION BY symbol, ts ORDER BY seq DESC) = 1)
@@ -145,12 +149,13 @@ SELECT cb.root, cb.ts, cb.contract, open, high, low, close, volume FROM cb JOIN
 WHERE (begin_ IS NULL OR ts::DATE >= begin_) AND (end_ IS NULL OR ts::DATE < end_) QUALIFY row_number() OVER (PARTITION BY cb.root, cb.ts ORDER BY rank DESC) = 1""",
     "daily_bars": f"WITH {BARS_SQL} SELECT symbol, ts, open, high, low, close, volume FROM bars",
     "tick_bars": f"WITH {_TICKBARS} SELECT symbol, frame, ts, open, high, low, close, volume FROM fb WHERE frame <> '4h'",
-    "resample_derived": f"""WITH {_TICKBARS},
-g AS (
+    "resample_derived": _recursive(f"""WITH RECURSIVE {_TICKBARS},
+g0 AS (
   SELECT symbol, frame, to_timestamp(floor(epoch(ts) / s) * s)::TIMESTAMP AS ts, first(open ORDER BY ts) AS open, max(high) AS high, min(low) AS low, last(close ORDER BY ts) AS close, sum(volume) AS volume
-  FROM (SELECT symbol, ts, open, high, low, close, volume FROM fb WHERE frame = '5m'), (VALUES ('1h', 3600), ('4h', 14400)) f(frame, s) GROUP BY 1, 2, 3 HAVING sum(volume) <> 0)
-SELECT symbol, frame, ts, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, round(volume, 6) AS volume, round(close / nullif(lag(close) OVER w, 0) - 1, 6) AS ret, round(ln(close / nullif(lag(close) OVER w, 0)), 6) AS log_ret, round(high - low, 6) AS range, round(close - open, 6) AS body
-FROM g WINDOW w AS (PARTITION BY symbol, frame ORDER BY ts)""",
+  FROM (SELECT symbol, ts, open, high, low, close, volume FROM fb WHERE frame = '5m'), (VALUES ('1h', 3600), ('4h', 14400)) f(frame, s) GROUP BY 1, 2, 3 HAVING sum(volume) <> 0),
+g AS (SELECT symbol || ' ' || frame AS symbol, symbol AS name, frame, ts, open, high, low, close, volume, high - low AS range FROM g0)""", "g", [("atr14", "range", 2 / 15, 1, "first")], "ga")
+    + """ SELECT name AS symbol, frame, ts, round(atr14, 6) AS atr14, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, round(volume, 6) AS volume, round(close / nullif(lag(close) OVER w, 0) - 1, 6) AS ret, round(ln(close / nullif(lag(close) OVER w, 0)), 6) AS log_ret, round(high - low, 6) AS range, round(close - open, 6) AS body
+FROM ga WINDOW w AS (PARTITION BY symbol ORDER BY ts)""",
     "asof_join": f"""WITH {_TICKBARS}, c AS (SELECT symbol, ts, open, close FROM fb WHERE frame = '4h')
 SELECT t.symbol, t.ts, t.seq, t.price, c.open AS asof_open, c.close AS asof_close FROM ticks t ASOF LEFT JOIN c ON c.symbol = t.symbol AND c.ts <= t.ts""",
     "renko": f"""WITH RECURSIVE {BARS_SQL}, n AS MATERIALIZED (SELECT symbol, ts, close, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS i FROM bars),

@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 #: The names that vendors give to each column.
 NAMES = {
-    "symbol": ("symbol", "ticker", "instrument", "contract"),
-    "ts": ("ts_event", "ts", "timestamp", "datetime", "date_time", "time", "date"),
+    "symbol": ("symbol", "raw_symbol", "instrument", "ticker"),
+    "ts": ("ts_event", "timestamp", "datetime", "time", "date"),
     "open": ("open", "o"),
     "high": ("high", "h"),
     "low": ("low", "l"),
-    "close": ("close", "c", "last"),
-    "volume": ("volume", "vol", "v"),
-    "tick_volume": ("tickvol", "tick_volume", "ticks", "trades"),
+    "close": ("close", "c", "price"),
+    "volume": ("volume", "size", "qty", "quantity", "vol"),
+    "tick_volume": ("tickvol", "tick_volume", "ticks"),
 }
 NEEDED = ("ts", "open", "high", "low", "close")
 BAR_FILE = "date string, time string, open string, high string, low string, close string, tick_volume string, volume string, spread string"

@@ -150,7 +150,11 @@ def test_tables_and_dates_of_pages(spark):
     df = spark.createDataFrame([(1, "http://a.b/c", html), (2, "http://a.b/d", "")], "page_id bigint, url string, html string")
     rows = pages.table_rows(pages.table_cells(df, "t"), ["w", "pts"])
     assert sorted((r.w, r.pts) for r in pages.fill_with_mean(rows, ["w", "pts"]).collect()) == [(1.0, 7.0), (2.0, 7.0)]
-    assert {(r.page_id, str(r.newest), r.fresh) for r in pages.freshness(df, "2024-06-30").collect()} == {(1, "2024-03-01", True), (2, "None", False)}
+    dated = [(3, "u", "<b>on 2 Sept 2023</b> or 13/12/2023"), (4, "u", "Dec 25, 2022 and 12/13/2023"), (5, "u", "in 1950, 2023-13-45, 2031"), (6, "u", "2023")]
+    df = df.union(spark.createDataFrame(dated, df.schema))
+    got = {(r.page_id, str(r.newest), r.fresh) for r in pages.freshness(df, "2024-06-29").collect()}
+    # a year by itself, also inside a date, stands for the day asked for; what is implausible or undated leaves a page fresh
+    assert got == {(1, "2024-06-29", True), (2, "None", True), (3, "2023-12-13", False), (4, "2023-12-13", False), (5, "2023-06-29", False), (6, "2023-06-29", False)}
     assert pages.html_text("<p>a <b>b</b></p><script>x</script>c") == "a b\nc"
 
 
