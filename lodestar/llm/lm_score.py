@@ -17,8 +17,9 @@ The model is never in one place.  Documents are dealt into blocks of about ``BLO
 tokens; a block asks for the counts of just its own n-grams, by hash range; each range adds up
 the counts of all blocks and answers each block; then the block builds the part of the automaton
 that its texts can reach and walks them.  The number of ranges follows the n-grams asked for, not
-the blocks.  N-grams are named by hashes 24 bits longer than the number of tokens, at least 40
-bits, so that the chance of a clash is one in 16 million for each at any size.
+the blocks.  N-grams are named by their kind and by hashes 20 bits longer than the number of tokens, at least
+40 bits, so that the chance of a clash is one in a million for each at any size, and far less
+for single words, which are fewer.
 
 Defined cases: null text counts as empty and has one token, the end; texts are read whole;
 repeated rows are each counted and scored, and dealt to different blocks; with no training row
@@ -185,7 +186,7 @@ def score_texts(docs: DataFrame, held_out: Column, block_tokens: int = BLOCK_TOK
     sizes = rows.agg(F.sum(F.octet_length("text")), F.count("*")).first()
     about = (sizes[0] or 0) // 6 + sizes[1]  # tokens; only the sizes of blocks and ranges and the bits of names hang on it
     n, spans = max(1, -(-about // block_tokens)), max(1, -(-2 * about // span_keys))
-    bits = min(61, max(40, 24 + int(about).bit_length()))
+    bits = min(61, max(40, 20 + int(about).bit_length()))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # dealt by row, so repeated rows spread; the same exchange feeds both passes over the blocks
     blocks = rows.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n))).repartition(parts, "block")
