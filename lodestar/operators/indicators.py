@@ -524,12 +524,36 @@ INDICATORS: dict[str, Callable[..., DataFrame]] = {
 }
 
 
-def indicators(bars: DataFrame, specs: list[tuple[str, dict] | str]) -> DataFrame:
-    """Bars with all the indicators of a study; window ones first, so that they share one sort."""
+#: Indicators on recurrences, which go through passes of their own.
+LATE = {"ema", "rma", "dema", "tema", "macd", "rsi", "atr", "adx", "keltner", "heikin_ashi", "supertrend", "psar", "kama", "pivots", "price_volume_ewm", "trix", "mass_index"}
+#: Categories that a study may name in place of single indicators.
+CATEGORIES = {
+    "overlap": ("sma", "midpoint", "midprice", "trima", "vwma", "wma", "hma", "fwma", "pwma", "sinwma", "swma", "alma", "linreg", "ema", "rma", "dema", "tema", "ichimoku", "supertrend", "kama"),
+    "statistics": ("rolling_median", "rolling_quantile", "variance", "stdev", "zscore", "skew", "kurtosis", "mad", "entropy"),
+    "momentum": ("momentum", "willr", "stoch", "bop", "psl", "ultimate", "awesome", "apo", "efficiency", "cci", "coppock", "bias", "macd", "rsi", "kst", "rvgi", "cmo", "trix"),
+    "volatility": ("true_range", "bbands", "accbands", "ulcer", "atr", "keltner", "donchian", "mass_index"),
+    "volume": ("volume_lines", "cmf", "mfi", "price_volume_ewm"),
+    "trend": ("vhf", "aroon", "vortex", "adx", "psar", "ttm_trend", "chop", "qstick"),
+}
+
+
+def indicators(bars: DataFrame, specs: list[tuple[str, dict] | str], prefix: str = "", suffix: str = "", columns: list[str] | None = None) -> DataFrame:
+    """Bars with all the indicators of a study; window ones first, so that they share one sort.
+
+    A name may be that of a category.  New columns get the prefix and suffix, and of them only
+    ``columns`` are kept, if given.
+    """
+    from lodestar.operators.oscillators import MORE
+
+    known = INDICATORS | MORE
     plain = [(s, {}) if isinstance(s, str) else s for s in specs]
-    late = {"ema", "rma", "dema", "tema", "macd", "rsi", "atr", "adx", "keltner", "heikin_ashi", "supertrend", "psar", "kama", "pivots", "price_volume_ewm", "trix", "mass_index"}
-    for name, options in sorted(plain, key=lambda s: s[0] in late):
-        bars = INDICATORS[name](bars, **options)
+    plain = [x for name, options in plain for x in ([(n, {}) for n in CATEGORIES[name]] if name in CATEGORIES and name not in known else [(name, options)])]
+    given = bars.columns
+    for name, options in sorted(plain, key=lambda s: s[0] in LATE or s[0] in MORE):
+        bars = known[name](bars, **options)
+    if prefix or suffix or columns is not None:
+        made = [n for n in bars.columns if n not in given and (columns is None or n in columns)]
+        bars = bars.select(*given, *(c(f"`{n}`").alias(f"{prefix}{n}{suffix}") for n in made))
     return bars
 
 
