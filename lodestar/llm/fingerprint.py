@@ -115,9 +115,9 @@ def fingerprint_with_edits(docs: DataFrame) -> DataFrame:
 
 
 def search(queries: DataFrame, base: DataFrame, radius: int = 4) -> DataFrame:
-    """``high, low`` of each distinct query with ``matches``: distinct fingerprints of ``base`` within the radius.
+    """``q_high, q_low, high, low, bits``: each distinct query with every distinct fingerprint of ``base`` within the radius, itself included.
 
-    Both are tables of ``high, low``.  Rows of ``base`` with one fingerprint count as one.
+    Both are tables of ``high, low``; rows with one fingerprint are met once, through ``members``.
     """
     blocks = radius + 2
     edges = [BITS * i // blocks for i in range(blocks + 1)]
@@ -137,5 +137,18 @@ def search(queries: DataFrame, base: DataFrame, radius: int = 4) -> DataFrame:
     both = [d.select("high", "low").distinct().select("high", "low", tables).select("high", "low", "t.*") for d in (queries, base)]
     mine, theirs = both[0].withColumnsRenamed({"high": "q_high", "low": "q_low"}), both[1]
     near = apart(F.col("q_high"), F.col("q_low"), F.col("high"), F.col("low")) <= radius
-    met = mine.join(theirs, ["table", "x", "y"]).where(near).select("q_high", "q_low", "high", "low").distinct()
-    return met.groupBy(F.col("q_high").alias("high"), F.col("q_low").alias("low")).agg(F.count("*").alias("matches"))
+    bits = apart(F.col("q_high"), F.col("q_low"), F.col("high"), F.col("low")).alias("bits")
+    return mine.join(theirs, ["table", "x", "y"]).where(near).select("q_high", "q_low", "high", "low", bits).distinct()
+
+
+def members(rows: DataFrame) -> DataFrame:
+    """``high, low, least_id, documents``: the documents of each distinct fingerprint by their least id and number."""
+    return rows.groupBy("high", "low").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("documents"))
+
+
+def nearest(found: DataFrame, documents: DataFrame) -> DataFrame:
+    """For each query of ``search`` the fingerprints and documents within the radius, and the least id, distance and number of the nearest other fingerprint's documents."""
+    met = found.join(documents, ["high", "low"])
+    other = F.when(F.col("bits") > 0, F.struct("bits", "least_id", "documents"))
+    sums = met.groupBy("q_high", "q_low").agg(F.count("*").alias("matches"), F.sum("documents").alias("near_documents"), F.min(other).alias("other"))
+    return sums.select(F.col("q_high").alias("high"), F.col("q_low").alias("low"), "matches", "near_documents", F.col("other.least_id").alias("nearest_id"), F.col("other.bits").alias("nearest_bits"))

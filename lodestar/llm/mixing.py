@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import WORD, cut
+from lodestar.llm.common import WORD, cut, unused
 
 
 def word_count(text: Column) -> Column:
@@ -56,7 +56,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max_epochs: flo
 
     The weights repeat over the sources in code point order, null last.
     """
-    rows = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")).alias("draw")), "sizes")
+    rows = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.xxhash64("text").cast("string")))).cast("binary")).alias("draw")), "sizes")
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     sources = ranked(sources, F.col("source").asc_nulls_last())
     weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.col("place") % len(weights) + 1).cast("int"))
@@ -82,13 +82,14 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that the mix takes, with ``size, source_size, target, taken``.
 
     Columns of ``docs`` with one of those names give way.  Rows of one id are told apart by
-    their size, on both sides of the join.
+    their size and a turn among equal sizes, on both sides of the join.
     """
     docs = docs.drop("size", "source_size", "target", "taken")
-    order = Window.partitionBy("mix_id")
-    found = mix(docs, **options).withColumnRenamed("doc_id", "mix_id")
-    found = found.withColumn("mix_turn", F.row_number().over(order.orderBy("size", "source_size", "taken")))
-    own = Window.partitionBy("doc_id").orderBy(word_count(F.col("text")), F.xxhash64("text"))
-    rows = docs.select("*", F.row_number().over(own).alias("turn of this id"))
-    out = rows.join(found, rows["doc_id"].eqNullSafe(found["mix_id"]) & (rows["turn of this id"] == found["mix_turn"]))
-    return out.where(found["taken"] > 0).select(*(docs[f"`{c}`"] for c in docs.columns), *(found[c] for c in ("size", "source_size", "target", "taken")))
+    turn, words = unused(docs, "mix_turn"), unused(docs, "mix_words")
+    found = mix(docs, **options).select(F.col("doc_id").alias("id"), "size", "source_size", "target", "taken")
+    found = found.withColumn("turn", F.row_number().over(Window.partitionBy("id", "size").orderBy("source_size", "taken"))).alias("found")
+    rows = docs.withColumn(words, word_count(F.col("text")))
+    rows = rows.withColumn(turn, F.row_number().over(Window.partitionBy("doc_id", words).orderBy(F.xxhash64("text")))).alias("rows")
+    same = F.col("rows.doc_id").eqNullSafe(F.col("found.id")) & (F.col(f"rows.{words}") == F.col("found.size")) & (F.col(f"rows.{turn}") == F.col("found.turn"))
+    out = rows.join(found, same).where("found.taken > 0")
+    return out.select(*(F.col(f"rows.`{c}`") for c in docs.columns), *(F.col(f"found.{c}") for c in ("size", "source_size", "target", "taken")))

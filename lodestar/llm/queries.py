@@ -21,9 +21,13 @@ def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The search takes the rows whose id is divisible by 100; others have a null ``matches``."""
+    """The search takes the rows whose id is divisible by 100; in others its columns are null.
+
+    ``matches`` and ``near_documents`` count the fingerprints and documents within the radius, the
+    row's own included; ``nearest_id`` is the least id of the documents of the nearest other fingerprint.
+    """
     rows = fingerprint.fingerprint_with_edits(table(spark, sf_dir, "documents"))
-    found = fingerprint.search(rows.where("doc_id % 100 = 0"), rows)
+    found = fingerprint.nearest(fingerprint.search(rows.where("doc_id % 100 = 0"), rows), fingerprint.members(rows))
     asked = F.when(F.col("doc_id") % 100 == 0, F.lit(True))
     rows = rows.join(found.withColumns({"asked": F.lit(True)}), (rows["high"] == found["high"]) & (rows["low"] == found["low"]) & asked.eqNullSafe(F.col("asked")), "left").drop(found["high"], found["low"])
     like = lambda other: (1 - fingerprint.apart(rows["high"], rows["low"], F.col(f"{other}_high"), F.col(f"{other}_low")) / F.lit(float(fingerprint.BITS))).cast("double")
@@ -31,7 +35,7 @@ def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_chars", "edited_sha256",
         fingerprint.as_text(F.col("high"), F.col("low")).alias("fingerprint"),
         fingerprint.as_text(F.col("edited_high"), F.col("edited_low")).alias("edited_fingerprint"),
-        like("edited").alias("near_edited"), like("next").alias("near_next"), "matches",
+        like("edited").alias("near_edited"), like("next").alias("near_next"), "matches", "near_documents", "nearest_id", "nearest_bits",
     )
 
 

@@ -55,4 +55,8 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     mine = mine.withColumn("digest", digest(F.col("expression"))).withColumn("short", F.substring("digest", 1, PREFIX_DIGITS)).drop("expression")
     met = mine.join(of_rules, "short").where("digest = rule_digest")
     best = met.groupBy("host", "path").agg(F.max(F.struct(F.char_length("rule").alias("n"), "host_chars", "rule_verdict", "rule")).alias("best"))
-    return rows.join(best, ["host", "path"], "left").select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.rule_verdict", F.lit(default)).alias("verdict"))
+    # rows without a host fit no rule; they are dealt by their id instead of to one key
+    spread = F.when(F.col("host") == "", F.concat(F.lit(" "), (F.xxhash64("page_id") % 4096).cast("string"))).otherwise(F.col("host"))
+    best = best.select(F.col("host").alias("key"), "path", "best")
+    out = rows.withColumn("key", spread).join(best, ["key", "path"], "left")
+    return out.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.rule_verdict", F.lit(default)).alias("verdict"))

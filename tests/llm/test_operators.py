@@ -502,9 +502,20 @@ def test_search_finds_all_within_radius(spark):
     base += [x ^ sum(1 << b for b in draw.sample(range(128), n)) for x in base[:20] for n in (1, 3, 4, 5)]
     df = spark.createDataFrame([(signed(x >> 64), signed(x & (1 << 64) - 1)) for x in [*base, base[0]]], "high bigint, low bigint")
     queries = base[:20]
-    got = {(r.high, r.low): r.matches for r in fingerprint.search(df.limit(20), df, 4).collect()}
-    want = {(signed(x >> 64), signed(x & (1 << 64) - 1)): sum((x ^ y).bit_count() <= 4 for y in set(base)) for x in queries}
-    assert got == want
+    unsigned = lambda r, x, y: (r[x] & (1 << 64) - 1) << 64 | r[y] & (1 << 64) - 1
+    found = fingerprint.search(df.limit(20), df, 4)
+    got = {(unsigned(r, "q_high", "q_low"), unsigned(r, "high", "low"), r.bits) for r in found.collect()}
+    assert got == {(x, y, (x ^ y).bit_count()) for x in queries for y in set(base) if (x ^ y).bit_count() <= 4}
+    numbered = df.withColumn("doc_id", F.monotonically_increasing_id())
+    ids = {}
+    for r in numbered.collect():
+        ids.setdefault(unsigned(r, "high", "low"), []).append(r.doc_id)
+    for r in fingerprint.nearest(found, fingerprint.members(numbered)).collect():
+        x = unsigned(r, "high", "low")
+        near = [(x ^ y).bit_count() for y in ids]
+        other = sorted(((x ^ y).bit_count(), min(ids[y])) for y in ids if 0 < (x ^ y).bit_count() <= 4)
+        assert r.matches == sum(n <= 4 for n in near) and r.near_documents == sum(len(v) for y, v in ids.items() if (x ^ y).bit_count() <= 4)
+        assert (r.nearest_bits, r.nearest_id) == (other[0] if other else (None, None))
 
 
 # --- toxicity
@@ -535,9 +546,38 @@ def test_toxicity_learns_words_and_patterns(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if not r.predicted}
 
 
+def test_toxicity_held_out_recall(spark):
+    sf = "/root/testdata/sf0.1"
+    marks = spark.read.parquet(f"{sf}/labels.parquet")
+    rows = toxicity.toxicity(spark.read.parquet(f"{sf}/documents.parquet"), marks).where("held_out").join(marks, "doc_id").select("predicted", "toxic").collect()
+    toxic, clean = [r.predicted for r in rows if r.toxic], [r.predicted for r in rows if not r.toxic]
+    assert len(toxic) > 50 and sum(toxic) >= 0.9 * len(toxic) and sum(clean) <= 0.01 * len(clean)
+
+
+def test_toxicity_of_odd_rows(spark):
+    rows = [(i, ("vile " if i % 4 == 0 else "") + words(i, 40), "s") for i in range(200)] + [(i, "both", "s") for i in (3, 3)] + [(None, "vile vile", "s"), (900, "vile " + words(7, 60000), "s")]
+    marks = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)] + [(3, 1), (3, 0)], "doc_id bigint, toxic int")
+    got = toxicity.toxicity(docs_of(spark, rows), marks).collect()
+    assert len(got) == len(rows) and len({r.score for r in got if r.doc_id == 3}) <= 2
+    assert next(r for r in got if r.doc_id == 900).predicted == 1 and toxicity.toxicity(docs_of(spark, rows).limit(0), marks).count() == 0
+
+
 # --- licences
 
 
+def test_licence_scan_of_odd_rows(spark):
+    line = "Licensed under the MIT license."
+    tie = line + "\nLicensed under the Apache License, Version 2.0."
+    rows = [(None, line, "s"), (1, line, "s"), (1, line, "s"), (2, tie, "s"), (3, None, "s"), (4, "\n\n", "s")]
+    got = license_scan.scan(docs_of(spark, rows)).collect()
+    assert len(got) == 6 and [r.family for r in got if r.doc_id in (None, 1)] == ["mit"] * 3
+    both = next(r for r in got if r.doc_id == 2)
+    assert {f.family for f in both.findings if f.confirmed} == {"mit", "apache-2.0"}
+    surest = max((f.probability, f.family) for f in both.findings if f.confirmed)[1]
+    assert both.family == surest and {r.family for r in got if r.doc_id in (3, 4)} == {"unknown"}
+    assert license_scan.scan(docs_of(spark, []), license_scan.fit(docs_of(spark, rows))).count() == 0
+
+
 def test_licences_are_found_and_confirmed(spark):
     lines = ["Released under the MIT License.", "Licensed under the Apache License, Version 2.0.", "This work is licensed under the GNU General Public License, version 3.", "Licensed under CC BY-NC 4.0.", "All rights reserved."]
     want = ["mit", "apache-2.0", "gpl", "cc-by-nc", "all-rights-reserved"]
@@ -667,6 +707,7 @@ def test_judge_equals_brute_force(spark):
 
     got = url_filter.judge(pages, spark.createDataFrame(rules, "host string, path string, verdict string")).collect()
     assert Counter(map(tuple, got)) == Counter((i, *brute(u)) for i, u in [*enumerate([*urls, urls[0]]), (0, urls[0])])
+    assert url_filter.judge(pages.limit(0), spark.createDataFrame(rules, "host string, path string, verdict string")).count() == 0
     none = spark.createDataFrame([], "host string, path string, verdict string")
     assert {r.verdict for r in url_filter.judge(pages, none, "block").collect()} == {"block"}
 

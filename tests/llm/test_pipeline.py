@@ -56,12 +56,12 @@ def test_queries_are_registered():
     assert set(ORACLE_SQL) <= set(QUERIES)
 
 
-SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, size string, taken int, leak_id int, kept_id int, mix_id int, fp string, root string"
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, size string, taken int, leak_id int, kept_id int, mix_id int, `turn of this id` int, mix_turn int, row_key int, fp string, root string"
 
 
 def odd_documents(spark):
     texts = {0: "a b c d e f", 1: None, 2: "", 3: "long " * 20000, 4: "a b c d e f", 5: "x y"}
-    rows = [(i, t, None if i == 2 else "en", None if i == 1 else f"s{i % 2}", None, "clash", 1, 2, 3, 4, "x", "y") for i, t in texts.items()]
+    rows = [(i, t, None if i == 2 else "en", None if i == 1 else f"s{i % 2}", None, "clash", 1, 2, 3, 4, 5, 6, 7, "x", "y") for i, t in texts.items()]
     return spark.createDataFrame([*rows, rows[5], (5, "other text", *rows[5][2:]), (None, None, *rows[1][2:]), (None, "no id", *rows[5][2:])], SCHEMA)
 
 
