@@ -163,3 +163,67 @@ def route(pages: DataFrame) -> DataFrame:
     """Domain and file name of each page, for a partitioned write."""
     domain = F.regexp_extract("url", r"^[a-z]+://(?:www\.)?([^/?#:]+)", 1)
     return pages.select("page_id", domain.alias("domain"), F.concat(slug(F.regexp_replace("url", r"^[a-z]+://", "")), F.lit(".html")).alias("file"))
+
+
+class _Boxes(HTMLParser):
+    """Pairs of label and value of list items: the label is the item's first ``i`` element, the value its other text."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.pairs: list[tuple[str, str]] = []
+        self.inside, self.in_label, self.label, self.value = False, False, None, ""
+
+    def close_item(self) -> None:
+        if self.inside and self.label:
+            self.pairs.append((self.label.strip().rstrip(":"), " ".join(self.value.split())))
+        self.inside, self.in_label, self.label, self.value = False, False, None, ""
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "li":
+            self.close_item()
+            self.inside = True
+        elif tag == "i" and self.inside and self.label is None:
+            self.in_label, self.label = True, ""
+
+    def handle_endtag(self, tag):
+        if tag == "i":
+            self.in_label = False
+        elif tag in ("li", "ul"):
+            self.close_item()
+
+    def handle_data(self, data):
+        if self.in_label:
+            self.label += data
+        elif self.inside:
+            self.value += data
+
+
+def box_values(html: str | None) -> list[tuple[str, str]]:
+    parser = _Boxes()
+    parser.feed(html or "")
+    parser.close_item()
+    return parser.pairs
+
+
+def list_boxes(pages: DataFrame) -> DataFrame:
+    """``page_id, label, value`` of the labelled list items of each page."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(k, *pair) for k, html in zip(batch["page_id"], batch["html"], strict=True) for pair in box_values(html)]
+            yield pd.DataFrame(rows, columns=["page_id", "label", "value"])
+
+    return pages.select("page_id", "html").mapInPandas(run, "page_id bigint, label string, value string")
+
+
+def box_records(boxes: DataFrame, labels: list[str]) -> DataFrame:
+    """One row a page, a column for each of the labels (its greatest value, if it has several)."""
+    return boxes.groupBy("page_id").pivot("label", labels).agg(F.max("value"))
+
+
+def merge_seasons(tables: list[DataFrame], keys: tuple[str, ...] = ("player", "year")) -> DataFrame:
+    """Several season tables as one: a row for each key with the greatest value of each column that any has."""
+    whole = tables[0]
+    for t in tables[1:]:
+        whole = whole.unionByName(t, allowMissingColumns=True)
+    return whole.groupBy(*keys).agg(*(F.max(n).alias(n) for n in whole.columns if n not in keys))

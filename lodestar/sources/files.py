@@ -47,6 +47,12 @@ def to_bars(raw: DataFrame, overrides: dict[str, str] | None = None, volume: flo
     return out.na.drop(subset=list(NEEDED))
 
 
+def conversion_report(raw: DataFrame, overrides: dict[str, str] | None = None) -> DataFrame:
+    """``given, written, dropped``: rows before and after ``to_bars``."""
+    given, kept = raw.agg(F.count("*").alias("given")), to_bars(raw, overrides).agg(F.count("*").alias("written"))
+    return given.join(kept).withColumn("dropped", F.col("given") - F.col("written"))  # one row each
+
+
 def read_vendor(spark: SparkSession, path: str, overrides: dict[str, str] | None = None) -> DataFrame:
     return to_bars(spark.read.option("header", True).csv(path), overrides)
 
@@ -97,3 +103,32 @@ def filled(df: DataFrame, columns: tuple[str, ...] = ("open", "high", "low", "cl
     df = df.toDF(*(c.lower() for c in df.columns))
     w = Window.partitionBy("symbol").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumns({c: F.coalesce(F.last(c, ignorenulls=True).over(w), F.lit(0.0)) for c in columns})
+
+
+def write_report(df: DataFrame, path: str, kind: str = "csv", header: bool = True, separator: str = ",") -> None:
+    """A report as CSV (with or without header), Parquet or JSON lines."""
+    out = df.write.mode("overwrite")
+    if kind == "csv":
+        out.option("header", header).option("sep", separator).csv(path)
+    elif kind == "json":
+        out.json(path)
+    else:
+        out.parquet(path)
+
+
+def span_summary(bars: DataFrame) -> DataFrame:
+    """Rows, first and last time of each symbol, as columns instead of parts of a file's name."""
+    return bars.groupBy("symbol").agg(F.count("*").alias("rows"), F.min("ts").alias("first"), F.max("ts").alias("last"))
+
+
+def crosswalk(spark: SparkSession, groups: dict[str, dict[str, str]]) -> DataFrame:
+    """``instrument_group, symbol, vendor_symbol`` of groups of instruments (forex, crypto, funds, futures, indexes), symbol by vendor's name."""
+    rows = [(g, ours, theirs) for g, names in groups.items() for ours, theirs in names.items()]
+    return spark.createDataFrame(rows, "instrument_group string, symbol string, vendor_symbol string")
+
+
+def with_our_symbols(bars: DataFrame, names: DataFrame, groups: list[str] | None = None) -> DataFrame:
+    """Bars of the chosen groups under our symbols; the list of names is a small table, so Spark sends it to all tasks by its own threshold."""
+    some = names if groups is None else names.where(F.col("instrument_group").isin(groups))
+    other = some.select(F.col("vendor_symbol").alias("symbol"), F.col("symbol").alias("_ours"), "instrument_group")
+    return bars.join(other, "symbol").withColumn("symbol", F.col("_ours")).drop("_ours")

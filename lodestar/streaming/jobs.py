@@ -51,3 +51,47 @@ def stream_trailing_stop(ticks: DataFrame, pct: float = 0.05) -> DataFrame:
         yield pd.DataFrame(rows, columns=["symbol", "ts", "price", "top", "stopped"])
 
     return ticks.groupBy("symbol").applyInPandasWithState(step, "symbol string, ts timestamp, price double, top double, stopped boolean", "top double", "append", GroupStateTimeout.NoTimeout)
+
+
+def stream_state(rows: DataFrame, made: str, kept: str, start: tuple, step, columns: tuple[str, ...] = ("ts", "seq", "price")) -> DataFrame:
+    """``symbol`` and the columns ``made`` of each row by ``step(state, values) -> (state, out)``, with the state ``kept`` for each symbol.
+
+    The same step functions run in batch under ``scan_state``; a batch's rows are taken in order of their first columns.
+    """
+    names = [field.strip().split(" ")[0] for field in made.split(",")]
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = state.get if state.exists else start
+        out = []
+        for batch in batches:
+            for values in batch.sort_values(list(columns[:2]))[list(columns)].itertuples(index=False, name=None):
+                held, row = step(held, values)
+                out.append((key[0], values[0], *row))
+        state.update(held)
+        yield pd.DataFrame(out, columns=["symbol", "ts", *names])
+
+    return rows.groupBy("symbol").applyInPandasWithState(run, f"symbol string, ts timestamp, {made}", kept, "append", GroupStateTimeout.NoTimeout)
+
+
+def stream_renko(ticks: DataFrame, brick: float) -> DataFrame:
+    """Live bricks: how many (signed) each tick adds, and the last brick's close."""
+
+    def step(state: tuple, values: tuple) -> tuple[tuple, tuple]:
+        (base,), price = state, values[2]
+        if base != base:
+            return (price,), (0, price)
+        n = int(abs(price - base) / brick) * (1 if price > base else -1)
+        return (base + n * brick,), (n, base + n * brick)
+
+    return stream_state(ticks, "bricks long, base double", "base double", (float("nan"),), step)
+
+
+def stream_latest_signal(signals: DataFrame) -> DataFrame:
+    """Live signals: the action that each new signal asks for after the one before."""
+
+    def step(state: tuple, values: tuple) -> tuple[tuple, tuple]:
+        (held,), now = state, int(values[2])
+        action = "CLOSE" if now == 0 and held != 0 else "BUY" if now > 0 >= held else "SELL_SHORT" if now < 0 <= held else "HOLD"
+        return (now,), (now, action)
+
+    return stream_state(signals, "signal long, action string", "held long", (0,), step, ("ts", "seq", "signal"))

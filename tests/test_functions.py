@@ -170,3 +170,42 @@ def test_renko_bricks(spark):
     assert [(r.ts.day, r.open, r.close) for r in resample.renko(df, 1.0).orderBy("ts", "k").collect()] == [(2, 10.0, 11.0), (2, 11.0, 12.0), (2, 12.0, 13.0), (4, 13.0, 12.0)]
     with pytest.raises(ValueError, match="larger than 0"):
         resample.renko(df, 0.0)
+
+
+def test_reports_crosswalk_and_conversion(spark, tmp_path):
+    raw = spark.createDataFrame([("A", "2024-01-01", "1", "2", "0.5", "1.5", "9"), ("B", "bad", "1", "2", "0.5", "1.5", "9"), ("B", "2024-01-02", "x", "2", "0.5", "1.5", None)], "raw_symbol string, ts_event string, o string, h string, l string, price string, qty string")
+    assert files.conversion_report(raw).first() == (3, 1, 2)
+    rows = files.to_bars(raw)
+    names = files.crosswalk(spark, {"futures": {"ES": "A"}, "forex": {"EURUSD": "B"}})
+    assert [(r.symbol, r.instrument_group) for r in files.with_our_symbols(rows, names).collect()] == [("ES", "futures")]
+    assert files.with_our_symbols(rows, names, ["forex"]).count() == 0
+    for kind, read in (("csv", lambda p: spark.read.option("header", True).csv(p)), ("json", spark.read.json), ("parquet", spark.read.parquet)):
+        path = str(tmp_path / kind)
+        files.write_report(files.span_summary(rows), path, kind)
+        assert [r.symbol for r in read(path).collect()] == ["A"]
+    files.write_report(rows.select("symbol", "close"), str(tmp_path / "plain"), header=False, separator="|")
+    assert [r.value for r in spark.read.text(str(tmp_path / "plain")).collect()] == ["A|1.5"]
+
+
+def test_list_boxes_and_seasons(spark):
+    html = "<ul><li><i>Height:</i> 180 cm</li><li class='x'><i> Reach: </i><b>7</b> in</li><li><i></i>no label</li><li>plain</ul><p>x</p>"
+    df = spark.createDataFrame([(1, "u", html), (2, "u", None), (3, "u", "<li><i>Height</i>  6   ft")], "page_id bigint, url string, html string")
+    boxes = pages.list_boxes(df)
+    assert sorted(map(tuple, boxes.collect())) == [(1, "Height", "180 cm"), (1, "Reach", "7 in"), (3, "Height", "6 ft")]
+    assert sorted((r.page_id, r.Height, r.Reach) for r in pages.box_records(boxes, ["Height", "Reach"]).collect()) == [(1, "180 cm", "7 in"), (3, "6 ft", None)]
+    a = spark.createDataFrame([("p", 2020, 3)], "player string, year int, pts int")
+    b = spark.createDataFrame([("p", 2020, 7), ("q", 2021, 1)], "player string, year int, yds int")
+    assert sorted((r.player, r.year, r.pts, r.yds) for r in pages.merge_seasons([a, b]).collect()) == [("p", 2020, 3, 7), ("q", 2021, None, 1)]
+
+
+def test_page_text_of_the_given_pages(spark):
+    from html import unescape
+    import re
+
+    rows = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    got = {r.page_id: r.text for r in pages.to_text(rows).collect()}
+    drop = "|".join(sorted(pages._DROP))
+    for r in rows.collect():
+        bare = re.sub(rf"(?is)<({drop})\b.*?</\1\s*>", "", re.sub(r"(?s)<!--.*?-->", "", r.html or ""))
+        want = "".join(unescape(re.sub(r"(?s)<[^>]+>", "", bare)).split())
+        assert "".join(got[r.page_id].split()) == want

@@ -75,3 +75,25 @@ def test_match_simulation_follows_the_means(spark):
 def test_parameter_importance(spark):
     rows = spark.createDataFrame([(float(a), float(b), float(a)) for a in range(10) for b in range(10)], "p double, q double, sharpe double")
     assert models.parameter_importance(rows, ["p", "q"])[0][0] == "p"
+
+
+def test_stream_renko_equals_batch(spark, tick_stream):
+    got = {(r.symbol, r.ts, r.bricks) for r in drain(jobs.stream_renko(tick_stream, 40.0), "renko").where("bricks <> 0").collect()}
+    want = set()
+    for symbol, rows in ticks(spark, SF).toPandas().sort_values(["ts", "seq"]).groupby("symbol"):
+        base = rows.price.iloc[0]
+        for ts, price in zip(rows.ts, rows.price, strict=True):
+            n = int(abs(price - base) / 40.0) * (1 if price > base else -1)
+            base += n * 40.0
+            if n:
+                want.add((symbol, ts.to_pydatetime(), n))
+    assert got == want and len(want) > 50
+
+
+def test_stream_latest_signal(spark, tick_stream):
+    signals = tick_stream.withColumn("signal", (F.col("seq") % 3 - 1).cast("long"))
+    got = drain(jobs.stream_latest_signal(signals), "actions")
+    for rows in got.toPandas().sort_values("ts").groupby("symbol"):
+        before = [0, *rows[1].signal.tolist()[:-1]]
+        want = ["CLOSE" if n == 0 and b != 0 else "BUY" if n > 0 >= b else "SELL_SHORT" if n < 0 <= b else "HOLD" for n, b in zip(rows[1].signal, before, strict=True)]
+        assert rows[1].action.tolist() == want
