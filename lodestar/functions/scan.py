@@ -19,6 +19,22 @@ from pyspark.sql import types as T
 CHUNK = 20_000
 
 
+def solve(a: np.ndarray, b: np.ndarray, width: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """y = a * y(before) + b down the rows from 0, and the running product of a: within blocks of rows side by side, then from block to block."""
+    n, k = a.shape
+    blocks = -(-n // width)
+    a = np.concatenate([a, np.ones((blocks * width - n, k))]).reshape(blocks, width, k)
+    b = np.concatenate([b, np.zeros((blocks * width - n, k))]).reshape(blocks, width, k)
+    y, p = b.copy(), a.copy()
+    for i in range(1, width):
+        y[:, i] += a[:, i] * y[:, i - 1]
+        p[:, i] *= p[:, i - 1]
+    for j in range(1, blocks):
+        y[j] += p[j] * y[j - 1, -1]
+        p[j] *= p[j - 1, -1]
+    return y.reshape(-1, k)[:n], p.reshape(-1, k)[:n]
+
+
 def linear_scan(df: DataFrame, terms: dict[str, tuple[Column, Column]], keys: tuple[str, ...] = ("symbol",), order: str = "ts", chunk: int = CHUNK) -> DataFrame:
     """``df`` with a column y for each ``name: (a, b)``, where y = a * y(before) + b and y before the first row is 0.
 
@@ -37,11 +53,7 @@ def linear_scan(df: DataFrame, terms: dict[str, tuple[Column, Column]], keys: tu
         part = part.sort_values(order, kind="stable")
         a = part[[f"_a{k}" for k in range(len(names))]].to_numpy(float)
         b = part[[f"_b{k}" for k in range(len(names))]].to_numpy(float)
-        y, p = np.zeros_like(a), np.cumprod(a, axis=0)
-        last = np.zeros(len(names))
-        for i in range(len(part)):
-            last = a[i] * last + b[i]
-            y[i] = last
+        y, p = solve(a, b)
         out = part[[*given.names, "_chunk"]].copy()
         for k in range(len(names)):
             out[f"_p{k}"], out[f"_y{k}"] = p[:, k], y[:, k]

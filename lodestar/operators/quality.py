@@ -2,25 +2,45 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestar.functions.windows import by_time, last_n, ratio
+from lodestar.functions.windows import by_time, ratio
 
 #: The checks by severity.
 SEVERE = ("invalid_datetime", "missing_ohlc", "non_positive_ohlc", "ohlc_structure_violation", "duplicate_datetime")
 WARNING = ("outlier_return", "flat_bar")
 INFO: tuple[str, ...] = ()
 
-
-def robust_z(df: DataFrame, col: Column, name: str, window: int = 100, least: int = 30, scale: float = 1.4826) -> DataFrame:
-    """``name``: distance of ``col`` from its rolling median in units of scale times the rolling median deviation."""
-    w = last_n(window, Window.partitionBy("symbol").orderBy("ts", "seq"))
-    df = df.withColumn("_x", col).withColumn("_n", F.count("_x").over(w)).withColumn("_m", F.when(F.col("_n") >= least, F.percentile("_x", 0.5).over(w)))
-    df = df.withColumn("_d", F.abs(F.col("_x") - F.col("_m")))
-    df = df.withColumn("_k", F.count("_d").over(w)).withColumn("_s", F.when(F.col("_k") >= least, F.percentile("_d", 0.5).over(w)))
-    return df.withColumn(name, ratio(F.col("_d"), scale * F.col("_s"))).drop("_x", "_n", "_m", "_d", "_k", "_s")
+#: Rows of a symbol in a chunk of the rolling medians.
+CHUNK = 20_000
+
+
+def robust_z(df: DataFrame, col: Column, name: str, window: int = 100, least: int = 30, scale: float = 1.4826, chunk: int = CHUNK) -> DataFrame:
+    """``name``: distance of ``col`` from its rolling median in units of scale times the rolling median deviation.
+
+    A symbol's rows are cut into chunks, each with the rows before it that its first windows reach
+    into, and the medians of a chunk are rolled in one pass; no task holds more than a chunk.
+    """
+    w = Window.partitionBy("symbol").orderBy("ts", "seq")
+    rows = df.withColumn("_x", col.cast("double")).withColumn("_i", F.row_number().over(w) - 1).withColumn("_c", F.floor(F.col("_i") / chunk))
+    reach, given = 2 * (window - 1), df.columns
+    spots = F.array(F.struct(F.col("_c").alias("c"), F.lit(True).alias("own")), F.when(F.col("_i") % chunk >= chunk - reach, F.struct((F.col("_c") + 1).alias("c"), F.lit(False).alias("own"))))
+    rows = rows.select(*df.columns, "_x", "_i", F.explode(F.array_compact(spots)).alias("_s")).select(*df.columns, "_x", "_i", F.col("_s.c").alias("_c"), F.col("_s.own").alias("_own"))
+
+    def roll(part: pa.Table) -> pa.Table:
+        part = part.sort_by("_i")
+        x = part.column("_x").to_pandas()
+        away = (x - x.rolling(window, min_periods=least).median()).abs()
+        spread = scale * away.rolling(window, min_periods=least).median()
+        z = (away / spread.where(spread != 0)).to_numpy(float)
+        out = part.select(given).append_column(name, pa.array(z, pa.float64(), from_pandas=True))
+        return out.filter(part.column("_own"))
+
+    made = T.StructType([*(T.StructField(f.name, f.dataType) for f in df.schema), T.StructField(name, T.DoubleType())])
+    return rows.groupBy("symbol", "_c").applyInArrow(roll, made)
 
 
 def qc_checks(raw: DataFrame, window: int = 100, least: int = 30, z: float = 8.0) -> DataFrame:

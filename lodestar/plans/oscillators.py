@@ -61,7 +61,7 @@ QUERIES = {
     "ta_true_momentum": _study("true_momentum"),
     "ta_vidya": _study("vidya"),
     "ta_hilo": _study("hilo"),
-    "ta_mcginley": _study(("mcginley", {"k": 1e6}), digits=4),
+    "ta_mcginley": _study(("mcginley", {"k": 1e9}), digits=4),
     "ta_fisher": _study("fisher"),
     "ta_holt_winter": _study("holt_winter", digits=4),
     "ta_super_smoother": _study("super_smoother", digits=4),
@@ -213,7 +213,7 @@ SELECT symbol, ts, {_r("l", "CHDLREXTl")}, {_r("s", "CHDLREXTs")}, last_value(y
     + f", r AS (SELECT symbol, i, 0.0::DOUBLE AS y FROM nb WHERE i = 14 UNION ALL SELECT nb.symbol, nb.i, nb.k * nb.close + (1 - nb.k) * r.y FROM r JOIN nb ON nb.symbol = r.symbol AND nb.i = r.i + 1) SELECT nb.symbol, ts, {_r('CASE WHEN nb.i > 14 THEN y END', 'VIDYA_14')} FROM nb LEFT JOIN r USING (symbol, i)",
     "ta_hilo": f"""{_FIRST}, m AS (SELECT *, {_AVG("high", 13)} AS h, {_AVG("low", 21)} AS l FROM bars), n AS (SELECT *, CASE WHEN close > lag(h) OVER w THEN 1 WHEN close < lag(l) OVER w THEN 2 ELSE 0 END AS z FROM m {_W}),
 g AS (SELECT *, sum((z > 0)::INTEGER) OVER {_UP} AS g FROM n) SELECT symbol, ts, {_r("first_value(CASE z WHEN 1 THEN l WHEN 2 THEN h END) OVER (PARTITION BY symbol, g ORDER BY ts)", "HILO_13_21")} FROM g""",
-    "ta_mcginley": f"{_FIRST} " + _select([_r(f"{_PREV} + (close - {_PREV}) / nullif(1e7::DOUBLE * pow(close / nullif({_PREV}, 0), 4), 0)", "MCGD_10", 4)]),
+    "ta_mcginley": f"{_FIRST} " + _select([_r(f"{_PREV} + (close - {_PREV}) / nullif(1e10::DOUBLE * pow(close / nullif({_PREV}, 0), 4), 0)", "MCGD_10", 4)]),
     "ta_fisher": _numbered(f"{_REC}, f0 AS (SELECT *, (high + low) / 2 AS m FROM bars), f1 AS (SELECT *, (m - {_roll('min', 'm', 9)}) / greatest(0.001::DOUBLE, {_roll('max', 'm', 9)} - {_roll('min', 'm', 9)}) - 0.5::DOUBLE AS p FROM f0)", "f1")
     + f""", r AS (SELECT symbol, i, 0.0::DOUBLE AS v, 0.0::DOUBLE AS y FROM nb WHERE i = 9
   UNION ALL SELECT symbol, i, v, 0.5::DOUBLE * (ln((1 + v) / (1 - v)) + y) FROM (SELECT symbol, i, y, CASE WHEN q < -0.99 THEN -0.999::DOUBLE WHEN q > 0.99 THEN 0.999::DOUBLE ELSE q END AS v FROM (SELECT nb.symbol, nb.i, r.y, 0.66::DOUBLE * nb.p + 0.67::DOUBLE * r.v AS q FROM r JOIN nb ON nb.symbol = r.symbol AND nb.i = r.i + 1))),

@@ -209,3 +209,29 @@ def test_page_text_of_the_given_pages(spark):
         bare = re.sub(rf"(?is)<({drop})\b.*?</\1\s*>", "", re.sub(r"(?s)<!--.*?-->", "", r.html or ""))
         want = "".join(unescape(re.sub(r"(?s)<[^>]+>", "", bare)).split())
         assert "".join(got[r.page_id].split()) == want
+
+
+@pytest.mark.parametrize("n", [1, 63, 64, 65, 1000])
+def test_solve_equals_a_loop(n):
+    from lodestar.functions.scan import solve
+
+    draw = np.random.default_rng(n)
+    a, b = draw.uniform(-0.2, 1.0, (n, 3)), draw.normal(size=(n, 3))
+    y, p = solve(a, b)
+    last, product = np.zeros(3), np.ones(3)
+    for i in range(n):
+        last, product = a[i] * last + b[i], product * a[i]
+        assert np.allclose(y[i], last) and np.allclose(p[i], product)
+
+
+@pytest.mark.parametrize("chunk", [200, 333, 20_000])
+def test_robust_z_does_not_hang_on_chunks(spark, chunk):
+    draw = np.random.default_rng(1)
+    x = np.where(draw.random(1500) < 0.1, np.nan, draw.normal(size=1500))
+    rows = [("A", k, k, None if np.isnan(v) else float(v)) for k, v in enumerate(x)] + [("B", k, k, 1.0) for k in range(50)]
+    df = spark.createDataFrame(rows, "symbol string, ts int, seq int, x double")
+    got = quality.robust_z(df, F.col("x"), "z", chunk=chunk).toPandas().sort_values(["symbol", "ts"])
+    s = pd.Series(x)
+    away = (s - s.rolling(100, min_periods=30).median()).abs()
+    spread = 1.4826 * away.rolling(100, min_periods=30).median()
+    assert len(got) == 1550 and np.allclose(got.z[got.symbol == "A"].to_numpy(float), away / spread, equal_nan=True) and got.z[got.symbol == "B"].isna().all()

@@ -51,4 +51,4 @@ def test_query_equals_sql(spark, duck, name):
 
 
 def test_all_queries_have_sql_or_a_test():
-    assert set(catalog.QUERIES) - set(catalog.ORACLE_SQL) <= {"page_text", "signal_news", "signal_energy", "signal_cluster_reversion"}
+    assert set(catalog.QUERIES) - set(catalog.ORACLE_SQL) <= {"page_text", "signal_news", "signal_energy", "signal_cluster_reversion", "pair_clusters_whole", "pair_correlations_whole", "pair_lags_whole", "pair_spreads_whole", "monte_carlo_whole"}
