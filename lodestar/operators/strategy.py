@@ -430,9 +430,47 @@ def cluster_reversion(df: DataFrame, threshold: float = 0.85, window: int = 20,
 
 
 STRATEGIES: dict[str, Callable[..., DataFrame]] = {f.__name__: f for f in (ema_cross, macd_trend, bollinger_reversion, rsi_reversal, zscore_arb, washer, turtle, channel_breakout, narrow_breakout, swing_reversal, supertrend_direction, macd_reversal, grid_trading, grid_reversal, markov_trend, markov_cross, double_markov, tdi_time_exit, rebalancing_premium, bouncy_ball, ichimoku_cloud, daily_range_breakout, squeeze_breakout, tdi_heikin_ashi, newsom, news_breakout, cluster_reversion)}
-#: Default grids of the strategies that are searched.
-GRIDS: dict[str, dict[str, list]] = {"turtle": {"entry": [20, 40, 55], "leave": [10, 20]}, "zscore_arb": {"length": [10, 20, 40], "threshold": [1.5, 2.0]}, "washer": {"lookback": [2, 4], "window": [24, 48]}}
+#: Default grids of the strategies.
+GRIDS: dict[str, dict[str, list]] = {
+    "ema_cross": {"fast": [5, 10, 20], "slow": [50, 100]},
+    "macd_trend": {"fast": [8, 12], "slow": [26, 40], "signal": [9]},
+    "bollinger_reversion": {"length": [10, 20, 40], "std": [1.5, 2.0, 2.5]},
+    "rsi_reversal": {"length": [7, 14], "lower": [20.0, 30.0], "upper": [70.0, 80.0]},
+    "zscore_arb": {"length": [10, 20, 40], "threshold": [1.5, 2.0]},
+    "washer": {"lookback": [2, 4], "window": [24, 48]},
+    "turtle": {"entry": [20, 40, 55], "leave": [10, 20]},
+    "channel_breakout": {"long_entry": [20, 40], "long_exit": [10], "short_entry": [20, 40], "short_exit": [10]},
+    "narrow_breakout": {"window": [4, 7, 10]},
+    "swing_reversal": {"trend": [2, 3, 4]},
+    "supertrend_direction": {"length": [7, 10, 14], "multiplier": [2.0, 3.0]},
+    "macd_reversal": {"fast": [8, 12], "slow": [30, 40], "signal": [9]},
+    "grid_trading": {"count": [5, 10, 20], "upper": [1.1, 1.2], "lower": [0.8, 0.9]},
+    "grid_reversal": {"count": [5, 10, 20], "upper": [1.05, 1.1], "lower": [0.9, 0.95]},
+    "markov_trend": {"lookback": [7, 14], "threshold": [0.3, 0.5], "history": [20, 33]},
+    "markov_cross": {"lookback": [7, 14], "threshold": [0.3, 0.5], "history": [20, 33]},
+    "double_markov": {"lookback_ev": [60, 90], "lookback": [14], "smooth": [10, 20]},
+    "tdi_time_exit": {"rsi_length": [14, 21], "bars": [5, 10]},
+    "rebalancing_premium": {"length": [20, 40], "std": [1.5, 2.0], "trend": [True, False]},
+    "bouncy_ball": {"slow": [100, 200], "fast": [10, 20], "oversold": [30.0, 40.0]},
+    "ichimoku_cloud": {"tenkan": [7, 9], "kijun": [22, 26]},
+    "daily_range_breakout": {"hold_days": [1, 5, 10], "reverse": [True, False]},
+    "squeeze_breakout": {"length": [20, 40], "channel": [1.5, 2.0], "follow": [True, False]},
+    "tdi_heikin_ashi": {"rsi_length": [13, 21], "green": [2, 5], "strong": [0.8, 1.0]},
+    "newsom": {"length": [14, 22], "multiplier": [2.0, 3.0], "bands": [20]},
+    "news_breakout": {"take": [25.0, 35.0], "stop": [15.0, 25.0], "by_colour": [True, False]},
+    "cluster_reversion": {"threshold": [0.8, 0.85, 0.9], "window": [20, 40], "enter": [1.5, 2.0]},
+}
+#: Other names of the strategies.
+ALIASES = {
+    "ema": "ema_cross", "macd": "macd_trend", "bollinger": "bollinger_reversion", "rsi": "rsi_reversal", "zscore": "zscore_arb", "channel": "channel_breakout", "nr7": "narrow_breakout", "swing": "swing_reversal", "supertrend": "supertrend_direction",
+    "grid": "grid_trading", "markov": "markov_trend", "tdi": "tdi_time_exit", "rebalancing": "rebalancing_premium", "ichimoku": "ichimoku_cloud", "squeeze": "squeeze_breakout", "news": "news_breakout", "cluster": "cluster_reversion",
+}
+
+
+def default_grid(name: str) -> dict[str, list]:
+    return GRIDS[ALIASES.get(name, name)]
 
 
 def signals(bars: DataFrame, name: str, **params) -> DataFrame:
-    return STRATEGIES[name](bars, **params)
+    """Signals of a strategy by its name or another name of it."""
+    return STRATEGIES[ALIASES.get(name, name)](bars, **params)

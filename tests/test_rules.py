@@ -118,3 +118,17 @@ def test_cluster_reversion_equals_pandas(spark):
         entry = pd.Series(np.select([z > 2, z < -2], [1.0, -1.0], np.nan)).ffill().fillna(0)
         assert np.allclose(got[s].z.astype(float), z, equal_nan=True, rtol=1e-6)
         assert (got[s].signal == entry).all()
+
+
+def test_every_strategy_has_a_grid_that_it_takes():
+    import inspect
+
+    assert set(st.GRIDS) == set(st.STRATEGIES) and set(st.ALIASES.values()) <= set(st.STRATEGIES)
+    for name, grid in st.GRIDS.items():
+        assert set(grid) <= set(inspect.signature(st.STRATEGIES[name]).parameters)
+    assert st.default_grid("nr7") == st.GRIDS["narrow_breakout"]
+
+
+def test_signals_take_other_names(spark):
+    rows = bars(spark, SF)
+    assert sorted(st.signals(rows, "nr7").select("symbol", "ts", "signal").collect()) == sorted(st.signals(rows, "narrow_breakout").select("symbol", "ts", "signal").collect())
