@@ -8,6 +8,7 @@ keeps one state for the key at hand.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -19,20 +20,16 @@ from pyspark.sql import types as T
 CHUNK = 20_000
 
 
-def solve(a: np.ndarray, b: np.ndarray, width: int = 64) -> tuple[np.ndarray, np.ndarray]:
-    """y = a * y(before) + b down the rows from 0, and the running product of a: within blocks of rows side by side, then from block to block."""
-    n, k = a.shape
-    blocks = -(-n // width)
-    a = np.concatenate([a, np.ones((blocks * width - n, k))]).reshape(blocks, width, k)
-    b = np.concatenate([b, np.zeros((blocks * width - n, k))]).reshape(blocks, width, k)
-    y, p = b.copy(), a.copy()
-    for i in range(1, width):
-        y[:, i] += a[:, i] * y[:, i - 1]
-        p[:, i] *= p[:, i - 1]
-    for j in range(1, blocks):
-        y[j] += p[j] * y[j - 1, -1]
-        p[j] *= p[j - 1, -1]
-    return y.reshape(-1, k)[:n], p.reshape(-1, k)[:n]
+def solve(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """y = a * y(before) + b down the rows from 0, and the running product of a.
+
+    Each column runs on plain floats, in the order of the rows, so the digits are those of the recurrence itself.
+    """
+    y = np.empty_like(b)
+    for k in range(a.shape[1]):
+        steps = zip(a[:, k].tolist(), b[:, k].tolist(), strict=True)
+        y[:, k] = list(itertools.accumulate(steps, lambda before, step: step[0] * before + step[1], initial=0.0))[1:]
+    return y, np.cumprod(a, axis=0)
 
 
 def linear_scan(df: DataFrame, terms: dict[str, tuple[Column, Column]], keys: tuple[str, ...] = ("symbol",), order: str = "ts", chunk: int = CHUNK) -> DataFrame:
