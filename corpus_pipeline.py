@@ -40,7 +40,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("mixing", mix_sources),
 ]
 
-#: A trained classifier and a similarity join stand in it, which SQL can't express.
+#: A trained classifier and fingerprints by array code stand in it, which SQL can't express.
 ORACLE_SQL = None
 
 
