@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import alignment, chat_format, decontam, fingerprint, hard_negatives, license_scan, lm_score, mixing, simhash_dedup, toxicity, url_filter, warc_audit
+from lodestar.llm import alignment, chat_format, decontam, fingerprint, hard_negatives, jaccard_join, license_scan, lm_score, mixing, simhash_dedup, toxicity, url_filter, warc_audit
 from lodestar.llm.common import table
 
 
@@ -94,6 +94,10 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(table(spark, sf_dir, "documents"))
 
 
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     vec_id, label = F.col("vec_id"), F.col("label").cast("bigint")
     label = F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label)
@@ -112,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_url_filter": op9_url_filter,
     "op10_chat_format": op10_chat_format,
     "op11_token_alignment": op11_token_alignment,
+    "op12_jaccard_join": op12_jaccard_join,
     "op13_hard_negatives": op13_hard_negatives,
 }
 

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lodestar.llm import alignment, hard_negatives
+from lodestar.llm import alignment, hard_negatives, jaccard_join
 
 VECTORS = "vec_id bigint, embedding array<float>, label int, score bigint, block string"
 DOCS = "doc_id bigint, text string, source string, pairs string, block bigint"
@@ -126,3 +126,104 @@ def test_halving_finds_all_shared_ends(share):
     a, b = np.array(ends_a), np.array(ends_b)
     cut_a, cut_b = alignment.shared_cuts(a, b, np.array(last_a), np.array(last_b))
     assert a[cut_a].tolist() == b[cut_b].tolist() == np.intersect1d(a, b).tolist()
+
+
+# --- Jaccard join
+
+
+def shingle_set(text):
+    w = (text or "").encode().lower().split()
+    return frozenset([tuple(w)] if 0 < len(w) < 5 else (tuple(w[i : i + 5]) for i in range(len(w) - 4)))
+
+
+def brute_join(rows):
+    sets = [shingle_set(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(a & sets[j])
+            if a and both and 100 * both >= 80 * len(a | sets[j]):
+                root[find(i)] = find(j)
+    least = defaultdict(list)
+    for k, (i, _) in enumerate(rows):
+        least[find(k)].append(i)
+    name = {r: min((i for i in ids if i is not None), default=None) for r, ids in least.items()}
+    return Counter((i, len(sets[k]), name[find(k)]) for k, (i, _) in enumerate(rows))
+
+
+def varied(draw, base, edits):
+    out = list(base)
+    for _ in range(edits):
+        at = draw.randrange(len(out))
+        out[at : at + draw.choice([0, 1, 1])] = [f"v{draw.randrange(10**6)}"] * draw.choice([0, 1, 1])
+    return out
+
+
+@pytest.fixture(scope="module")
+def crowd():
+    draw = random.Random(8)
+    text = lambda n, kinds=3000: [f"w{draw.randrange(kinds)}" for _ in range(n)]
+    rows = [text(draw.choice([1, 2, 3, 4, 5, 6, 7, 9, 12, 30, 80, 300])) for _ in range(120)]
+    for size in (5, 6, 8, 9, 10, 14, 20, 40, 90, 200, 600):  # chains of copies near the bound
+        base = text(size)
+        for _ in range(12):
+            rows.append(base)
+            base = varied(draw, base, draw.choice([1, 1, 2, max(1, size // 60), max(1, size // 45)]))
+    shared = text(60)
+    rows += [text(60) + shared + text(50) for _ in range(60)]  # one passage, no copies
+    rows += [varied(draw, shared + shared[::-1] + text(5), 2) for _ in range(70)]  # a large group of near copies
+    rows += [["a"] * n for n in (4, 5, 9, 50)] + [["x", "y"] * 40, ["x", "y"] * 41]
+    out = [(k, " ".join(w)) for k, w in enumerate(rows)]
+    out += [(9000, None), (9001, ""), (9002, " \t\n"), (9003, "one"), (9004, "ONE"), (9005, "Éa b"), (9006, "éa b"), (None, "one"), (None, "no id at all in this text"), (None, None), (7, out[7][1]), (7, out[7][1])]
+    out += [(9100, " ".join(text(20000)))]
+    out.append((9101, out[-1][1] + " tail of the long text"))
+    return out
+
+
+@pytest.mark.parametrize("tile", [16, 512])
+def test_join_equals_brute_force(spark, crowd, tile):
+    docs = spark.createDataFrame([(i, t, "s", "p", 5) for i, t in crowd], DOCS)
+    want = brute_join(crowd)
+    assert len({c for _, _, c in want}) < 0.85 * len(crowd)
+    assert Counter(tuple(r) for r in jaccard_join.join(docs, tile=tile).collect()) == want
+
+
+def test_join_of_nothing(spark):
+    assert jaccard_join.join(spark.createDataFrame([], DOCS)).collect() == []
+    assert [tuple(r) for r in jaccard_join.join(spark.createDataFrame([(1, None, "s", "p", 5)], DOCS)).collect()] == [(1, 0, 1)]
+
+
+@pytest.mark.parametrize("percent", [60, 80, 95])
+def test_similar_sets_share_a_signature(percent):
+    """Pigeonhole: whatever differs within the bound, an exact subset or a one-deletion neighbour is in common."""
+    draw = random.Random(percent)
+    for trial in range(400):
+        n = draw.choice([1, 2, 3, 4, 5, 6, 7, 8, 10, 13, 17, 25, 60, 150])
+        a = [draw.getrandbits(64) for _ in range(n)]
+        most = 2 * n * (100 - percent) // (100 + percent) + 1
+        b = a[draw.randrange(min(n, most) + 1) :] + [draw.getrandbits(64) for _ in range(draw.randrange(most + 1))]
+        if not b or 100 * len(set(a) & set(b)) < percent * len(set(a) | set(b)):
+            continue
+        elements = np.concatenate([np.sort(np.array(x, np.uint64)) for x in (a, b)])
+        signs, owners = jaccard_join.signatures(elements, np.array([len(a), len(b)]), percent)
+        exact = [{int(s) >> 1 for s, o in zip(signs, owners, strict=True) if o == k and not int(s) & 1} for k in (0, 1)]
+        every = [{int(s) >> 1 for s, o in zip(signs, owners, strict=True) if o == k} for k in (0, 1)]
+        assert exact[0] & every[1] or every[0] & exact[1], (trial, n)
+
+
+def test_pairs_are_those_of_the_sets():
+    draw = random.Random(2)
+    base = [draw.getrandbits(64) for _ in range(40)]
+    sets_ = [sorted({*draw.sample(base, draw.randrange(30, 41)), *(draw.getrandbits(64) for _ in range(draw.randrange(6)))}) for _ in range(50)]
+    elements, sizes = np.array([x for s in sets_ for x in s], np.uint64), np.array(list(map(len, sets_)))
+    want = {(i, j) for i in range(50) for j in range(i + 1, 50) if 100 * len(set(sets_[i]) & set(sets_[j])) >= 80 * len(set(sets_[i]) | set(sets_[j]))}
+    got = set(zip(*(x.tolist() for x in jaccard_join.similar_pairs(elements, sizes, 80)), strict=True))
+    assert got == want and 20 < len(want) < 1225
+    got = set(zip(*(x.tolist() for x in jaccard_join.similar_pairs(elements, sizes, 80, split=20)), strict=True))
+    assert got == {(i, j) for i, j in want if i < 20 <= j}
