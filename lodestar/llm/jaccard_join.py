@@ -13,7 +13,7 @@ cost: more segments make more signatures for all sets, fewer make more neighbour
 Sets with a signature in common are candidates.  Each task's signatures go in packed runs to
 buckets, where equal ones meet; lists of sets that share several signatures count once.  In a
 first round the least set of each list is compared with the others, in a second one all sets of
-those lists that the links found so far don't connect; both by the exact sizes of intersections,
+those lists that the links found so far don't connect, lists over the same classes as one; both by the exact sizes of intersections,
 as matrix products over the elements that at least two sets share, tile by tile.  A tile gives
 back a spanning forest of its links, never all pairs.
 
@@ -43,8 +43,8 @@ from lodestar.llm.tokens import mix
 
 #: Bytes of text that are handled at a time, and whose signatures are sent on together; bytes of text for each bucket, about.
 _CHUNK, _SEND, BUCKET_BYTES = 1 << 22, 1 << 25, 1 << 24
-#: Sets that are compared with each other at once, partners of a set that are compared with it at once, and elements of a product.
-TILE, _PARTNERS, _COLUMNS = 512, 256, 4096
+#: Sets that are compared with each other at once, partners of a set that are compared with it at once, members of a small list, and elements of a product.
+TILE, _PARTNERS, _FEW, _COLUMNS = 512, 256, 64, 4096
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
@@ -239,9 +239,9 @@ def similar_pairs(elements: np.ndarray, sizes: np.ndarray, percent: int, split:
 
 
 def compare(groups: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Edges ``a, b`` that keep connected what is similar among the sets of each of ``groups(tile_a, tile_b, side, name)``.
+    """Edges ``a, b`` that keep connected what is similar among the sets of each of ``groups``.
 
-    Sets of side 0 are compared with each other or, where there are others, with those of side 1.
+    A group is all rows that agree in the columns but ``side`` and ``name``.  Sets of side 0 are compared with each other or, where there are others, with those of side 1.
     """
 
     def run(group: pa.Table) -> pa.Table:
@@ -257,7 +257,7 @@ def compare(groups: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
         names = group.column("name").chunk(0)
         return pa.table({"a": names.take(pa.array(moved)), "b": names.take(pa.array(root[moved]))})
 
-    return groups.join(texts, "name").groupBy("tile_a", "tile_b", "list").applyInArrow(run, "a binary, b binary")
+    return groups.join(texts, "name").groupBy(*(c for c in groups.columns if c not in ("side", "name"))).applyInArrow(run, "a binary, b binary")
 
 
 def tiled(lists: DataFrame, tile: int) -> DataFrame:
@@ -269,6 +269,13 @@ def tiled(lists: DataFrame, tile: int) -> DataFrame:
     return dealt.select("list", F.least("own", "other").alias("tile_a"), F.greatest("own", "other").alias("tile_b"), (F.col("own") > F.col("other")).cast("int").alias("side"), "name")
 
 
+def star_groups(pairs: DataFrame) -> DataFrame:
+    """Groups for ``compare`` of each ``hub`` with the ``name`` of its pairs, not too many at once."""
+    crowd = pairs.groupBy("hub").agg(F.ceil(F.count("*") / F.lit(_PARTNERS)).cast("int").alias("parts"))
+    dealt = pairs.join(crowd, "hub").select(F.col("hub").alias("list"), F.pmod(F.xxhash64("name"), F.col("parts")).cast("int").alias("tile_a"), "name")
+    return dealt.select("list", "tile_a", F.lit(0).alias("tile_b"), F.lit(0).alias("side"), F.explode(F.array("name", "list")).alias("name")).distinct()
+
+
 def join(docs: DataFrame, width: int = 5, percent: int = 80, tile: int = TILE) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs``; component_id is the least doc_id reachable over links."""
     prints = cut(sets(docs, width), "sets")
@@ -284,16 +291,19 @@ def join(docs: DataFrame, width: int = 5, percent: int = 80, tile: int = TILE) -
     texts = cut(texts, "texts")
     # first round: the least set of each list against the others
     hubs = lists.groupBy("list").agg(F.min("name").alias("hub"))
-    pairs = lists.join(hubs, "list").where("name <> hub").select("hub", "name").distinct()
-    crowd = pairs.groupBy("hub").agg(F.ceil(F.count("*") / F.lit(_PARTNERS)).cast("int").alias("parts"))
-    pairs = pairs.join(crowd, "hub").select(F.col("hub").alias("list"), F.pmod(F.xxhash64("name"), F.col("parts")).cast("int").alias("tile_a"), "name")
-    stars = pairs.select("list", "tile_a", F.lit(0).alias("tile_b"), F.lit(0).alias("side"), F.explode(F.array("name", "list")).alias("name")).distinct()
+    stars = star_groups(lists.join(hubs, "list").where("name <> hub").select("hub", "name").distinct())
     links = cut(compare(stars, texts, width, percent), "links")
     # second round: lists of three and more that the links leave in several classes
     roots = connected(links)
     classes = lists.join(roots.withColumnRenamed("node", "name"), "name", "left").select("list", "name", F.coalesce("root", "name").alias("root"))
-    apart = classes.groupBy("list").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("members")).where("members > 2 AND low <> high").select("list")
-    more = compare(tiled(lists.join(apart, "list"), tile), texts, width, percent)
+    apart = classes.groupBy("list").agg(F.count("*").alias("members"), F.min("root").alias("low"), F.max("root").alias("high")).where("members > 2 AND low <> high")
+    rest = classes.join(apart.select("list", "members"), "list")
+    large = rest.where(F.col("members") > _FEW).select("list", "name")
+    few = rest.where(F.col("members") <= _FEW).select("list", "name", "root")
+    others = few.withColumnsRenamed({"name": "other", "root": "other_root"})
+    pairs = few.join(others, "list").where("name < other AND root <> other_root").select(F.col("name").alias("hub"), F.col("other").alias("name")).distinct()
+    groups = star_groups(pairs).withColumn("large", F.lit(False)).unionByName(tiled(large, tile).withColumn("large", F.lit(True)))
+    more = compare(groups, texts, width, percent)
     roots = connected(links.unionByName(more))
     least = prints.where("n > 0").groupBy("name").agg(F.min("doc_id").alias("least"))
     classes = least.join(roots.withColumnRenamed("node", "name"), "name", "left").select("name", F.coalesce("root", "name").alias("root"), "least")
