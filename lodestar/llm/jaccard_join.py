@@ -12,10 +12,12 @@ cost: more segments make more signatures for all sets, fewer make more neighbour
 
 Sets with a signature in common are candidates.  Each task's signatures go in packed runs to
 buckets, where equal ones meet; lists of sets that share several signatures count once.  In a
-first round the least set of each list is compared with the others, in a second one all sets of
-those lists that the links found so far don't connect, lists over the same classes as one; both by the exact sizes of intersections,
-as matrix products over the elements that at least two sets share, tile by tile.  A tile gives
-back a spanning forest of its links, never all pairs.
+first round the least set of each list is compared with the others.  In a second one, of the lists
+that the links found so far leave in several classes, small ones give the pairs between classes,
+each once however many lists it is in, and large ones are compared whole.  Pairs go on unless
+their sizes, or the parities of their elements in some places, rule them out.  Both rounds compare by
+the exact sizes of intersections, as matrix products over the elements that at least two sets
+share, tile by tile.  A tile gives back a spanning forest of its links, never all pairs.
 
 Defined cases: null, empty and wordless texts have an empty set, size 0, and are linked with
 nothing; a text of fewer words than a shingle is one shingle; equal sets are one node and link
@@ -129,6 +131,45 @@ def signatures(elements: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[n
     return np.concatenate(found), np.concatenate(owners)
 
 
+def sketches(elements: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """For each set the parities of its elements in twice as many places or more, a power of two.
+
+    An element in one of two sets alone flips one place, so two sets differ in as many elements
+    as their sketches do in places, or more.
+    """
+    places = (1 << np.maximum(6, np.ceil(np.log2(np.maximum(2 * sizes, 1)))).astype(np.int64)) if len(sizes) else sizes
+    first = np.cumsum(places) - places
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    at = first[owner] + (mix(elements ^ _ODD[2]) & (places[owner] - 1).astype(np.uint64)).astype(np.int64)
+    odd = np.packbits((np.bincount(at, minlength=int(places.sum())) & 1).astype(np.uint8), bitorder="little").tobytes()
+    return [odd[a // 8 : (a + n) // 8] for a, n in zip(first.tolist(), places.tolist(), strict=True)]
+
+
+def surely_apart(a: bytes, b: bytes, n_a: int, n_b: int, percent: int) -> bool:
+    """Whether sizes and sketches rule the similarity out; a longer sketch is folded to the shorter one's places."""
+    most = (n_a + n_b) * (100 - percent) // (100 + percent)
+    if abs(n_a - n_b) > most:
+        return True
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    n = min(len(x), len(y))
+    folded = np.bitwise_xor.reduce(x.reshape(-1, n), axis=0) ^ np.bitwise_xor.reduce(y.reshape(-1, n), axis=0)
+    return int(np.bitwise_count(folded).sum()) > most
+
+
+def likely(pairs: DataFrame, kinds: DataFrame, percent: int) -> DataFrame:
+    """The ``hub, name`` of ``pairs`` whose sizes and sketches don't rule the similarity out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("sketch_a", "sketch_b", "n_a", "n_b")]
+            keep = pa.array([not surely_apart(*row, percent) for row in zip(*columns, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("hub").filter(keep), batch.column("name").filter(keep)], ["hub", "name"])
+
+    for side, column in (("a", "hub"), ("b", "name")):
+        pairs = pairs.join(kinds.select(F.col("name").alias(column), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"sketch_{side}")), column)
+    return pairs.mapInArrow(run, "hub binary, name binary")
+
+
 def chunks(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
     sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy())
     ends = np.searchsorted(sizes, np.arange(_CHUNK, int(sizes[-1]) if len(sizes) else 0, _CHUNK), "right").tolist()
@@ -138,16 +179,16 @@ def chunks(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
 
 
 def sets(docs: DataFrame, width: int) -> DataFrame:
-    """``doc_id, text_key, name, n`` for every row of ``docs``: the name of its set and its size."""
+    """``doc_id, text_key, name, n, sketch`` for every row of ``docs``: the name, size and sketch of its set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, 2):
                 elements, sizes = shingles(part.column(2), width)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(names_of(elements, sizes).tolist(), pa.binary()), pa.array(sizes.astype(np.int64))], ["doc_id", "text_key", "name", "n"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(names_of(elements, sizes).tolist(), pa.binary()), pa.array(sizes.astype(np.int64)), pa.array(sketches(elements, sizes), pa.binary())], ["doc_id", "text_key", "name", "n", "sketch"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, f"doc_id {kind}, text_key bigint, name binary, n bigint")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, f"doc_id {kind}, text_key bigint, name binary, n bigint, sketch binary")
 
 
 def packed_signatures(docs: DataFrame, width: int, percent: int, buckets: int) -> DataFrame:
@@ -278,21 +319,24 @@ def star_groups(pairs: DataFrame) -> DataFrame:
 
 def join(docs: DataFrame, width: int = 5, percent: int = 80, tile: int = TILE) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs``; component_id is the least doc_id reachable over links."""
-    prints = cut(sets(docs, width), "sets")
+    prints = cut(sets(docs, width), "sets", drop_shuffles=True)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
-    lists = cut(shared_lists(packed_signatures(docs, width, percent, buckets)), "lists")
-    # one text for each set that is in a list
+    lists = cut(shared_lists(packed_signatures(docs, width, percent, buckets)), "lists", drop_shuffles=True)
+    # sizes, sketches and one text of each set that is in a list
     wanted = lists.select("name").distinct()
     place = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("at")
-    at = prints.where("n > 0").join(wanted, "name", "left_semi").groupBy("name").agg(place).select("name", F.col("at.doc_id").alias("id"), F.col("at.text_key").alias("key"))
+    kinds = prints.where("n > 0").join(wanted, "name", "left_semi").groupBy("name").agg(place, F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    kinds = cut(kinds.select("name", "n", "sketch", F.col("at.doc_id").alias("id"), F.col("at.text_key").alias("key")), "kinds", drop_shuffles=True)
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").where("text IS NOT NULL")
+    at = kinds.select("name", "id", "key")
     texts = rows.join(at, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key"))).groupBy("name").agg(F.first("text").alias("text"))
-    texts = cut(texts, "texts")
+    texts = cut(texts, "texts", drop_shuffles=True)
     # first round: the least set of each list against the others
     hubs = lists.groupBy("list").agg(F.min("name").alias("hub"))
-    stars = star_groups(lists.join(hubs, "list").where("name <> hub").select("hub", "name").distinct())
-    links = cut(compare(stars, texts, width, percent), "links")
+    pairs = lists.join(hubs, "list").where("name <> hub").select("hub", "name").distinct()
+    stars = star_groups(cut(likely(pairs, kinds, percent), "pairs", drop_shuffles=True))
+    links = cut(compare(stars, texts, width, percent), "links", drop_shuffles=True)
     # second round: lists of three and more that the links leave in several classes
     roots = connected(links)
     classes = lists.join(roots.withColumnRenamed("node", "name"), "name", "left").select("list", "name", F.coalesce("root", "name").alias("root"))
@@ -302,12 +346,13 @@ def join(docs: DataFrame, width: int = 5, percent: int = 80, tile: int = TILE) -
     few = rest.where(F.col("members") <= _FEW).select("list", "name", "root")
     others = few.withColumnsRenamed({"name": "other", "root": "other_root"})
     pairs = few.join(others, "list").where("name < other AND root <> other_root").select(F.col("name").alias("hub"), F.col("other").alias("name")).distinct()
+    pairs = cut(likely(pairs, kinds, percent), "pairs", drop_shuffles=True)
     groups = star_groups(pairs).withColumn("large", F.lit(False)).unionByName(tiled(large, tile).withColumn("large", F.lit(True)))
     more = compare(groups, texts, width, percent)
     roots = connected(links.unionByName(more))
     least = prints.where("n > 0").groupBy("name").agg(F.min("doc_id").alias("least"))
     classes = least.join(roots.withColumnRenamed("node", "name"), "name", "left").select("name", F.coalesce("root", "name").alias("root"), "least")
     called = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = cut(classes.join(called, "root").select("name", "component_id"), "classes")
+    classes = cut(classes.join(called, "root").select("name", "component_id"), "classes", drop_shuffles=True)
     linked = prints.where("n > 0").join(classes, "name").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return linked.unionByName(prints.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))

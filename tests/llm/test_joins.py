@@ -227,3 +227,20 @@ def test_pairs_are_those_of_the_sets():
     assert got == want and 20 < len(want) < 1225
     got = set(zip(*(x.tolist() for x in jaccard_join.similar_pairs(elements, sizes, 80, split=20)), strict=True))
     assert got == {(i, j) for i, j in want if i < 20 <= j}
+
+
+def test_sketches_rule_out_no_similar_pair():
+    draw = random.Random(6)
+    said = Counter()
+    for _ in range(300):
+        n = draw.choice([1, 2, 5, 20, 100, 700])
+        a = [draw.getrandbits(64) for _ in range(n)]
+        b = [*a[draw.randrange(n // 2 + 1) :], *(draw.getrandbits(64) for _ in range(draw.randrange(n // 3 + 2)))]
+        sets_ = [np.sort(np.array(x, np.uint64)) for x in (a, b)]
+        sizes = np.array([len(x) for x in sets_])
+        first, second = jaccard_join.sketches(np.concatenate(sets_), sizes)
+        apart = jaccard_join.surely_apart(first, second, *sizes.tolist(), 80)
+        near = 100 * len(set(a) & set(b)) >= 80 * len(set(a) | set(b))
+        assert not (near and apart)
+        said[near, apart] += 1
+    assert said[False, True] > 5 * said[False, False]
