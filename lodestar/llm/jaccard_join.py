@@ -12,12 +12,12 @@ cost: more segments make more signatures for all sets, fewer make more neighbour
 
 Sets with a signature in common are candidates.  Each task's signatures go in packed runs to
 buckets, where equal ones meet; lists of sets that share several signatures count once.  In a
-first round the least set of each list is compared with the others.  In a second one, of the lists
-that the links found so far leave in several classes, small ones give the pairs between classes,
-each once however many lists it is in, and large ones are compared whole.  Pairs go on unless
-their sizes, or the parities of their elements in some places, rule them out.  Both rounds compare by
-the exact sizes of intersections, as matrix products over the elements that at least two sets
-share, tile by tile.  A tile gives back a spanning forest of its links, never all pairs.
+first round the least set of each list is paired with the others.  In a second one all sets of
+those lists that the links found so far leave in several classes are paired between classes,
+lists with one least set as one, and large ones tile by tile.  Pairs go on unless their sizes, or
+the parities of their elements in some places, rule the similarity out; these sketches are a
+fraction of the texts.  What goes on is compared by the exact sizes of intersections, as matrix
+products over the elements that at least two sets share, and gives a spanning forest of its links.
 
 Defined cases: null, empty and wordless texts have an empty set, size 0, and are linked with
 nothing; a text of fewer words than a shingle is one shingle; equal sets are one node and link
@@ -45,8 +45,8 @@ from lodestar.llm.tokens import mix
 
 #: Bytes of text that are handled at a time, and whose signatures are sent on together; bytes of text for each bucket, about.
 _CHUNK, _SEND, BUCKET_BYTES = 1 << 22, 1 << 25, 1 << 24
-#: Sets that are compared with each other at once, partners of a set that are compared with it at once, members of a small list, and elements of a product.
-TILE, _PARTNERS, _FEW, _COLUMNS = 512, 256, 64, 4096
+#: Sets that are compared with each other at once, partners of a set that are compared with it at once, and elements of a product.
+TILE, _PARTNERS, _COLUMNS = 512, 256, 4096
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
@@ -145,29 +145,52 @@ def sketches(elements: np.ndarray, sizes: np.ndarray) -> list[bytes]:
     return [odd[a // 8 : (a + n) // 8] for a, n in zip(first.tolist(), places.tolist(), strict=True)]
 
 
-def surely_apart(a: bytes, b: bytes, n_a: int, n_b: int, percent: int) -> bool:
-    """Whether sizes and sketches rule the similarity out; a longer sketch is folded to the shorter one's places."""
-    most = (n_a + n_b) * (100 - percent) // (100 + percent)
-    if abs(n_a - n_b) > most:
-        return True
-    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-    n = min(len(x), len(y))
-    folded = np.bitwise_xor.reduce(x.reshape(-1, n), axis=0) ^ np.bitwise_xor.reduce(y.reshape(-1, n), axis=0)
-    return int(np.bitwise_count(folded).sum()) > most
-
-
-def likely(pairs: DataFrame, kinds: DataFrame, percent: int) -> DataFrame:
-    """The ``hub, name`` of ``pairs`` whose sizes and sketches don't rule the similarity out."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("sketch_a", "sketch_b", "n_a", "n_b")]
-            keep = pa.array([not surely_apart(*row, percent) for row in zip(*columns, strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("hub").filter(keep), batch.column("name").filter(keep)], ["hub", "name"])
+def not_ruled_out(sketch: list[bytes], sizes: np.ndarray, percent: int) -> np.ndarray:
+    """For all pairs of sets whether sizes and sketches leave the similarity open; longer sketches are folded to the shorter one's places."""
+    n, most = len(sizes), (sizes[:, None] + sizes[None, :]) * (100 - percent) // (100 + percent)
+    open_ = np.abs(sizes[:, None] - sizes[None, :]) <= most
+    length = np.array([len(x) // 8 for x in sketch])
+    kinds = [(words, np.flatnonzero(length == words)) for words in np.unique(length)]
+    for k, (words, rows) in enumerate(kinds):
+        short = np.frombuffer(b"".join(sketch[i] for i in rows), np.uint64).reshape(len(rows), words)
+        for longer, others in kinds[k:]:
+            long = np.frombuffer(b"".join(sketch[i] for i in others), np.uint64).reshape(len(others), longer // words, words)
+            folded = np.bitwise_xor.reduce(long, axis=1)
+            apart = np.zeros((len(rows), len(others)), np.int64)
+            for at in range(words):  # word by word, so that memory stays that of the result
+                apart += np.bitwise_count(short[:, at, None] ^ folded[None, :, at])
+            fit = open_[np.ix_(rows, others)] & (apart <= most[np.ix_(rows, others)])
+            open_[np.ix_(rows, others)], open_[np.ix_(others, rows)] = fit, fit.T
+    return open_
+
+
+def likely(groups: DataFrame, kinds: DataFrame, percent: int, hubs_only: bool) -> DataFrame:
+    """The distinct pairs ``hub, name`` of the groups whose sizes and sketches leave the similarity open.
+
+    With ``hubs_only`` those of ``list``, the hub, and the others; else those of different ``root``,
+    between sides where a group has two.
+    """
+    by = [c for c in groups.columns if c not in ("side", "name", "root")]
 
-    for side, column in (("a", "hub"), ("b", "name")):
-        pairs = pairs.join(kinds.select(F.col("name").alias(column), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"sketch_{side}")), column)
-    return pairs.mapInArrow(run, "hub binary, name binary")
+    def run(group: pa.Table) -> pa.Table:
+        names, side = group.column("name").to_pylist(), group.column("side").to_numpy()
+        open_ = not_ruled_out(group.column("sketch").to_pylist(), group.column("n").to_numpy(), percent)
+        if hubs_only:
+            hub = np.array(names, object) == group.column("list")[0].as_py()
+            open_ &= hub[:, None] & ~hub[None, :]
+        else:
+            root = np.unique(np.array(group.column("root").to_pylist(), "V16"), return_inverse=True)[1]
+            open_ &= root[:, None] != root[None, :]
+            if side.any():
+                open_ &= side[:, None] != side[None, :]
+        i, j = np.nonzero(open_)
+        if not hubs_only:
+            keep = i < j
+            i, j = i[keep], j[keep]
+        pairs = [(names[x], names[y]) if hubs_only or names[x] < names[y] else (names[y], names[x]) for x, y in zip(i.tolist(), j.tolist(), strict=True)]
+        return pa.table({"hub": pa.array([x for x, _ in pairs], pa.binary()), "name": pa.array([y for _, y in pairs], pa.binary())})
+
+    return groups.join(kinds.select("name", "n", "sketch"), "name").groupBy(*by).applyInArrow(run, "hub binary, name binary").distinct()
 
 
 def chunks(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
@@ -255,8 +278,8 @@ def shared_lists(packs: DataFrame) -> DataFrame:
     return packs.groupBy("bucket").applyInArrow(run, "list binary, name binary").distinct()
 
 
-def similar_pairs(elements: np.ndarray, sizes: np.ndarray, percent: int, split: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs i < j of sets that reach the similarity; with ``split``, those with i < split <= j."""
+def similar_pairs(elements: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs i < j of sets that reach the similarity."""
     n = len(sizes)
     owner = np.repeat(np.arange(n), sizes)
     order = np.argsort(elements, kind="stable")
@@ -274,40 +297,31 @@ def similar_pairs(elements: np.ndarray, sizes: np.ndarray, percent: int, split:
         common += part @ part.T
     both = common.astype(np.int64)
     near = np.triu(100 * both >= percent * (sizes[:, None] + sizes[None, :] - both), 1)
-    if split is not None:
-        near[:, :split] = near[split:, :] = False
     return np.nonzero(near)
 
 
 def compare(groups: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Edges ``a, b`` that keep connected what is similar among the sets of each of ``groups``.
-
-    A group is all rows that agree in the columns but ``side`` and ``name``.  Sets of side 0 are compared with each other or, where there are others, with those of side 1.
-    """
+    """Edges ``a, b`` that keep connected what is similar among the sets of each of ``groups``, the rows of one list and tile."""
 
     def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by("side").combine_chunks()
+        group = group.combine_chunks()
         elements, sizes = shingles(group.column("text").chunk(0), width)
-        side = group.column("side").to_numpy()
-        split = int((side == 0).sum())
-        i, j = similar_pairs(elements, sizes, percent, split if split < len(side) else None)
         forest = _Forest(len(sizes))
-        forest.link(i, j)
+        forest.link(*similar_pairs(elements, sizes, percent))
         root = forest.settle()
         moved = np.flatnonzero(root != np.arange(len(root)))
         names = group.column("name").chunk(0)
         return pa.table({"a": names.take(pa.array(moved)), "b": names.take(pa.array(root[moved]))})
 
-    return groups.join(texts, "name").groupBy(*(c for c in groups.columns if c not in ("side", "name"))).applyInArrow(run, "a binary, b binary")
+    return groups.join(texts, "name").groupBy("list", "tile_a").applyInArrow(run, "a binary, b binary")
 
 
 def tiled(lists: DataFrame, tile: int) -> DataFrame:
-    """``list, tile_a, tile_b, side, name``: lists of at most a tile as they are, larger ones as all pairs of their tiles."""
+    """``lists`` with ``tile_a, tile_b, side``: those of at most a tile as they are, larger ones as all pairs of their tiles."""
     sizes = lists.groupBy("list").agg(F.ceil(F.count("*") / F.lit(tile)).cast("int").alias("tiles"))
     dealt = lists.join(sizes, "list").withColumn("own", F.pmod(F.xxhash64("name"), F.col("tiles")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
-    dealt = dealt.select("list", "name", "own", other.alias("other"))
-    return dealt.select("list", F.least("own", "other").alias("tile_a"), F.greatest("own", "other").alias("tile_b"), (F.col("own") > F.col("other")).cast("int").alias("side"), "name")
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    return dealt.withColumns({"tile_a": F.least("own", "other"), "tile_b": F.greatest("own", "other"), "side": (F.col("own") > F.col("other")).cast("int")}).drop("own", "other", "tiles")
 
 
 def star_groups(pairs: DataFrame) -> DataFrame:
@@ -333,22 +347,17 @@ def join(docs: DataFrame, width: int = 5, percent: int = 80, tile: int = TILE) -
     texts = rows.join(at, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key"))).groupBy("name").agg(F.first("text").alias("text"))
     texts = cut(texts, "texts", drop_shuffles=True)
     # first round: the least set of each list against the others
-    hubs = lists.groupBy("list").agg(F.min("name").alias("hub"))
+    hubs = lists.groupBy("list").agg(F.min("name").alias("hub"), F.count("*").alias("members"))
     pairs = lists.join(hubs, "list").where("name <> hub").select("hub", "name").distinct()
-    stars = star_groups(cut(likely(pairs, kinds, percent), "pairs", drop_shuffles=True))
-    links = cut(compare(stars, texts, width, percent), "links", drop_shuffles=True)
-    # second round: lists of three and more that the links leave in several classes
-    roots = connected(links)
-    classes = lists.join(roots.withColumnRenamed("node", "name"), "name", "left").select("list", "name", F.coalesce("root", "name").alias("root"))
-    apart = classes.groupBy("list").agg(F.count("*").alias("members"), F.min("root").alias("low"), F.max("root").alias("high")).where("members > 2 AND low <> high")
-    rest = classes.join(apart.select("list", "members"), "list")
-    large = rest.where(F.col("members") > _FEW).select("list", "name")
-    few = rest.where(F.col("members") <= _FEW).select("list", "name", "root")
-    others = few.withColumnsRenamed({"name": "other", "root": "other_root"})
-    pairs = few.join(others, "list").where("name < other AND root <> other_root").select(F.col("name").alias("hub"), F.col("other").alias("name")).distinct()
-    pairs = cut(likely(pairs, kinds, percent), "pairs", drop_shuffles=True)
-    groups = star_groups(pairs).withColumn("large", F.lit(False)).unionByName(tiled(large, tile).withColumn("large", F.lit(True)))
-    more = compare(groups, texts, width, percent)
+    pairs = cut(likely(star_groups(pairs), kinds, percent, hubs_only=True), "pairs", drop_shuffles=True)
+    links = cut(compare(star_groups(pairs), texts, width, percent), "links", drop_shuffles=True)
+    # second round: lists of three and more that the links leave in several classes, those with one least set as one
+    roots = connected(links).withColumnRenamed("node", "name")
+    classes = lists.join(roots, "name", "left").select("list", "name", F.coalesce("root", "name").alias("root"))
+    apart = classes.groupBy("list").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").join(hubs.where("members > 2"), "list").select("list", "hub")
+    merged = classes.join(apart, "list").select(F.col("hub").alias("list"), "name", "root").distinct()
+    pairs = cut(likely(tiled(merged, tile), kinds, percent, hubs_only=False), "pairs", drop_shuffles=True)
+    more = cut(compare(star_groups(pairs), texts, width, percent), "links", drop_shuffles=True)
     roots = connected(links.unionByName(more))
     least = prints.where("n > 0").groupBy("name").agg(F.min("doc_id").alias("least"))
     classes = least.join(roots.withColumnRenamed("node", "name"), "name", "left").select("name", F.coalesce("root", "name").alias("root"), "least")
