@@ -12,8 +12,7 @@ cost: more segments make more signatures for all sets, fewer make more neighbour
 
 Sets with a signature in common are candidates.  Each task's signatures go in packed runs to
 buckets, where equal ones meet; lists of sets that share several signatures count once.  In a
-first round the least set of each list is paired with the others.  In a second one all sets of
-those lists that the links found so far leave in several classes are paired between classes,
+first round each set is paired with the least one that it shares a list with.  In a second one all sets of those lists that the links found so far leave in several classes are paired between classes,
 lists with one least set as one, and large ones tile by tile.  Pairs go on unless their sizes, or
 the parities of their elements in some places, rule the similarity out; these sketches are a
 fraction of the texts.  What goes on is compared by the exact sizes of intersections, as matrix
@@ -346,15 +345,15 @@ def join(docs: DataFrame, width: int = 5, percent: int = 80, tile: int = TILE) -
     at = kinds.select("name", "id", "key")
     texts = rows.join(at, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key"))).groupBy("name").agg(F.first("text").alias("text"))
     texts = cut(texts, "texts", drop_shuffles=True)
-    # first round: the least set of each list against the others
-    hubs = lists.groupBy("list").agg(F.min("name").alias("hub"), F.count("*").alias("members"))
-    pairs = lists.join(hubs, "list").where("name <> hub").select("hub", "name").distinct()
+    # first round: each set against the least one that it is in a list with
+    hubs = lists.groupBy("list").agg(F.min("name").alias("hub"))
+    pairs = lists.join(hubs, "list").where("name <> hub").groupBy("name").agg(F.min("hub").alias("hub")).select("hub", "name")
     pairs = cut(likely(star_groups(pairs), kinds, percent, hubs_only=True), "pairs", drop_shuffles=True)
     links = cut(compare(star_groups(pairs), texts, width, percent), "links", drop_shuffles=True)
-    # second round: lists of three and more that the links leave in several classes, those with one least set as one
+    # second round: lists that the links leave in several classes, those with one least set as one
     roots = connected(links).withColumnRenamed("node", "name")
     classes = lists.join(roots, "name", "left").select("list", "name", F.coalesce("root", "name").alias("root"))
-    apart = classes.groupBy("list").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").join(hubs.where("members > 2"), "list").select("list", "hub")
+    apart = classes.groupBy("list").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").join(hubs, "list").select("list", "hub")
     merged = classes.join(apart, "list").select(F.col("hub").alias("list"), "name", "root").distinct()
     pairs = cut(likely(tiled(merged, tile), kinds, percent, hubs_only=False), "pairs", drop_shuffles=True)
     more = cut(compare(star_groups(pairs), texts, width, percent), "links", drop_shuffles=True)
