@@ -7,8 +7,7 @@ is whole; for the fraction, documents are taken once more in a seeded order unti
 target is met, the last one with as many of its words as are missing.
 
 Defined cases: null or empty text has size 0 and is never taken; a null source is a source
-of its own, ordered last; equal ids are ordered by size, so equal rows get the same rows in
-any order; an empty table gives an empty table; other columns are ignored.
+of its own, ordered last; rows of one id are ordered by size, rows without an id by their texts; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import WORD, cut, unused
+from lodestar.llm.common import WORD, cut
 
 
 def word_count(text: Column) -> Column:
@@ -51,12 +50,18 @@ def water_fill(sources: DataFrame, max_epochs: float) -> DataFrame:
     return sources.withColumn("target", share.cast("double"))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max_epochs: float = 3.0, seed: str = "mix") -> DataFrame:
-    """``doc_id, size, source_size, target, taken`` for every row of ``docs``.
+def _size() -> Column:
+    return word_count(F.col("text"))
 
-    The weights repeat over the sources in code point order, null last.
-    """
-    rows = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.xxhash64("text").cast("string")))).cast("binary")).alias("draw")), "sizes")
+
+def _draw(seed: str) -> Column:
+    """The seeded place of a row; rows without an id are told apart by their texts."""
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.xxhash64("text").cast("string")))
+    return F.md5(F.concat(F.lit(f"{seed}:"), name).cast("binary"))
+
+
+def _slots(rows: DataFrame, weights: tuple[float, ...], max_epochs: float) -> DataFrame:
+    """For each ``of`` (source) and ``of_slot`` of ``rows`` the source's sums and target, and the words of the slots before."""
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     sources = ranked(sources, F.col("source").asc_nulls_last())
     weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.col("place") % len(weights) + 1).cast("int"))
@@ -65,31 +70,38 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max_epochs: flo
     sources = sources.withColumn("epochs", F.coalesce(F.floor(ratio), F.lit(0)))
     sources = sources.withColumn("words", F.round("target").cast("bigint") - F.col("epochs") * F.col("source_size"))
     # the seeded order, cut by its first three hex digits: sums of 4096 slots a source, then places within a slot
-    rows = rows.withColumn("slot", F.substring("draw", 1, 3))
-    slots = rows.groupBy("source", "slot").agg(F.sum("size").alias("slot_size"))
+    slots = rows.groupBy("source", F.substring("draw", 1, 3).alias("slot")).agg(F.sum("size").alias("slot_size"))
     ahead = Window.partitionBy("source").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     slots = slots.select("source", "slot", F.coalesce(F.sum("slot_size").over(ahead), F.lit(0)).alias("ahead"))
     key = slots.join(sources.select(F.col("source").alias("of"), "source_size", "target", "epochs", "words"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
-    key = key.withColumnsRenamed({"source": "of", "slot": "of_slot"})
-    rows = rows.join(key, F.col("source").eqNullSafe(F.col("of")) & (F.col("slot") == F.col("of_slot")))
+    return key.withColumnsRenamed({"source": "of", "slot": "of_slot"})
+
+
+def _taken(rows: DataFrame, slots: DataFrame) -> DataFrame:
+    """``rows`` (with ``doc_id, source, size, draw``) with their source's sums and ``taken``; each row is counted where it stands, none is joined back."""
+    rows = rows.withColumn("slot", F.substring("draw", 1, 3))
+    rows = rows.join(slots, F.col("source").eqNullSafe(F.col("of")) & (F.col("slot") == F.col("of_slot")))
     inside = Window.partitionBy("source", "slot").orderBy("draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     before = F.col("ahead") + F.coalesce(F.sum("size").over(inside), F.lit(0))
     once_more = F.greatest(F.lit(0), F.least(F.col("size"), F.col("words") - before))
-    return rows.select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + once_more).cast("bigint").alias("taken"))
+    return rows.withColumn("taken", (F.col("epochs") * F.col("size") + once_more).cast("bigint"))
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max_epochs: float = 3.0, seed: str = "mix") -> DataFrame:
+    """``doc_id, size, source_size, target, taken`` for every row of ``docs``.
+
+    The weights repeat over the sources in code point order, null last.
+    """
+    rows = cut(docs.select("doc_id", "source", _size().alias("size"), _draw(seed).alias("draw")), "sizes")
+    return _taken(rows, _slots(rows, weights, max_epochs)).select("doc_id", "size", "source_size", "target", "taken")
 
 
-def mixed(docs: DataFrame, **options) -> DataFrame:
+def mixed(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max_epochs: float = 3.0, seed: str = "mix") -> DataFrame:
     """The rows of ``docs`` that the mix takes, with ``size, source_size, target, taken``.
 
-    Columns of ``docs`` with one of those names give way.  Rows of one id are told apart by
-    their size and a turn among equal sizes, on both sides of the join.
+    Columns of ``docs`` with one of those names give way.
     """
     docs = docs.drop("size", "source_size", "target", "taken")
-    turn, words = unused(docs, "mix_turn"), unused(docs, "mix_words")
-    found = mix(docs, **options).select(F.col("doc_id").alias("id"), "size", "source_size", "target", "taken")
-    found = found.withColumn("turn", F.row_number().over(Window.partitionBy("id", "size").orderBy("source_size", "taken"))).alias("found")
-    rows = docs.withColumn(words, word_count(F.col("text")))
-    rows = rows.withColumn(turn, F.row_number().over(Window.partitionBy("doc_id", words).orderBy(F.xxhash64("text")))).alias("rows")
-    same = F.col("rows.doc_id").eqNullSafe(F.col("found.id")) & (F.col(f"rows.{words}") == F.col("found.size")) & (F.col(f"rows.{turn}") == F.col("found.turn"))
-    out = rows.join(found, same).where("found.taken > 0")
-    return out.select(*(F.col(f"rows.`{c}`") for c in docs.columns), *(F.col(f"found.{c}") for c in ("size", "source_size", "target", "taken")))
+    slots = _slots(cut(docs.select("source", _size().alias("size"), _draw(seed).alias("draw")), "sizes"), weights, max_epochs)
+    rows = docs.select(F.struct(*(f"`{c}`" for c in docs.columns)).alias("row"), "doc_id", "source", _size().alias("size"), _draw(seed).alias("draw"))
+    return _taken(rows, slots).where("taken > 0").select("row.*", "size", "source_size", "target", "taken")

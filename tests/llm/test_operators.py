@@ -219,6 +219,35 @@ def test_mix_fills_water_and_repeats(spark, sample):
     assert Counter(got) == Counter(mixing.mix(docs_of(spark, sample[::-1])).collect())
 
 
+def test_mixed_keeps_each_source_at_its_target(spark):
+    """Repeated and null ids in several sources: a row keeps its own source's target, and sums meet the targets."""
+    draw = random.Random(11)
+    rows = [(draw.choice([None, 1, 2, k]), words(k, draw.randrange(1, 40)), f"s{k % 5}") for k in range(300)]
+    rows += [(1, "same words here", f"s{k % 5}") for k in range(20)] + [(None, "same words here", f"s{k % 5}") for k in range(20)] + [(3, None, "s1"), (4, "x y", None)]
+    taken = mixing.mixed(docs_of(spark, rows)).collect()
+    target = {r.source: r.target for r in taken}
+    size = Counter()
+    for _, t, s in rows:
+        size[s] += len((t or "").split())
+    order = sorted(size, key=lambda s: (s is None, s or ""))
+    level, weight = dict.fromkeys(order, 0.0), {s: k % 3 + 1.0 for k, s in enumerate(order)}
+    capped: set = set()
+    while True:
+        free = sum(weight[s] for s in order if s not in capped)
+        rest = sum(size.values()) - sum(3 * size[s] for s in capped)
+        level = {s: 3.0 * size[s] if s in capped else weight[s] * rest / free for s in order}
+        over = {s for s in order if level[s] > 3 * size[s]}
+        if not over:
+            break
+        capped |= over
+    sums = Counter()
+    for r in taken:
+        assert r.target == pytest.approx(level[r.source]) and r.source_size == size[r.source]
+        assert r.size == len((r.text or "").split()) and 0 < r.taken <= 3 * r.size
+        sums[r.source] += r.taken
+    assert all(abs(sums[s] - target[s]) <= 1 for s in target) and set(target) == set(order)
+
+
 def test_mix_of_nothing(spark):
     assert mixing.mix(docs_of(spark, [])).count() == 0
     assert [r.taken for r in mixing.mix(docs_of(spark, [(1, None, None), (2, "", "a")])).collect()] == [0, 0]

@@ -52,7 +52,7 @@ def test_run_equals_stages(spark, stages):
 
 
 def test_queries_are_registered():
-    assert {q.split("_")[0] for q in QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert {q.split("_")[0] for q in QUERIES} == {f"op{n}" for n in range(1, 14)}
     assert set(ORACLE_SQL) <= set(QUERIES)
 
 
