@@ -300,7 +300,7 @@ def similar_pairs(elements: np.ndarray, sizes: np.ndarray, percent: int) -> tupl
 
 
 def compare(groups: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Edges ``a, b`` that keep connected what is similar among the sets of each of ``groups``, the rows of one list and tile."""
+    """Edges ``a, b`` that keep connected what is similar among the sets of each of ``groups``, the rows of one list and pair of tiles."""
 
     def run(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
@@ -312,7 +312,8 @@ def compare(groups: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
         names = group.column("name").chunk(0)
         return pa.table({"a": names.take(pa.array(moved)), "b": names.take(pa.array(root[moved]))})
 
-    return groups.join(texts, "name").groupBy("list", "tile_a").applyInArrow(run, "a binary, b binary")
+    kind = texts.schema["name"].dataType.simpleString()
+    return groups.join(texts, "name").groupBy("list", "tile_a", "tile_b").applyInArrow(run, f"a {kind}, b {kind}")
 
 
 def tiled(lists: DataFrame, tile: int) -> DataFrame:

@@ -324,12 +324,18 @@ def similar(prints: DataFrame, similarity: float, tile: int = WIDE_TILE) -> Data
 def keep_one(docs: DataFrame, similarity: float = 0.8, width: int = 5, tile: int = WIDE_TILE) -> DataFrame:
     """The rows of ``docs`` that stay: of each class of near copies one, that with the least id.
 
-    Links are SimHash links at ``similarity`` of the sets of ``width``-word shingles.  Rows are
-    told apart by a hash of id and text, so a class of rows without ids keeps one of them, too,
+    SimHash finds the candidates: the components of its links at ``similarity`` of the sets of
+    ``width``-word shingles.  Within each, texts are compared by the exact similarity of these sets,
+    and only what is linked so is a class, so no document goes for a false link.  Rows are told
+    apart by SHA-256 of id and text, so a class of rows without ids keeps one of them, too,
     and of equal rows one stays.  Empty texts are copies of each other and of nothing else.
     """
+    from lodestar.llm.jaccard_join import TILE as EXACT_TILE  # it is built on this module's shingles
+    from lodestar.llm.jaccard_join import compare, tiled
+
     row, turn = unused(docs, "row_key"), unused(docs, "row_turn")
-    keyed = docs.withColumn(row, F.xxhash64("doc_id", "text"))
+    said = F.concat(F.coalesce(F.concat(F.lit("id "), F.col("doc_id").cast("string")), F.lit("none")), F.lit("\n"), F.coalesce(F.concat(F.lit("text "), F.col("text")), F.lit("none")))
+    keyed = docs.withColumn(row, F.unhex(F.sha2(said.cast("binary"), 256)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -344,9 +350,13 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, width: int = 5, tile: int
                     yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.array(names, np.uint64).view(np.int64)), pa.array([r.tobytes() for r in found], pa.binary()), pa.array(ones)], ["doc_id", "row", "name", "fp", "ones"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    prints = cut(keyed.select("doc_id", F.col(row).alias("row"), "text").mapInArrow(run, f"doc_id {kind}, row bigint, name bigint, fp binary, ones int"), "prints")
-    roots = connected(similar(prints, similarity, tile))
-    least = prints.groupBy("name").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("least"))
+    prints = cut(keyed.select("doc_id", F.col(row).alias("row"), "text").mapInArrow(run, f"doc_id {kind}, row binary, name bigint, fp binary, ones int"), "prints")
+    found = connected(similar(prints, similarity, tile))
+    least = cut(prints.groupBy("name").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("least")), "least")
+    wanted = least.join(found.select(F.col("node").alias("name")), "name").select("name", F.col("least.row").alias(row))
+    texts = cut(keyed.select(row, "text").join(wanted, row).groupBy("name").agg(F.first("text").alias("text")), "texts", drop_shuffles=True)
+    lists = found.select(F.col("root").alias("list"), F.col("node").alias("name"))
+    roots = connected(compare(tiled(lists, EXACT_TILE), texts, width, round(100 * similarity)))
     classes = least.join(roots.withColumnRenamed("node", "name"), "name", "left").select(F.coalesce("root", "name").alias("root"), "least")
     kept = classes.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.row").alias(row))
     rest = [f"`{f.name}`" for f in docs.schema if isinstance(f.dataType, AtomicType)]
