@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions.scan import linear_scan
 from lodestar.functions.windows import by_time, lag, ratio, roll, so_far
-from lodestar.operators.strategy import signals
+from lodestar.operators.strategy import ALIASES, GRID_FORMS, signals
 
 c = F.col
 YEAR = 252.0
@@ -108,8 +108,12 @@ def grid(name_to_values: dict[str, list]) -> list[dict]:
 def grid_returns(bars: DataFrame, strategy: str, points: list[dict]) -> DataFrame:
     """Net returns of every point of a grid: ``param_id, symbol, ts, net, traded``.
 
-    All points' signals stand side by side on the one sort by symbol and are then unpivoted.
+    All points' signals stand side by side on the one sort by symbol and are then unpivoted;
+    strategies on recurrences that have a form for whole grids solve each distinct parameter once.
     """
+    form = GRID_FORMS.get(ALIASES.get(strategy, strategy))
+    if form is not None:
+        return run(form(bars, points).withColumn("size", c("signal").cast("double")), keys=("param_id", "symbol")).select("param_id", "symbol", "ts", "net", "traded")
     wide = bars
     for k, point in enumerate(points):
         wide = signals(wide, strategy, **point).withColumnRenamed("signal", f"s{k}")

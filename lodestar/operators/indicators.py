@@ -323,24 +323,20 @@ def rma(df: DataFrame, length: int = 10, col: str = "close", name: str | None =
 
 
 def dema(df: DataFrame, length: int = 10) -> DataFrame:
-    df = ema(ema(df, length, name="_e1"), length, "_e1", "_e2")
+    df = ewm(df, [(y, x, 2 / (length + 1), length, "sma") for x, y in (("close", "_e1"), ("_e1", "_e2"))])
     return df.withColumn(f"DEMA_{length}", 2 * c("_e1") - c("_e2")).drop("_e1", "_e2")
 
 
 def tema(df: DataFrame, length: int = 10) -> DataFrame:
-    df = ema(ema(ema(df, length, name="_e1"), length, "_e1", "_e2"), length, "_e2", "_e3")
+    df = ewm(df, [(y, x, 2 / (length + 1), length, "sma") for x, y in (("close", "_e1"), ("_e1", "_e2"), ("_e2", "_e3"))])
     return df.withColumn(f"TEMA_{length}", 3 * (c("_e1") - c("_e2")) + c("_e3")).drop("_e1", "_e2", "_e3")
 
 
 def macd(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
     tag = f"{fast}_{slow}_{signal}"
-    df = ewm(df, [("_f", "close", 2 / (fast + 1), fast, "sma"), ("_s", "close", 2 / (slow + 1), slow, "sma")])
-    df = df.withColumn(f"MACD_{tag}", c("_f") - c("_s")).drop("_f", "_s")
-    # the signal line restarts at the first difference: its seed is the mean of the first ones
-    df = df.withColumn("_n", F.count(f"MACD_{tag}").over(so_far())).withColumn("_m", F.avg(f"MACD_{tag}").over(so_far()))
-    df = df.withColumn("_x", F.when(c("_n") == signal, c("_m")).when(c("_n") > signal, c(f"MACD_{tag}")))
-    df = ewm(df, [(f"MACDs_{tag}", "_x", 2 / (signal + 1), 1, "first")])
-    return df.withColumn(f"MACDh_{tag}", c(f"MACD_{tag}") - c(f"MACDs_{tag}")).drop("_n", "_m", "_x")
+    # the signal line starts with the mean of the first differences
+    df = ewm(df, [("_f", "close", 2 / (fast + 1), fast, "sma"), ("_s", "close", 2 / (slow + 1), slow, "sma"), (f"MACDs_{tag}", ("_f", "_s"), 2 / (signal + 1), signal, "counted")])
+    return df.withColumn(f"MACD_{tag}", c("_f") - c("_s")).withColumn(f"MACDh_{tag}", c(f"MACD_{tag}") - c(f"MACDs_{tag}")).drop("_f", "_s")
 
 
 def rsi(df: DataFrame, length: int = 14) -> DataFrame:
@@ -352,10 +348,8 @@ def rsi(df: DataFrame, length: int = 14) -> DataFrame:
 
 def atr(df: DataFrame, length: int = 14) -> DataFrame:
     """Mean true range, smoothed by 1 / length from the plain mean of the first ``length`` ranges on."""
-    df = true_range(df, "_tr").withColumn("_n", F.count("_tr").over(so_far())).withColumn("_m", F.avg("_tr").over(so_far()))
-    df = df.withColumn("_x", F.when(c("_n") == length, c("_m")).when(c("_n") > length, c("_tr")))
-    df = ewm(df, [(f"ATRr_{length}", "_x", 1 / length, 1, "first")])
-    return df.withColumn(f"NATR_{length}", 100 * ratio(c(f"ATRr_{length}"), c("close"))).drop("_tr", "_n", "_m", "_x")
+    df = ewm(true_range(df, "_tr"), [(f"ATRr_{length}", "_tr", 1 / length, length, "counted")])
+    return df.withColumn(f"NATR_{length}", 100 * ratio(c(f"ATRr_{length}"), c("close"))).drop("_tr")
 
 
 def adx(df: DataFrame, length: int = 14) -> DataFrame:
@@ -503,7 +497,7 @@ def price_volume_ewm(df: DataFrame) -> DataFrame:
 
 
 def trix(df: DataFrame, length: int = 18) -> DataFrame:
-    df = ema(ema(ema(df, length, name="_e1"), length, "_e1", "_e2"), length, "_e2", "_e3")
+    df = ewm(df, [(y, x, 2 / (length + 1), length, "sma") for x, y in (("close", "_e1"), ("_e1", "_e2"), ("_e2", "_e3"))])
     return df.withColumn(f"TRIX_{length}", 100 * (ratio(c("_e3"), lag("_e3")) - 1)).drop("_e1", "_e2", "_e3")
 
 

@@ -240,8 +240,7 @@ def alligator(df: DataFrame, jaw: int = 13, teeth: int = 8, lips: int = 5) -> Da
 
 
 def t3(df: DataFrame, length: int = 10, a: float = 0.7) -> DataFrame:
-    for k in range(1, 7):
-        df = ema(df, length, "close" if k == 1 else f"_e{k - 1}", f"_e{k}")
+    df = ewm(df, [(f"_e{k}", "close" if k == 1 else f"_e{k - 1}", 2 / (length + 1), length, "sma") for k in range(1, 7)])
     weights = (a**3 + 3 * a**2 + 3 * a + 1, -6 * a**2 - 3 * a - 3 * a**3, 3 * a**2 + 3 * a**3, -(a**3))
     return df.withColumn(f"T3_{length}", sum((F.lit(w) * c(f"_e{k}") for w, k in zip(weights, (3, 4, 5, 6), strict=True)), F.lit(0.0))).drop(*(f"_e{k}" for k in range(1, 7)))
 
@@ -254,16 +253,14 @@ def zero_lag(df: DataFrame, length: int = 10) -> DataFrame:
 def ppo(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
     """Percentage price oscillator of plain means, with an exponential signal."""
     df = df.withColumn(f"PPO_{fast}_{slow}", 100 * ratio(roll("close", F.avg, fast) - roll("close", F.avg, slow), roll("close", F.avg, slow)))
-    df = df.withColumn("_n", F.count(f"PPO_{fast}_{slow}").over(so_far())).withColumn("_m", F.avg(f"PPO_{fast}_{slow}").over(so_far()))
-    df = df.withColumn("_x", F.when(c("_n") == signal, c("_m")).when(c("_n") > signal, c(f"PPO_{fast}_{slow}")))
-    df = ewm(df, [(f"PPOs_{fast}_{slow}", "_x", 2 / (signal + 1), 1, "first")])
-    return df.withColumn(f"PPOh_{fast}_{slow}", c(f"PPO_{fast}_{slow}") - c(f"PPOs_{fast}_{slow}")).drop("_n", "_m", "_x")
+    df = ewm(df, [(f"PPOs_{fast}_{slow}", f"PPO_{fast}_{slow}", 2 / (signal + 1), signal, "counted")])
+    return df.withColumn(f"PPOh_{fast}_{slow}", c(f"PPO_{fast}_{slow}") - c(f"PPOs_{fast}_{slow}"))
 
 
 def tsi(df: DataFrame, fast: int = 13, slow: int = 25, signal: int = 13, name: str = "TSI") -> DataFrame:
     """True strength: twice-smoothed change over twice-smoothed absolute change."""
     df = df.withColumn("_d", diff("close")).withColumn("_q", F.abs("_d"))
-    df = _ma(_ma(df, [("_s", "_d", slow), ("_t", "_q", slow)]), [("_fs", "_s", fast), ("_ft", "_t", fast)])
+    df = _ma(df, [("_s", "_d", slow), ("_t", "_q", slow), ("_fs", "_s", fast), ("_ft", "_t", fast)])
     df = df.withColumn(f"{name}_{fast}_{slow}", 100 * ratio(c("_fs"), c("_ft")))
     return _ma(df, [(f"{name}s_{fast}_{slow}", f"{name}_{fast}_{slow}", signal)]).drop("_d", "_q", "_s", "_t", "_fs", "_ft")
 
@@ -392,10 +389,9 @@ def klinger(df: DataFrame, fast: int = 34, slow: int = 55, signal: int = 13) ->
     """Difference of two means of the volume signed by the typical price's change; the first bar counts as a fall."""
     df = df.withColumn("_tp", (c("high") + c("low") + c("close")) / 3).withColumn("_v", F.signum(diff("_tp")) * c("volume"))
     df = df.withColumn("_v", F.coalesce("_v", -c("volume")))
-    df = _ma(df, [("_f", "_v", fast), ("_s", "_v", slow)]).withColumn(f"KVO_{fast}_{slow}", c("_f") - c("_s"))
-    df = df.withColumn("_k", F.count(f"KVO_{fast}_{slow}").over(so_far())).withColumn("_m", F.avg(f"KVO_{fast}_{slow}").over(so_far()))
-    df = df.withColumn("_x", F.when(c("_k") == signal, c("_m")).when(c("_k") > signal, c(f"KVO_{fast}_{slow}")))
-    return ewm(df, [(f"KVOs_{fast}_{slow}", "_x", 2 / (signal + 1), 1, "first")]).drop("_tp", "_v", "_f", "_s", "_k", "_m", "_x")
+    means = [(name, "_v", 2 / (n + 1), n, "sma") for name, n in (("_f", fast), ("_s", slow))]
+    df = ewm(df, [*means, (f"KVOs_{fast}_{slow}", ("_f", "_s"), 2 / (signal + 1), signal, "counted")])
+    return df.withColumn(f"KVO_{fast}_{slow}", c("_f") - c("_s")).drop("_tp", "_v", "_f", "_s")
 
 
 def archer_volume(df: DataFrame, fast: int = 4, slow: int = 12, lookback: int = 2) -> DataFrame:
@@ -520,7 +516,7 @@ def qqe(df: DataFrame, length: int = 14, smooth: int = 5, factor: float = 4.236)
     """Smoothed strength index with trailing lines on both sides, and the one on the trend's side."""
     n = 2 * length - 1
     df = _ma(rsi(df, length), [("_m", f"RSI_{length}", smooth)]).withColumn("_t", F.abs(diff("_m")))
-    df = _ma(_ma(df, [("_s", "_t", n)]), [("_w", "_s", n)]).withColumn("_w", factor * c("_w"))
+    df = _ma(df, [("_s", "_t", n), ("_w", "_s", n)]).withColumn("_w", factor * c("_w"))
 
     def step(state: tuple | None, row: tuple) -> tuple[tuple, tuple]:
         x, w = row

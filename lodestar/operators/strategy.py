@@ -471,6 +471,19 @@ def default_grid(name: str) -> dict[str, list]:
     return GRIDS[ALIASES.get(name, name)]
 
 
+def ema_cross_grid(bars: DataFrame, points: list[dict]) -> DataFrame:
+    """``param_id, symbol, ts, close, signal`` of ``ema_cross`` at every point: each distinct length is solved once, all in one pass, and the points pick theirs."""
+    pairs = [(p.get("fast", 10), p.get("slow", 50)) for p in points]
+    wide = ta.ewm(bars, [(f"_e{n}", "close", 2 / (n + 1), n, "sma") for n in sorted({n for pair in pairs for n in pair})])
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("param_id"), c(f"_e{fast}").alias("_f"), c(f"_e{slow}").alias("_s")) for k, (fast, slow) in enumerate(pairs))))
+    long = wide.select("symbol", "ts", "close", each.alias("g")).select(F.struct("g.param_id", "symbol").alias("symbol"), "ts", "close", "g._f", "g._s")
+    return held(long, c("_f") > c("_s"), c("_f") < c("_s")).select("symbol.param_id", "symbol.symbol", "ts", "close", "signal")
+
+
+#: Strategies on recurrences that solve all points of a grid at once.
+GRID_FORMS = {"ema_cross": ema_cross_grid}
+
+
 def signals(bars: DataFrame, name: str, **params) -> DataFrame:
     """Signals of a strategy by its name or another name of it."""
     return STRATEGIES[ALIASES.get(name, name)](bars, **params)
