@@ -14,8 +14,8 @@ by the hashes of all passages of their length.
 
 Defined cases: null or empty text has no match, a null or empty item is found nowhere; the whole
 text is searched whatever its length, a text with very many shared q-grams window by window, so
-that memory follows the window and the benchmark (``shared_grams`` then counts within a window); repeated rows match each for itself; equal items
-each match; regions of one item that overlap count as one, the one with the fewest edits; an
+that memory follows the window and the benchmark (bands still open are carried on, so the window
+changes no count); repeated rows match each for itself; equal items each match; regions of one item that overlap count as one, the one with the fewest edits; an
 empty table gives an empty table; other columns are ignored.
 """
 
@@ -100,10 +100,9 @@ class Index:
     def __init__(self, items: list[tuple[object, str]], q: int, rate: float) -> None:
         self.q, self.ids = q, [k for k, _ in items]
         self.codes = [normal(t) for _, t in items]
-        sizes = np.array([len(c) for c in self.codes], np.int64)
+        self.sizes = sizes = np.array([len(c) for c in self.codes], np.int64)
         self.budget = np.array([edit_budget(len(c), q, rate) for c in self.codes], np.int64)
         self.need = np.where(self.budget >= 0, sizes - q + 1 - self.budget * q, 1 << 60)
-        self.reach = sizes + self.budget + q  # characters of text that an occurrence can take
         hashes = [gram_hashes(c, q) for c in self.codes]
         keys = np.concatenate([*hashes, np.zeros(0, np.uint64)])
         item = np.repeat(np.arange(len(items)), [len(h) for h in hashes])
@@ -117,10 +116,11 @@ class Index:
         self.gate[self.keys >> self.shift] = True
         self.least = int(self.need.min(initial=1 << 60))
         self.name = [gram_hashes(c, len(c))[0] if len(c) else np.uint64(0) for c in self.codes]
-        self.short: dict[int, dict[int, list[int]]] = {}  # by length and hash
+        short: dict[int, dict[int, list[int]]] = {}
         for j, c in enumerate(self.codes):
             if 0 < len(c) < q:
-                self.short.setdefault(len(c), {}).setdefault(int(self.name[j]), []).append(j)
+                short.setdefault(len(c), {}).setdefault(int(self.name[j]), []).append(j)
+        self.short = {m: (np.array(sorted(known), np.uint64), [known[h] for h in sorted(known)]) for m, known in short.items()}  # by length: hashes in order and their items
 
     def find(self, text: str) -> list[tuple[int, int, int, int, int]]:
         """``(item, start, end, edits, shared)`` of every verified region."""
@@ -131,14 +131,15 @@ class Index:
 
     def find_short(self, codes: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         out = []
-        for m, known in self.short.items():
+        for m, (names, items) in self.short.items():
             grams = gram_hashes(codes, m)
-            for h, items in known.items():
-                free = 0
-                for at in np.flatnonzero(grams == np.uint64(h)).tolist():
-                    if at >= free:
-                        out.extend((j, at, at + m, 0, 0) for j in items if np.array_equal(codes[at : at + m], self.codes[j]))
-                        free = at + m
+            slot = np.minimum(np.searchsorted(names, grams), len(names) - 1)
+            hits = np.flatnonzero(names[slot] == grams)
+            free = dict.fromkeys(np.unique(slot[hits]).tolist(), 0)
+            for k, at in zip(slot[hits].tolist(), hits.tolist(), strict=True):
+                if at >= free[k]:
+                    out.extend((j, at, at + m, 0, 0) for j in items[k] if np.array_equal(codes[at : at + m], self.codes[j]))
+                    free[k] = at + m
         return out
 
     def postings(self, slot: np.ndarray) -> np.ndarray:
@@ -146,20 +147,14 @@ class Index:
         count = self.count[slot]
         return np.repeat(self.start[slot] - (np.cumsum(count) - count), count) + np.arange(count.sum())
 
-    def bands(self, at: np.ndarray, slot: np.ndarray, busy: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Items and bands that meet the bound, and their shared q-grams, from q-grams of the text at ``at``."""
+    def bands(self, at: np.ndarray, slot: np.ndarray, busy: np.ndarray, base: int, span: int) -> tuple[np.ndarray, np.ndarray]:
+        """Bands, named ``item * span + band - base``, and how many of the q-grams of the text at ``at`` lie in each."""
         posting = self.postings(slot)
         item, diagonal = self.item[posting], np.repeat(at, self.count[slot]) - self.place[posting]
         keep = busy[item]
         item, diagonal = item[keep], diagonal[keep]
-        band = diagonal // (self.budget[item] + 1)
-        base = int(band.min(initial=0)) - 1
-        span = int(band.max(initial=0)) - base + 1
-        key = item * span + (band - base)
-        key, shared = np.unique(np.concatenate([key, key - 1]), return_counts=True)
-        owner, band = key // span, key % span + base
-        good = shared >= self.need[owner]
-        return owner[good], band[good], shared[good]
+        key = item * span + (diagonal // (self.budget[item] + 1) - base)
+        return np.unique(np.concatenate([key, key - 1]), return_counts=True)
 
     def find_long(self, codes: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         if not len(self.keys) or len(codes) < self.q:
@@ -177,20 +172,25 @@ class Index:
         busy = np.bincount(self.item[self.postings(np.unique(slot))], minlength=len(self.ids)) >= self.need
         if not busy.any():
             return []
-        reach = int(self.reach[busy].max())
         before = np.concatenate([[0], np.cumsum(self.count[slot])])
+        base = -int(self.sizes.max()) - 2
+        span = len(codes) - base + 3
+        key = shared = np.zeros(0, np.int64)
         found, k = [], 0
-        while k < len(at):  # windows of the text that overlap by what an occurrence can take
-            stop = max(k + 1, int(np.searchsorted(before, before[k] + WINDOW_PAIRS)))
-            last = int(np.searchsorted(at, at[min(stop, len(at)) - 1] + reach, "right"))
-            found.append(self.bands(at[k:last], slot[k:last], busy))
-            k = len(at) if last == len(at) else stop
+        while k < len(at):  # windows of the text; bands that later q-grams can lie in stay open
+            stop = min(len(at), max(k + 1, int(np.searchsorted(before, before[k] + WINDOW_PAIRS))))
+            more, n = self.bands(at[k:stop], slot[k:stop], busy, base, span)
+            key, where = np.unique(np.concatenate([key, more]), return_inverse=True)
+            shared = np.bincount(where, weights=np.concatenate([shared, n]), minlength=len(key)).astype(np.int64)
+            owner, band, k = key // span, key % span + base, stop
+            end = (band + 2) * (self.budget[owner] + 1) - 1 + self.sizes[owner] - self.q  # the last place of a q-gram in the band
+            over = end < at[k] if k < len(at) else np.ones(len(key), bool)
+            good = over & (shared >= self.need[owner])
+            found.append((owner[good], band[good], shared[good]))
+            key, shared = key[~over], shared[~over]
         owner, band, shared = (np.concatenate(x) for x in zip(*found, strict=True))
-        if len(found) > 1:
-            order = np.lexsort((-shared, band, owner))
-            owner, band, shared = owner[order], band[order], shared[order]
-            first = np.concatenate([[True], (owner[1:] != owner[:-1]) | (band[1:] != band[:-1])])[: len(owner)]
-            owner, band, shared = owner[first], band[first], shared[first]
+        order = np.lexsort((band, owner))
+        owner, band, shared = owner[order], band[order], shared[order]
         return self.verified(codes, owner, band, shared)
 
     def verified(self, codes: np.ndarray, owner: np.ndarray, band: np.ndarray, shared: np.ndarray) -> list[tuple[int, int, int, int, int]]:

@@ -17,9 +17,9 @@ The model is never in one place.  Documents are dealt into blocks of about ``BLO
 tokens; a block asks for the counts of just its own n-grams, by hash range; each range adds up
 the counts of all blocks and answers each block; then the block builds the part of the automaton
 that its texts can reach and walks them.  The number of ranges follows the n-grams asked for, not
-the blocks.  N-grams are named by their kind and by hashes 20 bits longer than the number of tokens, at least
-40 bits, so that the chance of a clash is one in a million for each at any size, and far less
-for single words, which are fewer.
+the blocks.  Words are named by their kind and 61 bits of hash, pairs and triples by their kind and
+by hashes 20 bits longer than the number of tokens, at least 40 bits, so that the chance of a clash
+is one in a million for each at any size; counts of words (``n_known``, ``base_score``) don't hang on it.
 
 Defined cases: null text counts as empty and has one token, the end; texts are read whole;
 repeated rows are each counted and scored, and dealt to different blocks; with no training row
@@ -84,7 +84,11 @@ class Block:
         ])
 
     def _key(self, x: np.ndarray, kind: np.ndarray | int) -> np.ndarray:
-        return (x >> np.uint64(64 - self.bits)) << np.uint64(3) | np.asarray(kind, np.uint64)
+        """From the top: the hash, the kind, and for words the rest of the hash, so that other names end in zeros."""
+        rest = np.uint64(61 - self.bits)
+        kind = np.asarray(kind, np.uint64)
+        low = np.where(kind <= END, x & ((np.uint64(1) << rest) - np.uint64(1)), np.uint64(0))
+        return (x >> np.uint64(64 - self.bits)) << np.uint64(64 - self.bits) | kind << rest | low
 
     def asked(self, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The distinct n-grams and their counts in training texts."""
@@ -95,7 +99,7 @@ class Block:
         return keys, np.diff(np.append(at, len(mine))).astype(np.uint64)
 
     def span_of(self, keys: np.ndarray, spans: int) -> np.ndarray:
-        return (keys >> np.uint64(self.bits + 3 - 32)) * np.uint64(spans) >> np.uint64(32)
+        return (keys >> np.uint64(32)) * np.uint64(spans) >> np.uint64(32)
 
     def spread(self, counts: np.ndarray) -> tuple[np.ndarray, ...]:
         """For each token the counts of word, pair and triple, and of the contexts before it of one word and of two."""
@@ -160,9 +164,9 @@ class Automaton:
         return add((word > 0).astype(np.int64)), add(base), add(step)
 
 
-def span_sums(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+def span_sums(keys: np.ndarray, counts: np.ndarray, bits: int) -> np.ndarray:
     """The sums of one range by slot, from its distinct n-grams."""
-    kind, some = keys & np.uint64(7), counts > 0
+    kind, some = keys >> np.uint64(61 - bits) & np.uint64(7), counts > 0
     out = np.zeros(CONTEXTS + 4 * _CLASSES, np.int64)
     words = some & (kind <= END)
     out[TOKENS], out[KINDS] = counts[words].sum(), words.sum()
@@ -208,7 +212,7 @@ def score_texts(docs: DataFrame, held_out: Column, block_tokens: int = BLOCK_TOK
         counts = np.concatenate([unpacked(c.as_py(), n) for c, n in zip(group.column("counts"), sizes, strict=True)])
         sums = np.bincount(where, weights=counts).astype(np.uint64)
         back = [packed(s) for s in np.split(sums[where], np.cumsum(sizes)[:-1])]
-        slots = span_sums(kinds, sums)
+        slots = span_sums(kinds, sums, bits)
         own, m, k = np.flatnonzero(slots), len(back), int(np.count_nonzero(slots))
         span = group.column("span")[0].as_py()
         # a row for each block that asked, and a row for each sum, dealt to a block without texts

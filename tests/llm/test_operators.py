@@ -424,6 +424,36 @@ def by_value(rows):
     return sorted(rows, key=repr)
 
 
+def test_window_changes_no_count(monkeypatch):
+    draw = random.Random(8)
+    items = ["".join(draw.choice("abc ") for _ in range(n)) for n in (40, 90, 200, 400)] + ["a" * 120]
+    text = " ".join(draw.choice(items) if draw.random() < 0.3 else "".join(draw.choice("abc ") for _ in range(50)) for _ in range(60)) + "a" * 500
+    index = decontam.Index(list(enumerate(items)), 8, 0.08)
+    whole = index.find(text)
+    assert len({w[0] for w in whole}) == len(items)
+    for pairs in (1, 50, 700, 9000):
+        monkeypatch.setattr(decontam, "WINDOW_PAIRS", pairs)
+        assert index.find(text) == whole
+
+
+def test_short_items_each_once_from_the_left():
+    index = decontam.Index([(0, "aa"), (1, "ab"), (2, "aa"), (3, "b")], 8, 0.08)
+    assert sorted(index.find("aaaab aab")) == sorted([(j, at, at + 2, 0, 0) for j in (0, 2) for at in (0, 2, 6)] + [(1, 3, 5, 0, 0), (1, 7, 9, 0, 0), (3, 4, 5, 0, 0), (3, 8, 9, 0, 0)])
+
+
+def test_names_of_words_keep_their_hash():
+    import pyarrow as pa
+
+    short, long = (lm_score.Block(pa.chunked_array([pa.array(["one two three one", "", None, "two two"])]), bits) for bits in (40, 61))
+    for block in (short, long):
+        kinds = block.raw >> np.uint64(61 - block.bits) & np.uint64(7)
+        assert np.bincount(kinds.astype(int)).tolist() == [6, 4, 4, 6, 4, 6]
+    same = lambda b: np.sort(b.raw[:10][(b.raw[:10] >> np.uint64(61 - b.bits) & np.uint64(7)) == 0])
+    assert len(np.unique(same(short))) == len(np.unique(same(long))) == 3
+    low = np.uint64((1 << 21) - 1)
+    assert np.count_nonzero(same(short) & low) and not np.any(short.raw[10:] & low)
+
+
 def test_score_equals_brute_force(spark, sample):
     rows = [*((i, t) for i, t, _ in sample), (None, None), (700, "x" * 100 + " " + "Y" * 70 + " é\u00a0É z"), (701, "x" * 100), (702, "\x0b a\x0ca\x1c")]
     held = [zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2 for i, _ in rows]
