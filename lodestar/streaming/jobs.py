@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -37,43 +38,79 @@ def stream_profile(ticks: DataFrame) -> DataFrame:
     return ticks.groupBy("symbol").agg(F.count("*").alias("rows"), F.count("price").alias("prices"), F.min("price").alias("least"), F.max("price").alias("greatest"), F.sum("volume").alias("volume"))
 
 
-def stream_trailing_stop(ticks: DataFrame, pct: float = 0.05) -> DataFrame:
-    """A live trailing stop for each symbol: the highest price so far and whether the last one is through the stop."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        (top,) = state.get if state.exists else (float("-inf"),)
-        rows = []
-        for batch in batches:
-            for ts, price in batch.sort_values(["ts", "seq"])[["ts", "price"]].itertuples(index=False):
-                top = max(top, price)
-                rows.append((key[0], ts, price, top, price <= top * (1 - pct)))
-        state.update((top,))
-        yield pd.DataFrame(rows, columns=["symbol", "ts", "price", "top", "stopped"])
-
-    return ticks.groupBy("symbol").applyInPandasWithState(step, "symbol string, ts timestamp, price double, top double, stopped boolean", "top double", "append", GroupStateTimeout.NoTimeout)
+def _packed(rows: pd.DataFrame) -> bytes:
+    sink = pa.BufferOutputStream()
+    table = pa.Table.from_pandas(rows, preserve_index=False)
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
 
 
-def stream_state(rows: DataFrame, made: str, kept: str, start: tuple, step, columns: tuple[str, ...] = ("ts", "seq", "price")) -> DataFrame:
+def stream_state(rows: DataFrame, made: str, kept: str, start: tuple, step, columns: tuple[str, ...] = ("ts", "seq", "price"), delay: str | None = None, expire: int | None = None) -> DataFrame:
     """``symbol`` and the columns ``made`` of each row by ``step(state, values) -> (state, out)``, with the state ``kept`` for each symbol.
 
-    The same step functions run in batch under ``scan_state``; a batch's rows are taken in order of their first columns.
+    The same step functions run in batch under ``scan_state``.  Without ``delay`` the rows of a
+    micro-batch are walked at once, in order of their first columns; its size is the source's to
+    bound, and a row that comes in a later micro-batch than its successors is walked after them.
+    With ``delay`` rows wait in the state until the watermark has passed them, so they are walked in
+    order whatever micro-batches bring them, and later ones are dropped; a row more than ``expire``
+    seconds after its symbol's last one starts anew, and the state of such a symbol leaves.  A null ``ts`` has no place
+    in the order: with ``delay`` its row is dropped, without it comes last.
     """
+    if expire is not None and delay is None:
+        raise ValueError("a symbol can only expire by a watermark: give a delay")
     names = [field.strip().split(" ")[0] for field in made.split(",")]
+    columns = list(columns)
+    if delay is not None:
+        rows = _timed(rows, delay).where("ts is not null")
+    rows = rows.withColumn("_us", F.unix_micros(F.col("ts").cast("timestamp")))
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = state.get if state.exists else start
-        out = []
-        for batch in batches:
-            for values in batch.sort_values(list(columns[:2]))[list(columns)].itertuples(index=False, name=None):
+        *held, last, waiting = state.get if state.exists else (*start, None, None)
+        parts = [b[[*columns, "_us"]] for b in batches if len(b)]
+        if waiting:
+            parts.insert(0, pa.ipc.open_stream(waiting).read_pandas())
+        out, waits, held = [], None, tuple(held)
+        if parts:
+            found = pd.concat(parts, ignore_index=True).sort_values(columns[:2], kind="stable")
+            if delay is not None:
+                passed = found["_us"] <= state.getCurrentWatermarkMs() * 1000
+                found, waits = found[passed], found[~passed]
+            for us, values in zip(found["_us"].tolist(), found[columns].itertuples(index=False, name=None), strict=True):
+                if expire is not None and last is not None and us - last > expire * 1_000_000:
+                    held = start
+                last = us if expire is not None else None
                 held, row = step(held, values)
                 out.append((key[0], values[0], *row))
-        state.update(held)
+        elif delay is not None and state.hasTimedOut:
+            state.remove()
+            return
+        if delay is None:
+            state.update((*held, last, None))
+        else:
+            state.update((*held, last, _packed(waits) if waits is not None and len(waits) else None))
+            if waits is not None and len(waits):
+                state.setTimeoutTimestamp(-(-int(waits["_us"].iloc[0]) // 1000))
+            elif expire is not None and last is not None:
+                state.setTimeoutTimestamp(max(last // 1000 + expire * 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["symbol", "ts", *names])
 
-    return rows.groupBy("symbol").applyInPandasWithState(run, f"symbol string, ts timestamp, {made}", kept, "append", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.NoTimeout if delay is None else GroupStateTimeout.EventTimeTimeout
+    return rows.groupBy("symbol").applyInPandasWithState(run, f"symbol string, ts timestamp, {made}", f"{kept}, last bigint, waiting binary", "append", timeout)
+
+
+def stream_trailing_stop(ticks: DataFrame, pct: float = 0.05, delay: str | None = None) -> DataFrame:
+    """A live trailing stop for each symbol: the highest price so far and whether the last one is through the stop."""
+
+    def step(state: tuple, values: tuple) -> tuple[tuple, tuple]:
+        (top,), price = state, values[2]
+        top = max(top, price)
+        return (top,), (price, top, price <= top * (1 - pct))
+
+    return stream_state(ticks, "price double, top double, stopped boolean", "top double", (float("-inf"),), step, delay=delay)
 
 
-def stream_renko(ticks: DataFrame, brick: float) -> DataFrame:
+def stream_renko(ticks: DataFrame, brick: float, delay: str | None = None) -> DataFrame:
     """Live bricks: how many (signed) each tick adds, and the last brick's close."""
 
     def step(state: tuple, values: tuple) -> tuple[tuple, tuple]:
@@ -83,10 +120,10 @@ def stream_renko(ticks: DataFrame, brick: float) -> DataFrame:
         n = int(abs(price - base) / brick) * (1 if price > base else -1)
         return (base + n * brick,), (n, base + n * brick)
 
-    return stream_state(ticks, "bricks long, base double", "base double", (float("nan"),), step)
+    return stream_state(ticks, "bricks long, base double", "base double", (float("nan"),), step, delay=delay)
 
 
-def stream_latest_signal(signals: DataFrame) -> DataFrame:
+def stream_latest_signal(signals: DataFrame, delay: str | None = None) -> DataFrame:
     """Live signals: the action that each new signal asks for after the one before."""
 
     def step(state: tuple, values: tuple) -> tuple[tuple, tuple]:
@@ -94,4 +131,4 @@ def stream_latest_signal(signals: DataFrame) -> DataFrame:
         action = "CLOSE" if now == 0 and held != 0 else "BUY" if now > 0 >= held else "SELL_SHORT" if now < 0 <= held else "HOLD"
         return (now,), (now, action)
 
-    return stream_state(signals, "signal long, action string", "held long", (0,), step, ("ts", "seq", "signal"))
+    return stream_state(signals, "signal long, action string", "held long", (0,), step, ("ts", "seq", "signal"), delay)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -97,3 +99,58 @@ def test_stream_latest_signal(spark, tick_stream):
         before = [0, *rows[1].signal.tolist()[:-1]]
         want = ["CLOSE" if n == 0 and b != 0 else "BUY" if n > 0 >= b else "SELL_SHORT" if n < 0 <= b else "HOLD" for n, b in zip(rows[1].signal, before, strict=True)]
         assert rows[1].action.tolist() == want
+
+
+def one_symbol(n):
+    draw, price, rows = random.Random(3), 100.0, []
+    for k in range(n):
+        price = max(1.0, price + draw.gauss(0, 1))
+        rows.append(("A", dt.datetime(2024, 1, 1) + dt.timedelta(seconds=k), price, 1.0, k))
+    return rows
+
+
+def walked(rows, brick):
+    base, out = rows[0][2], [0]
+    for row in rows[1:]:
+        n = int(abs(row[2] - base) / brick) * (1 if row[2] > base else -1)
+        base += n * brick
+        out.append(n)
+    return out
+
+
+TICK = "symbol string, ts timestamp, price double, volume double, seq bigint"
+
+
+def test_stream_state_is_in_order_across_arrow_batches(spark, tmp_path):
+    rows = one_symbol(30_000)
+    mixed = random.Random(4).sample(rows, len(rows))
+    spark.createDataFrame(mixed, TICK).coalesce(1).write.parquet(str(tmp_path / "t"))
+    got = drain(jobs.stream_renko(spark.readStream.schema(TICK).parquet(str(tmp_path / "t")), 2.0), "renko_long").orderBy("ts").collect()
+    assert [r.bricks for r in got] == walked(rows, 2.0)
+
+
+def test_stream_state_waits_for_the_watermark(spark, tmp_path):
+    rows = one_symbol(3_000)
+    draw = random.Random(5)
+    late = sorted(rows, key=lambda r: r[4] + draw.uniform(0, 400))  # out of order across micro-batches, by less than the delay
+    for k in range(6):
+        spark.createDataFrame(late[k * 500 : (k + 1) * 500], TICK).coalesce(1).write.mode("append").parquet(str(tmp_path / "t"))
+    stream = spark.readStream.schema(TICK).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "t"))
+    got = drain(jobs.stream_renko(stream, 2.0, delay="900 seconds"), "renko_late").orderBy("ts").collect()
+    want = walked(rows, 2.0)
+    assert len(got) == 3_000 - 900 and [r.bricks for r in got] == want[: len(got)]  # the last ones wait within the delay
+    assert [r.bricks for r in drain(jobs.stream_renko(stream, 2.0), "renko_early").orderBy("ts").collect()] != want
+
+
+def test_stream_state_expires(spark, tmp_path):
+    day = lambda d, s=0: dt.datetime(2024, 1, d, 0, 0, s)
+    for rows in ([("A", day(1), 100.0, 1.0, 1)], [("B", day(3), 5.0, 1.0, 2)], [("B", day(5), 5.0, 1.0, 3)], [("A", day(6), 50.0, 1.0, 4), ("B", day(6), 5.0, 1.0, 5)], [("B", day(9), 5.0, 1.0, 6)]):
+        spark.createDataFrame(rows, TICK).coalesce(1).write.mode("append").parquet(str(tmp_path / "t"))
+    stream = spark.readStream.schema(TICK).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "t"))
+    for expire, top in ((3600, 50.0), (30 * 86400, 100.0)):
+        step = lambda state, values: ((max(state[0], values[2]),), (max(state[0], values[2]),))
+        made = jobs.stream_state(stream, "top double", "top double", (0.0,), step, delay="1 minute", expire=expire)
+        got = {(r.symbol, r.ts): r.top for r in drain(made, f"expiry_{expire}").collect()}
+        assert got["A", day(6)] == top and got["B", day(6)] == 5.0
+    with pytest.raises(ValueError):
+        jobs.stream_state(stream, "top double", "top double", (0.0,), step, expire=5)
