@@ -261,4 +261,63 @@ def adaptive_average(df: DataFrame, length: int = 7, phase: float = 0.0) -> Data
     return scan_state(df, lambda: None, step, ["close"], T.StructType([T.StructField(f"JMA_{length}", T.DoubleType())]))
 
 
-FILTERS: dict[str, Callable[..., DataFrame]] = {f.__name__: f for f in (flex, relative_strength_xtra, alpha_trend, range_stop, schaff_cycle, even_better_sine, mesa_average, instant_trend, adaptive_average)}
+def swing_points(df: DataFrame, legs: int = 10, deviation: float = 5.0, look_ahead: bool = False) -> DataFrame:
+    """``symbol, ts, known_ts, swing, value, change``: turning points of -1 (low) and 1 (high) that lie ``deviation`` percent apart.
+
+    A candidate is a bar whose low (high) is the least (greatest) of ``legs // 2`` bars on each
+    side; ``known_ts`` is the bar that completes the frame.  With ``look_ahead`` the candidates are
+    confirmed backwards from the last one, better ones of the same kind take a point's place (but
+    for the two latest points), and ``change`` is the move in percent from the point before.
+    Without it they are confirmed forwards, and every point and every better one in its place
+    stays, as they were met; ``change`` is then the move up to it.  A frame with a null or fewer
+    bars makes no candidate; a bar can be low and high, and gives at most one point in a row.
+    """
+    side = legs // 2
+    frame = by_time().rowsBetween(-side, side)
+    inside = F.lag(F.lit(1), side).over(by_time()).isNotNull() & F.lead(F.lit(1), side + 1).over(by_time()).isNotNull() & (F.count("low").over(frame) == 2 * side + 1) & (F.count("high").over(frame) == 2 * side + 1)
+    ends = df.select("symbol", "ts", F.row_number().over(by_time()).alias("_i"), F.lead("ts", side).over(by_time()).alias("known_ts"), inside.alias("_in"), "low", "high", F.min("low").over(frame).alias("_least"), F.max("high").over(frame).alias("_most"))
+    kinds = F.array(F.when(c("low") == c("_least"), F.struct(F.lit(-1).alias("swing"), c("low").alias("value"))), F.when(c("high") == c("_most"), F.struct(F.lit(1).alias("swing"), c("high").alias("value"))))
+    ends = ends.where("_in").withColumn("_e", F.explode(F.filter(kinds, lambda e: e.isNotNull()))).select("symbol", "ts", "known_ts", "_i", "_e.*")
+    sign = -1 if look_ahead else 1
+    ends = ends.withColumns({"_turn": sign * c("_i"), "_side": sign * c("swing")})
+
+    def step(state: tuple | None, row: tuple) -> tuple[tuple, tuple]:
+        i, swing, value = row
+        if state is None:
+            return (0, i, swing, value, None), (0, 0.0)
+        slot, at, kind, held, before = state
+        if swing == kind:
+            better = value < held if kind < 0 else value > held
+            if not better or slot < (2 if look_ahead else 0):
+                return state, (None, None)
+            base = value if look_ahead else before
+            move = 100 * abs(before - value) / base if before is not None else 0.0
+            return (slot, i, swing, value, before), (slot, move)
+        move = (value - held if kind < 0 else held - value) / (value if look_ahead else held)
+        if not 100 * move > deviation or at == i:
+            return state, (None, None)
+        return (slot + 1, i, swing, value, held), (slot + 1, 100 * move)
+
+    made = T.StructType([T.StructField("slot", T.LongType()), T.StructField("change", T.DoubleType())])
+    points = scan_state(ends, lambda: None, step, ["_i", "swing", "value"], made, order=("_turn", "_side")).where("slot is not null")
+    if look_ahead:
+        walk = Window.partitionBy("symbol").orderBy("_turn", "_side")
+        # the last one accepted in a slot is the point; its move from the point before is told by the next slot's last
+        points = points.withColumn("_next", F.lead("slot").over(walk)).where("_next is null or _next <> slot")
+        points = points.withColumn("change", F.coalesce(F.lead("change").over(walk), F.lit(0.0)))
+    return points.select("symbol", "ts", "known_ts", "swing", "value", "change")
+
+
+def zigzag(df: DataFrame, legs: int = 10, deviation: float = 5.0, look_ahead: bool = False) -> DataFrame:
+    """Bars with the ``swing_points`` at them: at their own bars with ``look_ahead``, else at the bars that make them known (the last one, if two).
+
+    ``ts`` is unique within a symbol; bars without a point hold nulls.
+    """
+    tag = f"{deviation:g}_{legs}"
+    points = swing_points(df, legs, deviation, look_ahead).withColumn("_at", c("ts") if look_ahead else c("known_ts"))
+    one = points.groupBy("symbol", c("_at").alias("ts")).agg(F.max_by(F.struct("swing", "value", "change"), F.struct("ts", "swing")).alias("_p"))
+    shown = {f"ZIGZAG{k}_{tag}": c("_p")[n] for k, n in (("s", "swing"), ("v", "value"), ("d", "change"))}
+    return df.join(one, ["symbol", "ts"], "left").withColumns(shown).drop("_p")
+
+
+FILTERS: dict[str, Callable[..., DataFrame]] = {f.__name__: f for f in (flex, relative_strength_xtra, alpha_trend, range_stop, schaff_cycle, even_better_sine, mesa_average, instant_trend, adaptive_average, zigzag)}

@@ -205,3 +205,64 @@ def test_grid_of_means_equals_single_points_and_plans_in_one_pass(frame):
         assert got[k] == column(strategy.ema_cross(frame, **point), "signal").tolist()
     many = backtest.grid({"fast": list(range(2, 27)), "slow": list(range(30, 130, 5))})
     assert len(many) == 500 and passes(backtest.grid_returns(frame, "ema", many)) == 1
+
+
+def plain_candidates(high, low, side):
+    out = []
+    for i in range(side, len(high) - side - 1):
+        frame = slice(i - side, i + side + 1)
+        out += [(i, -1, low[i])] * bool((low[i] <= low[frame]).all()) + [(i, 1, high[i])] * bool((high[i] >= high[frame]).all())
+    return out
+
+
+def plain_backwards(found, deviation):
+    """Points ``[bar, swing, value, change]`` from the last to the first."""
+    points = [[*found[-1], 0.0]]
+    for i, swing, value in reversed(found[:-1]):
+        at, kind, held, _ = points[-1]
+        if swing == kind:
+            if len(points) > 2 and swing * (value - held) > 0:
+                points[-1] = [i, swing, value, 0.0]
+                points[-2][3] = 100 * abs(points[-2][2] - value) / value
+        else:
+            move = 100 * kind * (held - value) / value
+            if move > deviation and at != i:
+                points[-1][3] = move
+                points.append([i, swing, value, 0.0])
+    return points
+
+
+@pytest.mark.parametrize(("legs", "deviation"), [(10, 5.0), (4, 1.0), (2, 0.1), (30, 20.0)])
+def test_zigzag_backwards_equals_a_loop(frame, prices, legs, deviation):
+    want = plain_backwards(plain_candidates(prices.high.to_numpy(), prices.low.to_numpy(), legs // 2), deviation)
+    got = filters.swing_points(frame, legs, deviation, look_ahead=True).orderBy("symbol", F.desc("ts")).collect()
+    for symbol in ("A", "B"):
+        rows = [((r.ts - DAY).days, r.swing, r.value, r.change) for r in got if r.symbol == symbol]
+        assert [r[:2] for r in rows] == [tuple(w[:2]) for w in want]
+        assert np.allclose([r[2:] for r in rows], [w[2:] for w in want])
+    bars = filters.zigzag(frame, legs, deviation, look_ahead=True).where(f"`ZIGZAGs_{deviation:g}_{legs}` is not null")
+    assert bars.count() == 2 * len({w[0] for w in want})
+
+
+def test_zigzag_without_look_ahead_knows_only_the_past(spark, frame):
+    whole = filters.zigzag(frame, 4, 2.0)
+    assert whole.count() == 800
+    cut = DAY + dt.timedelta(days=200)
+    rows = lambda df: df.where(F.col("ts") < cut - dt.timedelta(days=3)).orderBy("symbol", "ts").collect()
+    early = filters.zigzag(frame.where(F.col("ts") < cut), 4, 2.0)
+    assert rows(early) == rows(whole) and early.where("ZIGZAGs_2_4 is not null").count() > 10
+    points = filters.swing_points(frame.where("symbol = 'A'"), 4, 2.0).orderBy("ts").collect()
+    for a, b in zip(points, points[1:], strict=False):
+        assert b.swing == -a.swing and abs(b.value / a.value - 1) > 0.02 or b.swing == a.swing and b.swing * (b.value - a.value) > 0
+        assert b.known_ts - b.ts == dt.timedelta(days=2)
+
+
+def test_zigzag_of_few_null_and_level_bars(spark):
+    kind = "symbol string, ts timestamp, open double, high double, low double, close double, volume double"
+    rows = [("few", DAY + dt.timedelta(days=i), 1.0, 1.0, 1.0, 1.0, 1.0) for i in range(3)] + [("level", DAY + dt.timedelta(days=i), 1.0, 1.0, 1.0, 1.0, 1.0) for i in range(30)]
+    rows += [("null", DAY + dt.timedelta(days=i), 1.0, None if i % 3 else 2.0 + i, 1.0, 1.0, 1.0) for i in range(30)]
+    df = spark.createDataFrame(rows, kind)
+    for ahead in (False, True):
+        points = filters.swing_points(df, 10, 5.0, ahead).collect()
+        assert [(p.symbol, p.change) for p in points] == [("level", 0.0)]
+        assert filters.zigzag(df.limit(0), look_ahead=ahead).count() == 0
