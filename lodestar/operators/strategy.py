@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from lodestar.functions.scan import scan_state
 from lodestar.functions.windows import by_time, ffill, lag, last_n, ratio, roll, so_far
 from lodestar.operators import indicators as ta
+from lodestar.operators.resample import asof
 
 c = F.col
 
@@ -429,6 +430,65 @@ def cluster_reversion(df: DataFrame, threshold: float = 0.85, window: int = 20,
     return df.withColumn("signal", ta.hold(F.when(F.abs("z") < leave, 0).when(c("z") < -enter, -1).when(c("z") > enter, 1))).drop("_in", "_z")
 
 
+def strength_stop(df: DataFrame, length: int = 14, start: float = 0.02, more: float = 0.02, most: float = 0.2) -> DataFrame:
+    """``RSI``, and ``SAR_RSI``: a stop-and-reverse line that follows the strength of highs and lows as it would follow prices; strength is 0 until it is defined, and has nine digits, so that a price that stands still makes no new extreme by rounding."""
+    parts = {f"_{x[0]}{way}": x for x in ("close", "high", "low") for way in "ud"}
+    for name, x in parts.items():
+        move = F.col(x) - lag(x)
+        df = df.withColumn(name, F.when(move.isNull(), None).otherwise(F.greatest(move if name[-1] == "u" else -move, F.lit(0.0))))
+    df = ta.ewm(df, [(f"{n}m", n, 1 / length, length, "first") for n in parts])
+    strength = lambda x: F.coalesce(F.round(100 * ratio(c(f"_{x}um"), c(f"_{x}um") + c(f"_{x}dm")), 9), F.lit(0.0))
+    df = df.withColumns({"RSI": strength("c"), "_top": strength("h"), "_bottom": strength("l")}).drop(*parts, *(f"{n}m" for n in parts))
+
+    def step(state: tuple | None, row: tuple) -> tuple[tuple, tuple]:
+        high, low = row
+        if state is None:
+            return (1, high, low, start, [row]), (0.0,)
+        side, extreme, line, pace, before = state
+        line += pace * (extreme - line)
+        near, far = (low, high) if side > 0 else (high, low)  # where the line is crossed, and where a new extreme is made
+        inner, outer = (min, max) if side > 0 else (max, min)
+        if side * (line - near) > 0:
+            line, extreme, side, pace = outer(far, extreme), near, -side, start
+        else:
+            if side * (far - extreme) > 0:
+                extreme, pace = far, min(pace + more, most)
+            line = inner(line, *(b[1] if side > 0 else b[0] for b in before))
+        return (side, extreme, line, pace, [row, *before[:1]]), (line,)
+
+    return scan_state(df, lambda: None, step, ["_top", "_bottom"], T.StructType([T.StructField("SAR_RSI", T.DoubleType())])).drop("_top", "_bottom")
+
+
+def kinematics(df: DataFrame, length: int = 14, smooth: int = 5) -> DataFrame:
+    """``velocity`` (the mean move), ``acceleration`` (its change), and ``long, short``: the first bar on which both and the strength against its stop line point one way."""
+    df = strength_stop(df.withColumn("_move", c("close") - lag("close")), length)
+    df = ta.ewm(df, [("velocity", "_move", 2 / (smooth + 1), smooth, "sma"), ("RSI_EMA", "RSI", 2 / (smooth + 1), smooth, "sma")])
+    df = df.withColumn("acceleration", c("velocity") - lag("velocity"))
+    ways = {"long": (c("velocity") > 0) & (c("acceleration") > 0) & (c("RSI_EMA") > c("SAR_RSI")), "short": (c("velocity") < 0) & (c("acceleration") < 0) & (c("RSI_EMA") < c("SAR_RSI"))}
+    df = df.withColumns({f"_{k}": F.coalesce(w, F.lit(False)) for k, w in ways.items()})
+    return df.withColumns({k: c(f"_{k}") & ~F.coalesce(lag(f"_{k}"), F.lit(True)) for k in ways}).drop("_move", *(f"_{k}" for k in ways))
+
+
+def frame_kinematics(low: DataFrame, mid: DataFrame, regimes: DataFrame, mid_seconds: int, low_seconds: int, length: int = 14, smooth: int = 5) -> DataFrame:
+    """Bars of ``low`` with ``signal``: entries of ``kinematics`` on the bars of ``mid`` where the coarse regime agrees, taken on the next low bar.
+
+    ``regimes`` holds ``symbol, ts, regime``: 1, -1 or 0 (flat; also a null, and before the first
+    one), known from ``ts`` on.  Bars carry the time they begin and are known when they end, so no
+    signal looks ahead; a coarse bar that ends with a mid bar counts for it, a mid bar that ends with
+    a low bar counts for the low bar after that.  A state is held until the other side enters or
+    the regime is flat; a low bar before the first mid one is flat.
+    """
+    ended = lambda df, n: df.withColumn("ts", F.timestamp_micros(F.unix_micros(c("ts").cast("timestamp")) + n * 1_000_000))
+    made = ended(kinematics(mid.select("symbol", "ts", "high", "low", "close"), length, smooth), mid_seconds)
+    # a null regime is one of its own: it must not be filled by the one before
+    gated = asof(made.select("symbol", "ts", "long", "short"), regimes.select("symbol", c("ts").cast("timestamp").alias("ts"), F.coalesce("regime", F.lit(0)).alias("regime")), ["regime"])
+    regime = F.coalesce("asof_regime", F.lit(0))
+    state = F.when(regime == 0, 0).when((regime > 0) & c("long"), 1).when((regime < 0) & c("short"), -1)
+    gated = gated.withColumn("state", F.coalesce(ffill(state), F.lit(0)))
+    out = asof(ended(low.withColumn("_begin", c("ts")), low_seconds), gated.select("symbol", "ts", "state"), ["state"])
+    return out.withColumn("signal", F.coalesce(lag("asof_state"), F.lit(0))).withColumn("ts", c("_begin")).drop("_begin", "asof_state")
+
+
 STRATEGIES: dict[str, Callable[..., DataFrame]] = {f.__name__: f for f in (ema_cross, macd_trend, bollinger_reversion, rsi_reversal, zscore_arb, washer, turtle, channel_breakout, narrow_breakout, swing_reversal, supertrend_direction, macd_reversal, grid_trading, grid_reversal, markov_trend, markov_cross, double_markov, tdi_time_exit, rebalancing_premium, bouncy_ball, ichimoku_cloud, daily_range_breakout, squeeze_breakout, tdi_heikin_ashi, newsom, news_breakout, cluster_reversion)}
 #: Default grids of the strategies.
 GRIDS: dict[str, dict[str, list]] = {

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestar.operators import resample as rs
 from lodestar.operators import strategy as st
+from lodestar.operators.backtest import ar_filter
 from lodestar.plans.common import rounded
 from lodestar.plans.indicators import _ATR_X, _TR, _W, _lag, _recursive, _roll
 from lodestar.plans.strategies import _CROSS, _SHOW, _held, _signals
@@ -16,7 +17,17 @@ def _half_hours(s, d):
     return rs.tick_bars(ticks(s, d), {"30m": 1800}).drop("frame")
 
 
+def _kinematics(s, d):
+    """Ticks in three time frames; the coarse regime: with the last day's move where moves go on, against it where they revert, else flat."""
+    frames = rs.tick_bars(ticks(s, d), {"30m": 1800, "4h": 14400, "D": 86400})
+    low, mid, day = (frames.where(F.col("frame") == f).drop("frame") for f in ("30m", "4h", "D"))
+    way = F.signum("ret") * F.when(F.col("regime") == "momentum", 1).when(F.col("regime") == "mean_reversion", -1).otherwise(0)
+    known = ar_filter(day, window=10, least_t=0.5).select("symbol", (F.col("ts") + F.expr("INTERVAL 1 DAY")).alias("ts"), way.alias("regime"))
+    return rounded(st.frame_kinematics(low, mid, known, 14400, 1800).select("symbol", "ts", "close", "signal"))
+
+
 QUERIES = {
+    "signal_kinematics": _kinematics,
     "signal_macd_reversal": _signals("macd_reversal"),
     "signal_grid_trend": _signals("grid_trading"),
     "signal_grid_reversal": _signals("grid_reversal"),

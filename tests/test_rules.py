@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import os
+import random
 
 import numpy as np
 import pandas as pd
@@ -132,3 +134,95 @@ def test_every_strategy_has_a_grid_that_it_takes():
 def test_signals_take_other_names(spark):
     rows = bars(spark, SF)
     assert sorted(st.signals(rows, "nr7").select("symbol", "ts", "signal").collect()) == sorted(st.signals(rows, "narrow_breakout").select("symbol", "ts", "signal").collect())
+
+
+def plain_strength(values, length):
+    up = down = 0.0
+    out, first = [0.0], True
+    for k in range(1, len(values)):
+        move = values[k] - values[k - 1]
+        u, d = max(move, 0.0), max(-move, 0.0)
+        up, down = (u, d) if first else (up + (u - up) / length, down + (d - down) / length)
+        first = False
+        out.append(round(100 * up / (up + down), 9) if k >= length and up + down else 0.0)
+    return out
+
+
+def plain_stop(tops, bottoms):
+    """The line, with rising and falling written apart."""
+    out, rising, extreme, line, pace = [0.0], True, tops[0], bottoms[0], 0.02
+    for k in range(1, len(tops)):
+        line += pace * (extreme - line)
+        last = slice(max(0, k - 2), k)
+        if rising and line > bottoms[k]:
+            rising, line, extreme, pace = False, max(tops[k], extreme), bottoms[k], 0.02
+        elif rising:
+            if tops[k] > extreme:
+                extreme, pace = tops[k], min(pace + 0.02, 0.2)
+            line = min([line, *bottoms[last]])
+        elif line < tops[k]:
+            rising, line, extreme, pace = True, min(bottoms[k], extreme), tops[k], 0.02
+        else:
+            if bottoms[k] < extreme:
+                extreme, pace = bottoms[k], min(pace + 0.02, 0.2)
+            line = max([line, *tops[last]])
+        out.append(line)
+    return out
+
+
+def plain_mean(values, n):
+    """Exponential mean; row n holds the mean of the values there are among the first n."""
+    out, y = [], None
+    for k, x in enumerate(values):
+        if k == n - 1:
+            there = [v for v in values[:n] if v is not None]
+            y = sum(there) / len(there)
+        elif k >= n:
+            y += 2 / (n + 1) * (x - y)
+        out.append(y)
+    return out
+
+
+def test_frame_kinematics_equals_a_loop(spark):
+    zero, draw, price, low = dt.datetime(2024, 1, 1), random.Random(12), 100.0, []
+    for k in range(1500):
+        close = price * (1 + draw.gauss(0, 0.01))
+        low.append((zero + dt.timedelta(minutes=10 * k), price, max(price, close) * 1.002, min(price, close) * 0.998, close))
+        price = close
+    mid = [(low[k][0], low[k][1], max(r[2] for r in low[k : k + 6]), min(r[3] for r in low[k : k + 6]), low[k + 5][4]) for k in range(0, 1500, 6)]
+    coarse = [(zero + dt.timedelta(days=d), draw.choice([1, 1, -1, -1, 0, None])) for d in range(1, 11)]
+
+    closes = [m[4] for m in mid]
+    stop = plain_stop(plain_strength([m[2] for m in mid], 14), plain_strength([m[3] for m in mid], 14))
+    moves = [None, *(b - a for a, b in zip(closes, closes[1:], strict=False))]
+    speed, strength = plain_mean(moves, 5), plain_mean(plain_strength(closes, 14), 5)
+    states, state, before = [], 0, (True, True)
+    for k, m in enumerate(mid):
+        push = speed[k] - speed[k - 1] if k and speed[k - 1] is not None else None
+        now = (push is not None and speed[k] > 0 and push > 0 and strength[k] > stop[k], push is not None and speed[k] < 0 and push < 0 and strength[k] < stop[k])
+        end = m[0] + dt.timedelta(hours=1)
+        regime = ([r for at, r in coarse if at <= end] or [0])[-1] or 0
+        if regime == 0:
+            state = 0
+        elif now[regime < 0] and not before[regime < 0]:
+            state = regime
+        states.append((end, state))
+        before = now
+    want, held = [], 0
+    for r in low:
+        want.append(held)
+        end = r[0] + dt.timedelta(minutes=10)
+        held = ([s for at, s in states if at <= end] or [0])[-1]
+    assert {-1, 0, 1} == set(want)
+
+    kind = "symbol string, ts timestamp, open double, high double, low double, close double"
+    frames = [spark.createDataFrame([(s, *r) for s in ("A", "B") for r in rows], kind) for rows in (low, mid)]
+    regimes = spark.createDataFrame([("A", *r) for r in coarse], "symbol string, ts timestamp, regime int")
+    line = [r.SAR_RSI for r in st.strength_stop(frames[1].where("symbol = 'A'")).orderBy("ts").collect()]
+    assert max(abs(x - y) for x, y in zip(line, stop, strict=True)) < 1e-9
+    got = st.frame_kinematics(*frames, regimes, 3600, 600)
+    assert got.columns == [*frames[0].columns, "signal"]
+    rows = got.orderBy("symbol", "ts").collect()
+    assert [r.signal for r in rows if r.symbol == "A"] == want and [r.ts for r in rows if r.symbol == "A"] == [r[0] for r in low]
+    assert {r.signal for r in rows if r.symbol == "B"} == {0}  # no regime
+    assert st.frame_kinematics(frames[0].limit(0), frames[1].limit(0), regimes, 3600, 600).count() == 0
