@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from lodestar.functions.scan import linear_scan
 from lodestar.functions.windows import by_time, lag, ratio, roll, so_far
-from lodestar.operators.strategy import ALIASES, GRID_FORMS, signals
+from lodestar.operators.grids import GRID_FORMS
+from lodestar.operators.strategy import ALIASES, signals
 
 c = F.col
 YEAR = 252.0
@@ -140,6 +141,8 @@ def random_points(points: list[dict], n: int, seed: int) -> list[dict]:
 def walk_forward(bars: DataFrame, strategy: str, points: list[dict], train_days: int = 252, step_days: int = 63) -> DataFrame:
     """For each window the point of the best Sharpe ratio in training and its return in the test days that follow.
 
+    Points that trade alike in training have one ratio but for its last digits; the first of them counts.
+
     Windows step through the distinct times.  The windows that hold a time are a range of whole
     numbers, so each row is exploded to them; nothing is joined by range.
     """
@@ -160,7 +163,7 @@ def _windowed(rets: DataFrame, train_days: int, step_days: int) -> DataFrame:
 def _best_points(rows: DataFrame, train_days: int, step_days: int) -> DataFrame:
     train = c("i") < c("window") * step_days + train_days
     sums = rows.groupBy("window", "param_id").agg(ratio(F.avg(F.when(train, c("ret"))), F.stddev_samp(F.when(train, c("ret")))).alias("train_sharpe"), F.sum(F.when(~train, c("ret"))).alias("test_ret"), F.count(F.when(~train, 1)).alias("test_days"))
-    best = F.max_by(F.struct("param_id", "train_sharpe", "test_ret", "test_days"), F.struct("train_sharpe", -c("param_id")))
+    best = F.max_by(F.struct("param_id", "train_sharpe", "test_ret", "test_days"), F.struct(F.round("train_sharpe", 9), -c("param_id")))
     return sums.where("test_days > 0").groupBy("window").agg(best.alias("b")).select("window", "b.*")
 
 

@@ -379,32 +379,34 @@ def heikin_ashi(df: DataFrame) -> DataFrame:
     return df.withColumns({"HA_high": F.greatest("HA_open", "HA_close", "high"), "HA_low": F.least("HA_open", "HA_close", "low")})
 
 
+def band_start() -> tuple:
+    return (None, None, 1)
+
+
+def band_step(state: tuple, row: tuple) -> tuple[tuple, tuple]:
+    """Bands ``span`` around the mid price: the one on the trend's side only tightens until the close breaks it."""
+    lower, upper, side = state
+    mid, span, close = row
+    if span is None or span != span:
+        return state, (None, None)
+    lo, up = mid - span, mid + span
+    if upper is not None and close > upper:
+        side = 1  # a broken band starts anew
+    elif upper is not None and close < lower:
+        side = -1
+    elif upper is not None and side > 0:
+        lo = max(lo, lower)
+    elif upper is not None:
+        up = min(up, upper)
+    return (lo, up, side), (lo if side > 0 else up, side)
+
+
 def supertrend(df: DataFrame, length: int = 7, multiplier: float = 3.0) -> DataFrame:
     """Bands around the mid price that only tighten until the close breaks them: a carried state."""
     name = f"ATRr_{length}"
-
-    def start() -> tuple:
-        return (None, None, 1)
-
-    def step(state: tuple, row: tuple) -> tuple[tuple, tuple]:
-        lower, upper, side = state
-        mid, width, close = row
-        if width != width or width is None:
-            return state, (None, None)
-        lo, up = mid - multiplier * width, mid + multiplier * width
-        if upper is not None and close > upper:
-            side = 1  # a broken band starts anew
-        elif upper is not None and close < lower:
-            side = -1
-        elif upper is not None and side > 0:
-            lo = max(lo, lower)
-        elif upper is not None:
-            up = min(up, upper)
-        return (lo, up, side), (lo if side > 0 else up, side)
-
     made = T.StructType([T.StructField(f"SUPERT_{length}", T.DoubleType()), T.StructField(f"SUPERTd_{length}", T.LongType())])
-    df = atr(df, length).withColumn("_mid", (c("high") + c("low")) / 2)
-    return scan_state(df, start, step, ["_mid", name, "close"], made).drop("_mid", name, f"NATR_{length}")
+    df = atr(df, length).withColumns({"_mid": (c("high") + c("low")) / 2, "_span": multiplier * c(name)})
+    return scan_state(df, band_start, band_step, ["_mid", "_span", "close"], made).drop("_mid", "_span", name, f"NATR_{length}")
 
 
 def psar(df: DataFrame, af: float = 0.02, most: float = 0.2) -> DataFrame:

@@ -34,7 +34,7 @@ def held(df: DataFrame, long: Column, short: Column, leave: Column | None = None
     return df.withColumn("signal", F.coalesce(ffill("_entry"), F.lit(0))).drop("_entry", "side")
 
 
-def _crossed(x: Column, before: Column, level: float = 0.0) -> Column:
+def _crossed(x: Column, before: Column, level: Column | float = 0.0) -> Column:
     return ((before < level) & (x >= level)) | ((before > level) & (x <= level))
 
 
@@ -46,11 +46,16 @@ def ema_cross(df: DataFrame, fast: int = 10, slow: int = 50) -> DataFrame:
 def macd_trend(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, exit_mode: str = "row") -> DataFrame:
     tag = f"{fast}_{slow}_{signal}"
     df = ta.macd(df, fast, slow, signal)
-    m, s = c(f"MACD_{tag}"), c(f"MACDs_{tag}")
+    return macd_trend_sides(df.withColumnsRenamed({f"MACD_{tag}": "_m", f"MACDs_{tag}": "_g"}), exit_mode).drop(f"MACDh_{tag}")
+
+
+def macd_trend_sides(df: DataFrame, exit_mode: str) -> DataFrame:
+    """From the line ``_m`` and its signal ``_g``."""
+    m, s = c("_m"), c("_g")
     df = df.withColumns({"_m1": lag(m), "_s1": lag(s)})
     up = (m > 0) & (m > s) & (c("_m1") <= c("_s1"))
     down = (m < 0) & (m < s) & (c("_m1") >= c("_s1"))
-    return held(df, up, down, m * c("_m1") < 0, exit_mode).drop("_m1", "_s1", f"MACD_{tag}", f"MACDs_{tag}", f"MACDh_{tag}")
+    return held(df, up, down, m * c("_m1") < 0, exit_mode).drop("_m1", "_s1", "_m", "_g")
 
 
 def bollinger_reversion(df: DataFrame, length: int = 20, std: float = 2.0, exit_mode: str = "row") -> DataFrame:
@@ -60,10 +65,14 @@ def bollinger_reversion(df: DataFrame, length: int = 20, std: float = 2.0, exit_
 
 
 def rsi_reversal(df: DataFrame, length: int = 14, lower: float = 30.0, upper: float = 70.0, middle: float = 50.0, exit_mode: str = "row") -> DataFrame:
-    df = ta.rsi(df, length)
-    x = c(f"RSI_{length}")
+    return rsi_sides(ta.rsi(df, length).withColumnRenamed(f"RSI_{length}", "_x"), lower, upper, middle, exit_mode)
+
+
+def rsi_sides(df: DataFrame, lower: Column | float, upper: Column | float, middle: Column | float, exit_mode: str) -> DataFrame:
+    """From the relative strength ``_x``."""
+    x = c("_x")
     df = df.withColumn("_x1", lag(x))
-    return held(df, x < lower, x > upper, _crossed(x, c("_x1"), middle), exit_mode).drop("_x1", f"RSI_{length}")
+    return held(df, x < lower, x > upper, _crossed(x, c("_x1"), middle), exit_mode).drop("_x1", "_x")
 
 
 def zscore_arb(df: DataFrame, length: int = 20, threshold: float = 2.0, exit_mode: str = "row") -> DataFrame:
@@ -157,10 +166,14 @@ def regime_follower(df: DataFrame, index: str, top: int = 3, hold: int = 5) -> D
 def macd_reversal(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, middle: float = 0.0, exit_mode: str = "row") -> DataFrame:
     """With the line over or under its signal; flat where the line crosses the middle."""
     tag = f"{fast}_{slow}_{signal}"
-    df = ta.macd(df, fast, slow, signal)
-    m, s = c(f"MACD_{tag}"), c(f"MACDs_{tag}")
+    df = ta.macd(df, fast, slow, signal).withColumnsRenamed({f"MACD_{tag}": "_m", f"MACDs_{tag}": "_g"})
+    return macd_reversal_sides(df, middle, exit_mode).drop(f"MACDh_{tag}")
+
+
+def macd_reversal_sides(df: DataFrame, middle: Column | float, exit_mode: str) -> DataFrame:
+    m, s = c("_m"), c("_g")
     df = df.withColumn("_m1", lag(m))
-    return held(df, m > s, m < s, _crossed(m, c("_m1"), middle), exit_mode).drop("_m1", f"MACD_{tag}", f"MACDs_{tag}", f"MACDh_{tag}")
+    return held(df, m > s, m < s, _crossed(m, c("_m1"), middle), exit_mode).drop("_m1", "_m", "_g")
 
 
 def grid_trading(df: DataFrame, count: int = 10, upper: float = 1.1, lower: float = 0.9, reverse: bool = False) -> DataFrame:
@@ -183,22 +196,33 @@ def grid_reversal(df: DataFrame, count: int = 10, upper: float = 1.1, lower: flo
 def _trend_share(df: DataFrame, lookback: int, threshold: float, history: int, length: int) -> DataFrame:
     """``_ups``: bars of the last ``history`` in an up state, which holds until the move over ``lookback`` bars passes the threshold, in mean true ranges, the other way."""
     df = ta.atr(df, length)
-    df = df.withColumn("_z", ratio(c("close") - lag("close", lookback), c(f"ATRr_{length}")))
-    df = df.withColumn("_s", F.coalesce(ffill(F.when(c("_z") > threshold, 1).when(c("_z") < -threshold, -1)), F.lit(1)))
+    df = trend_state(df.withColumn("_z", ratio(c("close") - lag("close", lookback), c(f"ATRr_{length}"))), threshold)
     return df.withColumn("_ups", roll((c("_s") == 1).cast("int"), F.sum, history)).drop("_z", "_s", f"ATRr_{length}", f"NATR_{length}")
 
 
+def trend_state(df: DataFrame, threshold: Column | float) -> DataFrame:
+    """``_s``: 1 or -1 by the last scaled move ``_z`` beyond the threshold."""
+    return df.withColumn("_s", F.coalesce(ffill(F.when(c("_z") > threshold, 1).when(c("_z") < -threshold, -1)), F.lit(1)))
+
+
 def markov_trend(df: DataFrame, lookback: int = 14, threshold: float = 0.5, history: int = 33, length: int = 14) -> DataFrame:
     """With the state that most of the last bars were in."""
-    df = _trend_share(df, lookback, threshold, history, length)
+    return markov_trend_sides(_trend_share(df, lookback, threshold, history, length), F.lit(history))
+
+
+def markov_trend_sides(df: DataFrame, history: Column) -> DataFrame:
     return held(df, 2 * c("_ups") > history, 2 * c("_ups") < history).drop("_ups")
 
 
 def markov_cross(df: DataFrame, lookback: int = 14, threshold: float = 0.5, history: int = 33, length: int = 14, longs: bool = True, shorts: bool = True) -> DataFrame:
     """As ``markov_trend``, entering only where the majority changes."""
-    df = _trend_share(df, lookback, threshold, history, length).withColumn("_u1", lag("_ups"))
-    up = (2 * c("_ups") > history) & (2 * c("_u1") <= history) & F.lit(longs)
-    down = (2 * c("_ups") < history) & (2 * c("_u1") >= history) & F.lit(shorts)
+    return markov_cross_sides(_trend_share(df, lookback, threshold, history, length), F.lit(history), F.lit(longs), F.lit(shorts))
+
+
+def markov_cross_sides(df: DataFrame, history: Column, longs: Column, shorts: Column) -> DataFrame:
+    df = df.withColumn("_u1", lag("_ups"))
+    up = (2 * c("_ups") > history) & (2 * c("_u1") <= history) & longs
+    down = (2 * c("_ups") < history) & (2 * c("_u1") >= history) & shorts
     return held(df, up, down).drop("_ups", "_u1")
 
 
@@ -239,9 +263,14 @@ def rebalancing_premium(df: DataFrame, length: int = 20, std: float = 2.0, trend
 def bouncy_ball(df: DataFrame, slow: int = 200, fast: int = 20, length: int = 14, oversold: float = 30.0, zone: float = 0.005, exit_mode: str = "row") -> DataFrame:
     """Long on a rising bar just over the slow mean while oversold; out at the fast mean."""
     df = ta.rsi(ta.ewm(df, [("_s", "close", 2 / (slow + 1), slow, "sma"), ("_f", "close", 2 / (fast + 1), fast, "sma")]), length)
+    return bouncy_sides(df.withColumnRenamed(f"RSI_{length}", "_x"), oversold, zone, exit_mode)
+
+
+def bouncy_sides(df: DataFrame, oversold: Column | float, zone: Column | float, exit_mode: str) -> DataFrame:
+    """From the slow mean ``_s``, the fast one ``_f`` and the relative strength ``_x``."""
     off = ratio(c("close") - c("_s"), c("_s"))
-    long = (off >= 0) & (off <= zone) & (c(f"RSI_{length}") < oversold) & (c("close") > c("open"))
-    return held(df, long, F.lit(False), (c("side") == 1) & (c("close") >= c("_f")), exit_mode).drop("_s", "_f", f"RSI_{length}")
+    long = (off >= 0) & (off <= zone) & (c("_x") < oversold) & (c("close") > c("open"))
+    return held(df, long, F.lit(False), (c("side") == 1) & (c("close") >= c("_f")), exit_mode).drop("_s", "_f", "_x")
 
 
 def ichimoku_cloud(df: DataFrame, tenkan: int = 9, kijun: int = 26, senkou: int = 52, displacement: int = 26, lookahead: bool = False) -> DataFrame:
@@ -279,12 +308,18 @@ def squeeze_breakout(df: DataFrame, length: int = 20, bands: float = 2.0, channe
     """Closes outside the bands while these lie inside the mean-range channel: against the break, or with it; out where the close comes back over the mean."""
     df = ta.true_range(df, "_tr")
     df = ta.ewm(df, [("_k", "close", 2 / (length + 1), length, "sma"), ("_w", "_tr", 2 / (length + 1), length, "sma")])
-    df = df.withColumns({"_m": roll("close", F.avg, length), "_d": roll("close", F.stddev_pop, length)}).withColumns({"_x": c("close") - c("_m")}).withColumn("_x1", lag("_x"))
+    df = df.withColumns({"_m": roll("close", F.avg, length), "_d": roll("close", F.stddev_pop, length)})
+    return squeeze_sides(df, F.lit(bands), F.lit(channel), F.lit(follow), exit_mode).drop("_tr")
+
+
+def squeeze_sides(df: DataFrame, bands: Column, channel: Column, follow: Column, exit_mode: str) -> DataFrame:
+    """From the mean ``_m`` and deviation ``_d`` of the closes, and the middle ``_k`` and width ``_w`` of the channel."""
+    df = df.withColumn("_x", c("close") - c("_m")).withColumn("_x1", lag("_x"))
     squeezed = (c("_m") + bands * c("_d") <= c("_k") + channel * c("_w")) & (c("_m") - bands * c("_d") >= c("_k") - channel * c("_w"))
     up, down = squeezed & (c("_x") > bands * c("_d")), squeezed & (c("_x") < -bands * c("_d"))
-    long, short = (up, down) if follow else (down, up)
+    long, short = (follow & up) | (~follow & down), (follow & down) | (~follow & up)
     out = ((c("side") == 1) & (c("_x1") > 0) & (c("_x") <= 0)) | ((c("side") == -1) & (c("_x1") < 0) & (c("_x") >= 0))
-    return held(df, long, short, out, exit_mode).drop("_tr", "_k", "_w", "_m", "_d", "_x", "_x1")
+    return held(df, long, short, out, exit_mode).drop("_k", "_w", "_m", "_d", "_x", "_x1")
 
 
 def tdi_heikin_ashi(df: DataFrame, length: int = 5, shift: int = 2, rsi_length: int = 13, green: int = 2, red: int = 7, strong: float = 1.0, flat: float = 0.2, exit_mode: str = "row") -> DataFrame:
@@ -540,10 +575,6 @@ def ema_cross_grid(bars: DataFrame, points: list[dict]) -> DataFrame:
     return held(long, c("_f") > c("_s"), c("_f") < c("_s")).select("symbol.param_id", "symbol.symbol", "ts", "close", "signal")
 
 
-#: Strategies on recurrences that solve all points of a grid at once.
-GRID_FORMS = {"ema_cross": ema_cross_grid}
-
-
 def signals(bars: DataFrame, name: str, **params) -> DataFrame:
     """Signals of a strategy by its name or another name of it."""
     return STRATEGIES[ALIASES.get(name, name)](bars, **params)
