@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.windows import by_time, ffill, ratio
+from lodestar.operators import tiles
 
 c = F.col
 
@@ -21,21 +22,17 @@ def grid_returns(bars: DataFrame, last: int | None = 1000) -> DataFrame:
     return full.withColumn("ret", F.ln(ratio(c("close"), F.lag("close").over(by_time())))).where("ret is not null").select("symbol", "ts", "i", "close", "ret")
 
 
-def correlations(rows: DataFrame, least: float = 0.0) -> DataFrame:
-    """Correlation of the returns of each two symbols (``a < b``)."""
-    a, b = (rows.select(c("symbol").alias(n), "i", c("ret").alias(f"r{n}"), c("close").alias(f"p{n}")) for n in "ab")
-    both = a.join(b, "i").where("a < b")
-    return both.groupBy("a", "b").agg(F.corr("ra", "rb").alias("corr"), F.count("*").alias("n")).where(F.abs("corr") >= least)
+def correlations(rows: DataFrame | tiles.Packed, least: float = 0.0) -> DataFrame:
+    """Correlation of the returns of each two symbols (``a < b``), by products of tiles; packed rows can serve ``best_lags`` as well."""
+    packed = rows if isinstance(rows, tiles.Packed) else tiles.pack(rows, 0)
+    sums = tiles.lag_sums(packed, None, 0).withColumn("corr", tiles.correlation())
+    return sums.select("a", "b", "corr", "n").where(F.abs("corr") >= least)
 
 
-def best_lags(rows: DataFrame, pairs: DataFrame, max_lag: int = 20, least: int = 30) -> DataFrame:
-    """For each pair the lag of the largest absolute correlation (the least lag on ties) and who leads."""
-    shifts = F.explode(F.sequence(F.lit(-max_lag), F.lit(max_lag))).alias("lag")
-    wanted = pairs.select("a", "b", shifts)
-    left = rows.select(c("symbol").alias("a"), c("i"), c("ret").alias("ra"))
-    right = rows.select(c("symbol").alias("b"), c("i").alias("j"), c("ret").alias("rb"))
-    joined = wanted.join(left, "a").withColumn("j", c("i") + c("lag")).join(right, ["b", "j"])
-    by_lag = joined.groupBy("a", "b", "lag").agg(F.corr("ra", "rb").alias("corr"), F.count("*").alias("n")).where((c("n") >= least) & c("corr").isNotNull())
+def best_lags(rows: DataFrame | tiles.Packed, pairs: DataFrame, max_lag: int = 20, least: int = 30) -> DataFrame:
+    """For each pair the lag of the largest absolute correlation (the least lag on ties) and who leads, by products of tiles."""
+    packed = rows if isinstance(rows, tiles.Packed) else tiles.pack(rows, max_lag)
+    by_lag = tiles.lag_sums(packed, pairs.select("a", "b"), max_lag).withColumn("corr", tiles.correlation()).where((c("n") >= least) & c("corr").isNotNull())
     best = by_lag.groupBy("a", "b").agg(F.max_by(F.struct("lag", "corr"), F.struct(F.round(F.abs("corr"), 9), -c("lag"))).alias("x"))
     leader = F.when(c("x.lag") > 0, c("a")).when(c("x.lag") < 0, c("b"))
     return best.select("a", "b", c("x.lag").alias("lag"), c("x.corr").alias("corr"), leader.alias("leader"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestar.operators import odds as o
 from lodestar.operators import pages as pg
 from lodestar.operators import pairs as pr
+from lodestar.operators import tiles
 from lodestar.plans.common import rounded
 from lodestar.sources.bridge import BARS_SQL, bars, table
 
@@ -20,6 +21,15 @@ def _all_rows(s, d):
     return pr.grid_returns(bars(s, d), None)
 
 
+def _packed(rows, s, d, lags=0):
+    return tiles.pack(rows, lags, bars(s, d).select("symbol").distinct().count())
+
+
+def _lags(rows, s, d, lags):
+    packed = _packed(rows, s, d, lags)
+    return pr.best_lags(packed, pr.correlations(packed), lags)
+
+
 def odds_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as nested JSON events: game by order, book by supplier, market by line, team by part."""
     t = table(spark, sf_dir, "lineitem")
@@ -41,15 +51,15 @@ def _odds(s, d):
 
 
 QUERIES = {
-    "pair_correlations": lambda s, d: rounded(pr.correlations(_rows(s, d))),
-    "pair_lags": lambda s, d: rounded(pr.best_lags(_rows(s, d), pr.correlations(_rows(s, d)), 5)),
-    "pair_spreads": lambda s, d: rounded(pr.spreads(r := _rows(s, d), pr.correlations(r))),
-    "pair_clusters": lambda s, d: pr.clusters(pr.correlations(r := _rows(s, d)), r.select("symbol").distinct(), 0.05),
-    # over all times, and lags as far as the reference's: too slow as SQL
-    "pair_correlations_whole": lambda s, d: rounded(pr.correlations(_all_rows(s, d))),
-    "pair_lags_whole": lambda s, d: rounded(pr.best_lags(r := _all_rows(s, d), pr.correlations(r), 20)),
-    "pair_spreads_whole": lambda s, d: rounded(pr.spreads(r := _all_rows(s, d), pr.correlations(r))),
-    "pair_clusters_whole": lambda s, d: pr.clusters(pr.correlations(r := _all_rows(s, d)), r.select("symbol").distinct(), 0.05),
+    "pair_correlations": lambda s, d: rounded(pr.correlations(_packed(_rows(s, d), s, d))),
+    "pair_lags": lambda s, d: rounded(_lags(_rows(s, d), s, d, 5)),
+    "pair_spreads": lambda s, d: rounded(pr.spreads(r := _rows(s, d), pr.correlations(_packed(r, s, d)))),
+    "pair_clusters": lambda s, d: pr.clusters(pr.correlations(_packed(r := _rows(s, d), s, d)), r.select("symbol").distinct(), 0.05),
+    # over all times and lags from -20 to 20
+    "pair_correlations_whole": lambda s, d: rounded(pr.correlations(_packed(_all_rows(s, d), s, d))),
+    "pair_lags_whole": lambda s, d: rounded(_lags(_all_rows(s, d), s, d, 20)),
+    "pair_spreads_whole": lambda s, d: rounded(pr.spreads(r := _all_rows(s, d), pr.correlations(_packed(r, s, d)))),
+    "pair_clusters_whole": lambda s, d: pr.clusters(pr.correlations(_packed(r := _all_rows(s, d), s, d)), r.select("symbol").distinct(), 0.05),
     "factor_quantiles": lambda s, d: rounded(pr.factor_quantiles(bars(s, d))),
     "odds_flat": lambda s, d: rounded(_odds(s, d)),
     "odds_by_book": lambda s, d: rounded(o.by_book(_odds(s, d), [f"book{k}" for k in range(6)])),
@@ -70,8 +80,12 @@ _ODDS = """WITH base AS (
          'T' || (l_orderkey % 500)::VARCHAR || CASE WHEN l_partkey % 2 = 0 THEN 'h' ELSE 'a' END AS name, max(1.2::DOUBLE + l_discount * 20) AS price, min(l_quantity % 7)::DOUBLE AS point FROM lineitem GROUP BY 1, 2, 3, 4),
 od AS (SELECT 'T' || g::VARCHAR || 'a @ T' || g::VARCHAR || 'h' AS game, TIMESTAMP '2024-01-01 12:00:00' AS start, book, market, CASE WHEN market <> 'h2h' THEN name || ' ' || point::VARCHAR ELSE name END AS team, price, 1 / price AS implied FROM base)"""
 
+#: The same over all times.
+_ALL = _GRID.replace(" ORDER BY ts DESC LIMIT 500", "")
+
 ORACLE_SQL = {
     "pair_correlations": f"{_GRID} SELECT a, b, round(corr, 6) AS corr, n FROM co WHERE abs(corr) >= 0",
+    "pair_correlations_whole": f"{_ALL} SELECT a, b, round(corr, 6) AS corr, n FROM co WHERE abs(corr) >= 0",
     "pair_lags": f"""{_GRID}, lg AS (SELECT a.symbol AS a, b.symbol AS b, l.lag, corr(a.ret, b.ret) AS corr, count(*) AS n FROM rt a, (SELECT unnest(generate_series(-5, 5))::INTEGER AS lag) l, rt b WHERE b.i = a.i + l.lag AND a.symbol < b.symbol GROUP BY 1, 2, 3 HAVING count(*) >= 30)
 SELECT a, b, lag, round(corr, 6) AS corr, CASE WHEN lag > 0 THEN a WHEN lag < 0 THEN b END AS leader FROM lg QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY round(abs(corr), 9) DESC, lag) = 1""",
     "pair_spreads": f"""{_GRID}, lp AS (SELECT a.symbol AS a, b.symbol AS b, a.i, ln(a.close) AS la, ln(b.close) AS lb FROM rt a JOIN rt b ON a.i = b.i AND a.symbol < b.symbol),

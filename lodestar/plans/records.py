@@ -10,7 +10,7 @@ from lodestar.operators import records as rec
 from lodestar.operators import strategy as st
 from lodestar.plans.common import rounded
 from lodestar.plans.indicators import _W, _roll
-from lodestar.plans.markets import _GRID, _rows
+from lodestar.plans.markets import _GRID, _all_rows, _packed, _rows
 from lodestar.plans.strategies import _FIRST, _NET, _net, _run, _turtle
 from lodestar.sources.bridge import BARS_SQL, TRADES_SQL, bars, table, trades
 
@@ -44,10 +44,11 @@ def _enter(s, d):
     return bars(s, d).withColumn("enter", F.coalesce((F.col("close") > F.lag("close").over(rec.by_time())).cast("int"), F.lit(0)))
 
 
-def _report(s, d):
-    rows = _rows(s, d)
-    wide = pr.correlations(rows)
-    return rec.pair_report(pr.best_lags(rows, wide, 5), pr.spreads(rows, wide), 0.05)
+def _report(s, d, rows=_rows, lags=5):
+    rows = rows(s, d)
+    packed = _packed(rows, s, d, lags)
+    wide = pr.correlations(packed)
+    return rec.pair_report(pr.best_lags(packed, wide, lags), pr.spreads(rows, wide), 0.05)
 
 
 QUERIES = {
@@ -64,6 +65,8 @@ QUERIES = {
     "entry_simulation": lambda s, d: rounded(rec.simulate_entries(_enter(s, d))),
     "pair_report": lambda s, d: rounded(_report(s, d)),
     "pair_report_summary": lambda s, d: rounded(rec.report_summary(_report(s, d))),
+    "pair_report_whole": lambda s, d: rounded(_report(s, d, _all_rows, 20)),
+    "pair_report_summary_whole": lambda s, d: rounded(rec.report_summary(_report(s, d, _all_rows, 20))),
     "pair_coverage": lambda s, d: rounded(rec.covered(bars(s, d), 1000, 0.2)),
     "factor_horizons": lambda s, d: rounded(rec.union_screens(*(pr.factor_quantiles(bars(s, d), k).withColumn("ahead", F.lit(k)) for k in (1, 5, 10)))),
     "calendar_month_edge": lambda s, d: rounded(rec.month_end_edge(bars(s, d))),

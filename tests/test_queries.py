@@ -53,4 +53,4 @@ def test_query_equals_sql(spark, duck, name):
 
 def test_all_queries_have_sql_or_a_test():
     filters = {f"ta_{name}" for name in FILTERS} | {"grid_search_ema_cross"}  # against loops in test_scan
-    assert set(catalog.QUERIES) - set(catalog.ORACLE_SQL) - filters <= {"page_text", "signal_news", "signal_energy", "signal_kinematics", "signal_cluster_reversion", "pair_clusters_whole", "pair_correlations_whole", "pair_lags_whole", "pair_spreads_whole", "monte_carlo_whole"}
+    assert set(catalog.QUERIES) - set(catalog.ORACLE_SQL) - filters <= {"page_text", "signal_news", "signal_energy", "signal_kinematics", "signal_cluster_reversion", "pair_clusters_whole", "pair_report_whole", "pair_report_summary_whole", "pair_lags_whole", "pair_spreads_whole", "monte_carlo_whole"}

@@ -43,6 +43,21 @@ def test_pair_lags_reach_20(spark, returns):
         assert lag == best and corr == pytest.approx(found[best], abs=2e-6) and leader == (a if lag > 0 else b if lag < 0 else None)
 
 
+def test_pair_report_takes_all_times_and_lags(spark):
+    lags = {(r.a, r.b): r for r in catalog.QUERIES["pair_lags_whole"](spark, SF).collect()}
+    fits = {(r.a, r.b): r for r in catalog.QUERIES["pair_spreads_whole"](spark, SF).collect()}
+    rows = catalog.QUERIES["pair_report_whole"](spark, SF).orderBy("rank").collect()
+    assert len(rows) == len(lags) and [r["rank"] for r in rows] == list(range(1, len(rows) + 1))
+    for r in rows:
+        lag, fit = lags[r.a, r.b], fits[r.a, r.b]
+        assert (r.lag, r.corr, r.leader, r.beta, r.half_life, r.t) == (lag.lag, lag.corr, lag.leader, fit.beta, fit.half_life, fit.t)
+        assert r.score == pytest.approx(abs(r.corr) * max(0, min(1, r.t / -3.34)), abs=1e-5)
+        assert r.shortlisted == (abs(r.corr) >= 0.05 and r.t <= -3.34)
+    assert all(x.score >= y.score - 2e-6 for x, y in zip(rows, rows[1:], strict=False))
+    total = catalog.QUERIES["pair_report_summary_whole"](spark, SF).first()
+    assert total.pairs == len(rows) and total.shortlisted == sum(r.shortlisted for r in rows) and total.best_score == rows[0].score
+
+
 def test_pair_spreads_and_clusters_take_all_times(spark, returns):
     ret, log = returns
     for r in catalog.QUERIES["pair_spreads_whole"](spark, SF).collect():
