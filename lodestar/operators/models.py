@@ -25,6 +25,26 @@ def bar_features(bars: DataFrame, ahead: int = 5, roi: float = 0.02) -> DataFram
     return df.na.drop(subset=["ret", "ma_gap", "vol", "span", "vol_ratio", "label"]).select("symbol", "ts", "ret", "ma_gap", "vol", "span", "vol_ratio", "label")
 
 
+def match_features(games: DataFrame, features: list[str], key: str, low: float = 0.1) -> DataFrame:
+    """Games ``date, location, outcome`` with ``month``, ``day_of_week`` (Monday 0), ``is_home``, ``home_win`` and a ``weight`` that rises by date over all games.
+
+    A location of '' is the home side's row, '@' the visitor's, whose loss is a win at home; ties and
+    unknown outcomes count as 0.  Games with a null date or feature are left out.  The place of a
+    game is that of its day (a sum over the days) and its place within the day, by time and ``key``; a
+    single game weighs 1.
+    """
+    df = games.na.drop(subset=["date", *features])
+    home, away = c("location") == "", c("location") == "@"
+    win = F.coalesce((home & (c("outcome") == "W")) | (away & (c("outcome") == "L")), F.lit(False))
+    df = df.withColumns({"month": F.month("date"), "day_of_week": F.weekday("date"), "is_home": F.coalesce(home, F.lit(False)).cast("int"), "home_win": win.cast("int"), "_day": F.to_date("date")})
+    days = df.groupBy("_day").agg(F.count("*").alias("_n"))
+    so_far = Window.partitionBy(F.lit(1)).orderBy("_day")  # one row a day
+    days = days.select("_day", (F.sum("_n").over(so_far) - c("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy(F.lit(1))).alias("_all"))
+    place = c("_before") + F.row_number().over(Window.partitionBy("_day").orderBy("date", key)) - 1
+    share = F.coalesce(ratio(place.cast("double"), (c("_all") - 1).cast("double")), F.lit(1.0))
+    return df.join(days, "_day").withColumn("weight", low + (1 - low) * share).drop("_day", "_before", "_all")
+
+
 def split_by_time(df: DataFrame, share: float = 0.8) -> DataFrame:
     """``train`` for the first share of each symbol's rows."""
     whole = Window.partitionBy("symbol")

@@ -42,3 +42,13 @@ def snapshot(odds: DataFrame) -> DataFrame:
 def quoted_by(odds: DataFrame, book: str) -> DataFrame:
     """The rows of games that one book quotes."""
     return odds.join(odds.where(c("book") == book).select("game").distinct(), "game", "left_semi")
+
+
+def with_snapshot(odds: DataFrame) -> DataFrame:
+    """Every quote with the average, rank and role of its team; quotes without a game, market or team have none."""
+    return odds.join(snapshot(odds), ["game", "market", "team"], "left")
+
+
+def favourites(odds: DataFrame, book: str) -> DataFrame:
+    """All books' quotes of the favourites, in the games that one book quotes."""
+    return quoted_by(with_snapshot(odds), book).where("rank = 1")

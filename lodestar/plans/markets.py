@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestar.operators import models
 from lodestar.operators import odds as o
 from lodestar.operators import pages as pg
 from lodestar.operators import pairs as pr
@@ -30,6 +31,13 @@ def _lags(rows, s, d, lags):
     return pr.best_lags(packed, pr.correlations(packed), lags)
 
 
+def _matches(s, d):
+    outcome = F.when(F.col("o_orderstatus") == "F", "W").when(F.col("o_orderstatus") == "O", "L").otherwise("T")
+    location = F.when(F.col("o_custkey") % 2 == 0, "").otherwise("@")
+    week = F.when(F.col("o_orderkey") % 11 != 0, F.weekofyear("o_orderdate"))  # some games have none
+    return table(s, d, "orders").select(F.col("o_orderkey").alias("game"), F.col("o_orderdate").alias("date"), location.alias("location"), outcome.alias("outcome"), week.alias("week"), F.col("o_totalprice").alias("points"))
+
+
 def odds_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as nested JSON events: game by order, book by supplier, market by line, team by part."""
     t = table(spark, sf_dir, "lineitem")
@@ -65,6 +73,8 @@ QUERIES = {
     "odds_by_book": lambda s, d: rounded(o.by_book(_odds(s, d), [f"book{k}" for k in range(6)])),
     "odds_best": lambda s, d: rounded(o.best_prices(_odds(s, d))),
     "odds_snapshot": lambda s, d: rounded(o.snapshot(o.quoted_by(_odds(s, d), "book3"))),
+    "odds_favourites": lambda s, d: rounded(o.favourites(_odds(s, d), "book3")),
+    "match_features": lambda s, d: rounded(models.match_features(_matches(s, d), ["week", "points"], "game")),
     "page_links": lambda s, d: pg.links(table(s, d, "pages")),
     "page_routes": lambda s, d: pg.route(table(s, d, "pages")),
     "page_text": lambda s, d: pg.to_text(table(s, d, "pages")).select("page_id", F.length("text").alias("chars"), F.md5(F.col("text").cast("binary")).alias("digest")),
@@ -86,6 +96,11 @@ _ALL = _GRID.replace(" ORDER BY ts DESC LIMIT 500", "")
 ORACLE_SQL = {
     "pair_correlations": f"{_GRID} SELECT a, b, round(corr, 6) AS corr, n FROM co WHERE abs(corr) >= 0",
     "pair_correlations_whole": f"{_ALL} SELECT a, b, round(corr, 6) AS corr, n FROM co WHERE abs(corr) >= 0",
+    "odds_favourites": f"""{_ODDS}, mn AS (SELECT game, market, team, avg(price) AS avg_price, count(*) AS quotes FROM od GROUP BY 1, 2, 3), rk AS (SELECT *, row_number() OVER (PARTITION BY game, market ORDER BY round(avg_price, 9), team)::INTEGER AS rank FROM mn)
+SELECT game, market, team, start, book, round(price, 6) AS price, round(implied, 6) AS implied, round(avg_price, 6) AS avg_price, quotes, rank, 'favourite' AS role FROM od JOIN rk USING (game, market, team) WHERE rank = 1 AND game IN (SELECT game FROM od WHERE book = 'book3')""",
+    "match_features": """WITH gm AS (SELECT o_orderkey AS game, o_orderdate AS date, CASE WHEN o_custkey % 2 = 0 THEN '' ELSE '@' END AS location, CASE o_orderstatus WHEN 'F' THEN 'W' WHEN 'O' THEN 'L' ELSE 'T' END AS outcome, CASE WHEN o_orderkey % 11 <> 0 THEN week(o_orderdate)::INTEGER END AS week, o_totalprice AS points FROM orders)
+SELECT game, date, location, outcome, week, round(points, 6) AS points, month(date)::INTEGER AS month, (isodow(date) - 1)::INTEGER AS day_of_week, (location = '')::INTEGER AS is_home, (CASE WHEN location = '' THEN outcome = 'W' ELSE outcome = 'L' END)::INTEGER AS home_win,
+  round(0.1::DOUBLE + 0.9::DOUBLE * (row_number() OVER (ORDER BY date, game) - 1) / (count(*) OVER () - 1), 6) AS weight FROM gm WHERE week IS NOT NULL AND points IS NOT NULL AND date IS NOT NULL""",
     "pair_lags": f"""{_GRID}, lg AS (SELECT a.symbol AS a, b.symbol AS b, l.lag, corr(a.ret, b.ret) AS corr, count(*) AS n FROM rt a, (SELECT unnest(generate_series(-5, 5))::INTEGER AS lag) l, rt b WHERE b.i = a.i + l.lag AND a.symbol < b.symbol GROUP BY 1, 2, 3 HAVING count(*) >= 30)
 SELECT a, b, lag, round(corr, 6) AS corr, CASE WHEN lag > 0 THEN a WHEN lag < 0 THEN b END AS leader FROM lg QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY round(abs(corr), 9) DESC, lag) = 1""",
     "pair_spreads": f"""{_GRID}, lp AS (SELECT a.symbol AS a, b.symbol AS b, a.i, ln(a.close) AS la, ln(b.close) AS lb FROM rt a JOIN rt b ON a.i = b.i AND a.symbol < b.symbol),

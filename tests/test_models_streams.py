@@ -68,6 +68,17 @@ def test_classifiers_and_regressors(spark):
     assert models.boosted(train.limit(300), ["ma_gap", "span"]).transform(test).count() == test.count()
 
 
+def test_match_features(spark):
+    day = lambda k: dt.datetime(2024, 1, k)
+    rows = [(1, day(7), "", "W", 1.0), (2, day(1), "@", "L", 1.0), (3, day(1), "@", "W", 1.0), (4, day(9), "", "T", 1.0), (5, day(9), None, None, 1.0), (6, day(3), "", "W", None), (7, None, "", "W", 1.0)]
+    games = spark.createDataFrame(rows, "game int, date timestamp, location string, outcome string, x double")
+    got = {r.game: r for r in models.match_features(games, ["x"], "game").collect()}
+    assert {k: (r.month, r.day_of_week, r.is_home, r.home_win) for k, r in got.items()} == {1: (1, 6, 1, 1), 2: (1, 0, 0, 1), 3: (1, 0, 0, 0), 4: (1, 1, 1, 0), 5: (1, 1, 0, 0)}
+    assert [got[k].weight for k in (2, 3, 1, 4, 5)] == pytest.approx([0.1, 0.325, 0.55, 0.775, 1.0])
+    assert [r.weight for r in models.match_features(games.where("game = 1"), ["x"], "game").collect()] == [1.0]
+    assert models.match_features(games.limit(0), ["x"], "game").count() == 0
+
+
 def test_match_simulation_follows_the_means(spark):
     games = spark.createDataFrame([(1, 30.0, 5.0, 20.0, 5.0), (2, 20.0, 5.0, 20.0, 5.0)], "game_id bigint, home_mean double, home_std double, away_mean double, away_std double")
     got = {r.game_id: r for r in models.simulate_matches(games, 2000).collect()}
