@@ -11,18 +11,25 @@ still not sure (small or very uneven sets) indexes its empty segments, too.  E i
 cost: more segments make more signatures for all sets, fewer make more neighbourhoods for some.
 
 Sets with a signature in common are candidates.  Each task's signatures go in packed runs to
-buckets, where equal ones meet; lists of sets that share several signatures count once.  In a
-first round each set is paired with the least one that it shares a list with.  In a second one all sets of those lists that the links found so far leave in several classes are paired between classes,
-lists with one least set as one, and large ones tile by tile.  Pairs go on unless their sizes, or
-the parities of their elements in some places, rule the similarity out; these sketches are a
-fraction of the texts.  What goes on is compared by the exact sizes of intersections, as matrix
-products over the elements that at least two sets share, and gives a spanning forest of its links.
+buckets, where equal ones meet: 14 bytes for each signature, 48 bits of it and 64 of its set's
+name, however many buckets there are.  Lists of sets that share several signatures count once.
+In a first round each set is paired with the least one that it shares a list with.  In a second
+one all sets of those lists that the links found so far leave in several classes are paired
+between classes, lists with one least set as one, and large ones tile by tile.  Pairs count unless
+their sizes, or the parities of their elements in some places, rule the similarity out; these
+sketches are a fraction of the texts.  A second round's pairs are never written: each group gives
+a forest of them, and the components of all forests are compared whole, so a text goes once to its
+component and not once for each pair.  What is compared is so by the exact sizes of intersections,
+as matrix products over the elements that at least two sets share, and gives a spanning forest of
+its links.
 
 Defined cases: null, empty and wordless texts have an empty set, size 0, and are linked with
 nothing; a text of fewer words than a shingle is one shingle; equal sets are one node and link
 their documents; repeated rows each keep a row; a row with a null id takes part and names its
 class by the least id that is not null, if any; an empty table gives an empty table; other columns
-are ignored.  Elements are 64-bit hashes of shingles, sets are named by 128 bits of their elements.
+are ignored.  Elements are 64-bit hashes of shingles, sets are told apart by 128 bits of their
+elements (``whole``); candidates carry 64 bits of these (``name``), and where two sets clash there
+both are compared.
 """
 
 from __future__ import annotations
@@ -43,9 +50,11 @@ from lodestar.llm.simhash_dedup import _Forest, shingles
 from lodestar.llm.tokens import mix
 
 #: Bytes of text that are handled at a time, and whose signatures are sent on together; bytes of text for each bucket, about.
-_CHUNK, _SEND, BUCKET_BYTES = 1 << 22, 1 << 25, 1 << 24
+_CHUNK, _SEND, BUCKET_BYTES = 1 << 22, 1 << 24, 1 << 24
 #: Sets that are compared with each other at once, partners of a set that are compared with it at once, and elements of a product.
 TILE, _PARTNERS, _COLUMNS = 512, 256, 4096
+#: Bytes of a signature that are sent on, the lowest ones: the highest have chosen the bucket.
+_SIGN = 6
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
@@ -85,12 +94,17 @@ def bands_of(percent: int) -> Bands:
 
 
 def names_of(elements: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Names of sets, 16 bytes each; ``elements`` are in order within each set."""
+    """Whole names of sets, 16 bytes each; ``elements`` are in order within each set."""
     ends = np.cumsum(sizes)
     raw = elements.tobytes()
     return np.array([xxhash.xxh3_128_digest(raw[8 * a : 8 * b]) for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)], "V16")
 
 
+def short_names(whole: np.ndarray) -> np.ndarray:
+    """What ``F.xxhash64`` makes of whole names."""
+    return np.array([xxhash.xxh64_intdigest(x, 42) for x in whole.tolist()], np.uint64).view(np.int64)
+
+
 def signatures(elements: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Signatures and the sets that they are of; the lowest bit of a signature tells a one-deletion neighbour.
 
@@ -164,32 +178,32 @@ def not_ruled_out(sketch: list[bytes], sizes: np.ndarray, percent: int) -> np.nd
 
 
 def likely(groups: DataFrame, kinds: DataFrame, percent: int, hubs_only: bool) -> DataFrame:
-    """The distinct pairs ``hub, name`` of the groups whose sizes and sketches leave the similarity open.
+    """``hub, name`` of pairs in the groups whose sizes and sketches leave the similarity open.
 
-    With ``hubs_only`` those of ``list``, the hub, and the others; else those of different ``root``,
-    between sides where a group has two.
+    With ``hubs_only`` all distinct ones of ``list``, the hub, and the others; else a forest of
+    stars with the components of those of different ``root``, between sides where a group has two.
     """
     by = [c for c in groups.columns if c not in ("side", "name", "root")]
 
     def run(group: pa.Table) -> pa.Table:
-        names, side = group.column("name").to_pylist(), group.column("side").to_numpy()
+        names, side = group.column("name").to_numpy(), group.column("side").to_numpy()
         open_ = not_ruled_out(group.column("sketch").to_pylist(), group.column("n").to_numpy(), percent)
         if hubs_only:
-            hub = np.array(names, object) == group.column("list")[0].as_py()
-            open_ &= hub[:, None] & ~hub[None, :]
+            hub = names == group.column("list")[0].as_py()
+            i, j = np.nonzero(open_ & hub[:, None] & ~hub[None, :])
         else:
-            root = np.unique(np.array(group.column("root").to_pylist(), "V16"), return_inverse=True)[1]
+            root = group.column("root").to_numpy()
             open_ &= root[:, None] != root[None, :]
             if side.any():
                 open_ &= side[:, None] != side[None, :]
-        i, j = np.nonzero(open_)
-        if not hubs_only:
-            keep = i < j
-            i, j = i[keep], j[keep]
-        pairs = [(names[x], names[y]) if hubs_only or names[x] < names[y] else (names[y], names[x]) for x, y in zip(i.tolist(), j.tolist(), strict=True)]
-        return pa.table({"hub": pa.array([x for x, _ in pairs], pa.binary()), "name": pa.array([y for _, y in pairs], pa.binary())})
+            forest = _Forest(len(names))
+            forest.link(*np.nonzero(np.triu(open_, 1)))
+            i = forest.settle()
+            j = np.flatnonzero(i != np.arange(len(i)))
+            i = i[j]
+        return pa.table({"hub": pa.array(names[i]), "name": pa.array(names[j])})
 
-    return groups.join(kinds.select("name", "n", "sketch"), "name").groupBy(*by).applyInArrow(run, "hub binary, name binary").distinct()
+    return groups.join(kinds.select("name", "n", "sketch"), "name").groupBy(*by).applyInArrow(run, "hub bigint, name bigint").distinct()
 
 
 def chunks(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
@@ -201,62 +215,64 @@ def chunks(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
 
 
 def sets(docs: DataFrame, width: int) -> DataFrame:
-    """``doc_id, text_key, name, n, sketch`` for every row of ``docs``: the name, size and sketch of its set."""
+    """``doc_id, text_key, whole, n, sketch`` for every row of ``docs``: the whole name, size and sketch of its set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, 2):
                 elements, sizes = shingles(part.column(2), width)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(names_of(elements, sizes).tolist(), pa.binary()), pa.array(sizes.astype(np.int64)), pa.array(sketches(elements, sizes), pa.binary())], ["doc_id", "text_key", "name", "n", "sketch"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(names_of(elements, sizes).tolist(), pa.binary()), pa.array(sizes.astype(np.int64)), pa.array(sketches(elements, sizes), pa.binary())], ["doc_id", "text_key", "whole", "n", "sketch"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, f"doc_id {kind}, text_key bigint, name binary, n bigint, sketch binary")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, f"doc_id {kind}, text_key bigint, whole binary, n bigint, sketch binary")
 
 
 def packed_signatures(docs: DataFrame, width: int, percent: int, buckets: int) -> DataFrame:
-    """``bucket, names, signs, owners``: a task's signatures by bucket, with the names of their sets."""
+    """``bucket, signs, names``: a task's signatures by bucket, and the names of their sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def flush() -> pa.RecordBatch:
-            names, fresh = np.unique(np.concatenate([h[0] for h in held]).view("V16"), return_inverse=True)  # copies count once
-            shift = np.cumsum([0, *(len(h[0]) for h in held)])
-            signs, owners = np.concatenate([h[1] for h in held]), fresh[np.concatenate([h[2] + s for h, s in zip(held, shift, strict=False)])].astype(np.uint32)
-            bucket = (signs >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
-            order = np.argsort(bucket.astype(np.uint32), kind="stable")
-            signs, owners = signs[order], owners[order]
+            signs, names = (np.concatenate([h[k] for h in held]) for k in (0, 1))
+            bucket = ((signs >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.uint32)
+            order = np.argsort(bucket, kind="stable")
+            signs, names = signs[order].view(np.uint8).reshape(-1, 8)[:, :_SIGN], names[order]
             which, at = np.unique(bucket[order], return_index=True)
-            rows = []
-            for a, b in zip(at.tolist(), [*at[1:].tolist(), len(order)][: len(at)], strict=True):
-                mine, where = np.unique(owners[a:b], return_inverse=True)
-                rows.append((names[mine].tobytes(), signs[a:b].tobytes(), where.astype(np.uint32).tobytes()))
-            return pa.RecordBatch.from_arrays([pa.array(which.astype(np.int64)), *(pa.array([r[k] for r in rows], pa.binary()) for k in range(3))], ["bucket", "names", "signs", "owners"])
+            parts = list(zip(at.tolist(), [*at[1:].tolist(), len(order)][: len(at)], strict=True))
+            packs = [[x[a:b].tobytes() for a, b in parts] for x in (signs, names)]
+            return pa.RecordBatch.from_arrays([pa.array(which.astype(np.int64)), *(pa.array(p, pa.binary()) for p in packs)], ["bucket", "signs", "names"])
 
-        size = 0
+        size, sent = 0, np.zeros(0, np.int64)
         for batch in batches:
             for part in chunks(batch, 0):
                 elements, sizes = shingles(part.column(0), width)
-                held.append((names_of(elements, sizes), *signatures(elements, sizes, percent)))
+                names = short_names(names_of(elements, sizes))
+                fresh = np.zeros(len(names), bool)  # copies count once
+                fresh[np.unique(names, return_index=True)[1]] = True
+                fresh &= ~np.isin(names, sent)
+                signs, owners = signatures(elements[np.repeat(fresh, sizes)], sizes[fresh], percent)
+                held.append((signs, names[fresh][owners]))
+                sent = np.append(sent, names[fresh])
                 size += part.nbytes
                 if size >= _SEND:
                     yield flush()
-                    held, size = [], 0
+                    held, size, sent = [], 0, sent[:0]
         if held:
             yield flush()
 
-    return docs.select("text").mapInArrow(run, "bucket bigint, names binary, signs binary, owners binary")
+    return docs.select("text").mapInArrow(run, "bucket bigint, signs binary, names binary")
 
 
 def shared_lists(packs: DataFrame) -> DataFrame:
     """``list, name``: the members of each distinct list of sets that share a signature."""
 
     def run(group: pa.Table) -> pa.Table:
-        names = [np.frombuffer(x.as_py(), "V16") for x in group.column("names")]
-        kinds, which = np.unique(np.concatenate(names), return_inverse=True)
-        shift = np.cumsum([0, *map(len, names)])
-        owners = np.concatenate([which[np.frombuffer(x.as_py(), np.uint32) + s] for x, s in zip(group.column("owners"), shift, strict=False)]).astype(np.int64)
-        signs = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in group.column("signs")])
+        names = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in group.column("names")])
+        kinds, owners = np.unique(names, return_inverse=True)
+        raw = np.zeros((len(names), 8), np.uint8)
+        raw[:, :_SIGN] = np.concatenate([np.frombuffer(x.as_py(), np.uint8) for x in group.column("signs")]).reshape(-1, _SIGN)
+        signs = raw.view(np.uint64).ravel()
         # of one set and signature one is enough, the subset itself before a neighbour
         order = np.lexsort((signs & np.uint64(1), owners, signs >> np.uint64(1)))
         signs, owners = signs[order], owners[order]
@@ -266,15 +282,15 @@ def shared_lists(packs: DataFrame) -> DataFrame:
         starts = np.flatnonzero(np.append(True, (signs[1:] >> np.uint64(1)) != (signs[:-1] >> np.uint64(1)))) if len(signs) else np.zeros(0, np.int64)
         sizes = np.diff(np.append(starts, len(signs)))
         exact = np.add.reduceat((signs & np.uint64(1)) == 0, starts) if len(starts) else sizes  # neighbours alone prove nothing
-        lists: dict[bytes, np.ndarray] = {}
+        lists: dict[int, np.ndarray] = {}
         for at, n in zip(starts[(sizes > 1) & (exact > 0)].tolist(), sizes[(sizes > 1) & (exact > 0)].tolist(), strict=True):
             members = kinds[owners[at : at + n]]
-            lists.setdefault(xxhash.xxh3_128_digest(members.tobytes()), members)
-        held = np.concatenate([np.zeros(0, "V16"), *lists.values()])
-        ids = np.repeat(np.array(list(lists), "V16") if lists else np.zeros(0, "V16"), [len(m) for m in lists.values()])
-        return pa.table({"list": pa.array(ids.tolist(), pa.binary()), "name": pa.array(held.tolist(), pa.binary())})
+            lists.setdefault(xxhash.xxh3_64_intdigest(members.tobytes()), members)  # lists that clash are one
+        held = np.concatenate([np.zeros(0, np.int64), *lists.values()])
+        ids = np.repeat(np.array(list(lists), np.uint64).view(np.int64), np.array([len(m) for m in lists.values()], np.int64))
+        return pa.table({"list": pa.array(ids), "name": pa.array(held)})
 
-    return packs.groupBy("bucket").applyInArrow(run, "list binary, name binary").distinct()
+    return packs.groupBy("bucket").applyInArrow(run, "list bigint, name bigint").distinct()
 
 
 def similar_pairs(elements: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -299,8 +315,11 @@ def similar_pairs(elements: np.ndarray, sizes: np.ndarray, percent: int) -> tupl
     return np.nonzero(near)
 
 
-def compare(groups: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Edges ``a, b`` that keep connected what is similar among the sets of each of ``groups``, the rows of one list and pair of tiles."""
+def compare(groups: DataFrame, texts: DataFrame, width: int, percent: int, called: str = "name") -> DataFrame:
+    """Edges ``a, b`` that keep connected what is similar among the sets of each of ``groups``, the rows of one list and pair of tiles.
+
+    Edges are between the values of ``called``, a column of ``texts``.
+    """
 
     def run(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
@@ -309,10 +328,10 @@ def compare(groups: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
         forest.link(*similar_pairs(elements, sizes, percent))
         root = forest.settle()
         moved = np.flatnonzero(root != np.arange(len(root)))
-        names = group.column("name").chunk(0)
+        names = group.column(called).chunk(0)
         return pa.table({"a": names.take(pa.array(moved)), "b": names.take(pa.array(root[moved]))})
 
-    kind = texts.schema["name"].dataType.simpleString()
+    kind = texts.schema[called].dataType.simpleString()
     return groups.join(texts, "name").groupBy("list", "tile_a", "tile_b").applyInArrow(run, f"a {kind}, b {kind}")
 
 
@@ -340,28 +359,32 @@ def join(docs: DataFrame, width: int = 5, percent: int = 80, tile: int = TILE) -
     # sizes, sketches and one text of each set that is in a list
     wanted = lists.select("name").distinct()
     place = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("at")
-    kinds = prints.where("n > 0").join(wanted, "name", "left_semi").groupBy("name").agg(place, F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    kinds = cut(kinds.select("name", "n", "sketch", F.col("at.doc_id").alias("id"), F.col("at.text_key").alias("key")), "kinds", drop_shuffles=True)
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").where("text IS NOT NULL")
-    at = kinds.select("name", "id", "key")
-    texts = rows.join(at, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key"))).groupBy("name").agg(F.first("text").alias("text"))
+    named = prints.where("n > 0").withColumn("name", F.xxhash64("whole"))
+    kinds = named.join(wanted, "name", "left_semi").groupBy("name", "whole").agg(place, F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    kinds = cut(kinds.select("name", "whole", "n", "sketch", F.col("at.doc_id").alias("id"), F.col("at.text_key").alias("key")), "kinds", drop_shuffles=True)
+    key = lambda i, k: [F.col(i).isNull().alias("no_id"), F.coalesce(i, F.lit(0).cast(docs.schema["doc_id"].dataType)).alias("row_id"), F.col(k).alias("text_key")]
+    rows = docs.where("text IS NOT NULL").withColumn("key", F.xxhash64("text")).select(*key("doc_id", "key"), "text")
+    texts = rows.join(kinds.select(*key("id", "key"), "name", "whole"), ["no_id", "row_id", "text_key"])
+    # repeated rows count once; this needs no other shuffle
+    texts = texts.groupBy("no_id", "row_id", "text_key").agg(*(F.first(c).alias(c) for c in ("name", "whole", "text"))).select("name", "whole", "text")
     texts = cut(texts, "texts", drop_shuffles=True)
     # first round: each set against the least one that it is in a list with
     hubs = lists.groupBy("list").agg(F.min("name").alias("hub"))
     pairs = lists.join(hubs, "list").where("name <> hub").groupBy("name").agg(F.min("hub").alias("hub")).select("hub", "name")
     pairs = cut(likely(star_groups(pairs), kinds, percent, hubs_only=True), "pairs", drop_shuffles=True)
-    links = cut(compare(star_groups(pairs), texts, width, percent), "links", drop_shuffles=True)
+    links = cut(compare(star_groups(pairs), texts, width, percent, "whole"), "links", drop_shuffles=True)
     # second round: lists that the links leave in several classes, those with one least set as one
-    roots = connected(links).withColumnRenamed("node", "name")
+    roots = connected(links).select(F.xxhash64("node").alias("name"), F.xxhash64("root").alias("root"))
     classes = lists.join(roots, "name", "left").select("list", "name", F.coalesce("root", "name").alias("root"))
-    apart = classes.groupBy("list").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").join(hubs, "list").select("list", "hub")
+    apart = classes.groupBy("list").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("name").alias("hub")).where("low <> high").select("list", "hub")
     merged = classes.join(apart, "list").select(F.col("hub").alias("list"), "name", "root").distinct()
     pairs = cut(likely(tiled(merged, tile), kinds, percent, hubs_only=False), "pairs", drop_shuffles=True)
-    more = cut(compare(star_groups(pairs), texts, width, percent), "links", drop_shuffles=True)
-    roots = connected(links.unionByName(more))
-    least = prints.where("n > 0").groupBy("name").agg(F.min("doc_id").alias("least"))
-    classes = least.join(roots.withColumnRenamed("node", "name"), "name", "left").select("name", F.coalesce("root", "name").alias("root"), "least")
+    near = connected(pairs.select(F.col("hub").alias("a"), F.col("name").alias("b"))).select(F.col("root").alias("list"), F.col("node").alias("name"))
+    more = cut(compare(tiled(near, max(1, tile // 2)), texts, width, percent, "whole"), "links", drop_shuffles=True)
+    roots = connected(links.unionByName(more)).withColumnRenamed("node", "whole")
+    least = prints.where("n > 0").groupBy("whole").agg(F.min("doc_id").alias("least"))
+    classes = least.join(roots, "whole", "left").select("whole", F.coalesce("root", "whole").alias("root"), "least")
     called = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = cut(classes.join(called, "root").select("name", "component_id"), "classes", drop_shuffles=True)
-    linked = prints.where("n > 0").join(classes, "name").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    classes = cut(classes.join(called, "root").select("whole", "component_id"), "classes", drop_shuffles=True)
+    linked = prints.where("n > 0").join(classes, "whole").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return linked.unionByName(prints.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))

@@ -227,6 +227,33 @@ def test_pairs_are_those_of_the_sets():
     assert got == want and 20 < len(want) < 1225
 
 
+def test_signatures_take_as_many_bytes_in_many_buckets(spark):
+    """Names were repeated for each bucket, so what was shuffled grew with their number, which grows with the input."""
+    draw = random.Random(3)
+    docs = spark.createDataFrame([(" ".join(f"w{draw.randrange(3000)}" for _ in range(200)),) for _ in range(60)], "text string").coalesce(1)
+    size = lambda n: sum(len(x) for r in jaccard_join.packed_signatures(docs, 5, 80, n).collect() for x in r if isinstance(x, (bytes, bytearray)))
+    assert size(4) == size(2000) > 0
+
+
+def test_short_names_are_those_of_spark(spark):
+    whole = jaccard_join.names_of(np.arange(40, dtype=np.uint64), np.array([3, 30, 0, 7]))
+    got = spark.createDataFrame([(bytes(x),) for x in whole.tolist()], "whole binary").selectExpr("xxhash64(whole)").collect()
+    assert [r[0] for r in got] == jaccard_join.short_names(whole).tolist()
+
+
+def test_a_group_gives_a_forest_of_its_likely_pairs(spark):
+    """All pairs of a group of near copies went on before, with a text for each."""
+    draw = random.Random(4)
+    base = [draw.getrandbits(64) for _ in range(200)]
+    sets_ = [np.sort(np.array([*base[k % 3 :], *(draw.getrandbits(64) for _ in range(k % 4))], np.uint64)) for k in range(40)]
+    sizes = np.array([len(x) for x in sets_])
+    kinds = spark.createDataFrame([(k, int(n), s) for k, (n, s) in enumerate(zip(sizes, jaccard_join.sketches(np.concatenate(sets_), sizes), strict=True))], "name bigint, n bigint, sketch binary")
+    lists = spark.createDataFrame([(7, k, k // 2) for k in range(40)], "list bigint, name bigint, root bigint")
+    got = [tuple(r) for r in jaccard_join.likely(jaccard_join.tiled(lists, 64), kinds, 80, hubs_only=False).collect()]
+    hub = got[0][0]
+    assert sorted(got) == [(hub, k) for k in range(40) if k != hub]
+
+
 def test_sketches_rule_out_no_similar_pair():
     draw = random.Random(6)
     said = Counter()
