@@ -51,21 +51,27 @@ def spreads(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     return g.select("a", "b", "alpha", "beta", "n", F.when(c("k") < 0, -F.ln(F.lit(2.0)) / c("k")).alias("half_life"), ratio(c("k"), F.sqrt(ratio(rest, c("sxx")))).alias("t")).withColumn("cointegrated", c("t") < -3.34)
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    """``df`` computed, with nothing of its plan left: in the session's checkpoint folder, or else where the executors keep it."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+
+
 def clusters(pairs: DataFrame, symbols: DataFrame, threshold: float) -> DataFrame:
     """Connected groups of symbols whose returns correlate above the threshold: ``symbol, cluster, size``.
 
-    Least labels travel along the edges until nothing changes; the tables are as long as the list of symbols.
+    Least labels travel along the edges, and on to the labels of labels, until nothing changes; the tables are as long as the list of symbols.
+    Each round starts from a table, not from the plan of the rounds before, which the driver would hold several times over.
     """
     edges = pairs.where(c("corr") > threshold).select("a", "b")
-    both = edges.unionByName(edges.select(c("b").alias("a"), c("a").alias("b"))).persist()
-    labels = symbols.select("symbol", c("symbol").alias("cluster")).persist()
+    both = _cut(edges.unionByName(edges.select(c("b").alias("a"), c("a").alias("b"))))
+    labels = _cut(symbols.select("symbol", c("symbol").alias("cluster")))
     while True:
         near = both.join(labels.withColumnsRenamed({"symbol": "b", "cluster": "near"}), "b").groupBy("a").agg(F.min("near").alias("near"))
-        after = labels.join(near.withColumnRenamed("a", "symbol"), "symbol", "left").select("symbol", F.least("cluster", "near").alias("after"), "cluster").persist()
-        same = after.where("after <> cluster").isEmpty()
-        labels = after.select("symbol", c("after").alias("cluster"))
-        if same:
+        after = _cut(labels.join(near.withColumnRenamed("a", "symbol"), "symbol", "left").select("symbol", F.least("cluster", "near").alias("after"), "cluster"))
+        if after.where("after <> cluster").isEmpty():
             return labels.withColumn("size", F.count("*").over(Window.partitionBy("cluster")))
+        up = after.select(c("symbol").alias("after"), c("after").alias("up"))
+        labels = _cut(after.join(up, "after", "left").select("symbol", F.coalesce("up", "after").alias("cluster")))
 
 
 def factor_quantiles(bars: DataFrame, ahead: int = 5, q: int = 2) -> DataFrame:

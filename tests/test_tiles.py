@@ -69,3 +69,13 @@ def test_constant_stretches_and_empty_tables(spark, rows):
 def test_the_rows_are_packed_by_one_shuffle(rows):
     plan = tiles.blocks(rows, 4, REACH)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FlatMapGroupsInPandas") == 1 and plan.count("Exchange hashpartitioning") <= 2  # by symbol for the mean, by tile and chunk
+
+
+def test_clusters_of_long_chains_keep_a_short_plan(spark):
+    for length in (5, 40):  # with a plan that grew by each round the first was of millions of characters
+        links = [(f"S{k:02}", f"S{k + 1:02}", 0.9) for k in range(length - 1)] + [("X", "Y", 0.9), ("W", "X", 0.9), ("S00", "Y", 0.1)]
+        names = sorted({s for a, b, _ in links for s in (a, b)} | {"Z"})
+        found = pairs.clusters(spark.createDataFrame(links[::-1], "a string, b string, corr double"), spark.createDataFrame([(s,) for s in names], "symbol string"), 0.5)
+        assert len(found._jdf.queryExecution().toString()) < 50_000
+        want = {s: ("S00", length) if s[0] == "S" else ("Z", 1) if s == "Z" else ("W", 3) for s in names}
+        assert {r.symbol: (r.cluster, r.size) for r in found.collect()} == want
