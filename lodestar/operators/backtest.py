@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -49,10 +50,10 @@ def metrics(df: DataFrame, by: tuple[str, ...] = ("symbol",), ret: str = "net",
     return df.groupBy(*by).agg((F.exp(F.sum(ret)) - 1).alias("total"), annual.alias("annual"), vol.alias("volatility"), ratio(annual, vol).alias("sharpe"), F.min("_d").alias("max_drawdown"), F.sum("traded").alias("traded"))
 
 
-def portfolio(df: DataFrame, keys: tuple[str, ...] = (), ret: str = "net") -> DataFrame:
+def portfolio(df: DataFrame, keys: tuple[str, ...] = (), ret: str = "net", total: Callable[[Column], Column] = F.sum) -> DataFrame:
     """Log return of equal weights at each time; a symbol without a bar there counts as 0."""
     n = df.select("symbol").distinct().agg(F.count("*").alias("_n"))
-    sums = df.groupBy(*keys, "ts").agg(F.sum(F.coalesce(F.exp(ret) - 1, F.lit(0.0))).alias("_s"))
+    sums = df.groupBy(*keys, "ts").agg(total(F.coalesce(F.exp(ret) - 1, F.lit(0.0))).alias("_s"))
     return sums.crossJoin(F.broadcast(n)).select(*keys, "ts", F.log1p(c("_s") / c("_n")).alias("ret"))  # one row
 
 
@@ -138,16 +139,31 @@ def random_points(points: list[dict], n: int, seed: int) -> list[dict]:
     return [points[k] for k in sorted(ranked[:n])]
 
 
-def walk_forward(bars: DataFrame, strategy: str, points: list[dict], train_days: int = 252, step_days: int = 63) -> DataFrame:
+def walk_forward(bars: DataFrame, strategy: str, points: list[dict], train_days: int = 252, step_days: int = 63, digits: int | None = None) -> DataFrame:
     """For each window the point of the best Sharpe ratio in training and its return in the test days that follow.
 
-    Points that trade alike in training have one ratio but for its last digits; the first of them counts.
+    Ratios are taken over returns from the least up, so points that trade alike in training have the same one to the last
+    digit, and the first of them counts; with ``digits`` ratios are compared when rounded to these.
 
     Windows step through the distinct times.  The windows that hold a time are a range of whole
     numbers, so each row is exploded to them; nothing is joined by range.
     """
-    rows = _windowed(portfolio(grid_returns(bars, strategy, points), ("param_id",)), train_days, step_days)
-    return _best_points(rows, train_days, step_days)
+    rows = _windowed(_grid_portfolio(bars, strategy, points), train_days, step_days)
+    return _best_points(rows, train_days, step_days, digits)
+
+
+def _grid_portfolio(bars: DataFrame, strategy: str, points: list[dict]) -> DataFrame:
+    """Returns of each point's portfolio, the same to the last digit for points that trade alike at a time: a group holds a value for each symbol."""
+    return portfolio(grid_returns(bars, strategy, points), ("param_id",), total=lambda x: _ordered_sum(_ordered(x)))
+
+
+def _ordered(x: Column) -> Column:
+    """A group's values from the least up."""
+    return F.array_sort(F.collect_list(x))
+
+
+def _ordered_sum(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda total, x: total + x)
 
 
 def _windowed(rets: DataFrame, train_days: int, step_days: int) -> DataFrame:
@@ -160,17 +176,21 @@ def _windowed(rets: DataFrame, train_days: int, step_days: int) -> DataFrame:
     return rets.join(days, "ts")
 
 
-def _best_points(rows: DataFrame, train_days: int, step_days: int) -> DataFrame:
+def _best_points(rows: DataFrame, train_days: int, step_days: int, digits: int | None) -> DataFrame:
     train = c("i") < c("window") * step_days + train_days
-    sums = rows.groupBy("window", "param_id").agg(ratio(F.avg(F.when(train, c("ret"))), F.stddev_samp(F.when(train, c("ret")))).alias("train_sharpe"), F.sum(F.when(~train, c("ret"))).alias("test_ret"), F.count(F.when(~train, 1)).alias("test_days"))
-    best = F.max_by(F.struct("param_id", "train_sharpe", "test_ret", "test_days"), F.struct(F.round("train_sharpe", 9), -c("param_id")))
-    return sums.where("test_days > 0").groupBy("window").agg(best.alias("b")).select("window", "b.*")
+    sums = rows.groupBy("window", "param_id").agg(_ordered(F.when(train, c("ret"))).alias("_v"), F.sum(F.when(~train, c("ret"))).alias("test_ret"), F.count(F.when(~train, 1)).alias("test_days")).where("test_days > 0")
+    least, n = F.get("_v", F.lit(0)), F.size("_v")
+    sums = sums.withColumn("_m", least + ratio(_ordered_sum(F.transform("_v", lambda x: x - least)), n))
+    spread = F.sqrt(ratio(_ordered_sum(F.transform("_v", lambda x: (x - c("_m")) * (x - c("_m")))), n - 1))
+    sums = sums.withColumn("train_sharpe", ratio(c("_m"), spread))
+    best = F.max_by(F.struct("param_id", "train_sharpe", "test_ret", "test_days"), F.struct(c("train_sharpe") if digits is None else F.round("train_sharpe", digits), -c("param_id")))
+    return sums.groupBy("window").agg(best.alias("b")).select("window", "b.*")
 
 
 def walk_forward_returns(bars: DataFrame, strategy: str, points: list[dict], train_days: int = 252, step_days: int = 63) -> DataFrame:
     """The out-of-sample returns stitched together: of each window's test days those of its best point, and the running sum."""
     rows = _windowed(portfolio(grid_returns(bars, strategy, points), ("param_id",)), train_days, step_days)
-    best = _best_points(rows, train_days, step_days).select("window", "param_id")
+    best = _best_points(rows, train_days, step_days, 9).select("window", "param_id")
     tested = rows.where(c("i") >= c("window") * step_days + train_days).join(best, ["window", "param_id"])
     total = Window.partitionBy(F.lit(1)).orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)  # one row a time
     return tested.select("ts", "window", "param_id", "ret", F.sum("ret").over(total).alias("log_equity"))

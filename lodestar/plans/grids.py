@@ -16,8 +16,8 @@ QUERIES = {
     "grid_search_macd_trend": lambda s, d: rounded(b.grid_search(bars(s, d), "macd_trend", _MACD)),
     "grid_search_rsi_reversal": lambda s, d: rounded(b.grid_search(bars(s, d), "rsi_reversal", _RSI)),
     "grid_search_supertrend": lambda s, d: rounded(b.grid_search(bars(s, d), "supertrend_direction", _TREND)),
-    "walk_forward_macd": lambda s, d: rounded(b.walk_forward(bars(s, d), "macd_trend", _MACD)),
-    "walk_forward_rsi": lambda s, d: rounded(b.walk_forward(bars(s, d), "rsi_reversal", _RSI)),
+    "walk_forward_macd": lambda s, d: rounded(b.walk_forward(bars(s, d), "macd_trend", _MACD, digits=9)),
+    "walk_forward_rsi": lambda s, d: rounded(b.walk_forward(bars(s, d), "rsi_reversal", _RSI, digits=9)),
 }
 
 _START = f"WITH RECURSIVE {BARS_SQL}"

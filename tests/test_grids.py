@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import os
+
+import pandas as pd
 import pytest
 
 from lodestar.operators import backtest, strategy
 from lodestar.operators.grids import GRID_FORMS
+from lodestar.sources.bridge import bars
 from tests.test_scan import frame, passes, prices  # noqa: F401
 
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+
 #: Grids that reach every parameter of a form.
 WIDE = {
     "macd_trend": {"fast": [3, 8], "slow": [12, 26], "signal": [4, 9], "exit_mode": ["row", "hold"]},
@@ -55,3 +61,20 @@ def test_grids_refuse_unknown_parameters_and_take_defaults(frame):  # noqa: F811
         GRID_FORMS["macd_trend"](frame, [{"fsat": 3}])
     rows = GRID_FORMS["rsi_reversal"](frame, [{}, {"length": 5}]).where("symbol = 'A'").toPandas().sort_values("ts")
     assert rows[rows.param_id == 0].signal.tolist() == strategy.rsi_reversal(frame.where("symbol = 'A'")).toPandas().sort_values("ts").signal.tolist()
+
+
+def test_walk_forward_takes_the_greater_ratio_and_the_first_of_equal_ones(spark):
+    # one rise; the shorter exit leaves a day before a move of 1.5e-10, which is its whole lead
+    level = lambda k: 2.0 if k < 86 else 3.0 if k < 96 else 2.5 if k == 96 else 1.0
+    prices = [100.0 + k % 2 if k < 60 else 103.0 if k == 60 else 110.0 * (1 + 1e-10 * level(k)) for k in range(330)]
+    days = pd.date_range("2024-01-01", periods=len(prices))
+    one = spark.createDataFrame([("A", t.to_pydatetime(), p, p, p, p, 1.0) for t, p in zip(days, prices, strict=True)], "symbol string, ts timestamp, open double, high double, low double, close double, volume double")
+    points = [{"entry": 55, "leave": 20}, {"entry": 55, "leave": 10}, {"entry": 55, "leave": 10}]
+    got = backtest.walk_forward(one, "turtle", points).orderBy("window").collect()
+    assert [r.param_id for r in got] == [1, 1]
+    assert backtest.walk_forward(one, "turtle", points, digits=9).where("window = 0").first().param_id == 0
+    many = backtest.walk_forward(bars(spark, SF), "turtle", points[1:] * 3).collect()
+    assert len(many) > 1 and {r.param_id for r in many} == {0}  # sums of many symbols, the same to the last digit
+    for r in got:
+        train = backtest.portfolio(backtest.grid_returns(one, "turtle", points[1:2])).orderBy("ts").toPandas().ret[r.window * 63 : r.window * 63 + 252]
+        assert r.train_sharpe == pytest.approx(train.mean() / train.std(), rel=1e-9)
