@@ -187,10 +187,10 @@ def _best_points(rows: DataFrame, train_days: int, step_days: int, digits: int |
     return sums.groupBy("window").agg(best.alias("b")).select("window", "b.*")
 
 
-def walk_forward_returns(bars: DataFrame, strategy: str, points: list[dict], train_days: int = 252, step_days: int = 63) -> DataFrame:
+def walk_forward_returns(bars: DataFrame, strategy: str, points: list[dict], train_days: int = 252, step_days: int = 63, digits: int | None = None) -> DataFrame:
     """The out-of-sample returns stitched together: of each window's test days those of its best point, and the running sum."""
-    rows = _windowed(portfolio(grid_returns(bars, strategy, points), ("param_id",)), train_days, step_days)
-    best = _best_points(rows, train_days, step_days, 9).select("window", "param_id")
+    rows = _windowed(_grid_portfolio(bars, strategy, points), train_days, step_days)
+    best = _best_points(rows, train_days, step_days, digits).select("window", "param_id")
     tested = rows.where(c("i") >= c("window") * step_days + train_days).join(best, ["window", "param_id"])
     total = Window.partitionBy(F.lit(1)).orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)  # one row a time
     return tested.select("ts", "window", "param_id", "ret", F.sum("ret").over(total).alias("log_equity"))

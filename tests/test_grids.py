@@ -72,6 +72,8 @@ def test_walk_forward_takes_the_greater_ratio_and_the_first_of_equal_ones(spark)
     points = [{"entry": 55, "leave": 20}, {"entry": 55, "leave": 10}, {"entry": 55, "leave": 10}]
     got = backtest.walk_forward(one, "turtle", points).orderBy("window").collect()
     assert [r.param_id for r in got] == [1, 1]
+    stitched = backtest.walk_forward_returns(one, "turtle", points).collect()
+    assert {(r.window, r.param_id) for r in stitched} == {(0, 1), (1, 1)}
     assert backtest.walk_forward(one, "turtle", points, digits=9).where("window = 0").first().param_id == 0
     many = backtest.walk_forward(bars(spark, SF), "turtle", points[1:] * 3).collect()
     assert len(many) > 1 and {r.param_id for r in many} == {0}  # sums of many symbols, the same to the last digit
